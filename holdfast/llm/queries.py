@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, packing, quality, token_files
+from . import decontam, packing, quality, simhash, token_files
 from .common import documents
 
 
@@ -15,6 +15,11 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(documents(spark, sf_dir))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
@@ -31,5 +36,5 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op2_benchmark_decontamination, op4_quality_rules, op7_token_files, op9_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_benchmark_decontamination, op4_quality_rules, op7_token_files, op9_best_fit_packing)}
 ORACLES = {"op2_benchmark_decontamination": decontam.ORACLE, "op4_quality_rules": quality.ORACLE}
