@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, lm, packing, quality, simhash, token_files
+from . import decontam, lm, packing, pii, quality, secrets, simhash, token_files
 from .common import documents
 
 
@@ -25,6 +25,25 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
 
 
+def _span_digest(found: DataFrame, base: tuple[str, ...]) -> DataFrame:
+    """doc_id, a count for each base kind, the hash of the base spans and all spans as text."""
+    named = F.transform(F.arrays_zip("kinds", "starts", "ends"), lambda s: F.struct(s["kinds"].alias("kind"), F.concat_ws(":", s["kinds"], s["starts"].cast("string"), s["ends"].cast("string")).alias("text")))
+    rows = found.select("doc_id", named.alias("s"))
+    is_base = lambda s: s["kind"].isin(list(base))
+    text = lambda s: F.array_join(F.transform(s, lambda x: x["text"]), ",")
+    of_kind = lambda k: F.size(F.filter("s", lambda s: s["kind"] == k)).cast("long")
+    counts = [of_kind(k).alias(f"n_{k}") for k in base]
+    return rows.select("doc_id", *counts, F.sha2(text(F.filter("s", is_base)), 256).alias("base_sha256"), text(F.col("s")).alias("spans"))
+
+
+def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _span_digest(secrets.scan(documents(spark, sf_dir)), secrets.BASE)
+
+
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _span_digest(pii.find(documents(spark, sf_dir)), pii.BASE)
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = token_files.new_folder(spark)
     token_files.write(documents(spark, sf_dir), folder)
@@ -40,5 +59,5 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_benchmark_decontamination, op4_quality_rules, op7_token_files, op9_best_fit_packing, op10_lm_scoring)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_benchmark_decontamination, op4_quality_rules, op5_secret_scans, op7_token_files, op8_personal_data, op9_best_fit_packing, op10_lm_scoring)}
 ORACLES = {"op2_benchmark_decontamination": decontam.ORACLE, "op4_quality_rules": quality.ORACLE}
