@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, lm, packing, pii, quality, secrets, simhash, token_files
+from . import decontam, licenses, lm, packing, pii, quality, secrets, simhash, token_files
 from .common import documents
 
 
@@ -44,6 +44,12 @@ def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _span_digest(pii.find(documents(spark, sf_dir)), pii.BASE)
 
 
+def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents lie at source/language/id.txt, as the table has no paths of its own."""
+    docs = documents(spark, sf_dir).select("doc_id", "text", F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"))
+    return licenses.licenses(docs)
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = token_files.new_folder(spark)
     token_files.write(documents(spark, sf_dir), folder)
@@ -59,5 +65,5 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_benchmark_decontamination, op4_quality_rules, op5_secret_scans, op7_token_files, op8_personal_data, op9_best_fit_packing, op10_lm_scoring)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_benchmark_decontamination, op4_quality_rules, op5_secret_scans, op6_license_scans, op7_token_files, op8_personal_data, op9_best_fit_packing, op10_lm_scoring)}
 ORACLES = {"op2_benchmark_decontamination": decontam.ORACLE, "op4_quality_rules": quality.ORACLE}
