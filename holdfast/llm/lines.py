@@ -14,7 +14,8 @@ words are never removed. A line is removed if an earlier line, in order of (id,
 4. Offered pairs are verified on the whole sets.
 
 Words that many prefixes share are split into blocks, and pairs of blocks are met apart, so no word's sets need to fit in
-one task. Null texts have one empty line. Null ids come last. Rows with equal ids are compared by line number alone, so of
+one task. Places of words travel as packed columns, a row for each part of the words and stretch of a task, and the
+number of parts follows the number of places, so a part has about `PART_ROWS` of them. Null texts have one empty line. Null ids come last. Rows with equal ids are compared by line number alone, so of
 repeated rows the same lines go. Other columns pass through `dedup_lines` untouched.
 """
 
@@ -35,10 +36,12 @@ UP, DOWN = 4, 5
 BUCKETS, PART = 1 << 21, 1 << 15
 #: Bytes of words that a task gathers before it writes them.
 HELD = 48 << 20
-FIRST = 3
+FIRST = 2
 #: Sets that meet at a word at most before the word is split.
 BLOCK = 10_000
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS = 500_000
+#: Places of words in a part, about, and those that a task packs at once.
+PART_ROWS, PACKED = 250_000, 1_000_000
 SALTS = 16
 TOKEN = np.uint64((1 << 40) - 1)
 LAST = (1 << 63) - 1
@@ -165,141 +168,219 @@ def prefix(n: np.ndarray) -> np.ndarray:
     return n - -(-UP * n // DOWN) + 1
 
 
-def _prefix_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _bucket(ids: np.ndarray) -> np.ndarray:
+    return wordhash.mix(ids.view(np.uint64)) & np.uint64(BUCKETS - 1)
+
+
+def _id_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(BUCKETS, np.int64)
     for batch in batches:
-        flat, size = _read(batch.column(0))
-        p = prefix(size)
-        at, n = np.unique(flat[np.repeat(np.cumsum(size) - size - np.cumsum(p) + p, p) + np.arange(int(p.sum()))] & np.uint64(BUCKETS - 1), return_counts=True)
+        at, n = np.unique(_bucket(batch.column(0).to_numpy()), return_counts=True)
         total[at] += n
     yield from _parts(total)
 
 
-POSTINGS = "word long, pair int, id long, sketch long, size int, place int, own int"
+def _flags(ids: DataFrame):
+    """Buckets of the ids: a superset of them, of fixed size. What it lets through in excess is sorted out later."""
+    return ids.sparkSession.sparkContext.broadcast(_table(ids.select("id").mapInArrow(_id_counts, "at int, n binary")) > 0)
+
+
+def _prefix_words(flat: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of all prefixes, their sets and their places there."""
+    p = prefix(size)
+    row = np.repeat(np.arange(len(size)), p)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(p) - p, p)
+    return flat[(np.cumsum(size) - size)[row] + place], row, place
+
+
+def _prefix_counts(asked):
+    """How many prefixes have a word, by bucket; of the asked sets, if given."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            if asked is not None:
+                batch = batch.filter(pa.array(asked.value[_bucket(batch.column(0).to_numpy())]))
+            word, _, _ = _prefix_words(*_read(batch.column(1)))
+            at, n = np.unique(word & np.uint64(BUCKETS - 1), return_counts=True)
+            total[at] += n
+        yield from _parts(total)
+
+    return run
+
 
+PLACES = (("word", np.uint64), ("id", np.int64), ("sketch", np.uint64), ("size", np.int32), ("place", np.int32), ("pair", np.int32), ("own", np.int32), ("probe", np.bool_))
 
-def _postings(blocks):
-    """A row for each word of a set's prefix and each pair of blocks that the set is in there."""
+
+def _places(blocks, parts: int, asked=None, words=None):
+    """Packed places of the words of all prefixes, once for each pair of blocks that the set is in there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n_held = [], 0
+
+        def flush():
+            rows = {c: np.concatenate([h[c] for h in held]) for c, _ in PLACES}
+            part = (wordhash.mix(rows["word"] + rows["pair"].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            part = part[order]
+            rows = {c: v[order] for c, v in rows.items()}
+            new = np.flatnonzero(np.diff(part, prepend=-1))
+            stop = np.append(new[1:], len(part))
+            packed = [b"".join(rows[c][i:j].astype(t).tobytes() for c, t in PLACES) for i, j in zip(new, stop)]
+            return pa.RecordBatch.from_arrays([pa.array(part[new], pa.int32()), pa.array(stop - new), pa.array(packed, pa.binary())], ["part", "n", "places"])
+
         for batch in batches:
             ids = batch.column(0).to_numpy()
             flat, size = _read(batch.column(1))
-            start, p = np.cumsum(size) - size, prefix(size)
-            sketch = np.bitwise_xor.reduceat(np.uint64(1) << (flat & np.uint64(63)), start) if len(flat) else np.zeros(0, np.uint64)
-            row = np.repeat(np.arange(len(size)), p)
-            place = np.arange(len(row)) - np.repeat(np.cumsum(p) - p, p)
-            word = flat[start[row] + place]
+            if not len(flat):
+                continue
+            sketch = np.bitwise_xor.reduceat(np.uint64(1) << (flat & np.uint64(63)), np.cumsum(size) - size)
+            word, row, place = _prefix_words(flat, size)
+            if words is not None:
+                some = np.flatnonzero(words.value[word & np.uint64(BUCKETS - 1)])
+                word, row, place = word[some], row[some], place[some]
             n = blocks.value[word & np.uint64(BUCKETS - 1)].astype(np.int64)
             own = (wordhash.mix(ids[row].view(np.uint64)) % n.astype(np.uint64)).astype(np.int64)
-            more = np.repeat(np.arange(len(row)), n)
-            other = np.arange(len(more)) - np.repeat(np.cumsum(n) - n, n)
-            pair = np.minimum(own[more], other) << 15 | np.maximum(own[more], other)
-            row, place = row[more], place[more]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(word[more].view(np.int64)), pa.array(pair, pa.int32()), pa.array(ids[row]), pa.array(sketch.view(np.int64)[row]), pa.array(size[row], pa.int32()), pa.array(place, pa.int32()), pa.array(own[more], pa.int32())],
-                ["word", "pair", "id", "sketch", "size", "place", "own"],
-            )
+            if n.max(initial=1) > 1:
+                more = np.repeat(np.arange(len(row)), n)
+                other = np.arange(len(more)) - np.repeat(np.cumsum(n) - n, n)
+                pair = np.minimum(own[more], other) << 15 | np.maximum(own[more], other)
+                word, row, place, own = word[more], row[more], place[more], own[more]
+            else:
+                pair = own
+            probe = np.zeros(len(row), bool) if asked is None else asked.value[_bucket(ids[row])]
+            held.append(dict(zip((c for c, _ in PLACES), (word, ids[row], sketch[row], size[row], place, pair, own, probe))))
+            n_held += len(row)
+            if n_held >= PACKED:
+                yield flush()
+                held, n_held = [], 0
+        if n_held:
+            yield flush()
 
     return run
 
 
+def _unpacked(blobs: list[bytes], sizes: list[int]) -> dict[str, np.ndarray]:
+    out: dict = {c: [] for c, _ in PLACES}
+    for blob, n in zip(blobs, sizes):
+        at = 0
+        for c, t in PLACES:
+            out[c].append(np.frombuffer(blob, t, n, at))
+            at += n * np.dtype(t).itemsize
+    return {c: np.concatenate(v) for c, v in out.items()}
+
+
 def _pass(size, place, sketch, a, b) -> np.ndarray:
     """Which of the pairs (a, b) can be similar: by length, by the words after the shared one, by the sketch."""
     x, y = size[a], size[b]
     need = -(-UP * (x + y) // (UP + DOWN))
     ok = need <= np.minimum(x, y)
-    ok &= 1 + np.minimum(x - place[a], y - place[b]) - 1 + np.minimum(place[a], place[b]) >= need
+    ok &= np.minimum(x - place[a], y - place[b]) >= need  # true at the first word that two similar sets share
     return ok & (np.bitwise_count(sketch[a] ^ sketch[b]) <= x + y - 2 * need)
 
 
+def _apart(rows, a, b) -> np.ndarray:
+    """In a pair of two blocks only places of different blocks meet."""
+    pair = rows["pair"][a]
+    return ((pair >> 15) == (pair & 32767)) | (rows["own"][a] != rows["own"][b])
+
+
+def _few(rows: dict[str, np.ndarray], start: np.ndarray, n: np.ndarray, asked: bool):
+    """All pairs of small groups, those of one size at once; rows of a group are in order of id."""
+    for k in np.unique(n):
+        at = start[n == k]
+        i, j = np.tril_indices(k, -1)
+        step = max(1, (1 << 20) // len(i))
+        for s in range(0, len(at), step):
+            base = at[s : s + step, None]
+            a, b = (base + i).ravel(), (base + j).ravel()
+            keep = _pass(rows["size"], rows["place"], rows["sketch"], a, b)
+            a, b = a[keep], b[keep]
+            keep = _apart(rows, a, b) & (rows["id"][a] != rows["id"][b])
+            keep &= rows["probe"][a] if asked else True
+            yield a[keep], b[keep], np.zeros(int(keep.sum()), bool)
+
+
+def _many(rows: dict[str, np.ndarray], start: int, n: int, first: int | None):
+    """Pairs of one large group, block by block; with first, only so many of the earliest for each row, and whether there are more."""
+    for i in range(1, n, 256):
+        at = start + np.arange(i, min(i + 256, n))
+        if first is None:
+            at = at[rows["probe"][at]]
+        given, extra, got = np.zeros(len(at), np.int64), np.zeros(len(at), bool), []
+        for j in range(start, int(at[-1]) if len(at) else start, 1024):
+            a, b = np.meshgrid(np.flatnonzero(~extra), np.arange(j, min(j + 1024, int(at[-1]))), indexing="ij")
+            a, b = a.ravel(), b.ravel()
+            keep = b < at[a]
+            a, b = a[keep], b[keep]
+            keep = _pass(rows["size"], rows["place"], rows["sketch"], at[a], b)
+            a, b = a[keep], b[keep]
+            keep = _apart(rows, at[a], b) & (rows["id"][at[a]] != rows["id"][b])
+            a, b = a[keep], b[keep]
+            if first is not None and len(a):
+                nth = np.arange(len(a)) - np.searchsorted(a, a) + given[a]
+                extra[a[nth >= first]] = True
+                a, b = a[nth < first], b[nth < first]
+                given += np.bincount(a, minlength=len(given))
+            got.append((a, b))
+            if extra.all():
+                break
+        if got:
+            a, b = (np.concatenate(v) for v in zip(*got))
+            yield at[a], b, extra[a]
+
+
 def _meet(first: int | None):
-    """Candidate pairs (id, other) with other the earlier; at most `first` for each id of a word if given, and then whether there are more."""
-
-    def group(rows: dict[str, np.ndarray]):
-        order = np.argsort(rows["id"], kind="stable")
-        ids, size, place, own = (rows[c][order] for c in ("id", "size", "place", "own"))
-        sketch, x = rows["sketch"][order].view(np.uint64), rows["pair"][0]
-        apart = (x >> 15) != (x & 32767)
-        probe = rows["probe"][order] if "probe" in rows else None
-        out = []
-        for i in range(1, len(ids), 256):
-            at = np.arange(i, min(i + 256, len(ids)))
-            if probe is not None:
-                at = at[probe[at]]
-            given, extra = np.zeros(len(at), np.int64), np.zeros(len(at), bool)
-            got = []
-            for j in range(0, int(at[-1]) if len(at) else 0, 1024):
-                a, b = np.meshgrid(np.arange(len(at)), np.arange(j, min(j + 1024, int(at[-1]))), indexing="ij")
-                a, b = a.ravel(), b.ravel()
-                keep = (b < at[a]) & ((own[b] != own[at[a]]) | (not apart))
-                if first is not None:
-                    keep &= ~extra[a]
-                a, b = a[keep], b[keep]
-                keep = _pass(size, place, sketch, at[a], b)
-                a, b = a[keep], b[keep]
-                if first is not None and len(a):
-                    nth = np.arange(len(a)) - np.searchsorted(a, a) + given[a]
-                    extra[a[nth >= first]] = True
-                    a, b, nth = a[nth < first], b[nth < first], None
-                    given += np.bincount(a, minlength=len(given))
-                got.append((a, b))
-                if first is not None and extra.all():
-                    break
-            if got:
-                a, b = (np.concatenate(v) for v in zip(*got))
-                out.append((ids[at[a]], ids[b], extra[a]))
-        return [np.concatenate(v) for v in zip(*out)] if out else None
-
-    def small(rows: dict[str, np.ndarray], start: np.ndarray, n: np.ndarray):
-        """All groups of one size at once."""
-        for k in np.unique(n):
-            at = start[n == k]
-            i, j = np.tril_indices(k, -1)
-            for s in range(0, len(at), max(1, (1 << 20) // len(i))):
-                base = at[s : s + max(1, (1 << 20) // len(i)), None]
-                a, b = (base + i).ravel(), (base + j).ravel()
-                later = rows["id"][a] > rows["id"][b]
-                a, b = np.where(later, a, b), np.where(later, b, a)
-                pair = rows["pair"][a]
-                keep = _pass(rows["size"], rows["place"], rows["sketch"].view(np.uint64), a, b) & (((pair >> 15) == (pair & 32767)) | (rows["own"][a] != rows["own"][b]))
-                if "probe" in rows:
-                    keep &= rows["probe"][a]
-                a, b = a[keep], b[keep]
-                yield rows["id"][a], rows["id"][b], np.zeros(len(a), bool)
+    """Candidate pairs (id, other), other the earlier, of the packed places of each part."""
+
+    def part(blobs, sizes):
+        rows = _unpacked(blobs, sizes)
+        order = np.lexsort((rows["id"], rows["pair"], rows["word"]))
+        rows = {c: v[order] for c, v in rows.items()}
+        new = np.flatnonzero((np.diff(rows["word"], prepend=rows["word"][0] + np.uint64(1)) != 0) | (np.diff(rows["pair"], prepend=-1) != 0))
+        n = np.diff(np.append(new, len(order)))
+        few = (n > 1) & (n <= 24)
+        found = list(_few(rows, new[few], n[few], first is None))
+        for start, size in zip(new[n > 24].tolist(), n[n > 24].tolist()):
+            found += _many(rows, start, size, first)
+        if not found:
+            return None
+        a, b, more = (np.concatenate(v) for v in zip(*found))
+        pairs = np.stack([rows["id"][a], rows["id"][b]], 1)
+        order = np.lexsort((~more, pairs[:, 1], pairs[:, 0]))
+        pairs, more = pairs[order], more[order]
+        new = np.flatnonzero((np.diff(pairs, axis=0, prepend=pairs[:1] + 1) != 0).any(1)) if len(pairs) else []
+        return pa.RecordBatch.from_arrays([pa.array(pairs[new, 0]), pa.array(pairs[new, 1]), pa.array(more[new])], ["id", "other", "more"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: dict | None = None
-
-        def done(rows):
-            new = np.flatnonzero((np.diff(rows["word"], prepend=rows["word"][0] - 1) != 0) | (np.diff(rows["pair"], prepend=-1) != 0))
-            n = np.diff(np.append(new, len(rows["word"])))
-            few = (n > 1) & (n <= 24)
-            results = list(small(rows, new[few], n[few])) if few.any() else []
-            for a, k in zip(new[n > 24], n[n > 24]):
-                got = group({c: v[a : a + k] for c, v in rows.items()})
-                if got:
-                    results.append(got)
-            for x, y, more in results:
-                if len(x):
-                    yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(more)], ["id", "other", "more"])
-
+        now, blobs, sizes = None, [], []
         for batch in batches:
-            rows = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names}
-            if not len(rows["word"]):
-                continue
-            rows = rows if rest is None else {c: np.concatenate([rest[c], v]) for c, v in rows.items()}
-            last = (rows["word"] == rows["word"][-1]) & (rows["pair"] == rows["pair"][-1])
-            cut = int(np.argmax(last))
-            rest = {c: v[cut:].copy() for c, v in rows.items()}
-            if cut:
-                yield from done({c: v[:cut] for c, v in rows.items()})
-        if rest is not None:
-            yield from done(rest)
+            for number, n, blob in zip(*(batch.column(c).to_pylist() for c in ("part", "n", "places"))):
+                if number != now and blobs:
+                    if (out := part(blobs, sizes)) is not None:
+                        yield out
+                    blobs, sizes = [], []
+                now = number
+                blobs.append(blob)
+                sizes.append(n)
+        if blobs and (out := part(blobs, sizes)) is not None:
+            yield out
 
     return run
 
 
+OFFERS = "id long, other long, more boolean"
+
+
+def _offers(sets: DataFrame, blocks, n_places: int, first: int | None, asked=None, words=None) -> DataFrame:
+    """Distinct candidate pairs, with more if the id has others that were not offered."""
+    least = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(least, -(-n_places // PART_ROWS))
+    packed = sets.select("id", "words").mapInArrow(_places(blocks, 4 * parts, asked, words), "part int, n long, places binary")
+    met = packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_meet(first), OFFERS)
+    return common.table(met.groupBy("id", "other").agg(F.max("more").alias("more")), "offers")
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         a, n = _read(batch.column("words"))
@@ -314,15 +395,24 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array(DOWN * both >= UP * (n + m - both))).select(["id", "other", "doc_id", "line"])
 
 
-def _broadcast(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def _marked(flags):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(flags.value[_bucket(batch.column(0).to_numpy())]))
+
+    return run
 
 
 def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """doc_id, line and id of the later sets of the pairs that are similar."""
     needed = common.cut(pairs.select("id").union(pairs.select("other")).distinct())
-    own = common.table(sets.select("id", "doc_id", "line", "words").join(_broadcast(needed), "id", "left_semi"), "offered")
-    met = pairs.select("id", "other").join(own, "id").join(own.select(F.col("id").alias("other"), F.col("doc_id").alias("other_doc"), F.col("line").alias("other_line"), F.col("words").alias("other_words")), "other")
+    if needed.count() <= BROADCAST_ROWS:
+        own = sets.join(F.broadcast(needed), "id", "left_semi")
+    else:
+        own = sets.mapInArrow(_marked(_flags(needed)), sets.schema)
+    own = common.table(own, "offered")
+    other = own.select(F.col("id").alias("other"), F.col("doc_id").alias("other_doc"), F.col("line").alias("other_line"), F.col("words").alias("other_words"))
+    met = pairs.select("id", "other").join(own, "id").join(other, "other")
     earlier = F.struct(F.col("other_doc").isNull(), "other_doc", "other_line") < F.struct(F.col("doc_id").isNull(), "doc_id", "line")
     kind = "id long, other long, doc_id long, line long"
     return met.where(earlier).select("id", "other", "doc_id", "line", "words", "other_words").mapInArrow(_verify, kind).select("id", "doc_id", "line").distinct()
@@ -330,29 +420,25 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and line (from 0) of every line that goes."""
-    spark = docs.sparkSession
+    shared = docs.sparkSession.sparkContext.broadcast
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     counts = _table(rows.select("text").mapInArrow(_count, "at int, n binary"))
-    rarity = spark.sparkContext.broadcast(np.minimum(4 * np.log2(np.maximum(counts, 1)), 63).astype(np.uint8))
+    rarity = shared(np.minimum(4 * np.log2(np.maximum(counts, 1)), 63).astype(np.uint8))
     all_sets = common.table(rows.mapInArrow(_sets(rarity), "doc_id long, line long, words binary"), "line-sets")
-    # ids follow (doc_id, line); where they meet, in huge ids or line numbers, sets are only compared more often
+    # ids follow (doc_id, line); where they meet, in huge ids or line numbers, both sets are looked at
     order = F.shiftleft(F.coalesce("doc_id", F.lit((1 << 42) - 1)), 20).bitwiseOR(F.least("line", F.lit((1 << 20) - 1)))
     sets = all_sets.where("words is not null").select(order.alias("id"), "doc_id", "line", "words")
-    at_prefix = _table(sets.select("words").mapInArrow(_prefix_counts, "at int, n binary"))
-    blocks = spark.sparkContext.broadcast(np.maximum(1, -(-at_prefix // BLOCK)).astype(np.int32))
-    postings = sets.select("id", "words").mapInArrow(_postings(blocks), POSTINGS)
-    ordered = postings.repartition("word", "pair").sortWithinPartitions("word", "pair")
-    offers = common.cut(ordered.mapInArrow(_meet(FIRST), "id long, other long, more boolean").groupBy("id", "other").agg(F.max("more").alias("more")))
+    at_prefix = _table(sets.select("id", "words").mapInArrow(_prefix_counts(None), "at int, n binary"))
+    per_word = np.maximum(1, -(-at_prefix // BLOCK))
+    blocks = shared(per_word.astype(np.int32))
+    offers = _offers(sets, blocks, int((at_prefix * per_word).sum()), FIRST)
     gone = common.cut(_similar(offers, sets))
     left = common.cut(offers.where("more").select("id").distinct().join(gone.select("id"), "id", "left_anti"))
     if left.count():
-        asked = _broadcast(left.withColumn("probe", F.lit(True)))
-        again = postings.join(asked, "id", "left").withColumn("probe", F.coalesce("probe", F.lit(False)))
-        words = common.cut(again.where("probe").select("word", "pair").distinct())
-        again = again.join(_broadcast(words), ["word", "pair"], "left_semi").select("word", "pair", "id", "sketch", "size", "place", "own", "probe")
-        again = again.repartition("word", "pair").sortWithinPartitions("word", "pair")
-        rest = common.cut(again.mapInArrow(_meet(None), "id long, other long, more boolean").select("id", "other").distinct())
-        gone = gone.union(_similar(rest, sets))
+        asked = _flags(left)
+        words = _table(sets.select("id", "words").mapInArrow(_prefix_counts(asked), "at int, n binary")) > 0
+        again = _offers(sets, blocks, int((at_prefix * per_word)[words].sum()), None, asked, shared(words))
+        gone = gone.union(_similar(again, sets))
     return all_sets.where("words is null").select("doc_id", "line").union(gone.select("doc_id", "line")).distinct()
 
 
