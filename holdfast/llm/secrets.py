@@ -28,6 +28,8 @@ KINDS = ("assign", "access", "hex", "random")
 BASE = KINDS[:3]
 SAMPLE_ROWS = 20_000
 MARGIN = 6.0
+#: How many pairs the plain frequency of a character counts as.
+BACK_OFF = 8.0
 ALPHABETS = ("0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-")
 
 _either = lambda w: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w)
@@ -96,8 +98,9 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rows: int
     for kind, cell, n in counts:
         total[kind, cell] = n
     total[1] += _seeded()
-    table = total.reshape(2, 96, 96) + 0.1
-    log = np.log(table / table.sum(2, keepdims=True))
+    table = total.reshape(2, 96, 96)
+    alone = (table.sum(1, keepdims=True) + 0.5) / (table.sum((1, 2), keepdims=True) + 48)  # how frequent a character is whatever stands before it
+    log = np.log((table + BACK_OFF * alone) / (table.sum(2, keepdims=True) + BACK_OFF))
     return (log[1] - log[0]).ravel()
 
 
