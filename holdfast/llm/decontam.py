@@ -55,7 +55,8 @@ def _postings(items: DataFrame, k: int, kept: bool) -> DataFrame:
     """value, item_key, item_size and at (the places of the value in the item)."""
     grams = items.withColumn("grams", gram_hashes(F.col("item_words"), k))
     values = kept_hashes(F.col("grams"), WINDOW - k + 1) if kept else F.col("grams")
-    each = grams.select("item_key", F.size("item_words").alias("item_size"), "grams", F.explode(values).alias("value"))
+    # outer, here and below: an inner explode has the optimizer test its array in a filter, where it is made anew for each of its elements
+    each = grams.select("item_key", F.size("item_words").alias("item_size"), "grams", F.explode_outer(values).alias("value")).where("value is not null")
     return each.select("value", "item_key", "item_size", places(F.col("grams"), F.col("value")).alias("at")).distinct()
 
 
@@ -68,11 +69,11 @@ def _candidates(docs: DataFrame, postings: DataFrame, k: int, kept: bool) -> Dat
     grams = grams.withColumn("values", kept_hashes(F.col("grams"), WINDOW - k + 1) if kept else F.array_distinct("grams"))
     none = F.array(F.lit(None).cast("bigint"))
     if postings.count() <= BROADCAST_ROWS:
-        each = grams.select(*KEY, "words", "grams", F.posexplode(F.concat(none, "values") if kept else F.col("values")).alias("nth", "value"))
+        each = grams.select(*KEY, "words", "grams", F.posexplode_outer(F.concat(none, "values") if kept else F.col("values")).alias("nth", "value"))
         met = each.join(F.broadcast(postings), "value", "left" if kept else "inner")
         met = met.where(F.col("item_key").isNotNull() | (F.col("nth") == 0)) if kept else met
     else:
-        shared = grams.select(*KEY, F.explode("values").alias("value")).join(postings.select("value"), "value", "left_semi")
+        shared = grams.select(*KEY, F.explode_outer("values").alias("value")).join(postings.select("value"), "value", "left_semi")
         shared = shared.groupBy(*KEY).agg(F.collect_set("value").alias("shared"))
         same = [grams[c].eqNullSafe(shared[c]) for c in KEY]
         each = grams.join(shared, same[0] & same[1] & same[2]).select(*[grams[c] for c in KEY], "words", "grams", F.explode("shared").alias("value"))

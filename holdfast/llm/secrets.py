@@ -70,6 +70,11 @@ def _seeded(n: int = 4000) -> np.ndarray:
     return total
 
 
+def _unlabelled(m: re.Match) -> str:
+    """Nothing in place of a candidate, which may be of either kind."""
+    return " " if DIGIT.search(m[0]) and LETTER.search(m[0]) else m[0]
+
+
 def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros((2, 96 * 96), np.int64)
     for batch in batches:
@@ -82,7 +87,7 @@ def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     np.add.at(total[1], steps(word), 1)
                 at = max(at, end)
             rest.append((text or "")[at:])
-            words = [w for part in rest for w in IDENTIFIER.findall(part)]
+            words = [w for part in rest for w in IDENTIFIER.findall(KEYLIKE.sub(_unlabelled, part))]
             if words:
                 total[0] += np.bincount(steps(END.join(words)), minlength=96 * 96)
     kind, cell = np.nonzero(total)
