@@ -75,8 +75,9 @@ def _candidates(docs: DataFrame, postings: DataFrame, k: int, kept: bool) -> Dat
     else:
         shared = grams.select(*KEY, F.explode_outer("values").alias("value")).join(postings.select("value"), "value", "left_semi")
         shared = shared.groupBy(*KEY).agg(F.collect_set("value").alias("shared"))
-        same = [grams[c].eqNullSafe(shared[c]) for c in KEY]
-        each = grams.join(shared, same[0] & same[1] & same[2]).select(*[grams[c] for c in KEY], "words", "grams", F.explode("shared").alias("value"))
+        same = [F.col(f"g.{c}").eqNullSafe(F.col(f"s.{c}")) for c in KEY]
+        both = grams.alias("g").join(shared.alias("s"), same[0] & same[1] & same[2])
+        each = both.select(*[F.col(f"g.{c}").alias(c) for c in KEY], "g.words", "g.grams", F.explode("s.shared").alias("value"))
         met = each.join(postings, "value")
         if kept:
             met = met.unionByName(docs.select(*KEY), allowMissingColumns=True)

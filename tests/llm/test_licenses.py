@@ -7,7 +7,7 @@ def test_headers_files_and_inheritance(spark):
     rows = [
         (1, "a/b/LICENSE", "Released under the MIT License."),
         (2, "a/b/c/d/x.py", "plain code"),
-        (3, "a/b/c/own.py", "SPDX-License-Identifier: Apache-2.0\ncode follows here"),
+        (3, "a/b/c/own.py", "SPDX-License-Identifier: Apache-2.0\ncode follows here, more of it than the line above has characters"),
         (4, "a/other.py", "nothing"),
         (5, "LICENSE.txt", "Licensed under CC BY 4.0."),
         (6, "ab/z.py", None),

@@ -55,7 +55,8 @@ def test_personal_patterns(table, odd, prose):
 
 
 def test_random_strings_are_told_from_identifiers(table, prose):
-    texts = prose(30) + ["the function get_user_account_name2 and load_settings_from_file1 are called", "key Xq7Rz2LkP9vTbM4wYh8d lies here"]
+    names = "get_user_name load_account_settings read_from_file function_name2 the_account_user settings_file1 from_user_file".split()
+    texts = [t + " " + " ".join(names[i % 7 :] + names[: i % 5]) for i, t in enumerate(prose(30))] + ["the function get_user_account_name2 and load_settings_from_file1 are called", "key Xq7Rz2LkP9vTbM4wYh8d lies here"]
     got = by_id(secrets.scan(table(list(enumerate(texts)))), secrets.KINDS)
     assert got[30] == {()}
     assert got[31] == {((4, 3, 24),)}
