@@ -5,13 +5,15 @@ words are never removed. A line is removed if an earlier line, in order of (id,
 `SIMILAR` or more, whether that one is itself removed or not; so the result depends on no order of work.
 
 1. Word counts in `BUCKETS` hash buckets, over all text, give the order of rarity.
-2. Each task finds the sets of its lines; a set it has met is a later match at once, others go to a table with their
-   words from rarest to most frequent.
+2. Each task finds the sets of its lines; a set it has met is a later match at once. The others meet by a 64-bit sum of
+   their words' hashes, where all but the earliest of equal sets are later matches too, and go to a table with their
+   prefixes alone: the words from rarest to most frequent, as many as similar sets must share one of.
 3. Sets meet where they share a word of their prefixes. There, pairs pass the length filter, the positional filter and
    a 64-bit parity sketch, each of which only drops pairs that cannot be similar. A set offers its `FIRST` earliest
    partners; only one that has more, and is not removed by those, is met again and then offers all. So thousands of
    near copies cost a few pairs each, and no pair that could decide is left out.
-4. Offered pairs are verified on the whole sets.
+4. Offered pairs are verified on the whole sets, which are made again from the texts of those lines only; so the words of
+   all lines are never written.
 
 Words that many prefixes share are split into blocks, and pairs of blocks are met apart, so no word's sets need to fit in
 one task. Places of words travel as packed columns, a row for each part of the words and stretch of a task, and the
@@ -25,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common, wordhash
@@ -39,27 +41,40 @@ HELD = 48 << 20
 FIRST = 2
 #: Sets that meet at a word at most before the word is split.
 BLOCK = 10_000
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 2_000_000
 #: Places of words in a part, about, and those that a task packs at once.
 PART_ROWS, PACKED = 250_000, 1_000_000
 SALTS = 16
 TOKEN = np.uint64((1 << 40) - 1)
 LAST = (1 << 63) - 1
+CODEC = pa.Codec("zstd", compression_level=1)
+
+
+def _packed(values: np.ndarray) -> bytes:
+    """Values with their first bytes together, then their second ones, and so on, compressed."""
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T
+    return CODEC.compress(np.ascontiguousarray(planes), asbytes=True)
+
+
+def _plain(blob: bytes, kind, n: int) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    planes = np.frombuffer(CODEC.decompress(blob, n * width), np.uint8).reshape(width, n)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
 def _parts(total: np.ndarray) -> Iterator[pa.RecordBatch]:
     for i in range(0, len(total), PART):
         if total[i : i + PART].any():
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([total[i : i + PART].tobytes()])], ["at", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([_packed(total[i : i + PART])])], ["at", "n"])
 
 
 def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict = {}
     for batch in batches:
         for at, n in zip(batch.column("at").to_pylist(), batch.column("n").to_pylist()):
-            total[at] = total.get(at, 0) + np.frombuffer(n, np.int64)
+            total[at] = total.get(at, 0) + _plain(n, np.int64, PART)
     for at, n in total.items():
-        yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([n.tobytes()])], ["at", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([_packed(n)])], ["at", "n"])
 
 
 def _table(parts: DataFrame) -> np.ndarray:
@@ -67,7 +82,7 @@ def _table(parts: DataFrame) -> np.ndarray:
     some = parts.withColumn("salt", F.spark_partition_id() % SALTS).repartition("at", "salt").mapInArrow(_add, "at int, n binary")
     total = np.zeros(BUCKETS, np.int64)
     for at, n in some.repartition("at").mapInArrow(_add, "at int, n binary").collect():
-        total[at : at + PART] = np.frombuffer(n, np.int64)
+        total[at : at + PART] = _plain(n, np.int64, PART)
     return total
 
 
@@ -100,9 +115,6 @@ def _ragged(flat: np.ndarray, size: np.ndarray, keep: np.ndarray) -> np.ndarray:
     return flat[np.repeat(start - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
 
 
-SETS = pa.schema([("doc_id", pa.int64()), ("line", pa.int64()), ("words", pa.binary())])
-
-
 def _written(flat: np.ndarray, size: np.ndarray) -> pa.Array:
     data = np.ascontiguousarray(flat.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])
     return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer((np.concatenate([[0], np.cumsum(size)]) * 5).astype(np.int32)), pa.py_buffer(data)])
@@ -116,45 +128,68 @@ def _read(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out.view("<u8").ravel(), np.diff(offsets) // 5
 
 
+def _line_sets(batch: pa.RecordBatch, order_of: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """Chunk by chunk: the words of all sets from rarest to most frequent, the sets' sizes, ids (LAST if null) and line numbers."""
+    docs = batch.column(0).fill_null(LAST).to_numpy()
+    data, offsets = wordhash.buffers(batch.column(1))
+    for i, j in wordhash.chunks(offsets):
+        own = data[offsets[i] : offsets[j]]
+        edges, text, number = line_edges(own, offsets[i : j + 1] - offsets[i])
+        h, n = wordhash.hashes(own, edges, True)
+        if not len(h):
+            continue
+        key = np.repeat(np.arange(len(n), dtype=np.uint64), n) << np.uint64(46) | order_of[h & np.uint64(BUCKETS - 1)].astype(np.uint64) << np.uint64(40) | h >> np.uint64(24)
+        key.sort()
+        key = key[np.diff(key, prepend=key[0] + np.uint64(1)) != 0]
+        size = np.bincount((key >> np.uint64(46)).astype(np.int64), minlength=len(n))
+        keep = np.flatnonzero(size >= LEAST_WORDS)
+        if len(keep):
+            yield _ragged(key & TOKEN, size, keep), size[keep], docs[i + text[keep]], number[keep]
+
+
+def set_ids(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """Ids in the order of (doc_id, line); where they meet, in huge ids or line numbers, both sets are looked at."""
+    return np.where(doc == LAST, (1 << 42) - 1, doc) << 20 | np.minimum(line, (1 << 20) - 1)
+
+
+def _doc_ids(doc: np.ndarray) -> pa.Array:
+    return pa.array(doc, mask=doc == LAST)
+
+
 def _sets(rarity):
+    """Sets with their prefixes as `head`, which is null for later matches; equal sets have one key."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order_of, held, bytes_held = rarity.value, [], 0
+        held, bytes_held = [], 0
+
+        def rows(at, sign, doc, line, size, sketch, head):
+            columns = [pa.array(sign[at].view(np.int64)), _doc_ids(doc[at]), pa.array(line[at]), pa.array(set_ids(doc[at], line[at])), pa.array(size[at]), pa.array(sketch[at].view(np.int64)), head]
+            return pa.RecordBatch.from_arrays(columns, ["key", "doc_id", "line", "id", "size", "sketch", "head"])
 
         def flush():
-            flat, size, sign, doc, line = (np.concatenate(x) for x in zip(*held))
+            flat, p, *rest = (np.concatenate(x) for x in zip(*held))
+            sign, doc, line = rest[:3]
             rank = np.lexsort((line, doc, sign))
             new = np.diff(sign[rank], prepend=sign[rank[0]] + np.uint64(1)) != 0
-            first, later = np.sort(rank[new]), rank[~new]
-            same = (doc[later] == doc[rank[new][np.cumsum(new) - 1][~new]]) & (line[later] == line[rank[new][np.cumsum(new) - 1][~new]])
-            later = later[~same]  # a repeated row's line is the same line
-            null = lambda at: pa.array(doc[at], mask=doc[at] == LAST)
+            earliest = rank[new][np.cumsum(new) - 1]
+            later = rank[(doc[rank] != doc[earliest]) | (line[rank] != line[earliest])]  # a repeated row's line is the same line
+            first = np.sort(rank[new])
             for i in range(0, len(first), 1 << 14):
                 some = first[i : i + (1 << 14)]
-                yield pa.RecordBatch.from_arrays([null(some), pa.array(line[some]), _written(_ragged(flat, size, some), size[some])], schema=SETS)
+                yield rows(some, *rest, _written(_ragged(flat, p, some), p[some]))
             if len(later):
-                yield pa.RecordBatch.from_arrays([null(later), pa.array(line[later]), pa.nulls(len(later), pa.binary())], schema=SETS)
+                own = wordhash.mix(set_ids(doc, line).view(np.uint64))  # so later matches of one line are not dealt to one task
+                yield rows(later, own, *rest[1:], pa.nulls(len(later), pa.binary()))
 
         for batch in batches:
-            docs = batch.column(0).fill_null(LAST).to_numpy()
-            data, offsets = wordhash.buffers(batch.column(1))
-            for i, j in wordhash.chunks(offsets):
-                own = data[offsets[i] : offsets[j]]
-                edges, text, number = line_edges(own, offsets[i : j + 1] - offsets[i])
-                h, n = wordhash.hashes(own, edges, True)
-                if not len(h):
-                    continue
-                key = np.repeat(np.arange(len(n), dtype=np.uint64), n) << np.uint64(46) | order_of[h & np.uint64(BUCKETS - 1)].astype(np.uint64) << np.uint64(40) | h >> np.uint64(24)
-                key.sort()
-                key = key[np.diff(key, prepend=key[0] + np.uint64(1)) != 0]
-                size = np.bincount((key >> np.uint64(46)).astype(np.int64), minlength=len(n))
-                keep = np.flatnonzero(size >= LEAST_WORDS)
-                if not len(keep):
-                    continue
-                flat = _ragged(key & TOKEN, size, keep)
-                size = size[keep]
-                sign = np.add.reduceat(wordhash.mix(flat), np.cumsum(size) - size)
-                held.append((flat, size, sign, docs[i + text[keep]], number[keep]))
-                bytes_held += 8 * len(flat)
+            for flat, size, doc, line in _line_sets(batch, rarity.value):
+                begins = np.cumsum(size) - size
+                sign = np.add.reduceat(wordhash.mix(flat), begins)
+                sketch = np.bitwise_xor.reduceat(np.uint64(1) << (flat & np.uint64(63)), begins)
+                p = prefix(size)
+                head = flat[np.repeat(begins - np.cumsum(p) + p, p) + np.arange(int(p.sum()))]
+                held.append((head, p, sign, doc, line, size, sketch))
+                bytes_held += 8 * len(head)
                 if bytes_held >= HELD:
                     yield from flush()
                     held, bytes_held = [], 0
@@ -164,6 +199,21 @@ def _sets(rarity):
     return run
 
 
+def _whole_sets(rarity, flags):
+    """The sets of flagged ids, with all their words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for flat, size, doc, line in _line_sets(batch, rarity.value):
+                ids = set_ids(doc, line)
+                some = np.flatnonzero(flags.value[_bucket(ids)])
+                if len(some):
+                    columns = [pa.array(ids[some]), _doc_ids(doc[some]), pa.array(line[some]), _written(_ragged(flat, size, some), size[some])]
+                    yield pa.RecordBatch.from_arrays(columns, ["id", "doc_id", "line", "words"])
+
+    return run
+
+
 def prefix(n: np.ndarray) -> np.ndarray:
     return n - -(-UP * n // DOWN) + 1
 
@@ -185,12 +235,11 @@ def _flags(ids: DataFrame):
     return ids.sparkSession.sparkContext.broadcast(_table(ids.select("id").mapInArrow(_id_counts, "at int, n binary")) > 0)
 
 
-def _prefix_words(flat: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _prefix_words(heads: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words of all prefixes, their sets and their places there."""
-    p = prefix(size)
-    row = np.repeat(np.arange(len(size)), p)
-    place = np.arange(len(row)) - np.repeat(np.cumsum(p) - p, p)
-    return flat[(np.cumsum(size) - size)[row] + place], row, place
+    flat, p = _read(heads)
+    row = np.repeat(np.arange(len(p)), p)
+    return flat, row, np.arange(len(row)) - np.repeat(np.cumsum(p) - p, p)
 
 
 def _prefix_counts(asked):
@@ -201,7 +250,7 @@ def _prefix_counts(asked):
         for batch in batches:
             if asked is not None:
                 batch = batch.filter(pa.array(asked.value[_bucket(batch.column(0).to_numpy())]))
-            word, _, _ = _prefix_words(*_read(batch.column(1)))
+            word, _, _ = _prefix_words(batch.column(1))
             at, n = np.unique(word & np.uint64(BUCKETS - 1), return_counts=True)
             total[at] += n
         yield from _parts(total)
@@ -221,21 +270,17 @@ def _places(blocks, parts: int, asked=None, words=None):
         def flush():
             rows = {c: np.concatenate([h[c] for h in held]) for c, _ in PLACES}
             part = (wordhash.mix(rows["word"] + rows["pair"].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
+            order = np.lexsort((rows["word"], part))
             part = part[order]
             rows = {c: v[order] for c, v in rows.items()}
             new = np.flatnonzero(np.diff(part, prepend=-1))
             stop = np.append(new[1:], len(part))
-            packed = [b"".join(rows[c][i:j].astype(t).tobytes() for c, t in PLACES) for i, j in zip(new, stop)]
-            return pa.RecordBatch.from_arrays([pa.array(part[new], pa.int32()), pa.array(stop - new), pa.array(packed, pa.binary())], ["part", "n", "places"])
+            packed = {c: pa.array([_packed(rows[c][i:j].astype(t)) for i, j in zip(new, stop)], pa.binary()) for c, t in PLACES}
+            return pa.RecordBatch.from_arrays([pa.array(part[new], pa.int32()), pa.array(stop - new), *packed.values()], ["part", "n", *packed])
 
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            flat, size = _read(batch.column(1))
-            if not len(flat):
-                continue
-            sketch = np.bitwise_xor.reduceat(np.uint64(1) << (flat & np.uint64(63)), np.cumsum(size) - size)
-            word, row, place = _prefix_words(flat, size)
+            ids, size, sketch = (batch.column(c).to_numpy() for c in ("id", "size", "sketch"))
+            word, row, place = _prefix_words(batch.column("head"))
             if words is not None:
                 some = np.flatnonzero(words.value[word & np.uint64(BUCKETS - 1)])
                 word, row, place = word[some], row[some], place[some]
@@ -260,16 +305,6 @@ def _places(blocks, parts: int, asked=None, words=None):
     return run
 
 
-def _unpacked(blobs: list[bytes], sizes: list[int]) -> dict[str, np.ndarray]:
-    out: dict = {c: [] for c, _ in PLACES}
-    for blob, n in zip(blobs, sizes):
-        at = 0
-        for c, t in PLACES:
-            out[c].append(np.frombuffer(blob, t, n, at))
-            at += n * np.dtype(t).itemsize
-    return {c: np.concatenate(v) for c, v in out.items()}
-
-
 def _pass(size, place, sketch, a, b) -> np.ndarray:
     """Which of the pairs (a, b) can be similar: by length, by the words after the shared one, by the sketch."""
     x, y = size[a], size[b]
@@ -334,7 +369,7 @@ def _meet(first: int | None):
     """Candidate pairs (id, other), other the earlier, of the packed places of each part."""
 
     def part(blobs, sizes):
-        rows = _unpacked(blobs, sizes)
+        rows = {c: np.concatenate([_plain(blob[i], t, n) for blob, n in zip(blobs, sizes)]) for i, (c, t) in enumerate(PLACES)}
         order = np.lexsort((rows["id"], rows["pair"], rows["word"]))
         rows = {c: v[order] for c, v in rows.items()}
         new = np.flatnonzero((np.diff(rows["word"], prepend=rows["word"][0] + np.uint64(1)) != 0) | (np.diff(rows["pair"], prepend=-1) != 0))
@@ -355,7 +390,7 @@ def _meet(first: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, blobs, sizes = None, [], []
         for batch in batches:
-            for number, n, blob in zip(*(batch.column(c).to_pylist() for c in ("part", "n", "places"))):
+            for number, n, *blob in zip(*(batch.column(c).to_pylist() for c in ("part", "n", *dict(PLACES)))):
                 if number != now and blobs:
                     if (out := part(blobs, sizes)) is not None:
                         yield out
@@ -370,13 +405,14 @@ def _meet(first: int | None):
 
 
 OFFERS = "id long, other long, more boolean"
+PACKED_PLACES = ", ".join(["part int", "n long", *(f"{c} binary" for c, _ in PLACES)])
 
 
 def _offers(sets: DataFrame, blocks, n_places: int, first: int | None, asked=None, words=None) -> DataFrame:
     """Distinct candidate pairs, with more if the id has others that were not offered."""
     least = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = max(least, -(-n_places // PART_ROWS))
-    packed = sets.select("id", "words").mapInArrow(_places(blocks, 4 * parts, asked, words), "part int, n long, places binary")
+    packed = sets.select("id", "size", "sketch", "head").mapInArrow(_places(blocks, 4 * parts, asked, words), PACKED_PLACES)
     met = packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_meet(first), OFFERS)
     return common.table(met.groupBy("id", "other").agg(F.max("more").alias("more")), "offers")
 
@@ -395,21 +431,12 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array(DOWN * both >= UP * (n + m - both))).select(["id", "other", "doc_id", "line"])
 
 
-def _marked(flags):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(flags.value[_bucket(batch.column(0).to_numpy())]))
-
-    return run
-
-
-def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _similar(pairs: DataFrame, rows: DataFrame, rarity) -> DataFrame:
     """doc_id, line and id of the later sets of the pairs that are similar."""
     needed = common.cut(pairs.select("id").union(pairs.select("other")).distinct())
+    own = rows.mapInArrow(_whole_sets(rarity, _flags(needed)), "id long, doc_id long, line long, words binary")
     if needed.count() <= BROADCAST_ROWS:
-        own = sets.join(F.broadcast(needed), "id", "left_semi")
-    else:
-        own = sets.mapInArrow(_marked(_flags(needed)), sets.schema)
+        own = own.join(F.broadcast(needed), "id", "left_semi")
     own = common.table(own, "offered")
     other = own.select(F.col("id").alias("other"), F.col("doc_id").alias("other_doc"), F.col("line").alias("other_line"), F.col("words").alias("other_words"))
     met = pairs.select("id", "other").join(own, "id").join(other, "other")
@@ -424,22 +451,22 @@ def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     counts = _table(rows.select("text").mapInArrow(_count, "at int, n binary"))
     rarity = shared(np.minimum(4 * np.log2(np.maximum(counts, 1)), 63).astype(np.uint8))
-    all_sets = common.table(rows.mapInArrow(_sets(rarity), "doc_id long, line long, words binary"), "line-sets")
-    # ids follow (doc_id, line); where they meet, in huge ids or line numbers, both sets are looked at
-    order = F.shiftleft(F.coalesce("doc_id", F.lit((1 << 42) - 1)), 20).bitwiseOR(F.least("line", F.lit((1 << 20) - 1)))
-    sets = all_sets.where("words is not null").select(order.alias("id"), "doc_id", "line", "words")
-    at_prefix = _table(sets.select("id", "words").mapInArrow(_prefix_counts(None), "at int, n binary"))
+    made = rows.mapInArrow(_sets(rarity), "key long, doc_id long, line long, id long, size long, sketch long, head binary")
+    equal = Window.partitionBy("key").orderBy(F.col("doc_id").isNull(), "doc_id", "line")
+    all_sets = common.table(made.withColumn("head", F.when(F.rank().over(equal) == 1, F.col("head"))).drop("key"), "line-sets")
+    sets = all_sets.where("head is not null")
+    at_prefix = _table(sets.select("id", "head").mapInArrow(_prefix_counts(None), "at int, n binary"))
     per_word = np.maximum(1, -(-at_prefix // BLOCK))
     blocks = shared(per_word.astype(np.int32))
     offers = _offers(sets, blocks, int((at_prefix * per_word).sum()), FIRST)
-    gone = common.cut(_similar(offers, sets))
+    gone = common.cut(_similar(offers, rows, rarity))
     left = common.cut(offers.where("more").select("id").distinct().join(gone.select("id"), "id", "left_anti"))
     if left.count():
         asked = _flags(left)
-        words = _table(sets.select("id", "words").mapInArrow(_prefix_counts(asked), "at int, n binary")) > 0
+        words = _table(sets.select("id", "head").mapInArrow(_prefix_counts(asked), "at int, n binary")) > 0
         again = _offers(sets, blocks, int((at_prefix * per_word)[words].sum()), None, asked, shared(words))
-        gone = gone.union(_similar(again, sets))
-    return all_sets.where("words is null").select("doc_id", "line").union(gone.select("doc_id", "line")).distinct()
+        gone = gone.union(_similar(again, rows, rarity))
+    return all_sets.where("head is null").select("doc_id", "line").union(gone.select("doc_id", "line")).distinct()
 
 
 def line_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
