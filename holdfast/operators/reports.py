@@ -90,11 +90,3 @@ def doctor(collections: DataFrame, versions: DataFrame, games: DataFrame, roms:
         one = rows.agg(F.count("*").alias("faults")).select(F.lit(name).alias("check"), "faults")
         out = one if out is None else out.union(one)
     return out
-
-
-def source_type(header: DataFrame) -> DataFrame:
-    """Which family a manifest header belongs to, from its text: the first of the known names that it holds."""
-    text = lambda *cols: F.lower(F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in cols]))
-    fields = text("name", "description", "author", "homepage", "url")
-    kind = F.when(F.contains(fields, F.lit("no-intro")), "nointro").when(F.contains(fields, F.lit("redump")), "redump").when(F.contains(fields, F.lit("tosec")), "tosec")
-    return header.withColumn("source_type", kind.when(F.contains(fields, F.lit("mame")), "mame").otherwise("custom"))

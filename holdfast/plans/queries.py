@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names, scalars
-from ..operators import completeness, matching, merges, reports, versions
+from ..operators import completeness, matching, merges, reports, settings, versions
 from ..projection import Relations, ctes
+from ..sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -299,3 +300,39 @@ def w7_set_disposition(r):
 def c1_sizes(r):
     n = F.col("n_chars").cast("long")
     return r.documents.select("doc_id", scalars.bytes_text(n).alias("size_text"), scalars.piece_size(n * 100_000).alias("piece_size"))
+
+
+SETTINGS = """setting as (select c.coll, c.name, c.node_path, o.dest_path,
+  case when lower(coalesce(o.output_format,g.output_format)) in ('loose','zip','torrentzip','7z') then lower(coalesce(o.output_format,g.output_format)) else 'torrentzip' end as output_format,
+  case when lower(coalesce(o.merge_mode,g.merge_mode)) in ('non-merged','merged','split') then lower(coalesce(o.merge_mode,g.merge_mode)) else 'non-merged' end as merge_mode
+  from c_collections c left join c_config o on o.path_pattern=c.name left join c_config g on c.node_path like '%/%' and g.path_pattern=split_part(c.node_path,'/',1))"""
+
+
+@query("select * from setting", "c_collections", "c_config", more=SETTINGS)
+def j14_effective_settings(r):
+    return settings.effective(r.collections, r.config)
+
+
+@query("select *, coalesce(dest_path, '/lib/ROMs/'||node_path) as root from setting", "c_collections", "c_config", more=SETTINGS)
+def c6_destinations(r):
+    return settings.destinations(settings.effective(r.collections, r.config), "/lib/ROMs/")
+
+
+@query("select v.coll, v.version, coalesce(bool_and(r.is_disk),false) as disk_only from c_versions v left join c_roms r on r.coll=v.coll and r.version=v.version group by 1,2", "c_versions", "c_roms")
+def f13_disk_only(r):
+    return settings.disk_only(r.versions, r.roms)
+
+
+@query("""select '/dest/'||split_part(node_path,'/',1) as root, disk_only, count(*) as n, string_agg(name, ',' order by name) as names from c_collections c
+  join (select coll, bool_and(is_disk) as disk_only from c_roms where version='v2' group by 1) d on d.coll=c.coll group by 1,2 having count(*)>1""", "c_collections", "c_roms")
+def a17_destination_collisions(r):
+    """All collections of a set put in one folder."""
+    kinds = settings.disk_only(active(r.versions), r.roms).select("coll", "disk_only")
+    placed = r.collections.join(kinds, "coll").withColumn("root", F.concat(F.lit("/dest/"), scalars.top_segment(F.col("node_path"))))
+    return settings.collisions(placed)
+
+
+@query("select upper(sha1(text)) as sha1, upper(md5(text)) as md5, doc_id from documents")
+def s29_hashes(r):
+    found = files.hashes(r.documents.select(F.col("doc_id").cast("string").alias("path"), F.encode("text", "UTF-8").alias("content")))
+    return found.select(F.col("path").cast("long").alias("doc_id"), "sha1", "md5")

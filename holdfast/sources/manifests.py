@@ -46,7 +46,7 @@ def hierarchy(path: Column, root: str) -> Column:
 def source_type(name: Column, author: Column, homepage: Column, category: Column | None = None) -> Column:
     """Who published a manifest: the first of these words, in any letter case, in the header fields where it counts."""
     fields = {"no-intro": [author, name], "redump": [author, name], "tosec": [author, name, homepage] + ([] if category is None else [category]), "mame": [author, name]}
-    named = [F.when(F.lower(F.concat_ws("\n", *of)).contains(word), word) for word, of in fields.items()]
+    named = [F.when(F.lower(F.concat_ws("\n", *of)).contains(word), word.replace("-", "")) for word, of in fields.items()]
     return F.coalesce(*named, F.lit("custom"))
 
 

@@ -49,7 +49,7 @@ def test_headers_and_faults(spark, folder):
     found = manifests.headers(spark, str(folder))
     rows = found.withColumns({"under": manifests.hierarchy(F.col("path"), str(folder)), "kind": manifests.source_type(F.col("name"), F.col("author"), F.col("homepage"))}).collect()
     got = {r.path.rsplit("/", 1)[1]: r for r in rows}
-    assert (got["one.xml"].name, got["one.xml"].description, got["one.xml"].version, got["one.xml"].under, got["one.xml"].kind) == ("Sys & Co", "D", "20231215", None, "no-intro")
+    assert (got["one.xml"].name, got["one.xml"].description, got["one.xml"].version, got["one.xml"].under, got["one.xml"].kind) == ("Sys & Co", "D", "20231215", None, "nointro")
     assert (got["two.DAT"].name, got["two.DAT"].homepage, got["two.DAT"].under, got["two.DAT"].kind) == ("Old ( Set )", "here", "sub", "custom")
     assert got["broken.dat"].error == "a block does not end"
 
