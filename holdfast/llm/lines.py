@@ -45,6 +45,8 @@ BROADCAST_ROWS = 2_000_000
 #: Places of words in a part, about, and those that a task packs at once.
 PART_ROWS, PACKED = 250_000, 1_000_000
 SALTS = 16
+#: Sets that are sorted at once, so that their numbers fit in 18 bits.
+STRETCH = 1 << 18
 TOKEN = np.uint64((1 << 40) - 1)
 LAST = (1 << 63) - 1
 CODEC = pa.Codec("zstd", compression_level=1)
@@ -128,6 +130,20 @@ def _read(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out.view("<u8").ravel(), np.diff(offsets) // 5
 
 
+def _stretches(h: np.ndarray, n: np.ndarray, order_of: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For stretches of sets that hold n hashes each: the first set's number, the distinct words from rarest to most frequent, the sets' sizes."""
+    ends = np.append(0, np.cumsum(n))
+    for i in range(0, len(n), STRETCH):
+        m = n[i : i + STRETCH]
+        own = h[ends[i] : ends[i + len(m)]]
+        if not len(own):
+            continue
+        key = np.repeat(np.arange(len(m), dtype=np.uint64), m) << np.uint64(46) | order_of[own & np.uint64(BUCKETS - 1)].astype(np.uint64) << np.uint64(40) | own >> np.uint64(24)
+        key.sort()
+        key = key[np.diff(key, prepend=key[0] + np.uint64(1)) != 0]
+        yield i, key & TOKEN, np.bincount((key >> np.uint64(46)).astype(np.int64), minlength=len(m))
+
+
 def _line_sets(batch: pa.RecordBatch, order_of: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
     """Chunk by chunk: the words of all sets from rarest to most frequent, the sets' sizes, ids (LAST if null) and line numbers."""
     docs = batch.column(0).fill_null(LAST).to_numpy()
@@ -138,13 +154,10 @@ def _line_sets(batch: pa.RecordBatch, order_of: np.ndarray) -> Iterator[tuple[np
         h, n = wordhash.hashes(own, edges, True)
         if not len(h):
             continue
-        key = np.repeat(np.arange(len(n), dtype=np.uint64), n) << np.uint64(46) | order_of[h & np.uint64(BUCKETS - 1)].astype(np.uint64) << np.uint64(40) | h >> np.uint64(24)
-        key.sort()
-        key = key[np.diff(key, prepend=key[0] + np.uint64(1)) != 0]
-        size = np.bincount((key >> np.uint64(46)).astype(np.int64), minlength=len(n))
-        keep = np.flatnonzero(size >= LEAST_WORDS)
-        if len(keep):
-            yield _ragged(key & TOKEN, size, keep), size[keep], docs[i + text[keep]], number[keep]
+        for at, flat, size in _stretches(h, n, order_of):
+            keep = np.flatnonzero(size >= LEAST_WORDS)
+            if len(keep):
+                yield _ragged(flat, size, keep), size[keep], docs[i + text[at + keep]], number[at + keep]
 
 
 def set_ids(doc: np.ndarray, line: np.ndarray) -> np.ndarray:

@@ -61,3 +61,10 @@ def test_report_and_empty_table(table):
     assert lines.dedup_lines(table([])).collect() == []
     got = {r.doc_id: (r.n_lines, r.removed) for r in lines.line_report(table([(1, "a\nb"), (2, None)])).collect()}
     assert got == {1: (2, []), 2: (1, [])}
+
+
+def test_lines_beyond_a_stretch_of_one_text(table):
+    first, second = "this line is at the start", "another line far behind it"
+    rows = [(1, first), (2, "\n".join([second] + [""] * ((1 << 18) - 1) + [first])), (3, second + " now")]
+    got = {(r.doc_id, r.line) for r in lines.removed_lines(table(rows)).collect()}
+    assert got == {(2, 1 << 18), (3, 0)} == plain_removed(rows)
