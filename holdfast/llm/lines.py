@@ -1,7 +1,7 @@
 """Line dedup: an exact set-similarity join of lines by prefix, length and positional filters; later matches are removed.
 
-A line's set is made of its distinct lower-cased (A-Z) words, as 40-bit hashes; lines of fewer than `LEAST_WORDS` distinct
-words are never removed. A line is removed if an earlier line, in order of (id, line number), has a Jaccard similarity of
+A line's set is made of its distinct lower-cased (A-Z) words, as 40-bit hashes; lines of fewer than `least` distinct
+words are never removed (1 in the query and the pipeline: only blank lines are left out; `LEAST_WORDS` by default). A line is removed if an earlier line, in order of (id, line number), has a Jaccard similarity of
 `SIMILAR` or more, whether that one is itself removed or not; so the result depends on no order of work.
 
 1. Word counts in `BUCKETS` hash buckets, over all text, give the order of rarity.
@@ -33,8 +33,9 @@ from pyspark.sql import functions as F
 from . import common, wordhash
 
 LEAST_WORDS = 5
-#: Similarity as a fraction.
+#: Similarity as a fraction, and the least size that a set of another size can be similar to: four words are, to five.
 UP, DOWN = 4, 5
+JOINED = 4
 BUCKETS, PART = 1 << 21, 1 << 15
 #: Bytes of words that a task gathers before it writes them.
 HELD = 48 << 20
@@ -144,7 +145,7 @@ def _stretches(h: np.ndarray, n: np.ndarray, order_of: np.ndarray) -> Iterator[t
         yield i, key & TOKEN, np.bincount((key >> np.uint64(46)).astype(np.int64), minlength=len(m))
 
 
-def _line_sets(batch: pa.RecordBatch, order_of: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+def _line_sets(batch: pa.RecordBatch, order_of: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, ...]]:
     """Chunk by chunk: the words of all sets from rarest to most frequent, the sets' sizes, ids (LAST if null) and line numbers."""
     docs = batch.column(0).fill_null(LAST).to_numpy()
     data, offsets = wordhash.buffers(batch.column(1))
@@ -155,7 +156,7 @@ def _line_sets(batch: pa.RecordBatch, order_of: np.ndarray) -> Iterator[tuple[np
         if not len(h):
             continue
         for at, flat, size in _stretches(h, n, order_of):
-            keep = np.flatnonzero(size >= LEAST_WORDS)
+            keep = np.flatnonzero(size >= least)
             if len(keep):
                 yield _ragged(flat, size, keep), size[keep], docs[i + text[at + keep]], number[at + keep]
 
@@ -169,7 +170,7 @@ def _doc_ids(doc: np.ndarray) -> pa.Array:
     return pa.array(doc, mask=doc == LAST)
 
 
-def _sets(rarity):
+def _sets(rarity, least: int):
     """Sets with their prefixes as `head`, which is null for later matches; equal sets have one key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,7 +196,7 @@ def _sets(rarity):
                 yield rows(later, own, *rest[1:], pa.nulls(len(later), pa.binary()))
 
         for batch in batches:
-            for flat, size, doc, line in _line_sets(batch, rarity.value):
+            for flat, size, doc, line in _line_sets(batch, rarity.value, least):
                 begins = np.cumsum(size) - size
                 sign = np.add.reduceat(wordhash.mix(flat), begins)
                 sketch = np.bitwise_xor.reduceat(np.uint64(1) << (flat & np.uint64(63)), begins)
@@ -212,12 +213,12 @@ def _sets(rarity):
     return run
 
 
-def _whole_sets(rarity, flags):
+def _whole_sets(rarity, flags, least: int):
     """The sets of flagged ids, with all their words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for flat, size, doc, line in _line_sets(batch, rarity.value):
+            for flat, size, doc, line in _line_sets(batch, rarity.value, least):
                 ids = set_ids(doc, line)
                 some = np.flatnonzero(flags.value[_bucket(ids)])
                 if len(some):
@@ -228,7 +229,8 @@ def _whole_sets(rarity, flags):
 
 
 def prefix(n: np.ndarray) -> np.ndarray:
-    return n - -(-UP * n // DOWN) + 1
+    """Words of a prefix; none for sets that only equal sets are similar to."""
+    return np.where(n < JOINED, 0, n - -(-UP * n // DOWN) + 1)
 
 
 def _bucket(ids: np.ndarray) -> np.ndarray:
@@ -444,10 +446,10 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array(DOWN * both >= UP * (n + m - both))).select(["id", "other", "doc_id", "line"])
 
 
-def _similar(pairs: DataFrame, rows: DataFrame, rarity) -> DataFrame:
+def _similar(pairs: DataFrame, rows: DataFrame, rarity, least: int) -> DataFrame:
     """doc_id, line and id of the later sets of the pairs that are similar."""
     needed = common.cut(pairs.select("id").union(pairs.select("other")).distinct())
-    own = rows.mapInArrow(_whole_sets(rarity, _flags(needed)), "id long, doc_id long, line long, words binary")
+    own = rows.mapInArrow(_whole_sets(rarity, _flags(needed), least), "id long, doc_id long, line long, words binary")
     if needed.count() <= BROADCAST_ROWS:
         own = own.join(F.broadcast(needed), "id", "left_semi")
     own = common.table(own, "offered")
@@ -458,40 +460,40 @@ def _similar(pairs: DataFrame, rows: DataFrame, rarity) -> DataFrame:
     return met.where(earlier).select("id", "other", "doc_id", "line", "words", "other_words").mapInArrow(_verify, kind).select("id", "doc_id", "line").distinct()
 
 
-def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and line (from 0) of every line that goes."""
+def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST_WORDS) -> DataFrame:
+    """doc_id and line (from 0) of every line that goes; lines of fewer than `least` distinct words stay."""
     shared = docs.sparkSession.sparkContext.broadcast
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     counts = _table(rows.select("text").mapInArrow(_count, "at int, n binary"))
     rarity = shared(np.minimum(4 * np.log2(np.maximum(counts, 1)), 63).astype(np.uint8))
-    made = rows.mapInArrow(_sets(rarity), "key long, doc_id long, line long, id long, size long, sketch long, head binary")
+    made = rows.mapInArrow(_sets(rarity, least), "key long, doc_id long, line long, id long, size long, sketch long, head binary")
     equal = Window.partitionBy("key").orderBy(F.col("doc_id").isNull(), "doc_id", "line")
     all_sets = common.table(made.withColumn("head", F.when(F.rank().over(equal) == 1, F.col("head"))).drop("key"), "line-sets")
-    sets = all_sets.where("head is not null")
+    sets = all_sets.where(F.col("head").isNotNull() & (F.col("size") >= JOINED))
     at_prefix = _table(sets.select("id", "head").mapInArrow(_prefix_counts(None), "at int, n binary"))
     per_word = np.maximum(1, -(-at_prefix // BLOCK))
     blocks = shared(per_word.astype(np.int32))
     offers = _offers(sets, blocks, int((at_prefix * per_word).sum()), FIRST)
-    gone = common.cut(_similar(offers, rows, rarity))
+    gone = common.cut(_similar(offers, rows, rarity, least))
     left = common.cut(offers.where("more").select("id").distinct().join(gone.select("id"), "id", "left_anti"))
     if left.count():
         asked = _flags(left)
         words = _table(sets.select("id", "head").mapInArrow(_prefix_counts(asked), "at int, n binary")) > 0
         again = _offers(sets, blocks, int((at_prefix * per_word)[words].sum()), None, asked, shared(words))
-        gone = gone.union(_similar(again, rows, rarity))
+        gone = gone.union(_similar(again, rows, rarity, least))
     return all_sets.where("head is null").select("doc_id", "line").union(gone.select("doc_id", "line")).distinct()
 
 
-def line_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def line_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST_WORDS) -> DataFrame:
     """A row for each document: doc_id, n_lines, removed (sorted line numbers)."""
-    gone = removed_lines(docs, doc_id, text).groupBy("doc_id").agg(F.array_sort(F.collect_list("line")).alias("removed")).withColumnRenamed("doc_id", "_id")
+    gone = removed_lines(docs, doc_id, text, least).groupBy("doc_id").agg(F.array_sort(F.collect_list("line")).alias("removed")).withColumnRenamed("doc_id", "_id")
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.size(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).cast("long").alias("n_lines"))
     return rows.join(gone, rows["doc_id"].eqNullSafe(gone["_id"]), "left").select("doc_id", "n_lines", F.coalesce("removed", F.array().cast("array<bigint>")).alias("removed"))
 
 
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST_WORDS) -> DataFrame:
     """docs without the removed lines; a text that loses all of them becomes empty. Columns stay as they are."""
-    gone = removed_lines(docs, doc_id, text).groupBy("doc_id").agg(F.collect_list("line").alias("_gone")).withColumnRenamed("doc_id", "_id")
+    gone = removed_lines(docs, doc_id, text, least).groupBy("doc_id").agg(F.collect_list("line").alias("_gone")).withColumnRenamed("doc_id", "_id")
     kept = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda x, i: ~F.array_contains(F.col("_gone"), i.cast("long"))), "\n")
     met = docs.join(gone, docs[doc_id].eqNullSafe(gone["_id"]), "left")
     return met.withColumn(text, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(kept)).select(*docs.columns)

@@ -10,7 +10,7 @@ from .common import documents
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.line_report(documents(spark, sf_dir))
+    return lines.line_report(documents(spark, sf_dir), least=1)
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

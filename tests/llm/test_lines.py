@@ -68,3 +68,16 @@ def test_lines_beyond_a_stretch_of_one_text(table):
     rows = [(1, first), (2, "\n".join([second] + [""] * ((1 << 18) - 1) + [first])), (3, second + " now")]
     got = {(r.doc_id, r.line) for r in lines.removed_lines(table(rows)).collect()}
     assert got == {(2, 1 << 18), (3, 0)} == plain_removed(rows)
+
+
+def test_short_lines_go_in_the_query_and_the_pipeline(table, tmp_path):
+    from holdfast.llm import queries
+
+    rows = [(1, "Read more\none two three four\na b c\n\nmenu"), (2, "read MORE\n\n  \none two three four five\na b c d"), (3, "four three two one\nmenu\na b\nmenu"), (4, "v w x y z"), (5, "z w v x")]
+    docs = table(rows)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    want = {1: [], 2: [0, 3], 3: [0, 1, 3], 4: [], 5: [0]}
+    assert {r.doc_id: r.removed for r in queries.op3_line_dedup(docs.sparkSession, str(tmp_path)).collect()} == want
+    pipeline = pytest.importorskip("corpus_pipeline")
+    left = {i: "\n".join(x for n, x in enumerate(t.split("\n")) if n not in want[i]) for i, t in rows}
+    assert {r.doc_id: r.text for r in pipeline.line_dedup(docs.sparkSession, docs, str(tmp_path)).collect()} == left
