@@ -17,8 +17,11 @@ words are never removed (1 in the query and the pipeline: only blank lines are l
 
 Words that many prefixes share are split into blocks, and pairs of blocks are met apart, so no word's sets need to fit in
 one task. Places of words travel as packed columns, a row for each part of the words and stretch of a task, and the
-number of parts follows the number of places, so a part has about `PART_ROWS` of them. Null texts have one empty line. Null ids come last. Rows with equal ids are compared by line number alone, so of
-repeated rows the same lines go. Other columns pass through `dedup_lines` untouched.
+number of parts follows the number of places, so a part has about `PART_ROWS` of them.
+
+Documents are told apart by id and text, and known by numbers in the order of (id, hash of the text), null ids last; so
+different texts of one id are compared and lose lines like any others, and of repeated rows the same lines go. Null texts
+have one empty line. Other columns pass through `dedup_lines` untouched.
 """
 
 from __future__ import annotations
@@ -49,7 +52,6 @@ SALTS = 16
 #: Sets that are sorted at once, so that their numbers fit in 18 bits.
 STRETCH = 1 << 18
 TOKEN = np.uint64((1 << 40) - 1)
-LAST = (1 << 63) - 1
 CODEC = pa.Codec("zstd", compression_level=1)
 
 
@@ -146,8 +148,8 @@ def _stretches(h: np.ndarray, n: np.ndarray, order_of: np.ndarray) -> Iterator[t
 
 
 def _line_sets(batch: pa.RecordBatch, order_of: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """Chunk by chunk: the words of all sets from rarest to most frequent, the sets' sizes, ids (LAST if null) and line numbers."""
-    docs = batch.column(0).fill_null(LAST).to_numpy()
+    """Chunk by chunk: the words of all sets from rarest to most frequent, the sets' sizes, documents and line numbers."""
+    docs = batch.column(0).to_numpy()
     data, offsets = wordhash.buffers(batch.column(1))
     for i, j in wordhash.chunks(offsets):
         own = data[offsets[i] : offsets[j]]
@@ -162,12 +164,8 @@ def _line_sets(batch: pa.RecordBatch, order_of: np.ndarray, least: int) -> Itera
 
 
 def set_ids(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
-    """Ids in the order of (doc_id, line); where they meet, in huge ids or line numbers, both sets are looked at."""
-    return np.where(doc == LAST, (1 << 42) - 1, doc) << 20 | np.minimum(line, (1 << 20) - 1)
-
-
-def _doc_ids(doc: np.ndarray) -> pa.Array:
-    return pa.array(doc, mask=doc == LAST)
+    """Ids in the order of (document's number, line); numbers and lines have fewer than 32 bits, so no two meet."""
+    return doc << 31 | line
 
 
 def _sets(rarity, least: int):
@@ -177,8 +175,8 @@ def _sets(rarity, least: int):
         held, bytes_held = [], 0
 
         def rows(at, sign, doc, line, size, sketch, head):
-            columns = [pa.array(sign[at].view(np.int64)), _doc_ids(doc[at]), pa.array(line[at]), pa.array(set_ids(doc[at], line[at])), pa.array(size[at]), pa.array(sketch[at].view(np.int64)), head]
-            return pa.RecordBatch.from_arrays(columns, ["key", "doc_id", "line", "id", "size", "sketch", "head"])
+            columns = [pa.array(sign[at].view(np.int64)), pa.array(set_ids(doc[at], line[at])), pa.array(size[at]), pa.array(sketch[at].view(np.int64)), head]
+            return pa.RecordBatch.from_arrays(columns, ["key", "id", "size", "sketch", "head"])
 
         def flush():
             flat, p, *rest = (np.concatenate(x) for x in zip(*held))
@@ -222,8 +220,8 @@ def _whole_sets(rarity, flags, least: int):
                 ids = set_ids(doc, line)
                 some = np.flatnonzero(flags.value[_bucket(ids)])
                 if len(some):
-                    columns = [pa.array(ids[some]), _doc_ids(doc[some]), pa.array(line[some]), _written(_ragged(flat, size, some), size[some])]
-                    yield pa.RecordBatch.from_arrays(columns, ["id", "doc_id", "line", "words"])
+                    columns = [pa.array(ids[some]), _written(_ragged(flat, size, some), size[some])]
+                    yield pa.RecordBatch.from_arrays(columns, ["id", "words"])
 
     return run
 
@@ -443,57 +441,66 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             key = np.sort(np.concatenate([tag(a, n), tag(b, m)]))
             twice = key[1:][key[1:] == key[:-1]] >> np.uint64(40)
             both[s] = np.bincount(twice.astype(np.int64), minlength=len(n[s]))
-        yield batch.filter(pa.array(DOWN * both >= UP * (n + m - both))).select(["id", "other", "doc_id", "line"])
+        yield batch.filter(pa.array(DOWN * both >= UP * (n + m - both))).select(["id", "other"])
 
 
 def _similar(pairs: DataFrame, rows: DataFrame, rarity, least: int) -> DataFrame:
-    """doc_id, line and id of the later sets of the pairs that are similar."""
+    """The pairs that are similar; id is the later set."""
     needed = common.cut(pairs.select("id").union(pairs.select("other")).distinct())
-    own = rows.mapInArrow(_whole_sets(rarity, _flags(needed), least), "id long, doc_id long, line long, words binary")
+    own = rows.mapInArrow(_whole_sets(rarity, _flags(needed), least), "id long, words binary")
     if needed.count() <= BROADCAST_ROWS:
         own = own.join(F.broadcast(needed), "id", "left_semi")
-    own = common.table(own, "offered")
-    other = own.select(F.col("id").alias("other"), F.col("doc_id").alias("other_doc"), F.col("line").alias("other_line"), F.col("words").alias("other_words"))
+    own = common.table(own.dropDuplicates(["id"]), "offered")
+    other = own.select(F.col("id").alias("other"), F.col("words").alias("other_words"))
     met = pairs.select("id", "other").join(own, "id").join(other, "other")
-    earlier = F.struct(F.col("other_doc").isNull(), "other_doc", "other_line") < F.struct(F.col("doc_id").isNull(), "doc_id", "line")
-    kind = "id long, other long, doc_id long, line long"
-    return met.where(earlier).select("id", "other", "doc_id", "line", "words", "other_words").mapInArrow(_verify, kind).select("id", "doc_id", "line").distinct()
+    return met.select("id", "other", "words", "other_words").mapInArrow(_verify, "id long, other long")
 
 
-def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST_WORDS) -> DataFrame:
-    """doc_id and line (from 0) of every line that goes; lines of fewer than `least` distinct words stay."""
-    shared = docs.sparkSession.sparkContext.broadcast
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+def _removed_ids(rows: DataFrame, least: int) -> DataFrame:
+    """The ids of later matches among the lines of rows (number, text)."""
+    shared = rows.sparkSession.sparkContext.broadcast
     counts = _table(rows.select("text").mapInArrow(_count, "at int, n binary"))
     rarity = shared(np.minimum(4 * np.log2(np.maximum(counts, 1)), 63).astype(np.uint8))
-    made = rows.mapInArrow(_sets(rarity, least), "key long, doc_id long, line long, id long, size long, sketch long, head binary")
-    equal = Window.partitionBy("key").orderBy(F.col("doc_id").isNull(), "doc_id", "line")
+    made = rows.mapInArrow(_sets(rarity, least), "key long, id long, size long, sketch long, head binary")
+    equal = Window.partitionBy("key").orderBy("id")
     all_sets = common.table(made.withColumn("head", F.when(F.rank().over(equal) == 1, F.col("head"))).drop("key"), "line-sets")
     sets = all_sets.where(F.col("head").isNotNull() & (F.col("size") >= JOINED))
     at_prefix = _table(sets.select("id", "head").mapInArrow(_prefix_counts(None), "at int, n binary"))
     per_word = np.maximum(1, -(-at_prefix // BLOCK))
     blocks = shared(per_word.astype(np.int32))
     offers = _offers(sets, blocks, int((at_prefix * per_word).sum()), FIRST)
-    gone = common.cut(_similar(offers, rows, rarity, least))
-    left = common.cut(offers.where("more").select("id").distinct().join(gone.select("id"), "id", "left_anti"))
+    gone = common.cut(_similar(offers, rows, rarity, least).select("id").distinct())
+    left = common.cut(offers.where("more").select("id").distinct().join(gone, "id", "left_anti"))
     if left.count():
         asked = _flags(left)
         words = _table(sets.select("id", "head").mapInArrow(_prefix_counts(asked), "at int, n binary")) > 0
         again = _offers(sets, blocks, int((at_prefix * per_word)[words].sum()), None, asked, shared(words))
-        gone = gone.union(_similar(again, rows, rarity, least))
-    return all_sets.where("head is null").select("doc_id", "line").union(gone.select("doc_id", "line")).distinct()
+        gone = gone.union(_similar(again, rows, rarity, least).select("id"))
+    return all_sets.where("head is null").select("id").union(gone).distinct()
+
+
+def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST_WORDS) -> DataFrame:
+    """doc_id, text_hash and line (from 0) of every line that goes; lines of fewer than `least` distinct words stay."""
+    rows, keys = common.numbered(docs, doc_id, text)
+    gone = _removed_ids(rows, least).select(F.shiftright("id", 31).alias("number"), F.expr("id & 2147483647L").alias("line"))
+    return gone.join(keys, "number").select("doc_id", "text_hash", "line")
+
+
+def _of_texts(gone: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """docs with the lines that go as _gone, null where none do."""
+    gone = gone.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list("line")).alias("_gone")).withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
+    return docs.join(gone, docs[doc_id].eqNullSafe(gone["_id"]) & (F.xxhash64(docs[text]) == gone["_hash"]), "left")
 
 
 def line_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST_WORDS) -> DataFrame:
     """A row for each document: doc_id, n_lines, removed (sorted line numbers)."""
-    gone = removed_lines(docs, doc_id, text, least).groupBy("doc_id").agg(F.array_sort(F.collect_list("line")).alias("removed")).withColumnRenamed("doc_id", "_id")
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.size(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).cast("long").alias("n_lines"))
-    return rows.join(gone, rows["doc_id"].eqNullSafe(gone["_id"]), "left").select("doc_id", "n_lines", F.coalesce("removed", F.array().cast("array<bigint>")).alias("removed"))
+    met = _of_texts(removed_lines(docs, doc_id, text, least), docs, doc_id, text)
+    n_lines = F.size(F.split(F.coalesce(docs[text], F.lit("")), "\n")).cast("long")
+    return met.select(docs[doc_id].alias("doc_id"), n_lines.alias("n_lines"), F.coalesce("_gone", F.array().cast("array<bigint>")).alias("removed"))
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST_WORDS) -> DataFrame:
     """docs without the removed lines; a text that loses all of them becomes empty. Columns stay as they are."""
-    gone = removed_lines(docs, doc_id, text, least).groupBy("doc_id").agg(F.collect_list("line").alias("_gone")).withColumnRenamed("doc_id", "_id")
     kept = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda x, i: ~F.array_contains(F.col("_gone"), i.cast("long"))), "\n")
-    met = docs.join(gone, docs[doc_id].eqNullSafe(gone["_id"]), "left")
+    met = _of_texts(removed_lines(docs, doc_id, text, least), docs, doc_id, text)
     return met.withColumn(text, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(kept)).select(*docs.columns)

@@ -81,3 +81,17 @@ def test_short_lines_go_in_the_query_and_the_pipeline(table, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     left = {i: "\n".join(x for n, x in enumerate(t.split("\n")) if n not in want[i]) for i, t in rows}
     assert {r.doc_id: r.text for r in pipeline.line_dedup(docs.sparkSession, docs, str(tmp_path)).collect()} == left
+
+
+@pytest.mark.parametrize("ids", [[1 << 43, (1 << 43) + 5, 7], [-(1 << 62), -3, (1 << 62) + 1], [1 << 42, None, 3]])
+def test_far_ids_keep_their_order(table, ids):
+    base = "one two three four five six seven eight nine"
+    rows = [(d, f"own line of number {i} here\n{base} {w}") for i, (d, w) in enumerate(zip(ids, ("ten", "eleven", "twelve")))]
+    got = {(r.doc_id, r.line) for r in lines.removed_lines(table(rows)).collect()}
+    assert got == plain_removed(rows) and len(got) == 2
+
+
+def test_lines_beyond_a_million_are_compared(table):
+    near = "\n".join(["one two three four five six seven eight nine", "one two three four five six seven eight nine ten"])
+    rows = [(1, "\n" * (1 << 20) + near)]
+    assert {(r.doc_id, r.line) for r in lines.removed_lines(table(rows)).collect()} == {(1, (1 << 20) + 1)}
