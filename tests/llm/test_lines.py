@@ -95,3 +95,16 @@ def test_lines_beyond_a_million_are_compared(table):
     near = "\n".join(["one two three four five six seven eight nine", "one two three four five six seven eight nine ten"])
     rows = [(1, "\n" * (1 << 20) + near)]
     assert {(r.doc_id, r.line) for r in lines.removed_lines(table(rows)).collect()} == {(1, (1 << 20) + 1)}
+
+
+def test_texts_of_one_id_lose_their_own_lines_only(table):
+    copied = "this line of eight words is found twice"
+    texts = [f"first\nsecond\n{copied}", f"a\nb\n{copied}", "c\nd\nthis one is unlike all the others here", f"e\n{copied}"]
+    for same in (None, 9):
+        docs = table([(1, copied), *[(same, t) for t in texts]])
+        want = [(1, copied), *[(same, t.removesuffix("\n" + copied)) for t in texts]]
+        assert sorted(((r.doc_id, r.text) for r in lines.dedup_lines(docs).collect()), key=str) == sorted(want, key=str)
+        want = sorted([0] + [1 if copied in t else 0 for t in texts])
+        assert sorted(len(r.removed) for r in lines.line_report(docs).collect()) == want
+    docs = table([(None, f"x\n{copied}"), (None, f"y\n{copied}")])
+    assert sorted(r.text for r in lines.dedup_lines(docs).collect()) in (["x", f"y\n{copied}"], [f"x\n{copied}", "y"])
