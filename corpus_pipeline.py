@@ -2,7 +2,7 @@
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame, which the runner writes as Parquet and reads again as the
 next stage's docs. All but the last return the columns of `documents`. SQL cannot express the line join, the components
-of fingerprints and the encoder, so there is no SQL for the whole.
+of near copies and the encoder, so there is no SQL for the whole.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from holdfast.llm import common, decontam, lines, packing, quality, simhash
+from holdfast.llm import common, decontam, lines, near, packing, quality
 from holdfast.shipping import ship
 
 
@@ -27,9 +27,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies, the document of the least id stays."""
+    """Of each component of near copies (Jaccard similarity of 0.8 or more over five-word shingles), the document of the least id stays."""
     ship(spark)
-    return simhash.keep_one(docs)
+    return near.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

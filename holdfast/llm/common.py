@@ -44,8 +44,8 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def numbered(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """(number, text) for each row, and (number, doc_id, text_hash) for each number.
+def numbered(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame, bool]:
+    """(number, text) for each row, (number, doc_id, text_hash) for each number, and whether no two rows can have one number.
 
     Rows of one id and text have one number; numbers are below 2**32, in the order of (id is null, id, text_hash). Ids
     that are such numbers already stay; else numbers are counted over the sorted ids, and the texts written with them.
@@ -53,7 +53,7 @@ def numbered(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFr
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("text_hash"))
     fit = (F.min("doc_id") >= 0) & (F.max("doc_id") < 1 << 32) & (F.count("doc_id") == F.count(F.lit(1))) & (F.max("n") == 1)
     if rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).agg(fit.alias("fit")).first()["fit"]:
-        return rows.select(F.col("doc_id").alias("number"), "text"), rows.select(F.col("doc_id").alias("number"), "doc_id", "text_hash")
+        return rows.select(F.col("doc_id").alias("number"), "text"), rows.select(F.col("doc_id").alias("number"), "doc_id", "text_hash"), True
     ordered = rows.select("doc_id", "text_hash").distinct().orderBy(F.col("doc_id").isNull(), "doc_id", "text_hash")
     ordered = cut(ordered.withColumn("at", F.monotonically_increasing_id()))
     part = F.shiftright("at", 33)
@@ -66,7 +66,7 @@ def numbered(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFr
     keys = cut(ordered.select((F.create_map(*first)[part] + F.expr("at & 8589934591L")).alias("number"), "doc_id", "text_hash"))
     of = keys.withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
     met = rows.join(of, rows["doc_id"].eqNullSafe(of["_id"]) & (rows["text_hash"] == of["_hash"]))
-    return table(met.select("number", "text"), "numbered"), keys
+    return table(met.select("number", "text"), "numbered"), keys, False
 
 
 def ascii_lower(text: Column) -> Column:

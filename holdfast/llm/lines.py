@@ -27,6 +27,7 @@ have one empty line. Other columns pass through `dedup_lines` untouched.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -91,15 +92,22 @@ def _table(parts: DataFrame) -> np.ndarray:
     return total
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(BUCKETS, np.int64)
-    for batch in batches:
-        for _, h, _ in wordhash.words(batch.column(0), lower=True):
-            total += np.bincount(h & np.uint64(BUCKETS - 1), minlength=BUCKETS) if len(h) > BUCKETS else 0
-            if len(h) <= BUCKETS:
-                at, n = np.unique(h & np.uint64(BUCKETS - 1), return_counts=True)
-                total[at] += n
-    yield from _parts(total)
+def _lower_words(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    return wordhash.words(texts, lower=True)
+
+
+def _count(hashes):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            for _, h, _ in hashes(batch.column(0)):
+                total += np.bincount(h & np.uint64(BUCKETS - 1), minlength=BUCKETS) if len(h) > BUCKETS else 0
+                if len(h) <= BUCKETS:
+                    at, n = np.unique(h & np.uint64(BUCKETS - 1), return_counts=True)
+                    total[at] += n
+        yield from _parts(total)
+
+    return run
 
 
 def line_edges(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -168,7 +176,7 @@ def set_ids(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
     return doc << 31 | line
 
 
-def _sets(rarity, least: int):
+def _sets(rarity, sets_of):
     """Sets with their prefixes as `head`, which is null for later matches; equal sets have one key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,7 +202,7 @@ def _sets(rarity, least: int):
                 yield rows(later, own, *rest[1:], pa.nulls(len(later), pa.binary()))
 
         for batch in batches:
-            for flat, size, doc, line in _line_sets(batch, rarity.value, least):
+            for flat, size, doc, line in sets_of(batch, rarity.value):
                 begins = np.cumsum(size) - size
                 sign = np.add.reduceat(wordhash.mix(flat), begins)
                 sketch = np.bitwise_xor.reduceat(np.uint64(1) << (flat & np.uint64(63)), begins)
@@ -211,12 +219,12 @@ def _sets(rarity, least: int):
     return run
 
 
-def _whole_sets(rarity, flags, least: int):
+def _whole_sets(rarity, flags, sets_of):
     """The sets of flagged ids, with all their words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for flat, size, doc, line in _line_sets(batch, rarity.value, least):
+            for flat, size, doc, line in sets_of(batch, rarity.value):
                 ids = set_ids(doc, line)
                 some = np.flatnonzero(flags.value[_bucket(ids)])
                 if len(some):
@@ -274,21 +282,21 @@ def _prefix_counts(asked):
 PLACES = (("word", np.uint64), ("id", np.int64), ("sketch", np.uint64), ("size", np.int32), ("place", np.int32), ("pair", np.int32), ("own", np.int32), ("probe", np.bool_))
 
 
-def _places(blocks, parts: int, asked=None, words=None):
+def _places(blocks, parts: int, asked=None, words=None, kinds=PLACES):
     """Packed places of the words of all prefixes, once for each pair of blocks that the set is in there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n_held = [], 0
 
         def flush():
-            rows = {c: np.concatenate([h[c] for h in held]) for c, _ in PLACES}
+            rows = {c: np.concatenate([h[c] for h in held]) for c, _ in kinds}
             part = (wordhash.mix(rows["word"] + rows["pair"].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(parts)).astype(np.int64)
             order = np.lexsort((rows["word"], part))
             part = part[order]
             rows = {c: v[order] for c, v in rows.items()}
             new = np.flatnonzero(np.diff(part, prepend=-1))
             stop = np.append(new[1:], len(part))
-            packed = {c: pa.array([_packed(rows[c][i:j].astype(t)) for i, j in zip(new, stop)], pa.binary()) for c, t in PLACES}
+            packed = {c: pa.array([_packed(rows[c][i:j].astype(t)) for i, j in zip(new, stop)], pa.binary()) for c, t in kinds}
             return pa.RecordBatch.from_arrays([pa.array(part[new], pa.int32()), pa.array(stop - new), *packed.values()], ["part", "n", *packed])
 
         for batch in batches:
@@ -307,7 +315,7 @@ def _places(blocks, parts: int, asked=None, words=None):
             else:
                 pair = own
             probe = np.zeros(len(row), bool) if asked is None else asked.value[_bucket(ids[row])]
-            held.append(dict(zip((c for c, _ in PLACES), (word, ids[row], sketch[row], size[row], place, pair, own, probe))))
+            held.append(dict(zip((c for c, _ in kinds), (word, ids[row], sketch[row], size[row], place, pair, own, probe, *(batch.column(c).to_numpy()[row] for c, _ in kinds[len(PLACES) :])))))
             n_held += len(row)
             if n_held >= PACKED:
                 yield flush()
@@ -344,7 +352,7 @@ def _few(rows: dict[str, np.ndarray], start: np.ndarray, n: np.ndarray, asked: b
             a, b = (base + i).ravel(), (base + j).ravel()
             keep = _pass(rows["size"], rows["place"], rows["sketch"], a, b)
             a, b = a[keep], b[keep]
-            keep = _apart(rows, a, b) & (rows["id"][a] != rows["id"][b])
+            keep = _apart(rows, a, b) & (rows["label"][a] != rows["label"][b])
             keep &= rows["probe"][a] if asked else True
             yield a[keep], b[keep], np.zeros(int(keep.sum()), bool)
 
@@ -363,7 +371,7 @@ def _many(rows: dict[str, np.ndarray], start: int, n: int, first: int | None):
             a, b = a[keep], b[keep]
             keep = _pass(rows["size"], rows["place"], rows["sketch"], at[a], b)
             a, b = a[keep], b[keep]
-            keep = _apart(rows, at[a], b) & (rows["id"][at[a]] != rows["id"][b])
+            keep = _apart(rows, at[a], b) & (rows["label"][at[a]] != rows["label"][b])
             a, b = a[keep], b[keep]
             if first is not None and len(a):
                 nth = np.arange(len(a)) - np.searchsorted(a, a) + given[a]
@@ -378,13 +386,14 @@ def _many(rows: dict[str, np.ndarray], start: int, n: int, first: int | None):
             yield at[a], b, extra[a]
 
 
-def _meet(first: int | None):
+def _meet(first: int | None, kinds=PLACES):
     """Candidate pairs (id, other), other the earlier, of the packed places of each part."""
 
     def part(blobs, sizes):
-        rows = {c: np.concatenate([_plain(blob[i], t, n) for blob, n in zip(blobs, sizes)]) for i, (c, t) in enumerate(PLACES)}
+        rows = {c: np.concatenate([_plain(blob[i], t, n) for blob, n in zip(blobs, sizes)]) for i, (c, t) in enumerate(kinds)}
         order = np.lexsort((rows["id"], rows["pair"], rows["word"]))
         rows = {c: v[order] for c, v in rows.items()}
+        rows.setdefault("label", rows["id"])
         new = np.flatnonzero((np.diff(rows["word"], prepend=rows["word"][0] + np.uint64(1)) != 0) | (np.diff(rows["pair"], prepend=-1) != 0))
         n = np.diff(np.append(new, len(order)))
         few = (n > 1) & (n <= 24)
@@ -403,7 +412,7 @@ def _meet(first: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, blobs, sizes = None, [], []
         for batch in batches:
-            for number, n, *blob in zip(*(batch.column(c).to_pylist() for c in ("part", "n", *dict(PLACES)))):
+            for number, n, *blob in zip(*(batch.column(c).to_pylist() for c in ("part", "n", *dict(kinds)))):
                 if number != now and blobs:
                     if (out := part(blobs, sizes)) is not None:
                         yield out
@@ -418,15 +427,18 @@ def _meet(first: int | None):
 
 
 OFFERS = "id long, other long, more boolean"
-PACKED_PLACES = ", ".join(["part int", "n long", *(f"{c} binary" for c, _ in PLACES)])
+#: Sets of one label need not meet.
+LABELLED = (*PLACES, ("label", np.int64))
 
 
-def _offers(sets: DataFrame, blocks, n_places: int, first: int | None, asked=None, words=None) -> DataFrame:
+def offers(sets: DataFrame, blocks, n_places: int, first: int | None, asked=None, words=None) -> DataFrame:
     """Distinct candidate pairs, with more if the id has others that were not offered."""
     least = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = max(least, -(-n_places // PART_ROWS))
-    packed = sets.select("id", "size", "sketch", "head").mapInArrow(_places(blocks, 4 * parts, asked, words), PACKED_PLACES)
-    met = packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_meet(first), OFFERS)
+    kinds = LABELLED if "label" in sets.columns else PLACES
+    schema = ", ".join(["part int", "n long", *(f"{c} binary" for c, _ in kinds)])
+    packed = sets.select("id", "size", "sketch", "head", *dict(kinds[len(PLACES) :])).mapInArrow(_places(blocks, 4 * parts, asked, words, kinds), schema)
+    met = packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_meet(first, kinds), OFFERS)
     return common.table(met.groupBy("id", "other").agg(F.max("more").alias("more")), "offers")
 
 
@@ -444,10 +456,10 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array(DOWN * both >= UP * (n + m - both))).select(["id", "other"])
 
 
-def _similar(pairs: DataFrame, rows: DataFrame, rarity, least: int) -> DataFrame:
+def similar(pairs: DataFrame, rows: DataFrame, rarity, sets_of) -> DataFrame:
     """The pairs that are similar; id is the later set."""
     needed = common.cut(pairs.select("id").union(pairs.select("other")).distinct())
-    own = rows.mapInArrow(_whole_sets(rarity, _flags(needed), least), "id long, words binary")
+    own = rows.mapInArrow(_whole_sets(rarity, _flags(needed), sets_of), "id long, words binary")
     if needed.count() <= BROADCAST_ROWS:
         own = own.join(F.broadcast(needed), "id", "left_semi")
     own = common.table(own.dropDuplicates(["id"]), "offered")
@@ -456,32 +468,54 @@ def _similar(pairs: DataFrame, rows: DataFrame, rarity, least: int) -> DataFrame
     return met.select("id", "other", "words", "other_words").mapInArrow(_verify, "id long, other long")
 
 
+class Join:
+    """The sets of rows (number, text), made by sets_of from what hashes gives, ready to meet.
+
+    `all_sets` has no head for later ones of equal sets; `sets` are those that sets of other words can be similar to.
+    """
+
+    def __init__(self, rows: DataFrame, hashes, sets_of):
+        self.rows, self.sets_of, self.shared = rows, sets_of, rows.sparkSession.sparkContext.broadcast
+        counts = _table(rows.select("text").mapInArrow(_count(hashes), "at int, n binary"))
+        self.rarity = self.shared(np.minimum(4 * np.log2(np.maximum(counts, 1)), 63).astype(np.uint8))
+        made = rows.mapInArrow(_sets(self.rarity, sets_of), "key long, id long, size long, sketch long, head binary")
+        equal = Window.partitionBy("key").orderBy("id")
+        self.all_sets = common.table(made.withColumn("head", F.when(F.rank().over(equal) == 1, F.col("head"))).drop("key"), "sets")
+        self.sets = self.all_sets.where(F.col("head").isNotNull() & (F.col("size") >= JOINED))
+        self.at_prefix = _table(self.sets.select("id", "head").mapInArrow(_prefix_counts(None), "at int, n binary"))
+        self.per_word = np.maximum(1, -(-self.at_prefix // BLOCK))
+        self.blocks = self.shared(self.per_word.astype(np.int32))
+
+    def equal(self) -> DataFrame:
+        return self.all_sets.where("head is null").select("id")
+
+    def first_offers(self) -> DataFrame:
+        return offers(self.sets, self.blocks, int((self.at_prefix * self.per_word).sum()), FIRST)
+
+    def all_offers(self, left: DataFrame, sets: DataFrame) -> DataFrame:
+        """All candidate pairs of the ids left; sets has labels if pairs of one label can be left out."""
+        asked = _flags(left)
+        words = _table(self.sets.select("id", "head").mapInArrow(_prefix_counts(asked), "at int, n binary")) > 0
+        return offers(sets, self.blocks, int((self.at_prefix * self.per_word)[words].sum()), None, asked, self.shared(words))
+
+    def similar(self, pairs: DataFrame) -> DataFrame:
+        return similar(pairs, self.rows, self.rarity, self.sets_of)
+
+
 def _removed_ids(rows: DataFrame, least: int) -> DataFrame:
     """The ids of later matches among the lines of rows (number, text)."""
-    shared = rows.sparkSession.sparkContext.broadcast
-    counts = _table(rows.select("text").mapInArrow(_count, "at int, n binary"))
-    rarity = shared(np.minimum(4 * np.log2(np.maximum(counts, 1)), 63).astype(np.uint8))
-    made = rows.mapInArrow(_sets(rarity, least), "key long, id long, size long, sketch long, head binary")
-    equal = Window.partitionBy("key").orderBy("id")
-    all_sets = common.table(made.withColumn("head", F.when(F.rank().over(equal) == 1, F.col("head"))).drop("key"), "line-sets")
-    sets = all_sets.where(F.col("head").isNotNull() & (F.col("size") >= JOINED))
-    at_prefix = _table(sets.select("id", "head").mapInArrow(_prefix_counts(None), "at int, n binary"))
-    per_word = np.maximum(1, -(-at_prefix // BLOCK))
-    blocks = shared(per_word.astype(np.int32))
-    offers = _offers(sets, blocks, int((at_prefix * per_word).sum()), FIRST)
-    gone = common.cut(_similar(offers, rows, rarity, least).select("id").distinct())
-    left = common.cut(offers.where("more").select("id").distinct().join(gone, "id", "left_anti"))
+    join = Join(rows, _lower_words, partial(_line_sets, least=least))
+    offered = join.first_offers()
+    gone = common.cut(join.similar(offered).select("id").distinct())
+    left = common.cut(offered.where("more").select("id").distinct().join(gone, "id", "left_anti"))
     if left.count():
-        asked = _flags(left)
-        words = _table(sets.select("id", "head").mapInArrow(_prefix_counts(asked), "at int, n binary")) > 0
-        again = _offers(sets, blocks, int((at_prefix * per_word)[words].sum()), None, asked, shared(words))
-        gone = gone.union(_similar(again, rows, rarity, least).select("id"))
-    return all_sets.where("head is null").select("id").union(gone).distinct()
+        gone = gone.union(join.similar(join.all_offers(left, join.sets)).select("id"))
+    return join.equal().union(gone).distinct()
 
 
 def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST_WORDS) -> DataFrame:
     """doc_id, text_hash and line (from 0) of every line that goes; lines of fewer than `least` distinct words stay."""
-    rows, keys = common.numbered(docs, doc_id, text)
+    rows, keys, _ = common.numbered(docs, doc_id, text)
     gone = _removed_ids(rows, least).select(F.shiftright("id", 31).alias("number"), F.expr("id & 2147483647L").alias("line"))
     return gone.join(keys, "number").select("doc_id", "text_hash", "line")
 

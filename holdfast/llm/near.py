@@ -1,0 +1,71 @@
+"""Near-duplicate documents: an exact set-similarity join of texts by their word shingles, and connected components.
+
+A text's set is made of its runs of `SHINGLE` lower-cased (A-Z) words, as 40-bit hashes; a shorter text is one run. Texts
+are linked if their sets have a Jaccard similarity of 0.8 or more; linked texts form a component, of which the document
+of the least id stays. The join is that of `lines`: equal sets first, then prefixes of rare shingles, then whole sets.
+
+Each set offers its `lines.FIRST` earliest candidates at each shingle, and the verified ones are made components. Only
+sets that have more candidates are met again, and then with all those of other components. So a group of thousands of
+near copies costs a few pairs each, and no link between components is left out.
+
+Texts without words are equal. Null ids are greatest; texts of one id are told apart by their hash, and one of repeated
+rows stays. Other columns pass through untouched.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from . import common, lines, wordhash
+from .components import stars
+
+SHINGLE = 5
+_draws = np.random.default_rng(20240301).integers(0, 1 << 63, SHINGLE, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingles(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Chunk by chunk: the first text's number, the hashes of the shingles, the number of shingles of each text, 1 at least."""
+    for i, h, n in wordhash.words(texts, lower=True):
+        m = np.maximum(n - SHINGLE + 1, 1)
+        at = np.repeat(np.cumsum(n) - n - np.cumsum(m) + m, m) + np.arange(int(m.sum()))
+        words = np.repeat(np.minimum(n, SHINGLE), m)
+        total = np.zeros(len(at), np.uint64)
+        for k in range(SHINGLE):
+            some = np.flatnonzero(words > k)
+            total[some] += wordhash.mix(h[at[some] + k] + _draws[k])
+        yield i, wordhash.mix(total), m
+
+
+def _shingle_sets(batch: pa.RecordBatch, order_of: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    docs = batch.column(0).to_numpy()
+    for i, h, n in shingles(batch.column(1)):
+        for at, flat, size in lines._stretches(h, n, order_of):
+            yield flat, size, docs[i + at : i + at + len(size)], np.zeros(len(size), np.int64)
+
+
+def _later(rows: DataFrame) -> DataFrame:
+    """The ids of all sets that are not the least of their component."""
+    join = lines.Join(rows, shingles, _shingle_sets)
+    offered = join.first_offers()
+    edges = common.cut(join.similar(offered).select(F.col("id").alias("a"), F.col("other").alias("b")))
+    roots = stars(edges)
+    left = common.cut(offered.where("more").select("id").distinct())
+    if left.count():
+        labelled = join.sets.join(roots, join.sets["id"] == roots["a"], "left").select(join.sets["*"], F.coalesce("b", "id").alias("label"))
+        more = join.similar(join.all_offers(left, labelled)).select(F.col("id").alias("a"), F.col("other").alias("b"))
+        roots = stars(roots.union(more))
+    return join.equal().union(roots.select("a")).distinct()
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of docs for each component, that of the least id."""
+    rows, keys, single = common.numbered(docs, doc_id, text)
+    gone = _later(rows).select(F.shiftright("id", 31).alias("number")).join(keys, "number").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    marked = docs.withColumn("_own", F.xxhash64(F.col(text)))
+    kept = marked.join(gone, marked[doc_id].eqNullSafe(gone["_id"]) & (marked["_own"] == gone["_hash"]), "left_anti")
+    return (kept if single else kept.dropDuplicates([doc_id, "_own"])).select(*docs.columns)

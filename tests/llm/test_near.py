@@ -1,0 +1,60 @@
+from __future__ import annotations
+
+import random
+import re
+
+import pytest
+
+from holdfast.llm import lines, near
+
+
+def plain_kept(rows):
+    rows = sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
+    sets = []
+    for _, t in rows:
+        w = re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and root[i] != root[j]:
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if r == old else r for r in root]
+    return sorted((rows[i] for i in set(root)), key=str)
+
+
+def changed(draw, text, n):
+    words = text.split()
+    for _ in range(n):
+        words[draw.randrange(len(words))] = f"new{draw.random()}"
+    return " ".join(words)
+
+
+@pytest.mark.parametrize("block", [10_000, 3])
+def test_against_brute_force(table, prose, odd, block, monkeypatch):
+    monkeypatch.setattr(lines, "BLOCK", block)
+    draw, texts = random.Random(7), prose(40, least=60, most=200)
+    rows = [(d, t) for d, t in odd if d is not None] + [(draw.randrange(10**6), t) for t in texts]
+    rows += [(draw.randrange(10**6), changed(draw, draw.choice(texts), draw.randint(0, 8))) for _ in range(120)]
+    got = near.keep_one(table(rows))
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == plain_kept(rows)
+
+
+def test_large_group_of_near_copies_with_links_of_later_ones(table, prose):
+    draw, base = random.Random(8), prose(1, least=200, most=200)[0]
+    rows = [(i, changed(draw, base, draw.randint(2, 6))) for i in range(150)] + [(900, base), (901, base.upper())]
+    got = near.keep_one(table(rows))
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == plain_kept(rows)
+
+
+def test_stage_finds_near_copies_of_several_changes(spark, table, prose):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    draw, texts = random.Random(9), prose(30, least=200, most=300)
+    docs = table([*enumerate(texts), *((100 + i, changed(draw, t, 3)) for i, t in enumerate(texts))])
+    got = corpus_pipeline.near_dedup(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted(r.doc_id for r in got.collect()) == [*range(30)]
+
+
+def test_empty_table(table):
+    assert near.keep_one(table([])).collect() == []
