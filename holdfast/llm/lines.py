@@ -209,7 +209,7 @@ def _sets(rarity, sets_of):
                 p = prefix(size)
                 head = flat[np.repeat(begins - np.cumsum(p) + p, p) + np.arange(int(p.sum()))]
                 held.append((head, p, sign, doc, line, size, sketch))
-                bytes_held += 8 * len(head)
+                bytes_held += sum(x.nbytes for x in held[-1])
                 if bytes_held >= HELD:
                     yield from flush()
                     held, bytes_held = [], 0
@@ -315,7 +315,8 @@ def _places(blocks, parts: int, asked=None, words=None, kinds=PLACES):
             else:
                 pair = own
             probe = np.zeros(len(row), bool) if asked is None else asked.value[_bucket(ids[row])]
-            held.append(dict(zip((c for c, _ in kinds), (word, ids[row], sketch[row], size[row], place, pair, own, probe, *(batch.column(c).to_numpy()[row] for c, _ in kinds[len(PLACES) :])))))
+            values = (word, ids[row], sketch[row], size[row], place, pair, own, probe, *(batch.column(c).to_numpy()[row] for c, _ in kinds[len(PLACES) :]))
+            held.append({c: v.astype(t, copy=False) for (c, t), v in zip(kinds, values)})
             n_held += len(row)
             if n_held >= PACKED:
                 yield flush()
