@@ -5,7 +5,11 @@ import random
 import pytest
 
 #: Columns that clash with names the operators use inside.
-SCHEMA = "doc_id long, text string, fp long, words string, length int, kept boolean, item_id string, h long, part int, lang string"
+CLASHES = (
+    "_id _hash _own _gone _nth _row _text _words _lines _hashes _sorted _places one row lines removed text_hash number id line root fp least keep none words found value "
+    "values grams marks copies n_words n_hit items runs contaminated item_id item_key length kept h part ids piece start sequence_id offset n fits"
+).split()
+SCHEMA = "doc_id long, text string, lang string, " + ", ".join(f"{c} string" for c in CLASHES)
 
 
 @pytest.fixture(scope="session")
@@ -13,7 +17,7 @@ def table(spark):
     """A table of (doc_id, text) rows with further columns, some of them null."""
 
     def make(rows):
-        return spark.createDataFrame([(i, t, 1, "w", None, None, "x", 2, 3, None) for i, t in rows], SCHEMA)
+        return spark.createDataFrame([(i, t, None, *CLASHES) for i, t in rows], SCHEMA)
 
     return make
 

@@ -8,12 +8,12 @@ import pytest
 from holdfast.llm import lines
 
 
-def plain_removed(rows):
+def plain_removed(rows, least=1):
     sets = []
     for d, t in rows:
         for n, line in enumerate((t or "").split("\n")):
             words = {re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in re.findall("[^\x20\x09-\x0d]+", line)}
-            if len(words) >= 5:
+            if len(words) >= least:
                 sets.append(((d is None, d or 0, n), words, d, n))
     gone = set()
     for place, words, d, n in sets:
@@ -33,17 +33,21 @@ def varied(prose, n=60):
     return rows
 
 
-@pytest.mark.parametrize("block", [10_000, 3])
-def test_whole_texts_against_brute_force(table, prose, odd, block, monkeypatch):
+@pytest.mark.parametrize("block, least", [(10_000, 1), (3, 1), (10_000, 5)])
+def test_whole_texts_against_brute_force(table, prose, odd, block, least, monkeypatch):
     monkeypatch.setattr(lines, "BLOCK", block)
     rows = odd + [(100 + d, t) for d, t in varied(prose)]
-    got = {(r.doc_id, r.line) for r in lines.removed_lines(table(rows)).collect()}
-    assert got == plain_removed(rows)
+    got = {(r.doc_id, r.line) for r in lines.removed_lines(table(rows), least=least).collect()}
+    assert got == plain_removed(rows, least)
 
 
-def test_many_near_copies_of_one_line(table):
+@pytest.mark.parametrize("square", [192, 8])
+def test_many_near_copies_of_one_line(table, square, monkeypatch):
+    monkeypatch.setattr(lines, "SQUARE", square)
     base = "one two three four five six seven eight nine ten eleven twelve".split()
     rows = [(i, " ".join(base[:-1] + [f"w{i}"])) for i in range(80)] + [(500 + i, " ".join([f"a{i}", f"b{i}", f"c{i}", *base[3:]])) for i in range(40)]
+    long = [f"v{i}" for i in range(90)]
+    rows += [(700 + i, " ".join(long[i % 25 :] + [f"u{i % 3}_{j}" for j in range(i % 12)])) for i in range(60)]
     got = {(r.doc_id, r.line) for r in lines.removed_lines(table(rows)).collect()}
     assert got == plain_removed(rows)
 
@@ -52,15 +56,26 @@ def test_other_lines_and_columns_stay(table):
     copied = "this line of eight words is found twice"
     docs = table([(1, f"{copied}\nshort"), (2, f"first\n{copied}\n\nshort"), (3, copied), (4, None)])
     got = lines.dedup_lines(docs)
-    assert got.columns == docs.columns
-    assert {r.doc_id: r.text for r in got.collect()} == {1: f"{copied}\nshort", 2: "first\n\nshort", 3: "", 4: None}
+    assert got.dtypes == docs.dtypes
+    got = got.collect()
+    assert {r.doc_id: r.text for r in got} == {1: f"{copied}\nshort", 2: "first\n", 3: "", 4: None}
+    assert all(r[c] == c for r in got for c in docs.columns[3:])
+
+
+def test_words_of_any_length_are_told_apart(table):
+    draw = random.Random(6)
+    long = ["".join(draw.choices("abcdef", k=k)) for k in (127, 128, 129, 256, 257, 10_000)]
+    words = [*long, *(w[1:] + w[0] for w in long), "a" * 128 + "b", "b" + "a" * 128]
+    rows = [(i, f"k l m n {w}") for i, w in enumerate(words)] + [(100 + i, f"n m {w.upper()} l k") for i, w in enumerate(words)]
+    got = {(r.doc_id, r.line) for r in lines.removed_lines(table(rows)).collect()}
+    assert got == plain_removed(rows) == {(100 + i, 0) for i in range(len(words))}
 
 
 def test_report_and_empty_table(table):
     assert lines.removed_lines(table([])).collect() == []
     assert lines.dedup_lines(table([])).collect() == []
-    got = {r.doc_id: (r.n_lines, r.removed) for r in lines.line_report(table([(1, "a\nb"), (2, None)])).collect()}
-    assert got == {1: (2, []), 2: (1, [])}
+    got = {r.doc_id: (r.n_lines, r.removed) for r in lines.line_report(table([(1, "a\nb"), (2, None), (3, "\n")])).collect()}
+    assert got == {1: (2, []), 2: (1, []), 3: (2, [])}
 
 
 def test_lines_beyond_a_stretch_of_one_text(table):
