@@ -1,15 +1,21 @@
 """Benchmark decontamination by winnowing, in DataFrame expressions alone.
 
 Words are lower-cased (A-Z) runs of characters other than ASCII punctuation, blanks and controls. Of the k-gram hashes
-of a text, the smallest of each run of `window - k + 1` is kept, so two texts that share `window` words in a row share a
-kept hash. Documents and items are joined on kept hashes; each shared hash fixes a diagonal (document place less item
-place), and along it the two word lists are compared, which yields every common run in full length. A run of `window`
-words or more is a hit; an item shorter than that must occur whole, and is looked up by the hash of all its words.
-
-One shuffle: a row for each document and, with its words, for each that shares a hash. Item hashes and item words are
-broadcast only while they are few (`BROADCAST_ROWS`); beyond, documents are first cut to the hashes they share by a
-shuffled semi-join. Null texts have no words. Repeated document rows each get a row; repeated items count once by
-item_id, a null item_id as an empty string.
+of a text, the smallest of each run of `WINDOW - K + 1` is kept: it stands for the window of `WINDOW` words that the run
+covers, so two texts that share such a window share its kept hash. Documents and items are joined on kept hashes; of the
+documents' windows only those whose kept hash is shared are written out and joined with the items' windows, which tells
+true hits and extends them to all words of the shared passage. An item shorter than a window is one window, and stands for
+itself by the hash of all its words. All sizes of windows are looked up in one pass over the documents.
+
+Work and rows are in proportion to words and hits, however often they repeat in document and item. A document's words are
+never shuffled where items are few: then one row for each document is. Item hashes and windows are broadcast only while
+they are small (`BROADCAST_BYTES`, checked); beyond, documents are cut to the hashes they share by a shuffled semi-join, and
+the words of those that share any are joined back once. A hash or window that very many documents share makes a skewed
+join, which adaptive execution splits on the documents' side.
+
+Null texts have no words. Repeated document rows each get a row; documents of one id are told apart by their texts. Repeated
+items count once by item_id, a null item_id as an empty string. Only ids and texts are read, so other columns may have any
+names, and `drop_contaminated` passes them on.
 """
 
 from __future__ import annotations
@@ -21,8 +27,8 @@ from .common import ascii_lower
 
 K, WINDOW = 5, 10
 BREAK = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
-#: Rows of item hashes, and words of items, up to which they are broadcast.
-BROADCAST_ROWS = 1_000_000
+#: Bytes of item windows, about, up to which they are broadcast.
+BROADCAST_BYTES = 64 << 20
 
 
 def word_list(text: Column) -> Column:
@@ -35,103 +41,117 @@ def gram_hashes(words: Column, k: int) -> Column:
     return F.when(n >= k, every).otherwise(F.array().cast("array<bigint>"))
 
 
-def kept_hashes(grams: Column, window: int) -> Column:
-    """The smallest of each `window` neighbouring hashes, each value once."""
-    n = F.size(grams)
-    least = F.transform(F.sequence(F.lit(0), n - window), lambda i: F.least(*[F.get(grams, i + j) for j in range(window)]))
-    return F.array_distinct(F.when(n >= window, least).otherwise(F.array().cast("array<bigint>")))
+def window_hashes(words: Column, grams: Column) -> Column:
+    """For each window of WINDOW words the smallest of the hashes of its K-grams."""
+    n = F.size(words)
+    least = F.transform(F.sequence(F.lit(0), n - WINDOW), lambda i: F.least(*[F.get(grams, i + j) for j in range(WINDOW - K + 1)]))
+    return F.when(n >= WINDOW, least).otherwise(F.array().cast("array<bigint>"))
 
 
-def places(grams: Column, value: Column) -> Column:
-    return F.filter(F.sequence(F.lit(0), F.size(grams) - 1), lambda i: F.get(grams, i) == value)
+def _with_hashes(rows: DataFrame, sizes: list[int]) -> DataFrame:
+    """rows, which have words, with h<size>: for each window of that size its hash."""
+    if WINDOW in sizes:
+        rows = rows.withColumn("grams", gram_hashes(F.col("words"), K)).withColumn(f"h{WINDOW}", window_hashes(F.col("words"), F.col("grams"))).drop("grams")
+    return rows.withColumns({f"h{s}": gram_hashes(F.col("words"), s) for s in sizes if s != WINDOW})
 
 
-def _items(benchmark: DataFrame, item_id: str, text: str) -> DataFrame:
-    own = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("item_id"), word_list(F.col(text)).alias("item_words"))
-    return own.where(F.size("item_words") > 0).withColumn("item_key", F.xxhash64("item_id", "item_words"))
+def _window(at: Column, size: Column) -> Column:
+    return F.array_join(F.slice("words", at + 1, size), " ")
 
 
-def _postings(items: DataFrame, k: int, kept: bool) -> DataFrame:
-    """value, item_key, item_size and at (the places of the value in the item)."""
-    grams = items.withColumn("grams", gram_hashes(F.col("item_words"), k))
-    values = kept_hashes(F.col("grams"), WINDOW - k + 1) if kept else F.col("grams")
-    # outer, here and below: an inner explode has the optimizer test its array in a filter, where it is made anew for each of its elements
-    each = grams.select("item_key", F.size("item_words").alias("item_size"), "grams", F.explode_outer(values).alias("value")).where("value is not null")
-    return each.select("value", "item_key", "item_size", places(F.col("grams"), F.col("value")).alias("at")).distinct()
+def _item_windows(items: DataFrame, sizes: list[int]) -> DataFrame:
+    """size, value, window (its words) and the sorted ids of the items that have it, for each window of the items."""
+    parts = []
+    for s in sizes:
+        own = _with_hashes(items.where(F.size("words") >= WINDOW if s == WINDOW else F.size("words") == s), [s])
+        each = own.select("item_id", "words", F.posexplode_outer(f"h{s}").alias("at", "value"))
+        parts.append(each.select(F.lit(s).alias("size"), "value", _window(F.col("at"), F.lit(s)).alias("window"), "item_id"))
+    every = parts[0]
+    for more in parts[1:]:
+        every = every.unionByName(more)
+    return every.groupBy("size", "value", "window").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))
 
 
 KEY = ["doc_id", "text_hash", "n_words"]
 
 
-def _candidates(docs: DataFrame, postings: DataFrame, k: int, kept: bool) -> DataFrame:
-    """KEY, words, found (item_key, item_size, diagonals) and marks, for each shared hash; with `kept` also a row for each document, with marks 1."""
-    grams = docs.withColumn("grams", gram_hashes(F.col("words"), k))
-    grams = grams.withColumn("values", kept_hashes(F.col("grams"), WINDOW - k + 1) if kept else F.array_distinct("grams"))
-    none = F.array(F.lit(None).cast("bigint"))
-    if postings.count() <= BROADCAST_ROWS:
-        each = grams.select(*KEY, "words", "grams", F.posexplode_outer(F.concat(none, "values") if kept else F.col("values")).alias("nth", "value"))
-        met = each.join(F.broadcast(postings), "value", "left" if kept else "inner")
-        met = met.where(F.col("item_key").isNotNull() | (F.col("nth") == 0)) if kept else met
+def _values(sizes: list[int]) -> Column:
+    """The distinct (size, value) of a document's windows."""
+
+    def of(s: int) -> Column:
+        return F.transform(F.array_distinct(f"h{s}"), lambda v: F.struct(F.lit(s).alias("size"), v.alias("value")))
+
+    return F.concat(*map(of, sizes))
+
+
+def _places(sizes: list[int]) -> Column:
+    """Where the windows of the row's size and value are."""
+
+    def of(s: int) -> Column:
+        return F.filter(F.sequence(F.lit(0), F.size(f"h{s}") - 1), lambda i: F.get(f"h{s}", i) == F.col("value"))
+
+    return F.coalesce(*[F.when(F.col("size") == s, of(s)) for s in sizes])
+
+
+def _hits(docs: DataFrame, windows: DataFrame, sizes: list[int], few: bool) -> DataFrame:
+    """KEY, at, size and item_ids of each window of the documents that an item has, and a row for each document with marks 1."""
+    values = windows.select("size", "value").distinct()
+    made = _with_hashes(docs, sizes)
+    hashes = [f"h{s}" for s in sizes]
+    # outer, here and below: an inner explode has the optimizer test its array in a filter, where it is made anew for each of its elements
+    if few:
+        none = F.array(F.struct(F.lit(None).cast("int").alias("size"), F.lit(None).cast("bigint").alias("value")))
+        each = made.select(*KEY, "words", *hashes, F.posexplode_outer(F.concat(none, _values(sizes))).alias("nth", "v"))
+        each = each.select(*KEY, "words", *hashes, (F.col("nth") == 0).cast("int").alias("marks"), "v.size", "v.value")
+        met = each.join(F.broadcast(values.withColumn("shared", F.lit(True))), ["size", "value"], "left").where("shared or marks = 1")
     else:
-        shared = grams.select(*KEY, F.explode_outer("values").alias("value")).join(postings.select("value"), "value", "left_semi")
-        shared = shared.groupBy(*KEY).agg(F.collect_set("value").alias("shared"))
-        same = [F.col(f"g.{c}").eqNullSafe(F.col(f"s.{c}")) for c in KEY]
-        both = grams.alias("g").join(shared.alias("s"), same[0] & same[1] & same[2])
-        each = both.select(*[F.col(f"g.{c}").alias(c) for c in KEY], "g.words", "g.grams", F.explode("s.shared").alias("value"))
-        met = each.join(postings, "value")
-        if kept:
-            met = met.unionByName(docs.select(*KEY), allowMissingColumns=True)
-    here = F.col("item_key").isNotNull()
-    diagonals = F.array_distinct(F.flatten(F.transform(places(F.col("grams"), F.col("value")), lambda p: F.transform("at", lambda q: p - q))))
-    found = F.when(here, F.transform(diagonals, lambda d: F.struct(F.col("item_key").alias("item_key"), F.col("item_size").alias("item_size"), d.alias("diagonal"))))
-    return met.select(*KEY, F.when(here, F.col("words")).alias("words"), found.alias("found"), F.when(here, 0).otherwise(1).alias("marks"))
-
-
-def _runs(doc: Column, item: Column, need: Column, at: Column) -> Column:
-    """Common runs of two aligned word lists, as structs (start, stop) in the document."""
-    n = F.size(doc)
-    same = F.zip_with(doc, item, lambda a, b: a == b)
-    breaks = F.concat(F.array(F.lit(-1)), F.filter(F.sequence(F.lit(0), n - 1), lambda i: ~F.get(same, i)), F.array(n))
-    pairs = F.zip_with(F.slice(breaks, 1, F.size(breaks) - 1), F.slice(breaks, 2, F.size(breaks) - 1), lambda a, b: F.struct((at + a + 1).alias("start"), (at + b).alias("stop")))
-    return F.filter(pairs, lambda r: r["stop"] - r["start"] >= need)
+        each = made.select(*KEY, F.explode_outer(_values(sizes)).alias("v")).select(*KEY, "v.*")
+        shared = each.join(values, ["size", "value"], "left_semi").groupBy(*KEY).agg(F.collect_set(F.struct("size", "value")).alias("shared"))
+        same = [F.col(f"m.{c}").eqNullSafe(F.col(f"s.{c}")) for c in KEY]
+        both = made.alias("m").join(shared.alias("s"), same[0] & same[1] & same[2])
+        met = both.select(*[F.col(f"m.{c}").alias(c) for c in [*KEY, "words", *hashes]], F.explode("s.shared").alias("v"))
+        met = met.select(*KEY, "words", *hashes, F.lit(0).alias("marks"), "v.size", "v.value")
+    at = met.select(*KEY, "words", "marks", "size", "value", F.explode_outer(_places(sizes)).alias("at"))
+    at = at.select(*KEY, "marks", "size", "value", "at", F.when(F.col("at").isNotNull(), _window(F.col("at"), F.col("size"))).alias("window"))
+    if few:
+        return at.join(F.broadcast(windows), ["size", "value", "window"], "left").where("item_ids is not null or marks = 1")
+    found = at.join(windows, ["size", "value", "window"])
+    return found.unionByName(docs.select(*KEY, F.lit(1).alias("marks")), allowMissingColumns=True)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """A row for each document: doc_id, n_words, n_hit, n_items, items (sorted ids), contaminated."""
-    items = _items(benchmark, item_id, item_text)
-    sizes = items.agg(F.collect_set(F.when(F.size("item_words") < WINDOW, F.size("item_words"))).alias("short"), F.coalesce(F.sum(F.size("item_words")), F.lit(0)).alias("all")).first()
+    """A row for each document: doc_id, text_hash, n_words, n_hit, n_items, items (sorted ids), runs (start and stop of each run of hit words), contaminated."""
+    items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("item_id"), word_list(F.col(item_text)).alias("words"))
+    items = items.where(F.size("words") > 0)
+    weight = F.sum(WINDOW * F.octet_length(F.array_join("words", " ")).cast("long") + 40)
+    about = items.agg(F.sort_array(F.collect_set(F.least(F.size("words"), F.lit(WINDOW)))).alias("sizes"), weight.alias("bytes")).first()
     base = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), word_list(F.col(text)).alias("words"))
     base = base.withColumn("n_words", F.size("words").cast("long"))
-    found = _candidates(base, _postings(items.where(F.size("item_words") >= WINDOW), K, True), K, True)
-    for size in sorted(sizes["short"]):
-        found = found.unionByName(_candidates(base, _postings(items.where(F.size("item_words") == size), size, False), size, False))
+    if about["sizes"]:
+        found = _hits(base, _item_windows(items, about["sizes"]), about["sizes"], about["bytes"] <= BROADCAST_BYTES)
+    else:
+        none = {"at": F.lit(None).cast("int"), "size": F.lit(None).cast("int"), "item_ids": F.lit(None).cast("array<string>")}
+        found = base.select(*KEY, F.lit(1).alias("marks"), *[c.alias(n) for n, c in none.items()])
+    here = F.col("item_ids").isNotNull()
     per_doc = found.groupBy(*KEY).agg(
-        F.first("words", ignorenulls=True).alias("words"), F.array_distinct(F.flatten(F.collect_set("found"))).alias("found"), F.sum("marks").cast("int").alias("copies")
+        F.sum("marks").cast("int").alias("copies"), F.collect_set(F.when(here, F.struct("at", "size"))).alias("windows"), F.collect_set("item_ids").alias("item_ids")
     )
-    key = [*KEY, "copies"]
-    each = per_doc.select(*key, "words", F.explode_outer("found").alias("f")).select(*key, "words", "f.*")
-    from_doc = F.greatest(F.col("diagonal"), F.lit(0))
-    from_item = F.greatest(-F.col("diagonal"), F.lit(0))
-    overlap = F.least(F.col("n_words").cast("int") - from_doc, F.col("item_size") - from_item)
-    each = each.select(*key, "item_key", from_item.alias("from_item"), from_doc.alias("from_doc"), overlap.alias("overlap"), F.slice("words", from_doc + 1, overlap).alias("doc_part"))
-    known = items.select("item_key", "item_id", "item_words").dropDuplicates(["item_key"])
-    if sizes["all"] <= BROADCAST_ROWS:
-        known = F.broadcast(known)
-    met = each.join(known, "item_key", "left")
-    runs = _runs(F.col("doc_part"), F.slice("item_words", F.col("from_item") + 1, F.col("overlap")), F.least(F.size("item_words"), F.lit(WINDOW)), F.col("from_doc"))
-    met = met.select(*key, "item_id", F.when(F.col("item_id").isNotNull(), runs).alias("runs"))
-    hit = F.size("runs") > 0
-    per_doc = met.groupBy(*key).agg(F.array_sort(F.collect_set(F.when(hit, F.col("item_id")))).alias("items"), F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.when(hit, F.col("runs")))))).alias("runs"))
-    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("stop"))
-    step = lambda a, r: F.struct((a["n"] + F.greatest(F.lit(0), r["stop"] - F.greatest(r["start"], a["stop"]))).alias("n"), F.greatest(a["stop"], r["stop"]).alias("stop"))
-    out = per_doc.withColumn("n_hit", F.aggregate("runs", start, step)["n"].cast("long")).select("*", F.explode(F.sequence(F.lit(1), "copies")).alias("copy"))
-    return out.select("doc_id", "text_hash", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", "runs", (F.col("n_hit") > 0).alias("contaminated"))
+    words = F.flatten(F.transform("windows", lambda w: F.sequence(w["at"], w["at"] + w["size"] - 1)))
+    per_doc = per_doc.withColumns({"hit": F.array_sort(F.array_distinct(words)), "items": F.array_sort(F.array_distinct(F.flatten("item_ids")))})
+    first = F.filter("hit", lambda x, i: (i == 0) | (F.get("hit", i - 1) != x - 1))
+    last = F.filter("hit", lambda x, i: (i == F.size("hit") - 1) | (F.get("hit", i + 1) != x + 1))
+    runs = F.zip_with(first, last, lambda a, b: F.struct(a.alias("start"), (b + 1).alias("stop")))
+    out = per_doc.select("*", F.explode(F.sequence(F.lit(1), "copies")).alias("copy"))
+    n_hit = F.size("hit").cast("long")
+    return out.select("doc_id", "text_hash", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", runs.alias("runs"), (n_hit > 0).alias("contaminated"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs without a hit, with the columns they came with."""
-    bad = contamination(docs, benchmark, doc_id, text).where("contaminated").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    return docs.join(bad, docs[doc_id].eqNullSafe(bad["_id"]) & (F.xxhash64(docs[text]) == bad["_hash"]), "left_anti")
+    bad = contamination(docs, benchmark, doc_id, text).where("contaminated").select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash")).distinct()
+    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col(doc_id).alias("own_id"), F.xxhash64(F.col(text)).alias("own_hash"))
+    kept = packed.join(bad, F.col("own_id").eqNullSafe(F.col("bad_id")) & (F.col("own_hash") == F.col("bad_hash")), "left_anti")
+    return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 ORACLE = """

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -33,18 +34,22 @@ def plain(docs, items):
     return out
 
 
-@pytest.mark.parametrize("broadcast", [1_000_000, 0])
+@pytest.mark.parametrize("broadcast", [64 << 20, 0])
 def test_hits_against_brute_force(spark, table, odd, prose, broadcast, monkeypatch):
-    monkeypatch.setattr(decontam, "BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(decontam, "BROADCAST_BYTES", broadcast)
     texts = prose(24)
-    items = [(f"i{i}", t) for i, t in enumerate(texts[:10])] + [("short", "four words stand here"), ("one", "zyzzyva"), ("i1", texts[1]), (None, texts[2]), ("none", None), ("empty", "..."), ("twice", "again and again and again and again and again and again and again")]
+    items = [(f"i{i}", t) for i, t in enumerate(texts[:10])] + [("short", "four words stand here"), ("one", "zyzzyva"), ("i1", texts[1]), (None, texts[2]), ("none", None), ("empty", "..."), ("x", "X " * 1000), ("xy", "x y " * 40), ("twice", "again and again and again and again and again and again and again")]
     part = lambda t, a, b: " ".join(t.split()[a:b])
     rows = odd + [(100 + i, t) for i, t in enumerate(texts[8:])]
     rows += [(300 + n, "before " + part(texts[n % 10], 3, 3 + n) + " after") for n in range(7, 16)]
-    rows += [(400, "so FOUR words; stand-here ok"), (401, "a zyzzyva, a zyzzyva"), (402, "again and " * 30), (403, part(texts[0], 0, 12) + " x " + part(texts[0], 5, 20)), (None, texts[3]), (400, "so FOUR words; stand-here ok")]
+    rows += [(400, "so FOUR words; stand-here ok"), (401, "a zyzzyva, a zyzzyva"), (402, "again and " * 30), (404, "y x " * 50 + "z " + "x " * 12 + "w " + "x " * 9), (403, part(texts[0], 0, 12) + " x " + part(texts[0], 5, 20)), (None, texts[3]), (400, "so FOUR words; stand-here ok")]
     benchmark = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id string, text string, doc_id string")
     got = decontam.contamination(table(rows), benchmark)
-    assert Counter((r.doc_id, r.n_words, r.n_hit, tuple(r["items"]), r.contaminated) for r in got.collect()) == plain(rows, items)
+    got = got.collect()
+    assert Counter((r.doc_id, r.n_words, r.n_hit, tuple(r["items"]), r.contaminated) for r in got) == plain(rows, items)
+    for r in got:
+        ends = [-1, *(x for run in r.runs for x in (run["start"], run["stop"]))]
+        assert ends == sorted(set(ends)) and r.n_hit == sum(b - a for a, b in r.runs)
 
 
 def test_clean_documents_stay(spark, table, prose):
@@ -52,7 +57,8 @@ def test_clean_documents_stay(spark, table, prose):
     docs = table([(i, t) for i, t in enumerate(texts)] + [(7, None), (None, texts[0])])
     benchmark = spark.createDataFrame([("a", " ".join(texts[0].split()[:15]))], "item_id string, text string")
     kept = decontam.drop_contaminated(docs, benchmark)
-    assert kept.columns == docs.columns
+    assert kept.dtypes == docs.dtypes
+    assert all(r[c] == c for r in kept.collect() for c in docs.columns[3:])
     assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 3, 4, 5, 7]
 
 
@@ -60,3 +66,12 @@ def test_empty_tables(spark, table, prose):
     none = spark.createDataFrame([], "item_id string, text string")
     assert decontam.contamination(table([]), none).collect() == []
     assert [(r.n_hit, r.contaminated) for r in decontam.contamination(table([(1, prose(1)[0])]), none).collect()] == [(0, False)]
+
+
+def test_repetition_costs_no_more_than_its_length(spark, table):
+    docs = table([(1, "x " * 30_000), (2, "x " * 9), (3, "y x " * 15_000)])
+    benchmark = spark.createDataFrame([("a", "x " * 30_000), ("b", "x y " * 20_000)], "item_id string, text string")
+    begun = time.monotonic()
+    got = {r.doc_id: (r.n_hit, r["items"], [tuple(x) for x in r.runs]) for r in decontam.contamination(docs, benchmark).collect()}
+    assert got == {1: (30_000, ["a"], [(0, 30_000)]), 2: (0, [], []), 3: (30_000, ["b"], [(0, 30_000)])}
+    assert time.monotonic() - begun < 60
