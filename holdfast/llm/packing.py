@@ -35,7 +35,7 @@ def _cut(path: str, end: int, capacity: int):
         own, part, seen = tokens.encoder(path), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
             docs, at = batch.column(0), 0
-            for flat, sizes in own.encode(batch.column(1).to_pylist(), end):
+            for flat, sizes in own.encode(batch.column(1), end):
                 raw = memoryview(flat.astype("<u4")).cast("B")
                 pieces = -(-sizes // capacity)
                 doc = np.repeat(np.arange(len(sizes)), pieces)

@@ -70,7 +70,7 @@ def _encode(path: str, end: int, bounds: list[int]):
         for batch in batches:
             ids, at = batch.column(0), 0
             shard = np.where(ids.is_valid().to_numpy(zero_copy_only=False), np.searchsorted(edges, ids.fill_null(0).to_numpy(), "right") + 1, 0)
-            for flat, sizes in own.encode(batch.column(1).to_pylist(), end):
+            for flat, sizes in own.encode(batch.column(1), end):
                 stop, small = at + len(sizes), flat.astype("<u2") if flat.max(initial=0) < 1 << 16 else flat.astype("<u4")
                 rows = [x.tobytes() for x in np.split(small, np.cumsum(sizes)[:-1])]
                 yield pa.RecordBatch.from_arrays([ids.slice(at, len(sizes)), pa.array(shard[at:stop], pa.int32()), pa.array(sizes, pa.int64()), pa.array(rows, pa.binary())], ["doc_id", "shard", "n", "ids"])

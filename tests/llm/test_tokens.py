@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from holdfast.llm import packing, token_files, tokens
@@ -15,17 +16,17 @@ def plain():
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(tokens.vocabulary_path())
-    own.encode_special_tokens = True
     return lambda t: [*own.encode(t or "", add_special_tokens=False).ids, 0]
 
 
-MIXED = ["Tabs\tand  two blanks ", " leading\n\n  lines\r\nend", "it's we'll I'D d'accord l'été", "x1y2 3.14 -- !?...", "<|endoftext|> as text", "日本語 テキスト emoji 😀😀 é", "a b c\u0085d", "ALL CAPS Überraschung straße"]
+SPACES = [f"one{chr(c)}two {chr(c)}" for c in range(0x3001) if chr(c).isspace()]
+MIXED = [*SPACES, "café, naïve. Ünder! e\u0301a, x\u2019s don't, (it)'s \n\n a", "Tabs\tand  two blanks ", " leading\n\n  lines\r\nend", "it's we'll I'D d'accord l'été", "x1y2 3.14 -- !?...", "<|endoftext|> as text", "in<|endoftext|>side\n <|endoftext|>", "<|endoftext|", "日本語 テキスト emoji 😀😀 é", "a b c\u0085d", "ALL CAPS Überraschung straße"]
 
 
 def test_pieces_make_the_ids_of_whole_texts(plain, prose):
     draw = random.Random(2)
     texts = MIXED + prose(20) + ["".join(draw.choice("ab Zé'1\n\t.,ß日") for _ in range(60)) for _ in range(200)] + [None, ""]
-    ids, sizes = map(np.concatenate, zip(*tokens.PieceEncoder(tokens.vocabulary_path()).encode(texts, 0)))
+    ids, sizes = map(np.concatenate, zip(*tokens.PieceEncoder(tokens.vocabulary_path()).encode(pa.array(texts), 0)))
     want = [plain(t) for t in texts]
     assert sizes.tolist() == list(map(len, want))
     assert ids.tolist() == [i for w in want for i in w]
@@ -49,6 +50,10 @@ def test_files_come_back(spark, table, odd, prose, plain):
     assert [r["count"] for r in ranks] == sorted((r["count"] for r in ranks), reverse=True)
 
 
+def test_special_strings_are_those_of_the_library(plain):
+    assert plain("a<|endoftext|>b") == [64, 50256, 65, 0]
+
+
 def test_packing_is_gapless_and_whole(table, odd, prose, plain):
     rows = [(i, t) for i, t in odd if i is not None] + [(1000 + i, t) for i, t in enumerate(prose(150, most=400) + MIXED)]
     bins, capacity = {}, 256
