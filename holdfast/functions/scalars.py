@@ -7,8 +7,15 @@ from pyspark.sql import functions as F
 
 
 def bytes_text(n: Column) -> Column:
-    """A size in bytes, KB, MB or GB with two decimals."""
-    size = lambda shift, unit: F.format_string(f"%.2f {unit}", n / F.lit(float(1 << shift)))
+    """A size in bytes, KB, MB or GB with two decimals; a tie goes to the even one."""
+
+    def size(shift: int, unit: str) -> Column:
+        parts, one = n.cast("decimal(20,0)") * 100, F.lit(1 << shift).cast("decimal(20,0)")
+        rest = parts % one
+        whole = ((parts - rest) / one).cast("long")
+        near = whole + ((rest * 2 > one) | ((rest * 2 == one) & (whole % 2 == 1))).cast("long")
+        return F.format_string(f"%d.%02d {unit}", F.floor(near / 100), near % 100)
+
     return F.when(n >= 1 << 30, size(30, "GB")).when(n >= 1 << 20, size(20, "MB")).when(n >= 1 << 10, size(10, "KB")).otherwise(F.concat(n.cast("string"), F.lit(" bytes")))
 
 

@@ -59,13 +59,15 @@ def holders(matched: DataFrame, locations: DataFrame, sources: DataFrame) -> Dat
     return matched.join(at.select("sha1", "source", "root", "disposition", "path", "archive_path"), "sha1")
 
 
-def capped_holders(held: DataFrame, cap: int = PER_CONTENT) -> DataFrame:
-    """At most cap holders of each content and entry, first by source and path; the rest of a content is not asked for."""
-    places = held.select("sha1", "source", "path", "archive_path").distinct()
+def capped_holders(matched: DataFrame, locations: DataFrame, sources: DataFrame, cap: int = PER_CONTENT) -> DataFrame:
+    """Holders of matched contents, at most cap places of each content, first by source and path.
+
+    Places are ranked and cut before they meet the entries, so no content grows to more than entries times cap rows.
+    """
+    places = locations.join(matched.select("sha1").distinct(), "sha1", "left_semi").dropDuplicates(["sha1", "source", "path", "archive_path"])
     order = Window.partitionBy("sha1").orderBy("source", "path", F.asc_nulls_first("archive_path"))
     first = places.withColumn("_nth", F.row_number().over(order)).where(F.col("_nth") <= cap).drop("_nth")
-    same = (F.col("h.sha1") == F.col("f.sha1")) & (F.col("h.source") == F.col("f.source")) & (F.col("h.path") == F.col("f.path")) & F.col("h.archive_path").eqNullSafe(F.col("f.archive_path"))
-    return held.alias("h").join(first.alias("f"), same, "left_semi")
+    return holders(matched, first, sources)
 
 
 def expansion(matched: DataFrame, locations: DataFrame, cap: int | None = None) -> DataFrame:

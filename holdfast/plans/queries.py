@@ -113,7 +113,7 @@ def a16_shared_containers(r):
 @query("""select h.coll, h.game, h.rom, h.sha1, h.source, h.path, h.archive_path from hold h join (select sha1, source, path, archive_path from (select distinct sha1, source, path, archive_path from hold)
   qualify row_number() over (partition by sha1 order by source, path, archive_path nulls first)<=2) f on f.sha1=h.sha1 and f.source=h.source and f.path=h.path and f.archive_path is not distinct from h.archive_path""", "c_match", "c_locations", more=HOLDERS)
 def n1_capped_holders(r):
-    return matching.capped_holders(matching.holders(r.match, r.locations, r.sources), 2).select("coll", "game", "rom", "sha1", "source", "path", "archive_path")
+    return matching.capped_holders(r.match, r.locations, r.sources, 2).select("coll", "game", "rom", "sha1", "source", "path", "archive_path")
 
 
 @query("select count(*) as n_rows from hold", "c_match", "c_locations", more=HOLDERS)

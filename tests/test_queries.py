@@ -12,7 +12,7 @@ from holdfast.functions import names, scalars
 from holdfast.operators import merges, reports, versions
 from holdfast.plans.queries import ORACLES, QUERIES
 
-DATA = "/root/testdata/sf0.001"
+DATA = "/root/testdata/sf0.01"
 duckdb = pytest.importorskip("duckdb")
 
 
@@ -103,4 +103,6 @@ def test_small_expressions(spark):
     assert value(scalars.under(F.lit("/lib/ROMs/x"), F.lit("/lib/ROMs/"))) and not value(scalars.under(F.lit("/lib/ROMsX"), F.lit("/lib/ROMs")))
     assert value(scalars.le_bytes(F.lit(258).cast("long"))) == (258).to_bytes(8, "little")
     assert value(scalars.shortened(F.lit("abcdefghij"), 6)) == "...hij"
+    sizes = {1152: "1.12 KB", 1664: "1.62 KB", 1157: "1.13 KB", 1023: "1023 bytes", 5 << 19: "2.50 MB", (1 << 30) + (1 << 23): "1.01 GB"}
+    assert {n: value(scalars.bytes_text(F.lit(n).cast("long"))) for n in sizes} == sizes
     assert value(scalars.bar(F.lit(5), F.lit(10), 4)) == "##--"
