@@ -101,8 +101,9 @@ def missing_entries(roms: DataFrame, files: DataFrame) -> DataFrame:
     return strong.union(loose)
 
 
-def shared_content(matched: DataFrame) -> DataFrame:
-    """Contents that entries of more than one game ask for."""
+def shared_content(matched: DataFrame, locations: DataFrame | None = None) -> DataFrame:
+    """Contents that entries of more than one game ask for; of those that lie anywhere, if locations are given."""
+    matched = matched if locations is None else matched.join(locations.select("sha1"), "sha1", "left_semi")
     return matched.groupBy("sha1").agg(F.count_distinct("coll", "game").alias("games")).where("games > 1").select("sha1")
 
 

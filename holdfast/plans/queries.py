@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names, scalars
-from ..operators import completeness, matching, merges, reports, settings, versions
+from ..operators import completeness, matching, merges, planner, reports, settings, versions
 from ..projection import Relations, ctes
 from ..sources import files
 
@@ -332,6 +332,218 @@ def a17_destination_collisions(r):
     return settings.collisions(placed)
 
 
+UNDER = lambda path, root: f"({path}={root} or starts_with({path},{root}||'/'))"
+MAY = f"(disposition='consume' or {UNDER('dest', 'root')})"
+PLACED = f"({UNDER('spot', 'dest_root')} or {UNDER('spot', chr(39) + '/lib/ROMs' + chr(39))})"
+WANT = """shr as (select sha1 from c_held group by sha1 having count(distinct coll||'/'||game)>1),
+shc as (select root||'/'||path as spot from c_held where archive_path is not null group by 1 having count(distinct coll||'/'||game)>1),
+w as (select h.*, o.dest_root, o.format, h.root||'/'||h.path as spot, h.sha1 in (select sha1 from shr) as is_shared from c_held h join c_goals o on o.coll=h.coll),
+cnt as (select coll, game, count(distinct rom) as n from w where not is_disk and format='loose' group by 1,2),
+dd as (select w.*, case when is_disk then dest_root||'/'||game||'/'||rom||'.chd' when n>1 then dest_root||'/'||game||'/'||rom else dest_root||'/'||rom end as dest from w left join cnt using (coll,game) where is_disk or format='loose')"""
+FILE_OPS = f"""{WANT},
+rk as (select *, archive_path is null and spot=dest as here, bool_or(is_shared) over (partition by coll, dest) as shared,
+  row_number() over (partition by coll, dest order by case when archive_path is null and spot=dest then 0 else 1 end, game, rom, root, path, coalesce(archive_path,''), sha1) as nth from dd),
+fops as (select coll, is_disk, case when {MAY} and not shared then 'move' else 'copy' end as kind, spot as source, archive_path, dest, size, null as reason from rk where nth=1 and not here
+  union all select coll, is_disk, 'delete', spot, null, dest, 0, 'exact duplicate — kept '||dest from rk where nth>1 and archive_path is null and not shared and {MAY} and spot<>dest and not {PLACED})"""
+GAMES = f"""{WANT},
+pk as (select *, dest_root||'/'||game||case when format='7z' then '.7z' else '.zip' end as dest, case when format='7z' then '7z' else 'zip' end as ext, rom||'|'||lower(sha1) as k from w where not is_disk and format<>'loose'),
+gm as (select coll, game, dest_root, format, dest, ext, count(distinct k) as expected, bool_or(is_shared) as shared from pk group by all),
+ct as (select coll, game, spot, count(distinct k) as holds, bool_and(archive_path is not null) as archived, sum(size) as own from pk group by all),
+cf as (select coll, game, spot, root, disposition, archive_path from pk qualify row_number() over (partition by coll, game, spot order by rom, coalesce(archive_path,''), root, disposition)=1),
+bf as (select c.*, f.root, f.disposition, f.archive_path from ct c join gm g on g.coll=c.coll and g.game=c.game and g.expected=c.holds join cf f on f.coll=c.coll and f.game=c.game and f.spot=c.spot
+  qualify row_number() over (partition by c.coll, c.game order by c.spot<>g.dest, c.spot)=1),
+sz as (select coll, game, sum(n) as entries, sum(n*size) as bytes from (select coll, game, rom, arg_min(size, row(spot, sha1, coalesce(archive_path,''))) as size, count(distinct sha1) as n from pk group by all) group by all),
+fd as (select p.coll, p.game, bool_and(p.disposition='consume' or {UNDER('p.dest', 'p.root')}) as leaves, count(*) as n_sources from pk p left join bf b on b.coll=p.coll and b.game=p.game where b.spot is null or b.spot=p.spot group by all),
+g1 as (select g.*, b.spot as build_from, b.archived, b.own, b.archive_path as first_entry, coalesce(b.spot<>g.dest,true) as away, b.spot in (select spot from shc) as serves, z.entries, z.bytes, f.leaves, f.n_sources, b.spot is not null and b.spot<>g.dest and (b.disposition='consume' or {UNDER('g.dest', 'b.root')}) as free
+  from gm g left join bf b on b.coll=g.coll and b.game=g.game join sz z on z.coll=g.coll and z.game=g.game join fd f on f.coll=g.coll and f.game=g.game),
+g2 as (select *, case when not away and format<>'torrentzip' then 'correct' when coalesce(free,false) and not shared and not coalesce(serves,false) and format<>'torrentzip' and archived and lower(regexp_extract(build_from,'[^.]*$'))=ext then 'relocate' else 'repack' end as action from g1),
+gp as (select coll, game, dest_root, dest, build_from, shared, action, cast(entries as bigint) as entries, cast(case action when 'relocate' then own when 'repack' then bytes else 0 end as bigint) as size, action='repack' and leaves and not shared as move_sources,
+  action='repack' and coalesce(free,false) and first_entry is not null as drains, n_sources from g2)"""
+ARCHIVE_OPS = f"""{GAMES},
+aops as (select coll, action as kind, build_from as source, null as archive_path, dest, size, case when move_sources then 'sources go' end as reason from gp where action<>'correct'
+  union all select coll, 'delete', spot, null, dest, 0, 'exact duplicate — kept '||dest from (select f.*, g.dest, g.dest_root, g.build_from from cf f join gp g on g.coll=f.coll and g.game=f.game where not g.shared)
+    where spot<>dest and spot is distinct from build_from and spot not in (select spot from shc) and {MAY} and not {PLACED})"""
+ALL_OPS = FILE_OPS + ARCHIVE_OPS[len(WANT) :] + """,
+ops as (select coll, kind, source, archive_path, dest, size, reason from fops union all select * from aops),
+pc as (select o.coll, o.name, o.node_path, cast(coalesce(b.n,0)+coalesce(p.n,0) as bigint) as to_write, cast(coalesce(a.n,0)+coalesce(p.ok,0) as bigint) as already_correct, cast(coalesce(b.bytes,0)+coalesce(p.bytes,0) as bigint) as bytes
+  from c_goals o left join (select coll, count(*) as n from rk where nth=1 and here group by 1) a on a.coll=o.coll left join (select coll, count(*) as n, sum(size) as bytes from fops where kind<>'delete' group by 1) b on b.coll=o.coll
+  left join (select coll, count(*) filter (action='repack') as n, sum(entries) filter (action='correct') as ok, sum(size) as bytes from gp group by 1) p on p.coll=o.coll)"""
+PLAN = ("c_held", "c_goals")
+LIBRARY = "/lib/ROMs"
+
+
+def _rows(r):
+    return planner.wanted(r.held, r.goals, matching.shared_content(r.held))
+
+
+def _shared_at(r):
+    own = r.held.where("archive_path is not null").groupBy(F.concat_ws("/", "root", "path").alias("at"))
+    return own.agg(F.count_distinct("coll", "game").alias("n")).where("n > 1").select("at")
+
+
+def _planned(r):
+    rows = _rows(r)
+    files_ops, dests = planner.plan_files(rows, LIBRARY)
+    built = planner.games(rows, _shared_at(r))
+    return files_ops, dests, built, files_ops.unionByName(planner.plan_archives(rows, built, _shared_at(r), LIBRARY))
+
+
+def _plan_rows(r):
+    files_ops, dests, built, _ = _planned(r)
+    return planner.per_collection(r.goals, dests, files_ops, built)
+
+
+@query("select coll, kind, source, archive_path, dest, size, reason from fops where not is_disk", *PLAN, more=FILE_OPS)
+def l4_plan_loose(r):
+    return planner.plan_files(_rows(r).where("not is_disk"), LIBRARY)[0]
+
+
+@query("select coll, kind, source, archive_path, dest, size, reason from fops where is_disk", *PLAN, more=FILE_OPS)
+def l9_plan_disks(r):
+    return planner.plan_files(_rows(r).where("is_disk"), LIBRARY)[0]
+
+
+@query("select coll, game, dest, build_from, action, size, entries from gp", *PLAN, more=GAMES)
+def l5_plan_archives(r):
+    return planner.games(_rows(r), _shared_at(r)).select("coll", "game", "dest", "build_from", "action", "size", "entries")
+
+
+@query("select coll, game, size, move_sources, n_sources from gp where action='repack'", *PLAN, more=GAMES)
+def l6_repack_sizes(r):
+    return planner.games(_rows(r), _shared_at(r)).where("action = 'repack'").select("coll", "game", "size", "move_sources", "n_sources")
+
+
+@query("select coll, source, dest, reason from aops where kind='delete'", *PLAN, more=ARCHIVE_OPS)
+def l7_duplicate_archives(r):
+    rows, spot = _rows(r), _shared_at(r)
+    return planner.plan_archives(rows, planner.games(rows, spot), spot, LIBRARY).where("kind = 'delete'").select("coll", "source", "dest", "reason")
+
+
+@query("""select spot as container, case when lower(spot) like '%.7z' then '7z' else 'zip' end as format, 'consolidated into '||arg_min(dest, row(name, game, rom, sha1, dest)) as reason, count(distinct archive_path) as entries
+  from (select p.*, o.name from pk p join gp g on g.coll=p.coll and g.game=p.game and g.build_from=p.spot join c_goals o on o.coll=p.coll where g.drains and p.archive_path is not null) group by spot""", *PLAN, more=GAMES)
+def l8_drains(r):
+    rows = _rows(r)
+    found = planner.drains(rows, planner.games(rows, _shared_at(r)), r.goals)
+    return found.select("container", "format", "reason", F.size("entries").cast("long").alias("entries"))
+
+
+@query("""select spot as container, archive_path as container_entry, arg_min(rom, row(name, game, rom, sha1, dest)) as dest_entry, arg_min(dest, row(name, game, rom, sha1, dest)) as dest
+  from (select p.*, o.name from pk p join gp g on g.coll=p.coll and g.game=p.game and g.build_from=p.spot join c_goals o on o.coll=p.coll where g.drains and p.archive_path is not null) group by 1,2""", *PLAN, more=GAMES)
+def u4_first_entry_names(r):
+    rows = _rows(r)
+    found = planner.drains(rows, planner.games(rows, _shared_at(r)), r.goals)
+    return found.select("container", F.explode("entries").alias("e")).select("container", "e.container_entry", "e.dest_entry", "e.dest")
+
+
+@query("""select count(*) filter (kind='copy') as copies, count(*) filter (kind in ('move','relocate')) as moves, count(*) filter (kind='repack') as repacks, count(*) filter (kind in ('delete','drain')) as deletes,
+  cast(sum(size) as bigint) as bytes, (select cast(sum(already_correct) as bigint) from pc) as already_correct from ops""", *PLAN, more=ALL_OPS)
+def l13_plan_summary(r):
+    return planner.summary(_planned(r)[3], _plan_rows(r))
+
+
+@query("select * from pc", *PLAN, more=ALL_OPS)
+def l1_plan_per_collection(r):
+    return _plan_rows(r)
+
+
+@query("select name, node_path, to_write, bytes from pc where to_write>0", *PLAN, more=ALL_OPS)
+def a11_pending_work(r):
+    return planner.pending(_plan_rows(r))
+
+
+@query("select split_part(node_path,'/',1) as grp, cast(sum(to_write) as bigint) as to_write, cast(sum(bytes) as bigint) as bytes from pc where to_write>0 group by 1", *PLAN, more=ALL_OPS)
+def a10_pending_by_set(r):
+    return planner.by_set(_plan_rows(r))
+
+
+@query("select kind, count(*) as n, cast(sum(size) as bigint) as bytes from ops group by 1", *PLAN, more=ALL_OPS)
+def a12_operations_by_kind(r):
+    return planner.tally(_planned(r)[3])
+
+
+@query("""select '/' as volume, cast(sum(size) as bigint) as bytes, cast(trunc(cast(sum(size) as double)*1.1) as bigint) as with_margin from ops where kind in ('copy','repack') having sum(size)>0""", *PLAN, more=ALL_OPS)
+def a22_space_needed(r):
+    return planner.space_needed(_planned(r)[3])
+
+
+@query("select row_number() over (order by coll, dest, source, kind, archive_path)-1 as op_id, coll, kind, source, dest from ops", *PLAN, more=ALL_OPS)
+def l14_operation_ids(r):
+    order = ["coll", "dest", F.asc_nulls_last("source"), "kind", F.asc_nulls_last("archive_path")]
+    return planner.numbered(_planned(r)[3], order).select("op_id", "coll", "kind", "source", "dest")
+
+
+@query("select coll, game, count(distinct rom) as entries from c_held where not is_disk group by 1,2", "c_held")
+def a23_entries_per_game(r):
+    return planner.entries_per_game(r.held.where("not is_disk"))
+
+
+DESIRED = GAMES + ",\nwish as (select dest from dd union select dest from pk), homes as (select distinct sha1, dest from pk)"
+LAYER = """loose as (select l.root||'/'||l.path as path, l.sha1, f.size from c_homes l join c_files f on f.sha1=l.sha1 where l.archive_path is null and (l.root='/lib/ROMs' or starts_with(l.root,'/lib/ROMs/'))),
+layer as (select *, sha1 in (select h.sha1 from homes h join c_homes l on l.sha1=h.sha1 and l.root||'/'||l.path=h.dest where l.archive_path is not null) and path not in (select dest from wish) as removable from loose)"""
+
+
+@query("select dest from wish", *PLAN, more=DESIRED)
+def l10_desired_paths(r):
+    return planner.desired_paths(_rows(r))
+
+
+@query("select sha1, dest from homes", *PLAN, more=DESIRED)
+def l10_archive_homes(r):
+    return planner.archive_homes(_rows(r))
+
+
+def _layer(r):
+    roots = r.homes.select(F.col("root").alias("source"), F.col("root").alias("path")).distinct()
+    places = r.homes.select("sha1", F.col("root").alias("source"), "path", "archive_path")
+    return planner.superseded(_rows(r), places, roots, r.files, LIBRARY)
+
+
+@query("select * from layer", *PLAN, "c_homes", "c_files", more=DESIRED + ",\n" + LAYER)
+def l11_superseded(r):
+    return _layer(r)
+
+
+@query("select count(*) as files, cast(sum(size) as bigint) as bytes, count(*) filter (removable) as removable_files, cast(coalesce(sum(size) filter (removable),0) as bigint) as removable_bytes from layer", *PLAN, "c_homes", "c_files", more=DESIRED + ",\n" + LAYER)
+def a20_superseded_totals(r):
+    return planner.superseded_totals(_layer(r))
+
+
+@query("select distinct dest, cast(null as varchar) as archive_path, d.sha1 from fops join (select distinct dest, sha1 from dd) d using (dest) where kind<>'delete' union select g.dest, p.rom, p.sha1 from gp g join pk p on p.coll=g.coll and p.game=g.game where action='repack'", *PLAN, more=ALL_OPS)
+def w18_placements(r):
+    rows, ops = _rows(r), _planned(r)[3]
+    packed = planner._archive_dest(rows.where("not is_disk and format <> 'loose'"))
+    return planner.placements(ops, planner.with_dest(rows).select("dest", "rom", "sha1").unionByName(packed.select("dest", "rom", "sha1")))
+
+
+@query("""select o.coll, o.name, case when v.coll is null then 'no active version' when o.coll in ('de','fr') then 'filtered' when e.n>=120 and m.n>200 then 'oversized' else 'planned' end as state from c_goals o
+  left join (select distinct coll from c_versions where is_active and coll<>'es') v on v.coll=o.coll left join (select coll, count(*) as n from c_roms where version='v2' group by 1) e on e.coll=o.coll
+  left join (select coll, sum(n*least(p,2)) as n from (select coll, sha1, count(*) as n from c_match group by 1,2) join (select sha1, count(*) as p from c_locations group by 1) using (sha1) group by 1) m on m.coll=o.coll""", "c_goals", "c_versions", "c_roms", "c_match", "c_locations")
+def l3_why_planned(r):
+    """One collection has no version, one is left out by its name, and small bounds stand for the large ones."""
+    return planner.gate(r.goals, r.versions.where("is_active and coll <> 'es'"), active(r.roms), r.match, r.locations, names="e*", guard=120, most=200, cap=2)
+
+
+@query("""select distinct sha1, root, path, disposition='consume' or starts_with('/lib/ROMs/src1/x', root||'/') as may_leave from c_homes""", "c_homes")
+def f7_may_leave(r):
+    return r.homes.select("sha1", "root", "path", planner.may_leave(F.col("disposition"), F.col("root"), F.lit("/lib/ROMs/src1/x")).alias("may_leave")).distinct()
+
+
+@query("select coll, game, spot, archived and lower(regexp_extract(spot,'[^.]*$'))='zip' as can_relocate from (select coll, game, root||'/'||path as spot, bool_and(archive_path is not null) as archived from c_held group by 1,2,3)", "c_held")
+def f12_relocatable(r):
+    found = planner.containers(r.held.withColumn("at", F.concat_ws("/", "root", "path")))
+    return found.select("coll", "game", F.col("at").alias("spot"), planner.relocatable(F.col("archived"), F.col("at"), F.lit("zip")).alias("can_relocate"))
+
+
+@query("select sha1, path, sha1||'_'||split_part(path,'/',-1) as file from c_locations", "c_locations")
+def c15_quarantine_names(r):
+    return r.locations.select("sha1", "path", planner.quarantine_name(F.col("sha1"), F.col("path")).alias("file"))
+
+
+@query("select sha1 from c_match where sha1 in (select sha1 from c_locations where source='src1') group by sha1 having count(distinct coll||'/'||game)>1", "c_match", "c_locations")
+def j8_shared_and_held(r):
+    return matching.shared_content(r.match, r.locations.where("source = 'src1'"))
+
+
 @query("select upper(sha1(text)) as sha1, upper(md5(text)) as md5, doc_id from documents")
 def s29_hashes(r):
     found = files.hashes(r.documents.select(F.col("doc_id").cast("string").alias("path"), F.encode("text", "UTF-8").alias("content")))

@@ -10,6 +10,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .snapshots import snapshot
+
 _T = "concat('Title ',cast(cast(floor({g}/3) as bigint) as varchar(12))"
 
 BODIES = {
@@ -44,7 +46,21 @@ BODIES = {
       select vr.coll, vr.game, vr.rom, vr.is_disk, f.sha1, f.size from vr join c_files f on f.sha1=vr.sha1 where vr.sha1 is not null
       union select vr.coll, vr.game, vr.rom, vr.is_disk, f.sha1, f.size from vr join c_files f on f.sha1_no_header=vr.sha1 where vr.sha1 is not null
       union select vr.coll, vr.game, vr.rom, vr.is_disk, f.sha1, f.size from vr join c_files f on f.crc32=vr.crc32 and f.size=vr.size where vr.sha1 is null and vr.crc32 is not null""",
+    "c_goals": """select coll, name, node_path, concat('/lib/ROMs/',node_path) as dest_root, case coll when 'de' then 'loose' when 'en' then 'zip' when 'es' then 'torrentzip' else '7z' end as format
+      from c_collections""",
+    "c_asked": """select m.*, cast(substr(rom,2,length(rom)-5) as integer) as doc, cast(floor(cast(substr(rom,2,length(rom)-5) as integer)/4) as bigint) as g from c_match m""",
+    "c_homes": """select l.sha1, s.path as root, s.disposition, l.path, l.archive_path from c_locations l join c_sources s on s.source=l.source
+      union select w.sha1, '/lib/ROMs', 'preserve', concat(o.node_path,'/',w.game,EXT), w.rom from c_asked w join c_goals o on o.coll=w.coll where not w.is_disk and o.format<>'loose' and w.g % 4 = 0
+      union select w.sha1, '/stage/sets', 'consume', concat(w.game,EXT), w.rom from c_asked w join c_goals o on o.coll=w.coll where not w.is_disk and o.format<>'loose' and w.g % 4 in (1,3)
+      union select w.sha1, '/lib/ROMs', 'preserve', case when w.is_disk then concat(o.node_path,'/',w.game,'/',w.rom,'.chd') when n.n > 1 then concat(o.node_path,'/',w.game,'/',w.rom) else concat(o.node_path,'/',w.rom) end, cast(null as varchar(40))
+        from c_asked w join c_goals o on o.coll=w.coll left join (select coll, game, count(distinct rom) as n from c_asked where not is_disk group by coll, game) n on n.coll=w.coll and n.game=w.game
+        where (w.is_disk or o.format='loose') and w.doc % 2 = 0
+      union select w.sha1, '/stage/loose', 'consume', concat('x/',w.rom), cast(null as varchar(40)) from c_asked w where w.doc % 3 = 0""".replace("EXT", "case when o.format='7z' then '.7z' else '.zip' end"),
+    "c_held": """select m.coll, m.game, m.rom, m.is_disk, m.sha1, m.size, h.root, h.disposition, h.path, h.archive_path from c_asked m join c_homes h on h.sha1=m.sha1""",
 }
+#: The planner's inputs, which a catalogue has as tables: computed once for each application and folder.
+STORED = ("c_asked", "c_homes", "c_held")
+_stored: dict[tuple[str, str, str], DataFrame] = {}
 TABLES = ("documents", "labels")
 
 
@@ -85,5 +101,12 @@ class Relations:
                 used = _uses(body)
                 for n in used:
                     body = re.sub(rf"(?<![.\w]){n}\b(?!\.)", "{" + n + "}", body)
-                self._made[full] = self.spark.sql(body, **{n: getattr(self, n.removeprefix("c_")) for n in used})
+                key = (self.spark.sparkContext.applicationId, self.sf_dir, full)
+                if key not in _stored:
+                    made = self.spark.sql(body, **{n: getattr(self, n.removeprefix("c_")) for n in used})
+                    if full not in STORED:
+                        self._made[full] = made
+                        return made
+                    _stored[key] = snapshot(made)
+                self._made[full] = _stored[key]
         return self._made[full]
