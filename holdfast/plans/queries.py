@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names, scalars
-from ..operators import completeness, matching, merges, planner, reports, settings, versions
+from ..operators import completeness, imports, matching, merges, planner, reports, settings, versions
 from ..projection import Relations, ctes
 from ..sources import files
 
@@ -544,6 +544,140 @@ def j8_shared_and_held(r):
     return matching.shared_content(r.match, r.locations.where("source = 'src1'"))
 
 
+HEADS = """head as (select distinct concat(source,'/',lang,'.dat') as path, case when source='src7' then 'XX - New' else concat(upper(lang),' - Documents') end as name,
+  case when source in ('src1','src2') then 'v2' when source<>'src5' then source end as version, case when source in ('src4','src6') then source end as under, case when source='src3' then 'no header' end as error from documents)"""
+JUDGED = f"""{HEADS}, named as (select path, name, coalesce(version,'20260101') as version, under, error from head),
+here as (select distinct c.name, v.version from c_collections c join c_versions v on v.coll=c.coll),
+judged as (select path, name, version, coalesce(under,name) as node_path, case when error is not null then 'failed' when (name,version) in (select (name,version) from here)
+  or row_number() over (partition by name, version, error is null order by path)>1 then 'skipped' else 'added' end as state from named)"""
+
+
+def _heads(r):
+    return r.spark.sql(HEADS[HEADS.index("(select") + 1 : -1].replace("from documents", "from {documents}"), documents=r.documents)
+
+
+@query("select * from judged", "c_collections", "c_versions", more=JUDGED)
+def s18_import(r):
+    return imports.judge(_heads(r), r.collections, r.versions, "20260101").drop("error")
+
+
+@query("select state, count(*) as n from judged group by 1", "c_collections", "c_versions", more=JUDGED)
+def a25_import_report(r):
+    return imports.report(imports.judge(_heads(r), r.collections, r.versions, "20260101"))
+
+
+@query("""select path, name as node_path, case when error is not null then error when name not in (select name from c_collections) then 'no such collection' end as error, case when error is not null or name not in (select name from c_collections) then 'failed'
+  when (name,version) in (select (name,version) from here) or row_number() over (partition by name, version, error is null and name in (select name from c_collections) order by path)>1 then 'skipped' else 'added' end as state from named""", "c_collections", "c_versions", more=JUDGED)
+def s20_upgrade(r):
+    return imports.judge(_heads(r), r.collections, r.versions, "20260101", upgrade=True).select("path", "node_path", "error", "state")
+
+
+@query("""select coll, version, version=last as is_active from (select coll, version from c_versions union select coalesce(c.coll,j.name), version from judged j left join c_collections c on c.name=j.name where state='added')
+  left join (select coalesce(c.coll,j.name) as coll, arg_max(version, path) as last from judged j left join c_collections c on c.name=j.name where state='added' group by 1) using (coll)""", "c_collections", "c_versions", more=JUDGED)
+def s19_versions_after_import(r):
+    none = r.spark.createDataFrame([], "path string, game string, description string, parent_name string, is_bios boolean, is_device boolean, is_mechanical boolean, rom string, size long, crc32 string, md5 string, sha1 string, status string, merge_tag string, is_disk boolean")
+    judged = imports.judge(_heads(r), r.collections, r.versions, "20260101")
+    return imports.apply(judged, r.collections, r.versions, r.games, r.roms, none)[1].select("coll", "version", "is_active")
+
+
+@query("""select source, path, case when source='src9' then 'consume' when inside then 'preserve' else 'consume' end as disposition, source='src9' and inside as refused
+  from (select source, path, path='/lib/ROMs' or starts_with(path,'/lib/ROMs/') as inside from c_sources)""", "c_sources")
+def s32_register_sources(r):
+    wanted = r.sources.select("source", F.concat("path", F.lit("/")).alias("path"), F.when(F.col("source") == "src9", "consume").alias("wanted"))
+    return imports.register(wanted, r.spark.createDataFrame([("/lib/ROMs/",)], "path string"))
+
+
+@query("select source, path, sha1 from c_locations where path='z' or starts_with(path,'z/')", "c_locations")
+def s23_subtree(r):
+    return imports.below(r.locations, "./z/").select("source", "path", "sha1")
+
+
+@query("select sha1, quarantine_path, size, reason, collection_name from c_quarantine where reason<>'duplicate' union all select sha1, 'again/'||sha1, min(size), 'duplicate', null from c_files where sha1 not in (select sha1 from c_quarantine where reason<>'duplicate') group by sha1", "c_quarantine", "c_files")
+def w15_quarantine(r):
+    """Rows of one reason go, and contents that are not quarantined come."""
+    left = merges.remove(r.quarantine, r.quarantine.where("reason = 'duplicate'"), ["sha1", "quarantine_path", "reason"])
+    new = r.files.select("sha1", F.concat(F.lit("again/"), "sha1").alias("quarantine_path"), "size", F.lit("duplicate").alias("reason"), F.lit(None).cast("string").alias("collection_name"))
+    return merges.insert_or_ignore(left, new, ["sha1"], ["quarantine_path"])
+
+
+@query("select coalesce(m.to_source,l.source) as source, coalesce(m.to_path,l.path) as path, l.archive_path, l.sha1 from c_locations l left join (select distinct source, path, 'moved' as to_source, source||'/'||path as to_path from c_locations where archive_path is not null) m on m.source=l.source and m.path=l.path", "c_locations")
+def w5_relocate(r):
+    moves = r.locations.where("archive_path is not null").select("source", "path", F.lit("moved").alias("to_source"), F.concat_ws("/", "source", "path").alias("to_path")).distinct()
+    return merges.relocate(r.locations, moves).select("source", "path", "archive_path", "sha1")
+
+
+@query("select source, path, archive_path, sha1 from c_locations l where not exists (select 1 from c_locations g where g.source='src1' and g.source=l.source and g.path=l.path)", "c_locations")
+def w6_remove_locations(r):
+    return merges.remove(r.locations, r.locations.where("source = 'src1'"), ["source", "path"]).select("source", "path", "archive_path", "sha1")
+
+
+@query("""select sha1, any_value(b.payload) as sha1_no_header, any_value(f.md5) as md5, any_value(coalesce(b.crc,f.crc32)) as crc32, any_value(f.size) as size from c_files f
+  left join (select upper(sha1(text)) as sha1, max(upper(sha1(substr(text,17)))) as payload, max(substr(upper(md5(text)),9,8)) as crc from documents where doc_id % 2 = 0 group by 1) b using (sha1) group by 1""", "c_files")
+def w3_upsert_files(r):
+    """A second scan knows other check sums and hashes without a header; sizes stay as first seen."""
+    old = r.files.withColumn("sha1_no_header", F.lit(None).cast("string"))
+    again = r.documents.where("doc_id % 2 = 0").selectExpr("upper(sha1(text)) as sha1", "upper(sha1(substr(text,17))) as sha1_no_header", "substr(upper(md5(text)),9,8) as crc32", "0L as size", "1L as seq")
+    again = again.join(old.select("sha1"), "sha1", "left_semi")
+    return merges.upsert_files(old, again, "seq").select("sha1", "sha1_no_header", "md5", "crc32", "size")
+
+
+@query("""select source, path, archive_path, max(case when seq=m then sha1 end) as sha1 from (select *, max(seq) over (partition by source, path, archive_path) as m from (
+  select source, path, archive_path, sha1, -1 as seq from c_locations union all select source, path, archive_path, reverse(sha1), 1 from c_locations where source<>'src1' union all select 'new', path, archive_path, max(sha1), 2 from c_locations group by 2,3)) group by 1,2,3""", "c_locations")
+def w4_upsert_locations(r):
+    place = r.locations.select("source", "path", "archive_path", "sha1")
+    seen = place.where("source <> 'src1'").withColumns({"sha1": F.reverse("sha1"), "seq": F.lit(1).cast("long")})
+    fresh = place.groupBy("path", "archive_path").agg(F.max("sha1").alias("sha1")).select(F.lit("new").alias("source"), "path", "archive_path", "sha1", F.lit(2).cast("long").alias("seq"))
+    return merges.upsert_locations(place, seen.unionByName(fresh), "seq")
+
+
+@query("select coll, case when name='EN - Documents' then 'English' else name end as name, case when coll in ('de','fr') then node_path||'/'||name else node_path end as node_path from c_collections", "c_collections")
+def w9_rename_and_nest(r):
+    nested = versions.nest_under_name(r.collections, ["DE - Documents", "FR - Documents"])
+    return versions.rename(nested, "EN - Documents", "English").select("coll", "name", "node_path")
+
+
+@query("""select f.file, case when n is null then 'missing' when n>1 then 'ambiguous' else 'relinked' end as state, case when n=1 then p.path end as path from (select distinct lang||'.dat' as file from documents union select 'src1.dat') f
+  left join (select split_part(path,'/',-1) as file, count(*) as n, min(path) as path from head where path like 'src1/%' or path='src2/en.dat' group by 1) p on p.file=f.file""", "c_collections", more=HEADS)
+def w11_relink(r):
+    wanted = r.documents.select(F.concat("lang", F.lit(".dat")).alias("file")).distinct().union(r.spark.createDataFrame([("src1.dat",)], "file string"))
+    return versions.relink(wanted, _heads(r).where("path like 'src1/%' or path = 'src2/en.dat'").select("path"))
+
+
+@query("""select coll, name, case when wanted=name then 'same' when count(*) over (partition by wanted)>1 then 'conflict' else 'renamed' end as state, wanted
+  from (select *, case when coll='en' then 'DE - Documents' when coll='fr' then 'French' else name end as wanted from c_collections)""", "c_collections")
+def w12_repair_names(r):
+    parsed = r.collections.select("coll", F.when(F.col("coll") == "en", "DE - Documents").when(F.col("coll") == "fr", "French").alias("parsed"))
+    return versions.repair_names(r.collections, parsed).select("coll", "name", "state", "wanted")
+
+
+@query("select sha1, path, path='z' or starts_with(path,'z/') as inside, case when length(path)>8 then '...'||right(path,5) else path end as short from c_locations", "c_locations")
+def f6_under(r):
+    return r.locations.select("sha1", "path", scalars.under(F.col("path"), F.lit("z/")).alias("inside"), scalars.shortened(F.col("path"), 8).alias("short"))
+
+
+@query("select coll, game, repeat('#',cast(floor(g*20/n) as integer))||repeat('-',20-cast(floor(g*20/n) as integer)) as bar from (select coll, game, count(*) filter (status='good') as g, count(*) as n from c_roms group by 1,2)", "c_roms")
+def c5_bars(r):
+    per = r.roms.groupBy("coll", "game").agg(F.count_if(F.col("status") == "good").alias("g"), F.count(F.lit(1)).alias("n"))
+    return per.select("coll", "game", scalars.bar(F.col("g"), F.col("n")).alias("bar"))
+
+
+@query("select name, output_format from c_config_rows", "c_collections", "c_config", more="c_config_rows as (select path_pattern as name, output_format from c_config where output_format is not null)")
+def f16_formats_listed(r):
+    return r.config.where("output_format is not null").select(F.col("path_pattern").alias("name"), "output_format").orderBy("name")
+
+
+@query("select coll, title, count(*) as n, string_agg(game, '|' order by game) as names from (select *, regexp_extract(game,'^[^(]*[^( ]') as title from c_names) group by 1,2 having count(*)>1", "c_names")
+def a24_titles(r):
+    titled = r.names.withColumn("title", F.regexp_extract("game", "^[^(]*[^( ]", 0))
+    return planner.titles(titled).select("coll", "title", "n", F.array_join("names", "|").alias("names"))
+
+
+@query("select sha256(from_hex('0100000000000000')||from_hex(lpad(to_hex((select count(*) from c_locations) % 256),2,'0'))||from_hex(lpad(to_hex((select count(*) from c_locations) // 256),2,'0'))||from_hex('000000000000')||encode((select max(source) from c_locations))||encode((select string_agg(path_pattern||coalesce(dest_path,''),'' order by path_pattern) from c_config))) as state_hash", "c_locations", "c_config")
+def c9_state_hash(r):
+    ids = r.spark.createDataFrame([(1,)], "id long")
+    return planner.state_hash(ids, r.locations, r.config, "source")
+
+
 @query("select upper(sha1(text)) as sha1, upper(md5(text)) as md5, doc_id from documents")
 def s29_hashes(r):
     found = files.hashes(r.documents.select(F.col("doc_id").cast("string").alias("path"), F.encode("text", "UTF-8").alias("content")))
