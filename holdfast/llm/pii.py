@@ -79,10 +79,15 @@ def candidates(text: str) -> list[tuple[int, int, int]]:
             found += [(m.start(), 3, m.end()) for m in PHONE.finditer(text) if 9 <= sum(map(len, DIGITS.findall(m[0]))) <= 15]
         loose += [(m.start(), 4, m.end()) for m in LOCAL.finditer(text)]
     found.sort()
+    more, at, reach = [], 0, 0
     for span in sorted(loose):
-        if not any(a < span[2] and span[0] < b for a, _, b in found):
-            found.append(span)
-    return sorted(found)
+        while at < len(found) and found[at][0] < span[2]:
+            reach = max(reach, found[at][2])
+            at += 1
+        if reach <= span[0]:
+            more.append(span)
+            reach = span[2]
+    return sorted(found + more)
 
 
 def _shape(kind: int, s: str, digits: str) -> int:

@@ -2,8 +2,9 @@
 
 Patterns (leftmost, non-overlapping for each kind; a match that is too short is dropped, not retried): `assign`, a
 credential word with a value; `access`, access key ids; `hex`, long runs of hexadecimal digits. Kind `random` is any
-other run of 16 or more key characters with a letter and a digit whose log-likelihood under a model of random strings
-exceeds that under a model of ordinary identifiers by `MARGIN`, and which no pattern span overlaps. The models are
+other run of 16 or more key characters with a letter whose log-likelihood under a model of random strings exceeds that
+under a model of ordinary identifiers by `MARGIN`, and which no pattern span overlaps. Runs of digits alone are not
+asked about: the models know nothing that tells a secret from a card, phone or serial number. The models are
 trained from labelled samples: random strings of four alphabets from a seeded generator and the values that the patterns
 find, against the words and identifiers of the text around them; the text sample is `SAMPLE_ROWS` documents at most,
 chosen by hash of the id, and only a 95 x 95 table of counts leaves a task.
@@ -72,7 +73,7 @@ def _seeded(n: int = 4000) -> np.ndarray:
 
 def _unlabelled(m: re.Match) -> str:
     """Nothing in place of a candidate, which may be of either kind."""
-    return " " if DIGIT.search(m[0]) and LETTER.search(m[0]) else m[0]
+    return " " if m[0].isalpha() or DIGIT.search(m[0]) and LETTER.search(m[0]) else m[0]
 
 
 def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,13 +113,14 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rows: int
 def spans(text: str, ratio: np.ndarray) -> list[tuple[int, int, int]]:
     """(start, kind number, end) of all spans, in order of start, then kind."""
     found = base_spans(text)
-    if DIGIT.search(text):
-        for m in KEYLIKE.finditer(text):
-            word = m[0]
-            if DIGIT.search(word) and LETTER.search(word) and not any(a < m.end() and m.start() < b for a, _, b in found):
-                if ratio[steps(word)].sum() > MARGIN:
-                    found.append((m.start(), 3, m.end()))
-    return sorted(found)
+    more, at, reach = [], 0, 0
+    for m in KEYLIKE.finditer(text):
+        while at < len(found) and found[at][0] < m.end():
+            reach = max(reach, found[at][2])
+            at += 1
+        if reach <= m.start() and LETTER.search(m[0]) and ratio[steps(m[0])].sum() > MARGIN:
+            more.append((m.start(), 3, m.end()))
+    return sorted(found + more)
 
 
 def written(found: list[tuple[int, int, int]], kinds: tuple[str, ...] = KINDS) -> str:

@@ -1,6 +1,10 @@
 from __future__ import annotations
 
+import random
 import re
+import time
+
+import numpy as np
 
 from holdfast.llm import pii, secrets
 
@@ -62,6 +66,33 @@ def test_random_strings_are_told_from_identifiers(table, prose):
     assert got[31] == {((4, 3, 24),)}
 
 
+def test_random_strings_of_any_alphabet_are_found(spark, table):
+    """Held-out recall of planted keys in the test documents, and no word of theirs taken for one."""
+    draw, rows, want = random.Random(4), [], {}
+    alphabets = [*secrets.ALPHABETS[1:], "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz"]
+    for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").collect():
+        text = r.text
+        if r.doc_id % 10 == 0:
+            key = "".join(draw.choices(alphabets[r.doc_id // 10 % len(alphabets)], k=draw.randint(16, 40)))
+            want[r.doc_id] = (len(text) + 5, 3, len(text) + 5 + len(key))
+            text += f"\nsee {key} here"
+        rows.append((r.doc_id, text))
+    got = {d: next(iter(s)) for d, s in by_id(secrets.scan(table(rows)), secrets.KINDS).items()}
+    assert sum(w in got[d] for d, w in want.items()) >= 0.97 * len(want)
+    texts = dict(rows)
+    words = [texts[d][a:b] for d, found in got.items() for a, k, b in found if k == 3 and (a, k, b) != want.get(d)]
+    assert not [w for w in words if w.isalpha()]
+
+
+def test_many_spans_in_one_text():
+    draw, begun = random.Random(5), time.monotonic()
+    text = " ".join(f"token = {''.join(draw.choices('abcdef0123456789', k=40))}" for _ in range(16_000))
+    assert len(secrets.spans(text, np.zeros(96 * 96))) == len(plain_secrets(text)) == 32_000
+    text = " ".join(f"4111 1111 1111 1111, 555-867-{5000 + i % 1000} and 1.2.3.4;" for i in range(8_000))
+    assert len(pii.candidates(text)) == 24_000
+    assert time.monotonic() - begun < 20
+
+
 def test_votes_decide_the_looser_kinds(table):
     rows = [(i, f"write to user{i}@mail{i % 7}.com or call +1 555 010 {1000 + i} tel 555-867-{5000 + i}") for i in range(200)]
     found = by_id(pii.find(table(rows + [(900, "order 123456789012345678 shipped")])), pii.KINDS)
