@@ -37,7 +37,7 @@ class Rule:
     least: bool = False
 
     def broken(self) -> Column:
-        share, bound = F.col(self.numerator) * 1000, F.col(self.denominator) * self.per_mille
+        share, bound = F.col(self.numerator) * 1000, (F.lit(1) if self.denominator == "one" else F.col(self.denominator)) * self.per_mille
         return share < bound if self.least else share > bound
 
 
@@ -51,6 +51,7 @@ RULES = (
     Rule("few_stop_words", "n_stop_words", "n_words", 40, least=True),
     Rule("duplicate_lines", "n_dup_lines", "n_lines", 500),
 )
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stop_words")
 #: The rules that the base verdict is made of.
 BASE = ("too_few_words", "repeated_windows")
 
@@ -73,7 +74,7 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     count = F.size(words)
     window = lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(WINDOW)])
     windows = F.when(count >= WINDOW, F.transform(F.sequence(F.lit(0), count - WINDOW), window)).otherwise(F.array().cast("array<bigint>"))
-    df = docs.withColumns({"_text": F.coalesce(F.col(text), F.lit(""))})
+    df = docs.select(F.struct(*docs.columns).alias("_row"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     df = df.withColumns(
         {
             "_words": F.array_remove(F.split("_text", f"[{SPACE}]+"), ""),
@@ -93,7 +94,7 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
         }
     )
     df = df.withColumn("_places", places).withColumn("n_repeat_words", repeated)
-    return df.drop("_text", "_words", "_lines", "_hashes", "_sorted", "_places")
+    return df.select(*[F.col("_row")[c].alias(c) for c in docs.columns if c not in MEASURES], *MEASURES)
 
 
 def judge(measured: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -106,7 +107,7 @@ def judge(measured: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     for b in broken.values():
         any_broken = any_broken | b
     names = F.array_compact(F.array(*[F.when(b, F.lit(n)) for n, b in broken.items()]))
-    return measured.withColumn("one", F.lit(1).cast("long")).withColumns({"base_failed": base, "kept": ~any_broken, "broken_rules": names}).drop("one")
+    return measured.withColumns({"base_failed": base, "kept": ~any_broken, "broken_rules": names})
 
 
 def quality(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -118,7 +119,7 @@ def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
     marked = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text).alias("_own")) if docs.columns else docs
     # a number that no filter passes below: else the verdict, and with it every measure, is copied into the filter at each use
     judged = quality(marked, "_own").withColumn("_nth", F.monotonically_increasing_id())
-    return judged.where(F.col("kept") & (F.col("_nth") >= 0)).select("_row.*")
+    return judged.where(F.col("kept") & (F.col("_nth") >= 0)).select(*[F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 ORACLE = """

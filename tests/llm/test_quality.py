@@ -26,6 +26,8 @@ def test_measures_against_brute_force(table, odd, prose):
     got = quality.quality(table(rows))
     want = Counter((d, *plain(t)) for d, t in rows)
     found = got.collect()
+    own = [c for c in table([]).columns[2:] if c not in (*quality.MEASURES, "kept")]
+    assert len(own) > 30 and all(r[c] == (c if c != "lang" else None) for r in found for c in own)
     assert Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in found) == want
     assert not any(r.kept for r in found if r.base_failed)
 
