@@ -9,7 +9,8 @@ of their classes. The `TOP` most frequent words have classes made from the words
 anchor words) and, within a class, leaves of equal mass; all other words share the last leaf of the last class, with
 add-one shares and one place for unseen words. Weights are trained by gradient: every task runs mini-batch updates over
 its own part of the corpus from common weights, and the changes are averaged by how often each weight was used; `rounds`
-such passes are made. What tasks hold is bounded by TOP and the weights' size, as is what the driver gathers.
+such passes are made. The weight tables and the words with leaves of their own grow with the distinct words of the
+corpus, so a task and the driver hold some 30 bytes for each of those.
 
 Rare words' counts are joined, not broadcast: a row for each document and distinct rare word.
 
@@ -29,11 +30,11 @@ from pyspark.sql import functions as F
 
 from . import common, wordhash
 
-#: Words that get classes and leaves of their own; of these, words that are clustered by what they follow.
+#: Words that get classes and leaves of their own, at least (an eighth of all distinct words, if more); of these, words that are clustered by what they follow.
 TOP, CLUSTERED = 1 << 18, 1 << 14
 CLASSES, LEAVES, CLUSTERS, ANCHORS = 32, 32, 8, 24
-#: Rows of the two weight tables, and rows that are shuffled together.
-ROWS, ROWS_2, ROW_BLOCK = 1 << 14, 1 << 15, 1 << 10
+#: Rows of the first weight table, at least, and distinct words for each; the second has twice as many; rows that are shuffled together.
+ROWS, WORDS_PER_ROW, ROW_BLOCK = 1 << 14, 64, 1 << 10
 STEP, RATE = 1 << 14, 0.2
 END = np.uint64(0x0E4D0E4D0E4D0E4D)
 BEGIN = np.uint64(0x0B0B0B0B0B0B0B0B)
@@ -144,7 +145,7 @@ def start(train: DataFrame, words: DataFrame) -> tuple[Model, int, int, float]:
     least = 2
     if n_types:
         upto = sizes["n"].cumsum()
-        fit = sizes["c"][(upto <= TOP) & (sizes["c"] >= 2)]
+        fit = sizes["c"][(upto <= max(TOP, n_types // 8)) & (sizes["c"] >= 2)]
         least = int(fit.min()) if len(fit) else int(sizes["c"].max()) + 1
     top = words.where(F.col("c") >= least).toPandas().sort_values(["c", "h"], ascending=[False, True], ignore_index=True)
     h, c = top["h"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64)
@@ -168,6 +169,7 @@ def start(train: DataFrame, words: DataFrame) -> tuple[Model, int, int, float]:
     mass[-1, -1] = other + 1
     bias_2 = np.log(mass + 1e-3) - np.log((mass + 1e-3).sum(1, keepdims=True))
     order = np.argsort(h)
+    n_rows = max(ROWS, 1 << (n_types // WORDS_PER_ROW).bit_length())
     model = Model(
         h[order],
         np.append(group[order], CLASSES - 1),
@@ -176,8 +178,8 @@ def start(train: DataFrame, words: DataFrame) -> tuple[Model, int, int, float]:
         np.append(np.log10((c[order] + 1) / (n_tokens + n_types + 1)), 0.0),
         np.log(mass.sum(1) + 1e-3).astype(np.float32),
         bias_2.astype(np.float32),
-        np.zeros((ROWS, CLASSES), np.float32),
-        np.zeros((ROWS_2, LEAVES), np.float32),
+        np.zeros((n_rows, CLASSES), np.float32),
+        np.zeros((2 * n_rows, LEAVES), np.float32),
     )
     return model, n_tokens, n_types, float(other + n_types - len(h) + 1)
 
@@ -195,8 +197,8 @@ def _features(model: Model, h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, n
     c1[begin] = c2[begin] = CLASSES
     c2[second] = CLASSES
     raw = np.stack([one, two * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1), c1 * np.uint64(64) + c2 + np.uint64(7 << 40)], 1)
-    rows = (wordhash.mix(raw) & np.uint64(ROWS - 1)).astype(np.int64)
-    rows_2 = (wordhash.mix(raw + c[:, None] * np.uint64(0xD1342543DE82EF95)) & np.uint64(ROWS_2 - 1)).astype(np.int64)
+    rows = (wordhash.mix(raw) & np.uint64(len(model.weight) - 1)).astype(np.int64)
+    rows_2 = (wordhash.mix(raw + c[:, None] * np.uint64(0xD1342543DE82EF95)) & np.uint64(len(model.weight_2) - 1)).astype(np.int64)
     return at, c.astype(np.int64), rows, rows_2
 
 
@@ -240,7 +242,7 @@ def _train(shared):
             change = ((w - old) * n[:, None]).astype(np.float32)
             for b in range(0, len(w), ROW_BLOCK):
                 if n[b : b + ROW_BLOCK].any():
-                    yield pa.RecordBatch.from_arrays([pa.array([t * ROWS + b], pa.int32()), pa.array([change[b : b + ROW_BLOCK].tobytes()]), pa.array([n[b : b + ROW_BLOCK].tobytes()])], ["block", "change", "used"])
+                    yield pa.RecordBatch.from_arrays([pa.array([t * len(own[0]) + b], pa.int32()), pa.array([change[b : b + ROW_BLOCK].tobytes()]), pa.array([n[b : b + ROW_BLOCK].tobytes()])], ["block", "change", "used"])
 
     return run
 
@@ -266,7 +268,7 @@ def train_model(model: Model, train: DataFrame, rounds: int = 1) -> Model:
         parts = train.select("text").mapInArrow(_train(shared), CHANGE).withColumn("salt", F.spark_partition_id() % SALTS)
         some = parts.repartition("block", "salt").mapInArrow(_add, CHANGE)
         for row in some.repartition("block").mapInArrow(_add, CHANGE).collect():  # a row for each block of weights
-            weight, at = (model.weight, row["block"]) if row["block"] < ROWS else (model.weight_2, row["block"] - ROWS)
+            weight, at = (model.weight, row["block"]) if row["block"] < len(model.weight) else (model.weight_2, row["block"] - len(model.weight))
             used = np.frombuffer(row["used"], np.int64)[:, None]
             weight[at : at + ROW_BLOCK] += np.frombuffer(row["change"], np.float32).reshape(ROW_BLOCK, -1) / np.maximum(used, 1)
     return model

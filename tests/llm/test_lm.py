@@ -36,7 +36,7 @@ def test_probabilities_of_all_next_words_add_up_to_one():
     group, leaf = np.arange(50) % lm.CLASSES, np.arange(50) // lm.CLASSES
     total = np.zeros((lm.CLASSES, lm.LEAVES))
     np.add.at(total, (group, leaf), 1)
-    model = lm.Model(known, group, leaf, np.zeros(50), np.zeros(50), draw.normal(size=lm.CLASSES), draw.normal(size=(lm.CLASSES, lm.LEAVES)), draw.normal(size=(lm.ROWS, lm.CLASSES)), draw.normal(size=(lm.ROWS_2, lm.LEAVES)))
+    model = lm.Model(known, group, leaf, np.zeros(50), np.zeros(50), draw.normal(size=lm.CLASSES), draw.normal(size=(lm.CLASSES, lm.LEAVES)), draw.normal(size=(lm.ROWS, lm.CLASSES)), draw.normal(size=(2 * lm.ROWS, lm.LEAVES)))
     rows = np.array([[1, 2, 3]])
     first = lm._softmax(model.bias, model.weight, rows)[0]
     mass = sum(first[c] * lm._softmax(model.bias_2[[c]], model.weight_2, rows).sum() for c in range(lm.CLASSES))
