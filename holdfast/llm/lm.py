@@ -9,8 +9,8 @@ of their classes. The `TOP` most frequent words have classes made from the words
 anchor words) and, within a class, leaves of equal mass; all other words share the last leaf of the last class, with
 add-one shares and one place for unseen words. Weights are trained by gradient: every task runs mini-batch updates over
 its own part of the corpus from common weights, and the changes are averaged by how often each weight was used; `rounds`
-such passes are made. The weight tables and the words with leaves of their own grow with the distinct words of the
-corpus, so a task and the driver hold some 30 bytes for each of those.
+such passes are made. The weight tables and the words with leaves of their own grow with the square root of the corpus's
+distinct words, as each task sends its changes of the whole tables: 64 MB of weights for 10**9 words.
 
 Rare words' counts are joined, not broadcast: a row for each document and distinct rare word.
 
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +31,11 @@ from pyspark.sql import functions as F
 
 from . import common, wordhash
 
-#: Words that get classes and leaves of their own, at least (an eighth of all distinct words, if more); of these, words that are clustered by what they follow.
-TOP, CLUSTERED = 1 << 18, 1 << 14
+#: Words that get classes and leaves of their own, at least, and for each unit of the square root of all distinct words; of them, words that are clustered by what they follow.
+TOP, TOP_PER_ROOT, CLUSTERED = 1 << 18, 200, 1 << 14
 CLASSES, LEAVES, CLUSTERS, ANCHORS = 32, 32, 8, 24
-#: Rows of the first weight table, at least, and distinct words for each; the second has twice as many; rows that are shuffled together.
-ROWS, WORDS_PER_ROW, ROW_BLOCK = 1 << 14, 64, 1 << 10
+#: Rows of the first weight table, at least, and for each unit of that root (the next power of two); the second has twice as many; rows that are shuffled together.
+ROWS, ROWS_PER_ROOT, ROW_BLOCK = 1 << 14, 12, 1 << 10
 STEP, RATE = 1 << 14, 0.2
 END = np.uint64(0x0E4D0E4D0E4D0E4D)
 BEGIN = np.uint64(0x0B0B0B0B0B0B0B0B)
@@ -145,7 +146,7 @@ def start(train: DataFrame, words: DataFrame) -> tuple[Model, int, int, float]:
     least = 2
     if n_types:
         upto = sizes["n"].cumsum()
-        fit = sizes["c"][(upto <= max(TOP, n_types // 8)) & (sizes["c"] >= 2)]
+        fit = sizes["c"][(upto <= max(TOP, TOP_PER_ROOT * isqrt(n_types))) & (sizes["c"] >= 2)]
         least = int(fit.min()) if len(fit) else int(sizes["c"].max()) + 1
     top = words.where(F.col("c") >= least).toPandas().sort_values(["c", "h"], ascending=[False, True], ignore_index=True)
     h, c = top["h"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64)
@@ -169,7 +170,7 @@ def start(train: DataFrame, words: DataFrame) -> tuple[Model, int, int, float]:
     mass[-1, -1] = other + 1
     bias_2 = np.log(mass + 1e-3) - np.log((mass + 1e-3).sum(1, keepdims=True))
     order = np.argsort(h)
-    n_rows = max(ROWS, 1 << (n_types // WORDS_PER_ROW).bit_length())
+    n_rows = max(ROWS, 1 << (ROWS_PER_ROOT * isqrt(n_types)).bit_length())
     model = Model(
         h[order],
         np.append(group[order], CLASSES - 1),
