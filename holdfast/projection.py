@@ -58,8 +58,8 @@ BODIES = {
       union select w.sha1, '/stage/loose', 'consume', concat('x/',w.rom), cast(null as varchar(40)) from c_asked w where w.doc % 3 = 0""".replace("EXT", "case when o.format='7z' then '.7z' else '.zip' end"),
     "c_held": """select m.coll, m.game, m.rom, m.is_disk, m.sha1, m.size, h.root, h.disposition, h.path, h.archive_path from c_asked m join c_homes h on h.sha1=m.sha1""",
 }
-#: The planner's inputs, which a catalogue has as tables: computed once for each application and folder.
-STORED = ("c_asked", "c_homes", "c_held")
+#: Relations that a catalogue has as tables (the hashes of its contents, the planner's inputs): computed once for each application and folder.
+STORED = ("c_content", "c_asked", "c_homes", "c_held")
 _stored: dict[tuple[str, str, str], DataFrame] = {}
 TABLES = ("documents", "labels")
 
