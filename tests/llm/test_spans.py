@@ -100,6 +100,62 @@ def test_votes_decide_the_looser_kinds(table):
     assert found[900] == {()}
 
 
+def _iban(draw):
+    body = "".join(draw.choices("0123456789", k=18))
+    return f"DE{98 - int(body + '131400') % 97:02d}{body}"
+
+
+def test_added_kinds_are_found_in_test_documents(spark, table):
+    """Held-out recall of planted spans of each added kind, and untouched documents left as they are."""
+    draw, rows, want, kinds = random.Random(6), [], {}, pii.KINDS
+    names, last = sorted(pii.GIVEN_NAMES), "Miller Schmidt Fischer Garcia Moreau Taylor Navarro Lefebvre Weber Hughes".split()
+
+    def planted(kind):
+        n = draw.randint(2, 989)
+        d = draw.randint(10_000_000, 99_999_999)
+        return {
+            "local": f"({draw.randint(200, 899)}) 555-{draw.randint(1000, 9999)}",
+            "iban": _iban(draw),
+            "national": draw.choice([f"{draw.randint(100, 665)}-{draw.randint(10, 99)}-{draw.randint(1000, 9999)}", f"{d}{pii.NATIONAL_LETTERS[d % 23]}"]),
+            "address": draw.choice([f"{n} Maple Street", f"{n} Old Mill Road", f"{n}, rue de la Paix", f"Calle de Alcalá, {n}", f"Gartenstraße {n}", f"Birkenweg {n}"]),
+            "name": f"{draw.choice(names)} {draw.choice(last)}",
+        }[kind]
+
+    more = ("local", "iban", "national", "address", "name")
+    for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").collect():
+        text = r.text
+        if r.doc_id % 5 == 0:
+            kind = more[r.doc_id // 5 % len(more)]
+            span = planted(kind)
+            want[r.doc_id] = (len(text) + 5, kinds.index(kind), len(text) + 5 + len(span))
+            text += f"\nsee {span}, as noted"
+        rows.append((r.doc_id, text))
+    got = {d: next(iter(s)) for d, s in by_id(pii.find(table(rows)), kinds).items()}
+    for k in map(kinds.index, more):
+        own = [d for d, w in want.items() if w[1] == k]
+        assert sum(want[d] in got[d] for d in own) >= 0.9 * len(own), kinds[k]
+    extra = [(d, s) for d, found in got.items() for s in found if s[1] >= 6 and s != want.get(d)]
+    assert len(extra) <= 0.005 * len(rows)
+
+
+def test_shapes_of_added_kinds():
+    ok, bad = "DE89370400440532013000", "DE88370400440532013000"
+    assert [pii._shape(6, s, "") for s in (ok, bad, "DE89 3704 0044 0532 0130 00")] == [1, 0, 1]
+    assert [pii._shape(7, s, re.sub("[^0-9]", "", s)) for s in ("12345678Z", "12345678A", "123-45-6789", "666-45-6789", "123-00-6789")] == [1, 0, 1, 0, 0]
+    assert [(text[a:b], pii.KINDS[k]) for text in ("to Anna Weber, Gartenstraße 12 or 5, rue de la Paix.", "IBAN DE89 3704 0044 0532 0130 00 for 123-45-6789") for a, k, b in pii.candidates(text)] == [
+        ("Anna Weber", "name"), ("Gartenstraße 12", "address"), ("5, rue de la Paix", "address"), ("DE89 3704 0044 0532 0130 00", "iban"), ("123-45-6789", "national"),
+    ]
+
+
+def test_decisions_do_not_change_with_the_size_of_the_input():
+    draw = np.random.default_rng(7)
+    for _ in range(5):
+        counts = np.zeros(pii.PATTERNS)
+        counts[draw.choice(pii.PATTERNS, 30, replace=False)] = draw.integers(20, 500, 30)
+        few, many = pii.posteriors(counts * 100), pii.posteriors(counts * 1e7)
+        assert np.abs(few - many)[counts > 0].max() < 0.02
+
+
 def test_empty_table(table):
     assert secrets.scan(table([])).collect() == []
     assert pii.find(table([])).collect() == []
