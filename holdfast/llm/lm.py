@@ -37,6 +37,7 @@ CLASSES, LEAVES, CLUSTERS, ANCHORS = 32, 32, 8, 24
 #: Rows of the first weight table, at least, and for each unit of that root (the next power of two); the second has twice as many; rows that are shuffled together.
 ROWS, ROWS_PER_ROOT, ROW_BLOCK = 1 << 14, 12, 1 << 10
 STEP, RATE = 1 << 14, 0.2
+SOFTMAX_BLOCK = 1 << 12
 END = np.uint64(0x0E4D0E4D0E4D0E4D)
 BEGIN = np.uint64(0x0B0B0B0B0B0B0B0B)
 SALTS = 16
@@ -204,25 +205,36 @@ def _features(model: Model, h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, n
 
 
 def _softmax(base: np.ndarray, weight: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    x = base + weight[rows[:, 0]]
-    for j in range(1, rows.shape[1]):
-        x += weight[rows[:, j]]
-    x -= x.max(1, keepdims=True)
-    np.exp(x, out=x)
-    x /= x.sum(1, keepdims=True)
-    return x
+    """Probabilities of base (one for all, or one for each token) and the rows' weights; a block at a time, which stays in the processor's cache."""
+    out, one = np.empty((len(rows), weight.shape[1]), weight.dtype), np.ones(weight.shape[1], weight.dtype)
+    for i in range(0, len(rows), SOFTMAX_BLOCK):
+        x, own = out[i : i + SOFTMAX_BLOCK], rows[i : i + SOFTMAX_BLOCK]
+        x[:] = base if base.ndim == 1 else base[i : i + SOFTMAX_BLOCK]
+        for j in range(rows.shape[1]):
+            x += np.take(weight, own[:, j], axis=0)
+        x -= x.max(1, keepdims=True)
+        np.exp(x, out=x)
+        x /= (x @ one)[:, None]
+    return out
 
 
 def _update(weight: np.ndarray, squares: np.ndarray, used: np.ndarray, rows: np.ndarray, p: np.ndarray, truth: np.ndarray) -> None:
     """One step of gradient descent, with rates that fall as a weight's gradients add up."""
     p[np.arange(len(p)), truth] -= 1
     for j in range(rows.shape[1]):
-        order = np.argsort(rows[:, j], kind="stable")
-        own = rows[order, j]
-        new = np.flatnonzero(np.diff(own, prepend=-1))
-        g, at = np.add.reduceat(p[order], new, axis=0), own[new]
-        squares[at] += g * g
-        weight[at] -= np.float32(RATE) * g / np.sqrt(squares[at] + np.float32(1e-6))
+        key = rows[:, j].astype(np.uint16 if len(weight) <= 1 << 16 else np.int32)  # short keys are sorted by radix
+        order = np.argsort(key, kind="stable")
+        own = np.take(key, order)
+        new = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+        at = own[new].astype(np.int64)
+        g = np.add.reduceat(np.take(p, order, axis=0), new, axis=0)
+        total = np.take(squares, at, axis=0)
+        total += g * g
+        squares[at] = total
+        total += np.float32(1e-6)
+        g *= np.float32(RATE)
+        g /= np.sqrt(total, out=total)
+        weight[at] -= g
         used[at] += np.diff(np.append(new, len(own)))
 
 
