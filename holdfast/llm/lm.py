@@ -3,11 +3,12 @@
 Tokens are lower-cased (A-Z) words and one end token for each text. Documents whose crc32(id as text) mod 7 is 2 are
 held out; everything is learned from all others, over whole texts.
 
-Model: log P(word | history) = log P(class | history) + log P(leaf | class, history) + log P(word | leaf). The first two
-are softmaxes over hashed features of the history: the word before (n-gram), the word before that (skip), and the pair
+Model: log P(word | history) = log P(class | history) + log P(leaf | class, history) + log P(part | leaf, history) +
+log P(word | part). The first three are softmaxes over hashed features of the history: the word before (n-gram), the word before that (skip), and the pair
 of their classes. The `TOP` most frequent words have classes made from the words they follow (k-means over counts of
-anchor words) and, within a class, leaves of equal mass; all other words share the last leaf of the last class, with
-add-one shares and one place for unseen words. Weights are trained by gradient: every task runs mini-batch updates over
+anchor words) and, within a class, leaves of equal mass, and parts of equal mass within a leaf: frequent words have one
+for themselves, and only a leaf of several words needs its parts' softmax. Words of one part have shares by their counts.
+All other words share the last leaf of the last class, with add-one shares and one place for unseen words. Weights are trained by gradient: every task runs mini-batch updates over
 its own part of the corpus from common weights, and the changes are averaged by how often each weight was used; `rounds`
 such passes are made. The weight tables and the words with leaves of their own grow with the square root of the corpus's
 distinct words, as each task sends its changes of the whole tables: 64 MB of weights for 10**9 words.
@@ -33,11 +34,12 @@ from . import common, wordhash
 
 #: Words that get classes and leaves of their own, at least, and for each unit of the square root of all distinct words; of them, words that are clustered by what they follow.
 TOP, TOP_PER_ROOT, CLUSTERED = 1 << 18, 200, 1 << 14
-CLASSES, LEAVES, CLUSTERS, ANCHORS = 32, 32, 8, 24
-#: Rows of the first weight table, at least, and for each unit of that root (the next power of two); the second has twice as many; rows that are shuffled together.
+CLASSES, LEAVES, PARTS, CLUSTERS, ANCHORS = 32, 32, 16, 8, 24
+#: Rows of the first weight table, at least, and for each unit of that root (the next power of two); the others have twice as many; rows that are shuffled together.
 ROWS, ROWS_PER_ROOT, ROW_BLOCK = 1 << 14, 12, 1 << 10
 STEP, RATE = 1 << 14, 0.2
 SOFTMAX_BLOCK = 1 << 12
+NEVER = -1e9
 END = np.uint64(0x0E4D0E4D0E4D0E4D)
 BEGIN = np.uint64(0x0B0B0B0B0B0B0B0B)
 SALTS = 16
@@ -47,13 +49,20 @@ SALTS = 16
 class Model:
     known: np.ndarray  # hashes of the top words, sorted
     group: np.ndarray  # class of each, and of any other word at the end
-    leaf: np.ndarray
-    log_share: np.ndarray  # log10 P(word | leaf), 0 for other words
+    leaf: np.ndarray  # class * LEAVES + leaf within it
+    part: np.ndarray
+    many: np.ndarray  # whether a leaf has several parts
+    log_share: np.ndarray  # log10 P(word | part), 0 for other words
     log_count: np.ndarray  # log10((c + 1) / (N + V + 1)), 0 for other words
     bias: np.ndarray
     bias_2: np.ndarray
+    bias_3: np.ndarray
     weight: np.ndarray
     weight_2: np.ndarray
+    weight_3: np.ndarray
+
+    def weights(self) -> list[np.ndarray]:
+        return [self.weight, self.weight_2, self.weight_3]
 
     def place(self, h: np.ndarray) -> np.ndarray:
         """Where a hash stands in `known`; its length for other words."""
@@ -138,6 +147,11 @@ def _equal_mass(counts: np.ndarray, n: int) -> np.ndarray:
     return np.minimum((middle / max(counts.sum(), 1) * n).astype(np.int64), n - 1)
 
 
+def _log_mass(mass: np.ndarray) -> np.ndarray:
+    """Biases of outcomes; one without words has no probability."""
+    return np.where(mass > 0, np.log(np.maximum(mass, 1)), NEVER)
+
+
 def start(train: DataFrame, words: DataFrame) -> tuple[Model, int, int, float]:
     """The untrained model, N, V and the mass of the shared leaf."""
     spark = train.sparkSession
@@ -165,29 +179,43 @@ def start(train: DataFrame, words: DataFrame) -> tuple[Model, int, int, float]:
         own = np.flatnonzero(group == g)
         leaf[own] = _equal_mass(c[own], LEAVES - (g == CLASSES - 1))
     other = n_tokens - int(c.sum())
-    mass = np.zeros((CLASSES, LEAVES))
-    np.add.at(mass, (group, leaf), c)
-    share = np.log10(c / mass[group, leaf]) if len(h) else np.zeros(0)
+    whole = group * LEAVES + leaf
+    by_leaf = np.argsort(whole, kind="stable")
+    below = np.cumsum(c[by_leaf]) - c[by_leaf] / 2
+    first = np.searchsorted(whole[by_leaf], np.arange(CLASSES * LEAVES + 1))
+    edge = np.append(0, np.cumsum(c[by_leaf]))[first]
+    part = np.zeros(len(h), np.int64)
+    part[by_leaf] = np.minimum((below - edge[whole[by_leaf]]) / np.maximum(np.diff(edge), 1)[whole[by_leaf]] * PARTS, PARTS - 1).astype(np.int64)
+    fine = np.zeros((CLASSES * LEAVES, PARTS))
+    np.add.at(fine, (whole, part), c)
+    share = np.log10(c / fine[whole, part]) if len(h) else np.zeros(0)
+    mass = fine.sum(1).reshape(CLASSES, LEAVES)
     mass[-1, -1] = other + 1
-    bias_2 = np.log(mass + 1e-3) - np.log((mass + 1e-3).sum(1, keepdims=True))
+    many = (fine > 0).sum(1) > 1
+    bias_3 = _log_mass(fine)
+    bias_2 = _log_mass(mass) - np.log(np.maximum(mass.sum(1, keepdims=True), 1))
     order = np.argsort(h)
     n_rows = max(ROWS, 1 << (ROWS_PER_ROOT * isqrt(n_types)).bit_length())
     model = Model(
         h[order],
         np.append(group[order], CLASSES - 1),
-        np.append(leaf[order], LEAVES - 1),
+        np.append(whole[order], CLASSES * LEAVES - 1),
+        np.append(part[order], 0),
+        many,
         np.append(share[order], 0.0),
         np.append(np.log10((c[order] + 1) / (n_tokens + n_types + 1)), 0.0),
-        np.log(mass.sum(1) + 1e-3).astype(np.float32),
+        _log_mass(mass.sum(1)).astype(np.float32),
         bias_2.astype(np.float32),
+        bias_3.astype(np.float32),
         np.zeros((n_rows, CLASSES), np.float32),
         np.zeros((2 * n_rows, LEAVES), np.float32),
+        np.zeros((2 * n_rows, PARTS), np.float32),
     )
     return model, n_tokens, n_types, float(other + n_types - len(h) + 1)
 
 
-def _features(model: Model, h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Places, then rows of the first table, rows of the second table, for all tokens."""
+def _features(model: Model, h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashed features of the history of all tokens."""
     at = model.place(h)
     begin = np.cumsum(n) - n
     one, two = np.roll(h, 1), np.roll(h, 2)
@@ -199,9 +227,22 @@ def _features(model: Model, h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, n
     c1[begin] = c2[begin] = CLASSES
     c2[second] = CLASSES
     raw = np.stack([one, two * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1), c1 * np.uint64(64) + c2 + np.uint64(7 << 40)], 1)
-    rows = (wordhash.mix(raw) & np.uint64(len(model.weight) - 1)).astype(np.int64)
-    rows_2 = (wordhash.mix(raw + c[:, None] * np.uint64(0xD1342543DE82EF95)) & np.uint64(len(model.weight_2) - 1)).astype(np.int64)
-    return at, c.astype(np.int64), rows, rows_2
+    return at, raw
+
+
+def _levels(model: Model, at: np.ndarray, raw: np.ndarray) -> Iterator[tuple[int, np.ndarray | slice, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each softmax: its number, the tokens it is for, their biases, rows of its weights and outcomes."""
+    leaf = model.leaf[at]
+    group = model.group[at]
+
+    def rows(raw: np.ndarray, given: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        return (wordhash.mix(raw + given[:, None].astype(np.uint64) * np.uint64(0xD1342543DE82EF95)) & np.uint64(len(weight) - 1)).astype(np.int64)
+
+    yield 0, slice(None), model.bias, (wordhash.mix(raw) & np.uint64(len(model.weight) - 1)).astype(np.int64), group
+    yield 1, slice(None), model.bias_2[group], rows(raw, group, model.weight_2), leaf % LEAVES
+    some = np.flatnonzero(model.many[leaf])
+    if len(some):
+        yield 2, some, model.bias_3[leaf[some]], rows(raw[some], leaf[some] + CLASSES, model.weight_3), model.part[at[some]]
 
 
 def _softmax(base: np.ndarray, weight: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -241,21 +282,22 @@ def _update(weight: np.ndarray, squares: np.ndarray, used: np.ndarray, rows: np.
 def _train(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
-        own = [model.weight.copy(), model.weight_2.copy()]
+        own = [w.copy() for w in model.weights()]
         squares = [np.ones_like(w) for w in own]
         used = [np.zeros(len(w), np.int64) for w in own]
         for batch in batches:
             for _, h, n in _sequences(batch.column(0)):
-                at, c, rows, rows_2 = _features(model, h, n)
+                at, raw = _features(model, h, n)
                 for i in range(0, len(h), STEP):
-                    s = slice(i, i + STEP)
-                    _update(own[0], squares[0], used[0], rows[s], _softmax(model.bias, own[0], rows[s]), c[s])
-                    _update(own[1], squares[1], used[1], rows_2[s], _softmax(model.bias_2[c[s]], own[1], rows_2[s]), model.leaf[at[s]])
-        for t, (w, old, n) in enumerate(zip(own, (model.weight, model.weight_2), used)):
+                    for t, _, bias, rows, truth in _levels(model, at[i : i + STEP], raw[i : i + STEP]):
+                        _update(own[t], squares[t], used[t], rows, _softmax(bias, own[t], rows), truth)
+        first = 0
+        for w, old, n in zip(own, model.weights(), used):
             change = ((w - old) * n[:, None]).astype(np.float32)
             for b in range(0, len(w), ROW_BLOCK):
                 if n[b : b + ROW_BLOCK].any():
-                    yield pa.RecordBatch.from_arrays([pa.array([t * len(own[0]) + b], pa.int32()), pa.array([change[b : b + ROW_BLOCK].tobytes()]), pa.array([n[b : b + ROW_BLOCK].tobytes()])], ["block", "change", "used"])
+                    yield pa.RecordBatch.from_arrays([pa.array([first + b], pa.int32()), pa.array([change[b : b + ROW_BLOCK].tobytes()]), pa.array([n[b : b + ROW_BLOCK].tobytes()])], ["block", "change", "used"])
+            first += len(w)
 
     return run
 
@@ -267,8 +309,9 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict = {}
     for batch in batches:
         for row in batch.select(["block", "change", "used"]).to_pylist():
-            change, used = total.setdefault(row["block"], (np.zeros(ROW_BLOCK * CLASSES, np.float32), np.zeros(ROW_BLOCK, np.int64)))
-            change += np.frombuffer(row["change"], np.float32)
+            new = np.frombuffer(row["change"], np.float32)
+            change, used = total.setdefault(row["block"], (np.zeros(len(new), np.float32), np.zeros(ROW_BLOCK, np.int64)))
+            change += new
             used += np.frombuffer(row["used"], np.int64)
     for block, (change, used) in total.items():
         yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([change.tobytes()]), pa.array([used.tobytes()])], ["block", "change", "used"])
@@ -281,7 +324,11 @@ def train_model(model: Model, train: DataFrame, rounds: int = 1) -> Model:
         parts = train.select("text").mapInArrow(_train(shared), CHANGE).withColumn("salt", F.spark_partition_id() % SALTS)
         some = parts.repartition("block", "salt").mapInArrow(_add, CHANGE)
         for row in some.repartition("block").mapInArrow(_add, CHANGE).collect():  # a row for each block of weights
-            weight, at = (model.weight, row["block"]) if row["block"] < len(model.weight) else (model.weight_2, row["block"] - len(model.weight))
+            at = row["block"]
+            for weight in model.weights():
+                if at < len(weight):
+                    break
+                at -= len(weight)
             used = np.frombuffer(row["used"], np.int64)[:, None]
             weight[at : at + ROW_BLOCK] += np.frombuffer(row["change"], np.float32).reshape(ROW_BLOCK, -1) / np.maximum(used, 1)
     return model
@@ -295,15 +342,15 @@ SCORED = pa.schema(
 def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
+        weights = model.weights()
         for batch in batches:
             for first, h, n in _sequences(batch.column("text")):
-                at, c, rows, rows_2 = _features(model, h, n)
-                log = np.empty(len(h))
+                at, raw = _features(model, h, n)
+                log = np.zeros(len(h))
                 for i in range(0, len(h), STEP):
-                    s = slice(i, i + STEP)
-                    k = np.arange(len(c[s]))
-                    log[s] = np.log10(_softmax(model.bias, model.weight, rows[s])[k, c[s]].astype(np.float64) + 1e-30)
-                    log[s] += np.log10(_softmax(model.bias_2[c[s]], model.weight_2, rows_2[s])[k, model.leaf[at[s]]].astype(np.float64) + 1e-30)
+                    for t, which, bias, rows, truth in _levels(model, at[i : i + STEP], raw[i : i + STEP]):
+                        p = _softmax(bias, weights[t], rows)[np.arange(len(rows)), truth]
+                        log[i : i + STEP][which] += np.log10(p.astype(np.float64) + 1e-30)
                 edges = np.cumsum(n) - n
                 top = at < len(model.known)
                 other = np.flatnonzero(~top)

@@ -30,17 +30,32 @@ def test_base_scores_against_brute_force(table, odd, prose, monkeypatch):
     assert all(math.isfinite(r.score) and r.score < 0 for r in got)
 
 
-def test_probabilities_of_all_next_words_add_up_to_one():
+def test_scores_of_all_next_words_against_brute_force(spark, table, prose):
+    """Every word's probability after a history, by plain sums; those of all words and of the unseen place add up to one."""
+    texts = prose(60)
+    rows = table(list(enumerate(texts))).select("text")
+    words = lm.vocabulary(rows)
+    model, _, _, other_mass = lm.start(rows, words)
+    assert model.many.any() and (model.part > 0).any()
     draw = np.random.default_rng(1)
-    known = np.sort(draw.integers(0, 1 << 63, 50, np.uint64))
-    group, leaf = np.arange(50) % lm.CLASSES, np.arange(50) // lm.CLASSES
-    total = np.zeros((lm.CLASSES, lm.LEAVES))
-    np.add.at(total, (group, leaf), 1)
-    model = lm.Model(known, group, leaf, np.zeros(50), np.zeros(50), draw.normal(size=lm.CLASSES), draw.normal(size=(lm.CLASSES, lm.LEAVES)), draw.normal(size=(lm.ROWS, lm.CLASSES)), draw.normal(size=(2 * lm.ROWS, lm.LEAVES)))
-    rows = np.array([[1, 2, 3]])
-    first = lm._softmax(model.bias, model.weight, rows)[0]
-    mass = sum(first[c] * lm._softmax(model.bias_2[[c]], model.weight_2, rows).sum() for c in range(lm.CLASSES))
-    assert abs(mass - 1) < 1e-6
+    for w in model.weights():
+        w += draw.normal(size=w.shape).astype(np.float32)
+    known = np.append(model.known, np.uint64(12345))  # and one word that is not known
+    log = np.zeros(len(known))
+    for k, h in enumerate(known):
+        at, raw = lm._features(model, np.array([known[3], known[7], h]), np.array([3]))
+        for t, which, bias, r, truth in lm._levels(model, at, raw):
+            i = 2 if isinstance(which, slice) else int(np.flatnonzero(which == 2)[0]) if (which == 2).any() else None
+            if i is not None:
+                x = [float((bias if bias.ndim == 1 else bias[i])[o]) + sum(float(model.weights()[t][r[i, j], o]) for j in range(3)) for o in range(model.weights()[t].shape[1])]
+                want = math.exp(x[truth[i]] - max(x)) / sum(math.exp(y - max(x)) for y in x)
+                assert abs(lm._softmax(bias, model.weights()[t], r)[i, truth[i]] - want) < 1e-5
+                log[k] += math.log10(want)
+    n_rare = sum(1 for r in words.collect() if np.int64(r.h).view(np.uint64) not in set(model.known.tolist()))
+    rare = sum(r.c + 1 for r in words.collect() if np.int64(r.h).view(np.uint64) not in set(model.known.tolist()))
+    p = 10 ** (log + model.log_share)
+    assert rare + 1 == other_mass and n_rare + len(model.known) == words.count()
+    assert abs(p.sum() - 1) < 1e-5
 
 
 def test_order_of_words_is_learned(table):
