@@ -1,8 +1,8 @@
 """Licence detection: sparse TF-IDF cosine to licence templates, then inheritance from the nearest ancestor directory.
 
 Every line of a text that has a licence cue is a header; runs of cue lines next to each other are one header. A header,
-and the whole text where the file's name is that of a licence file or headers make up half of it, is compared with
-all templates over a sparse weighted vocabulary (words and word pairs, inverse document frequency over the templates).
+and the whole text and each of its paragraphs where the file's name is that of a licence file or headers make up half of
+it, is compared with all templates over a sparse weighted vocabulary (words and word pairs, inverse document frequency over the templates).
 The best template at `LEAST` or more is the document's own licence; ties go to the first name. A document without one
 inherits from the nearest directory above it that has a licence file: the directories of a path are exploded, each directory once, and joined
 by equality with the licence files' directories, which are first reduced to one licence for each directory (best score,
@@ -23,19 +23,34 @@ from pyspark.sql import functions as F
 
 #: Usual notices, several for each licence.
 TEMPLATES = {
-    "Apache-2.0": ("Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.", "SPDX-License-Identifier: Apache-2.0"),
+    "Apache-2.0": ("Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/", "SPDX-License-Identifier: Apache-2.0"),
     "BSD-3-Clause": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.", "Use of this source code is governed by a BSD-style license.", "SPDX-License-Identifier: BSD-3-Clause"),
     "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "SPDX-License-Identifier: CC-BY-4.0"),
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "SPDX-License-Identifier: CC-BY-NC-4.0"),
-    "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "SPDX-License-Identifier: GPL-3.0-or-later"),
-    "LGPL-3.0": ("This library is licensed under the GNU Lesser General Public License, version 3.", "SPDX-License-Identifier: LGPL-3.0-or-later"),
+    "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007", "SPDX-License-Identifier: GPL-3.0-or-later"),
+    "LGPL-3.0": ("This library is licensed under the GNU Lesser General Public License, version 3.", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007", "SPDX-License-Identifier: LGPL-3.0-or-later"),
     "MIT": ("Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.", "SPDX-License-Identifier: MIT"),
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0"),
+    "GPL-2.0": ("GNU GENERAL PUBLIC LICENSE Version 2, June 1991", "SPDX-License-Identifier: GPL-2.0-only"),
+    "AGPL-3.0": ("GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007", "SPDX-License-Identifier: AGPL-3.0-or-later"),
+    "EPL-2.0": ("Eclipse Public License - v 2.0", "SPDX-License-Identifier: EPL-2.0"),
+    "ISC": (
+        "ISC License",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. "
+        'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.',
+        "SPDX-License-Identifier: ISC",
+    ),
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, "
+        "either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+        "SPDX-License-Identifier: Unlicense",
+    ),
     "Proprietary": ("All rights reserved.", "Unauthorized copying of this file is strictly prohibited. Proprietary and confidential."),
 }
 LEAST = 0.6
 CUE = re.compile(r"licen[sc]e|copyright|\(c\) [0-9]|©|spdx|all rights reserved|redistribution and use|permission is hereby granted|free software|cc by|creative commons", re.IGNORECASE)
 WORD = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
+PARAGRAPH = re.compile(r"\n[\x20\t\r]*\n")
 FILE_NAME = re.compile(r"(?i)^(licen[sc]e|copying|copyright|notice|unlicense)([.-][a-z0-9.-]+)?$")
 
 
@@ -91,7 +106,7 @@ def own_license(text: str, name: str) -> tuple[str | None, float, bool]:
     """Licence, cosine, and whether the document is a licence file."""
     found = headers(text)
     file = bool(FILE_NAME.match(name)) or bool(found) and 2 * sum(map(len, found)) >= len(text.strip())
-    tried = [best(h) for h in found] + ([best(text)] if file else [])
+    tried = [best(h) for h in found] + ([best(part) for part in (text, *PARAGRAPH.split(text))] if file else [])
     name, score = min(tried, key=lambda x: (-x[1], x[0] or "")) if tried else (None, 0.0)
     return (name, score, file) if score >= LEAST else (None, score, False)
 

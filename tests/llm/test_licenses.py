@@ -1,5 +1,10 @@
 from __future__ import annotations
 
+import math
+import random
+
+import numpy as np
+
 from holdfast.llm import licenses
 
 
@@ -30,5 +35,33 @@ def test_every_template_is_nearest_to_itself():
             assert licenses.best(t)[0] == name and licenses.best(t)[1] > 0.999
 
 
+def test_whole_licence_files_are_known_by_a_paragraph():
+    body = "\n\n".join(f"{i}. Terms of clause {i} that no template holds, about uses and duties of whoever takes part." for i in range(40))
+    for title, name in (
+        ("                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/", "Apache-2.0"),
+        ("                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007", "GPL-3.0"),
+        ("                    GNU GENERAL PUBLIC LICENSE\n                       Version 2, June 1991", "GPL-2.0"),
+        ("Eclipse Public License - v 2.0", "EPL-2.0"),
+    ):
+        assert licenses.own_license(f"{title}\n\n{body}", "LICENSE")[0] == name
+    assert licenses.own_license(body, "LICENSE")[0] is None
+
+
+def test_cosines_against_dense_vectors():
+    """The sparse index against vectors over all terms."""
+    bags = [(name, licenses.terms(t)) for name, texts in sorted(licenses.TEMPLATES.items()) for t in texts]
+    draw, pool = random.Random(3), [w for _, b in bags for w in b if isinstance(w, str)]
+    for _ in range(50):
+        text = " ".join(draw.choices(pool, k=draw.randint(1, 60)) + draw.choices(["other", "words"], k=draw.randint(0, 5)))
+        bag = licenses.terms(text)
+        every = sorted({t for _, b in bags for t in b} | set(bag), key=str)
+        weight = np.array([1 + math.log(len(bags) / max(1, sum(t in b for _, b in bags))) for t in every])
+        x = np.array([bag[t] for t in every]) * weight
+        cosine = [float(x @ y / np.linalg.norm(x) / np.linalg.norm(y)) for _, b in bags for y in [np.array([b[t] for t in every]) * weight]]
+        name, score = licenses.best(text)
+        assert abs(score - max(cosine)) < 1e-9
+        assert name in {n for (n, _), c in zip(bags, cosine) if c > max(cosine) - 1e-9}
+
+
 def test_empty_table(spark):
     assert licenses.licenses(spark.createDataFrame([], "doc_id long, path string, text string")).collect() == []
