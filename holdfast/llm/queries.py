@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, licenses, lines, lm, packing, pii, quality, secrets, simhash, token_files
+from . import decontam, fim, licenses, lines, lm, packing, pii, quality, secrets, simhash, token_files
 from .common import documents
 
 
@@ -69,5 +69,11 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_benchmark_decontamination, op3_line_dedup, op4_quality_rules, op5_secret_scans, op6_license_scans, op7_token_files, op8_personal_data, op9_best_fit_packing, op10_lm_scoring)}
-ORACLES = {"op2_benchmark_decontamination": decontam.ORACLE, "op4_quality_rules": quality.ORACLE}
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.transform(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "fim.*")
+    restored = F.sha2(fim.restore(F.col("output"), F.col("form")), 256).alias("restored_sha256")
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), restored)
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_benchmark_decontamination, op3_line_dedup, op4_quality_rules, op5_secret_scans, op6_license_scans, op7_token_files, op8_personal_data, op9_best_fit_packing, op10_lm_scoring, op11_fill_in_middle)}
+ORACLES = {"op2_benchmark_decontamination": decontam.ORACLE, "op4_quality_rules": quality.ORACLE, "op11_fill_in_middle": fim.ORACLE}
