@@ -44,6 +44,23 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key of more than a FREQUENT-th of all rows is frequent; so there are at most FREQUENT of them.
+FREQUENT = 10_000
+
+
+def attach(rows: DataFrame, per_key: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """rows with what per_key (a row for each value of key, null being one, of n rows) says of their key; nulls where it says nothing.
+
+    Frequent keys, of which there are at most FREQUENT, are broadcast; the rows of all others meet them by a shuffle, in
+    which no key has more than a FREQUENT-th of the rows. `total` is the number of rows.
+    """
+    at, more = f"_{key}", [c for c in per_key.columns if c not in (key, n)]
+    often = F.broadcast(per_key.where(F.col(n) * FREQUENT > total).select(F.col(key).alias(at), *more))
+    seldom = per_key.where(F.col(n) * FREQUENT <= total).select(F.col(key).alias(at), *more)
+    same = F.col(key).eqNullSafe(F.col(at))
+    return rows.join(often, same).drop(at).unionByName(rows.join(often.select(at), same, "left_anti").join(seldom, same, "left").drop(at))
+
+
 def numbered(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame, bool]:
     """(number, text) for each row, (number, doc_id, text_hash) for each number, and whether no two rows can have one number.
 
