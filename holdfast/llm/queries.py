@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fim, licenses, lines, lm, packing, pii, quality, secrets, simhash, token_files, warc
+from . import decontam, fim, licenses, lines, lm, packing, pii, quality, secrets, simhash, token_files, vectors, warc
 from .common import documents
 
 
@@ -81,5 +81,12 @@ def op12_web_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, folder, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_benchmark_decontamination, op3_line_dedup, op4_quality_rules, op5_secret_scans, op6_license_scans, op7_token_files, op8_personal_data, op9_best_fit_packing, op10_lm_scoring, op11_fill_in_middle, op12_web_archives)}
-ORACLES = {"op2_benchmark_decontamination": decontam.ORACLE, "op4_quality_rules": quality.ORACLE, "op11_fill_in_middle": fim.ORACLE, "op12_web_archives": warc.ORACLE}
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    books = vectors.fit(rows)
+    coded = vectors.encode(rows, books).select("vec_id", "label", F.lower(F.hex("coded.code")).alias("code"), "coded.error")
+    return vectors.label_errors(coded).withColumn("codebooks_sha256", F.lit(vectors.digest(books)))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_benchmark_decontamination, op3_line_dedup, op4_quality_rules, op5_secret_scans, op6_license_scans, op7_token_files, op8_personal_data, op9_best_fit_packing, op10_lm_scoring, op11_fill_in_middle, op12_web_archives, op13_vector_codes)}
+ORACLES = {"op2_benchmark_decontamination": decontam.ORACLE, "op4_quality_rules": quality.ORACLE, "op11_fill_in_middle": fim.ORACLE, "op12_web_archives": warc.ORACLE, "op13_vector_codes": vectors.ORACLE}
