@@ -34,6 +34,8 @@ from . import common
 
 #: Bytes of records after which a frame ends, and compressed bytes after which a bundle does.
 FRAME, BUNDLE = 1 << 20, 1 << 28
+#: Decompressed bytes that a task reads.
+READ = 1 << 26
 # Magic numbers of a skippable frame and of the seekable format's footer, and the profile of revisits.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -240,22 +242,28 @@ def _known(found: DataFrame) -> DataFrame:
     return found.select(number("record_id").alias("page_id"), "record_type", "target_uri", number("refers_to").alias("refers_to"), "payload_digest", "payload_bytes", "payload")
 
 
+def _dealt(frames: DataFrame, total: int, *order: str) -> DataFrame:
+    """Frames by hash of their place, about READ decompressed bytes to a task. Their rows are small, so Spark is told how many tasks."""
+    n = max(frames.sparkSession.sparkContext.defaultParallelism, -(-total // READ))
+    return frames.repartition(n, "file", "frame_at").sortWithinPartitions("file", "frame_at", *order)
+
+
 def read(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
     """All records of all bundles: page_id, record_type, target_uri, refers_to, payload_digest, payload_bytes, payload.
 
     Frames are listed from the footers and dealt to tasks; payloads of responses are checked, and given if asked for.
     """
     frames = index(spark, folder).select("file").distinct().mapInArrow(_frames(folder), "file string, frame_at long, frame_bytes long, frame_size long")
-    dealt = frames.repartition(F.col("file"), F.col("frame_at")).sortWithinPartitions("file", "frame_at")
-    return _known(dealt.mapInArrow(_read_frames(folder, payloads, False), RECORD_DDL))
+    total = index(spark, folder).agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    return _known(_dealt(frames, total).mapInArrow(_read_frames(folder, payloads, False), RECORD_DDL))
 
 
 def lookup(spark: SparkSession, folder: str, ids: DataFrame, id_col: str = "page_id", payloads: bool = True) -> DataFrame:
     """The records of the given ids, from their frames alone; each id's records once, however often it is asked for."""
     wanted = ids.select(_urn(F.col(id_col)).alias("record_id")).distinct()
-    found = index(spark, folder).join(wanted, "record_id", "left_semi").select("file", "frame_at", "frame_bytes", "frame_size", "offset")
-    dealt = found.repartition(F.col("file"), F.col("frame_at")).sortWithinPartitions("file", "frame_at", "offset")
-    return _known(dealt.mapInArrow(_read_frames(folder, payloads, True), RECORD_DDL))
+    found = common.table(index(spark, folder).join(wanted, "record_id", "left_semi").select("file", "frame_at", "frame_bytes", "frame_size", "offset"), "frames")
+    total = found.select("file", "frame_at", "frame_size").distinct().agg(F.coalesce(F.sum("frame_size"), F.lit(0))).first()[0]
+    return _known(_dealt(found, total, "offset").mapInArrow(_read_frames(folder, payloads, True), RECORD_DDL))
 
 
 def new_folder(spark: SparkSession) -> str:
