@@ -175,7 +175,8 @@ def encode(vectors: DataFrame, books: list[np.ndarray], vector_col: str = "embed
         return vectors.withColumn(to, F.lit(None).cast(CODED)).where("false")
     if len(books[0]) > 256:
         raise ValueError("a code has a byte for each part")
-    return vectors.withColumn(to, coded(vector_col)).where(F.col(to).isNotNull())
+    # Called so, it runs once: a deterministic function would run again in the filter, below the projection.
+    return vectors.withColumn(to, coded.asNondeterministic()(vector_col)).where(F.col(to).isNotNull())
 
 
 def decode(code: bytes, books: list[np.ndarray], scale: int = SCALE) -> np.ndarray:
