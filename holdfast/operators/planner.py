@@ -14,8 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import snapshots
 from ..functions import scalars
-from ..snapshots import snapshot
 from .matching import GUARD, PER_CONTENT, SAFE_ROWS
 
 OPERATION = ["coll", "kind", "source", "archive_path", "dest", "size", "reason"]
@@ -206,13 +206,7 @@ def space_needed(operations: DataFrame) -> DataFrame:
 
 def numbered(operations: DataFrame, order: list[str]) -> DataFrame:
     """Operations with their position from 0, drains after all others; sorted by ranges, and counted for each partition."""
-    rows = operations.orderBy(F.col("kind") == "drain", *order).withColumn("at_", F.monotonically_increasing_id())
-    rows = snapshot(rows)
-    before, total = [F.lit(-1), F.lit(0)], 0
-    for p, n in sorted(rows.groupBy(F.shiftright("at_", 33)).count().collect()):  # a row for each partition
-        before += [F.lit(p), F.lit(total)]
-        total += n
-    return rows.withColumn("op_id", (F.create_map(*before)[F.shiftright("at_", 33)] + F.expr("at_ & 8589934591L")).cast("long")).drop("at_")
+    return snapshots.numbered(operations, [F.col("kind") == "drain", *order], "op_id")
 
 
 def sizes_of_matches(matched: DataFrame, locations: DataFrame, cap: int | None = None) -> DataFrame:

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names, scalars
-from ..operators import completeness, imports, matching, merges, planner, reports, settings, versions
+from ..operators import completeness, imports, matching, merges, planner, reports, settings, torrents, versions
 from ..projection import Relations, ctes
-from ..sources import files
+from ..snapshots import shared_folder
+from ..sources import files, trees
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -682,3 +684,76 @@ def c9_state_hash(r):
 def s29_hashes(r):
     found = files.hashes(r.documents.select(F.col("doc_id").cast("string").alias("path"), F.encode("text", "UTF-8").alias("content")))
     return found.select(F.col("path").cast("long").alias("doc_id"), "sha1", "md5")
+
+
+DOC_FILE = "concat('d/',doc_id,'.txt')"
+TORRENTS = """tf as (select lang as torrent, concat('d/',doc_id,'.txt') as path, text, strlen(text) as length from documents),
+tw as (select torrent, string_agg(hex(text), '' order by path) as h, cast(sum(length) as bigint) as total, count(*) as n_files, string_agg('d6:lengthi'||length||'e4:pathl1:d'||(strlen(path)-2)||':'||path[3:]||'ee', '' order by path) as names from tf group by 1),
+tp as (select *, cast(least(greatest(power(2, ceil(log2(greatest(total//1500,1)))),16384),16777216) as bigint) as p from tw),
+pieces as (select torrent, k as piece, sha1(unhex(substr(h, k*p*2+1, p*2))) as sha1 from tp, lateral (select unnest(range(0, (total+p-1)//p)) as k))"""
+
+
+def _torrent_files(r):
+    own = r.documents.select(F.col("lang").alias("torrent"), F.expr(DOC_FILE).alias("path"), F.col("text").cast("binary").alias("content"))
+    return torrents.placed(own.withColumn("length", F.octet_length("content")))
+
+
+def _torrents(r):
+    own = _torrent_files(r)
+    return torrents.metadata(own.drop("content"), torrents.pieces_of_contents(own), ("udp://a", "udp://b"), "all texts")
+
+
+@query("select * from pieces", "c_collections", more=TORRENTS)
+def w20_torrent_pieces(r):
+    return torrents.pieces_of_contents(_torrent_files(r))
+
+
+@query("""select torrent, n_files, total, p as piece_length, n_pieces, sha1(encode('d5:filesl'||names||'e4:name'||strlen(torrent)||':'||torrent||'12:piece lengthi'||p||'e6:pieces'||(20*n_pieces)||':')||unhex(raw)||encode('e')) as info_hash
+  from tp join (select torrent, count(*) as n_pieces, string_agg(sha1, '' order by piece) as raw from pieces group by 1) using (torrent)""", "c_collections", more=TORRENTS)
+def w20_torrents(r):
+    return _torrents(r).drop("content")
+
+
+CHECKED = """listing as (select concat(lang,'/d/',doc_id,'.txt') as path, strlen(text)+case when doc_id%5=0 then 1 else 0 end as actual from documents where doc_id%7<>0),
+checked as (select e.torrent||'.torrent' as source, e.torrent||'/'||e.path as path, case when l.path is null then 'missing' when l.actual=e.length then 'found' else 'wrong size' end as state, e.length as expected, l.actual from tf e left join listing l on l.path=e.torrent||'/'||e.path)"""
+
+
+def _checked(r):
+    """What the torrents' own bytes say of their files, against a tree that lacks some and has others longer."""
+    parsed = torrents.read(_torrents(r).select(F.concat("torrent", F.lit(".torrent")).alias("path"), "content"))
+    size = F.octet_length("text") + F.when(F.col("doc_id") % 5 == 0, 1).otherwise(0)
+    listing = r.documents.where("doc_id % 7 <> 0").select(F.concat_ws("/", "lang", F.expr(DOC_FILE)).alias("path"), size.cast("long").alias("size"))
+    return torrents.check(torrents.entries(parsed), listing)
+
+
+@query("select * from checked", "c_collections", more=TORRENTS + ",\n" + CHECKED)
+def j16_torrent_check(r):
+    return _checked(r)
+
+
+@query("select source, count(*) as files, count(*) filter (state='found') as found, count(*) filter (state='missing') as missing, count(*) filter (state='wrong size') as wrong_size, cast(floor(count(*) filter (state='found')*100/count(*)) as bigint) as percent from checked group by 1", "c_collections", more=TORRENTS + ",\n" + CHECKED)
+def j16_torrent_report(r):
+    return torrents.report(_checked(r))
+
+
+def _tree(r):
+    """The texts as files below a new folder, half of them with a header that scans know."""
+    root = f"{shared_folder(r.spark)}/tree-{uuid.uuid4().hex}"
+    content = F.concat(F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit(b"NES\x1a"), F.lit(bytes(12)))).otherwise(F.lit(b"")), F.when(F.col("doc_id") % 10 != 1, F.col("text").cast("binary")).otherwise(F.lit(b"")))
+    trees.write_files(r.documents.select(F.concat_ws("/", "source", "lang", F.concat("doc_id", F.lit(".bin"))).alias("path"), content.alias("content")), root)
+    return root
+
+
+@query("""select concat(source,'/',lang,'/',doc_id,'.bin') as path, octet_length(b) as size, upper(sha1(b)) as sha1, upper(md5(b)) as md5, case when doc_id%2=0 and length(text)>0 then upper(sha1(text)) end as sha1_no_header
+  from (select *, case when doc_id%2=0 then from_hex('4E45531A000000000000000000000000')||encode(text) when doc_id%10=1 then encode('') else encode(text) end as b from documents)""")
+def s21_scanned_files(r):
+    """Texts become files, a tenth of them empty; a scan lists and hashes them."""
+    root = _tree(r)
+    return trees.hash_files(trees.listed(r.spark, root), root).select("path", "size", "sha1", "md5", "sha1_no_header")
+
+
+@query("select lang, count(*) as files, cast(sum(case when doc_id%2=0 then 16+strlen(text) when doc_id%10=1 then 0 else strlen(text) end) as bigint) as bytes from documents where source='src1' group by 1")
+def s23_scanned_folder(r):
+    """Only a folder of the tree is listed."""
+    found = trees.listed(r.spark, _tree(r), "src1")
+    return found.groupBy(F.split_part("path", F.lit("/"), F.lit(2)).alias("lang")).agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"))

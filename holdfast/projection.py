@@ -58,9 +58,8 @@ BODIES = {
       union select w.sha1, '/stage/loose', 'consume', concat('x/',w.rom), cast(null as varchar(40)) from c_asked w where w.doc % 3 = 0""".replace("EXT", "case when o.format='7z' then '.7z' else '.zip' end"),
     "c_held": """select m.coll, m.game, m.rom, m.is_disk, m.sha1, m.size, h.root, h.disposition, h.path, h.archive_path from c_asked m join c_homes h on h.sha1=m.sha1""",
 }
-#: Relations that a catalogue has as tables (the hashes of its contents, the planner's inputs): computed once for each application and folder.
+#: Relations that one query uses in several places: each query computes and writes them once, and no other one reads them.
 STORED = ("c_content", "c_asked", "c_homes", "c_held")
-_stored: dict[tuple[str, str, str], DataFrame] = {}
 TABLES = ("documents", "labels")
 
 
@@ -101,12 +100,6 @@ class Relations:
                 used = _uses(body)
                 for n in used:
                     body = re.sub(rf"(?<![.\w]){n}\b(?!\.)", "{" + n + "}", body)
-                key = (self.spark.sparkContext.applicationId, self.sf_dir, full)
-                if key not in _stored:
-                    made = self.spark.sql(body, **{n: getattr(self, n.removeprefix("c_")) for n in used})
-                    if full not in STORED:
-                        self._made[full] = made
-                        return made
-                    _stored[key] = snapshot(made)
-                self._made[full] = _stored[key]
+                made = self.spark.sql(body, **{n: getattr(self, n.removeprefix("c_")) for n in used})
+                self._made[full] = snapshot(made) if full in STORED else made
         return self._made[full]

@@ -24,17 +24,26 @@ def _starts(content: Column, at: int, magic: bytes) -> Column:
     return F.substr(content, F.lit(at + 1), F.lit(len(magic))) == F.lit(magic)
 
 
+# Start and bytes of the magic, least size, and header size of the known formats; and headers of copiers by name.
+HEADERS = ((0, b"NES\x1a", 16, 16), (0, b"FDS\x1a", 16, 16), (1, b"ATARI7800", 128, 128), (0, b"LYNX", 64, 64))
+COPIERS, COPIER_HEADER = (".smc", ".swc", ".fig"), 512
+
+
 def header_bytes(content: Column, size: Column, path: Column) -> Column:
     """How many bytes a known header takes at the start of a content; 0 for none."""
-    # Magic bytes and header sizes of the known formats.
-    return (
-        F.when((size >= 16) & _starts(content, 0, b"NES\x1a"), 16)
-        .when((size >= 16) & _starts(content, 0, b"FDS\x1a"), 16)
-        .when((size >= 128) & _starts(content, 1, b"ATARI7800"), 128)
-        .when((size >= 64) & _starts(content, 0, b"LYNX"), 64)
-        .when((size % 1024 == 512) & F.lower(path).rlike("\\.(smc|swc|fig)$"), 512)
-        .otherwise(0)
-    )
+    found = F.when(F.lit(False), 0)
+    for at, magic, least, header in HEADERS:
+        found = found.when((size >= least) & _starts(content, at, magic), header)
+    named = F.lower(path).rlike("(" + "|".join(e.replace(".", "\\.") for e in COPIERS) + ")$")
+    return found.when((size % 1024 == COPIER_HEADER) & named, COPIER_HEADER).otherwise(0)
+
+
+def bare_offset(start: bytes, size: int, path: str) -> int:
+    """The same from the first bytes of a file that is read in blocks."""
+    for at, magic, least, header in HEADERS:
+        if size >= least and start[at : at + len(magic)] == magic:
+            return header
+    return COPIER_HEADER if size % 1024 == COPIER_HEADER and path.lower().endswith(COPIERS) else 0
 
 
 def hashes(files: DataFrame) -> DataFrame:
