@@ -72,15 +72,37 @@ def _place_order() -> Column:
     return F.struct("game", "rom", "root", "path", F.coalesce("archive_path", F.lit("")).alias("entry"), "sha1")
 
 
+def _kept(each: DataFrame) -> DataFrame:
+    """For each destination the place to keep: one that is there already, else the first; and whether a content is shared."""
+    here = F.col("archive_path").isNull() & (F.col("at") == F.col("dest"))
+    first = F.struct((~here).alias("away"), _place_order().alias("by"), "at", "archive_path", "root", "disposition", "size")
+    return each.groupBy("coll", "dest").agg(F.min(first).alias("keep"), F.max("is_shared").alias("shared"))
+
+
+def file_sources(rows: DataFrame) -> DataFrame:
+    """coll, dest, path, archive_path and sha1 of what is placed at each destination of a loose entry or disk."""
+    return _kept(with_dest(rows)).where("keep.away").select("coll", "dest", F.col("keep.at").alias("path"), "keep.archive_path", "keep.by.sha1")
+
+
+def repack_sources(rows: DataFrame, planned: DataFrame) -> DataFrame:
+    """coll, dest, path, archive_path, sha1 and entry_name of every place that an archive is built from.
+
+    Those of one complete file if there is one, else all places of the game; the entry is named as its manifest wants it.
+    """
+    packed = rows.where("not is_disk and format <> 'loose'").select(*GAME, "at", "archive_path", "sha1", "rom")
+    built = planned.where("action = 'repack'").select(*GAME, "dest", "build_from")
+    met = packed.join(built, GAME).where("build_from is null or at = build_from")
+    return met.select("coll", "dest", F.col("at").alias("path"), "archive_path", "sha1", F.col("rom").alias("entry_name")).distinct()
+
+
 def plan_files(rows: DataFrame, library: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Operations on loose entries and disks, and a row for each destination: coll, dest, correct, shared.
 
     A loose copy at the destination is right. Else the first copy is placed, by a move if its source allows that and its
     content is not shared. Other loose copies go, unless shared, if their source allows it and they are no placement.
     """
-    each = with_dest(rows).withColumn("here", F.col("archive_path").isNull() & (F.col("at") == F.col("dest")))
-    first = F.struct((~F.col("here")).alias("away"), _place_order().alias("by"), "at", "archive_path", "root", "disposition", "size")
-    per = each.groupBy("coll", "dest").agg(F.min(first).alias("keep"), F.max("is_shared").alias("shared"))
+    each = with_dest(rows)
+    per = _kept(each)
     place = per.where("keep.away")
     move = may_leave(F.col("keep.disposition"), F.col("keep.root"), F.col("dest")) & ~F.col("shared")
     put = place.select("coll", F.when(move, "move").otherwise("copy").alias("kind"), F.col("keep.at").alias("source"), "keep.archive_path", "dest", "keep.size", F.lit(None).cast("string").alias("reason"))

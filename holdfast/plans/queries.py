@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names, scalars
-from ..operators import completeness, imports, matching, merges, planner, reports, settings, torrents, versions
+from ..operators import completeness, imports, matching, merges, planner, plans, reports, settings, torrents, versions
 from ..projection import Relations, ctes
 from ..snapshots import shared_folder
 from ..sources import files, trees
@@ -757,3 +757,43 @@ def s23_scanned_folder(r):
     """Only a folder of the tree is listed."""
     found = trees.listed(r.spark, _tree(r), "src1")
     return found.groupBy(F.split_part("path", F.lit("/"), F.lit(2)).alias("lang")).agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"))
+
+
+DRAINED = "select p.*, o.name from pk p join gp g on g.coll=p.coll and g.game=p.game and g.build_from=p.spot join c_goals o on o.coll=p.coll where g.drains and p.archive_path is not null"
+WHOLE = """c_held as (select m.coll, m.game, m.rom, m.is_disk, m.sha1, m.size, s.path as root, s.disposition, l.path, l.archive_path from c_match m join c_locations l on l.sha1=m.sha1 join c_sources s on s.source=l.source),
+""" + ALL_OPS + f""",
+dr as ({DRAINED}),
+allops as (select coll, kind, source, archive_path, dest, size, case when kind='repack' then null else reason end as reason, kind='repack' and reason is not null as moves from ops
+  union all select null, 'drain', spot, null, null, 0, 'consolidated into '||arg_min(dest, row(name, game, rom, sha1, dest)), false from dr group by spot),
+numd as (select row_number() over (order by kind='drain', coll, dest, source nulls last, kind, archive_path nulls last)-1 as op_id, * from allops)"""
+WHOLE_PLAN = ("c_match", "c_locations", "c_sources", "c_goals")
+
+
+def _whole_plan(r):
+    """From what manifests ask for and where contents lie to operations, with no step prepared."""
+    given = plans.Catalogue(r.goals, active(r.versions), active(r.roms), r.files, r.locations, r.sources)
+    return plans.plan(given, LIBRARY)
+
+
+@query("select op_id, coll, kind, source, dest, size, case when kind='repack' then moves end as move_sources, reason from numd", *WHOLE_PLAN, more=WHOLE)
+def l1_plan(r):
+    return _whole_plan(r).operations.drop("format")
+
+
+@query("""select n.kind, n.dest, p.spot as path, p.archive_path, p.sha1, p.rom as entry_name from numd n join gp g on g.coll=n.coll and g.dest=n.dest join (select distinct coll, game, spot, archive_path, sha1, rom from pk) p on p.coll=g.coll and p.game=g.game and (g.build_from is null or p.spot=g.build_from) where n.kind='repack'
+  union all select n.kind, n.dest, k.spot, k.archive_path, k.sha1, null from numd n join rk k on k.coll=n.coll and k.dest=n.dest and k.nth=1 where n.kind in ('copy','move')""", *WHOLE_PLAN, more=WHOLE)
+def l6_operation_sources(r):
+    made = _whole_plan(r)
+    return made.sources.join(made.operations.select("op_id", "kind", "dest"), "op_id").drop("op_id")
+
+
+@query("""select op_id, kind, source, case when kind<>'delete' then dest end as dest, size, (select count(*) from (select distinct coll, game, spot, archive_path, sha1, rom from pk) p join gp g on p.coll=g.coll and p.game=g.game and (g.build_from is null or p.spot=g.build_from) where n.kind='repack' and g.coll=n.coll and g.dest=n.dest)+case when kind in ('copy','move') then 1 else 0 end as sources,
+  (select count(distinct archive_path) from dr where n.kind='drain' and dr.spot=n.source) as entries from numd n""", *WHOLE_PLAN, more=WHOLE)
+def s34_saved_plan(r):
+    """The plan is saved, found as the newest one and read again."""
+    root = f"{shared_folder(r.spark)}/plans-{uuid.uuid4().hex}"
+    plans.save(_whole_plan(r), root, "first")
+    operations, sources, rebuilds = plans.load_newest(r.spark, root)
+    count = lambda df, name: df.groupBy("op_id").agg(F.count(F.lit(1)).alias(name))
+    met = operations.join(count(sources, "sources"), "op_id", "left").join(count(rebuilds, "entries"), "op_id", "left")
+    return met.select("op_id", "kind", "source", "dest", "size", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("sources", "entries")))
