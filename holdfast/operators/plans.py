@@ -156,6 +156,8 @@ def read(spark: SparkSession, root: str, name: str) -> tuple[DataFrame, DataFram
     nested = F.col("kind.type").isin("copy", "move")
     source = F.from_json("kind.source", SOURCE)
     path = F.when(nested, source["path"]).when(F.col("kind.type") == "delete", F.col("kind.path")).otherwise(F.col("kind.source"))
+    paths = F.array_distinct(F.transform("kind.sources", lambda s: s["path"]))
+    path = F.when(F.size(paths) == 1, F.get(paths, F.lit(0))).otherwise(path)  # a repack of one file has it as its source
     operations = rows.select(F.col("id").alias("op_id"), "status", kind.alias("kind"), path.alias("source"), "kind.dest", F.coalesce("kind.size", F.lit(0)).alias("size"), "kind.format", "kind.move_sources", "kind.reason")
     each = rows.select(F.col("id").alias("op_id"), F.explode(F.when(nested, F.array(source)).otherwise(F.col("kind.sources"))).alias("s")).select("op_id", "s.*")
     entries = rows.select(F.col("id").alias("op_id"), F.explode("kind.rebuild.entries").alias("e")).select("op_id", "e.container_entry", "e.dest_entry", "e.dest", "e.sha1")
