@@ -38,7 +38,8 @@ def apply(judged: DataFrame, collections: DataFrame, versions: DataFrame, games:
     """collections (coll, name, node_path), versions, games and roms with what the added manifests bring.
 
     A new collection is known by its name. Of a collection's added versions the last by path is active, all others lose
-    their mark. Games of one name are one game, the first by description; their entries are all kept, each once.
+    their mark. A game that is listed again keeps what its first listing said of it, and gains the entries that are new by
+    name; of entries of one name the first counts. Places in a file are told by `ordinal`; a row without rom is a game alone.
     """
     added = judged.where("state = 'added'").join(collections.select("name", "coll"), "name", "left").withColumn("coll", F.coalesce("coll", "name"))
     fresh = added.join(collections.select("coll"), "coll", "left_anti").groupBy("coll", "name").agg(F.max_by("node_path", "path").alias("node_path"))
@@ -50,9 +51,9 @@ def apply(judged: DataFrame, collections: DataFrame, versions: DataFrame, games:
     both = versions.select("coll", "version", "is_active", F.col("imported_seq").cast("long").alias("imported_seq")).unionByName(new).join(last, "coll", "left")
     both = both.withColumn("is_active", F.when(F.col("last").isNull(), F.col("is_active")).otherwise(F.col("version") == F.col("last"))).drop("last")
     own = entries.join(added.select("path", "coll", "version"), "path").drop("path")
-    found = own.groupBy("coll", "version", "game").agg(F.min(F.struct("description", "parent_name", "is_bios", "is_device", "is_mechanical")).alias("g"))
-    found = found.select("coll", "version", "game", "g.parent_name", "g.is_bios", "g.is_device", "g.is_mechanical")
-    parts = own.select("coll", "version", "game", "rom", "size", "sha1", "md5", "crc32", "status", "merge_tag", "is_disk").distinct()
+    first = lambda *names: F.min_by(F.struct(*names), "ordinal").alias("first")
+    found = own.groupBy("coll", "version", "game").agg(first("description", "parent_name", "is_bios", "is_device", "is_mechanical")).select("coll", "version", "game", "first.*")
+    parts = own.where("rom is not null").groupBy("coll", "version", "game", "rom").agg(first("size", "sha1", "md5", "crc32", "status", "merge_tag", "is_disk")).select("coll", "version", "game", "rom", "first.*")
     return collections.select("coll", "name", "node_path").unionByName(fresh), both, games.unionByName(found, allowMissingColumns=True), roms.unionByName(parts, allowMissingColumns=True)
 
 

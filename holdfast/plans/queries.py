@@ -577,7 +577,7 @@ def s20_upgrade(r):
 @query("""select coll, version, version=last as is_active from (select coll, version from c_versions union select coalesce(c.coll,j.name), version from judged j left join c_collections c on c.name=j.name where state='added')
   left join (select coalesce(c.coll,j.name) as coll, arg_max(version, path) as last from judged j left join c_collections c on c.name=j.name where state='added' group by 1) using (coll)""", "c_collections", "c_versions", more=JUDGED)
 def s19_versions_after_import(r):
-    none = r.spark.createDataFrame([], "path string, game string, description string, parent_name string, is_bios boolean, is_device boolean, is_mechanical boolean, rom string, size long, crc32 string, md5 string, sha1 string, status string, merge_tag string, is_disk boolean")
+    none = r.spark.createDataFrame([], "path string, game string, description string, parent_name string, is_bios boolean, is_device boolean, is_mechanical boolean, rom string, size long, crc32 string, md5 string, sha1 string, status string, merge_tag string, is_disk boolean, ordinal struct<block:bigint,row:bigint,part:int>")
     judged = imports.judge(_heads(r), r.collections, r.versions, "20260101")
     return imports.apply(judged, r.collections, r.versions, r.games, r.roms, none)[1].select("coll", "version", "is_active")
 
@@ -797,3 +797,26 @@ def s34_saved_plan(r):
     count = lambda df, name: df.groupBy("op_id").agg(F.count(F.lit(1)).alias(name))
     met = operations.join(count(sources, "sources"), "op_id", "left").join(count(rebuilds, "entries"), "op_id", "left")
     return met.select("op_id", "kind", "source", "dest", "size", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("sources", "entries")))
+
+
+LISTED = "lst as (select concat(source,'/',lang,'.dat') as path, concat('Game ',doc_id%3) as game, concat('Doc ',doc_id) as description, concat('Game ',doc_id%2) as parent_name, concat('r',doc_id%4,'.rom') as rom, n_chars as size, upper(sha1(text)) as sha1, doc_id from documents)"
+ADDED = "add as (select l.*, coalesce(c.coll,j.name) as coll, j.version from lst l join judged j on j.path=l.path and j.state='added' left join c_collections c on c.name=j.name)"
+
+
+def _imported(r):
+    """Manifests that list games and entries again and again, in the order of documents."""
+    listed = r.spark.sql("select " + LISTED[LISTED.index("concat(source") : -1].replace("from documents", "from {documents}"), documents=r.documents)
+    none, no = F.lit(None).cast("string"), F.lit(False)
+    more = {"is_bios": no, "is_device": no, "is_mechanical": no, "md5": none, "crc32": none, "status": F.lit("good"), "merge_tag": none, "is_disk": no}
+    entries = listed.withColumns(more).withColumn("ordinal", F.struct(F.lit(0).cast("long").alias("block"), F.col("doc_id").alias("row"), F.lit(0).alias("part"))).drop("doc_id")
+    return imports.apply(imports.judge(_heads(r), r.collections, r.versions, "20260101"), r.collections, r.versions, r.games, r.roms, entries)
+
+
+@query("select coll, version, game, cast(null as varchar) as description, parent_name from c_games union all select coll, version, game, arg_min(description, doc_id), arg_min(parent_name, doc_id) from add group by 1,2,3", "c_games", "c_collections", "c_versions", more=f"{JUDGED},\n{LISTED}, {ADDED}")
+def w2_imported_games(r):
+    return _imported(r)[2].select("coll", "version", "game", "description", "parent_name")
+
+
+@query("select coll, version, game, rom, size, sha1 from c_roms union all select coll, version, game, rom, arg_min(size, doc_id), arg_min(sha1, doc_id) from add group by 1,2,3,4", "c_roms", "c_collections", "c_versions", more=f"{JUDGED},\n{LISTED}, {ADDED}")
+def w1_imported_entries(r):
+    return _imported(r)[3].select("coll", "version", "game", "rom", "size", "sha1")

@@ -1,9 +1,13 @@
 """Manifests: which contents a collection should hold.
 
 `discover` finds the files, `entries` gives a row for each required entry of all of them and `headers` a row for each
-file. XML goes through Spark's reader, which splits large files at games; the text format and the table dump are parsed
-a file at a time inside tasks, as their files are small and cannot be split. A file that cannot be parsed gives no
-entries and an `error` in `headers`; the others are read all the same.
+file. XML goes through Spark's reader, which streams the games of a file in one task, and a table dump through its text
+reader, which splits at statements; the text format is parsed a file at a time inside tasks, as its files are small.
+A file that cannot be parsed gives no entries and an `error` in `headers`; the others are read all the same.
+
+`ordinal` orders the entries of a file as they stand in it: the block of the file that the reader cut out, the row among
+those of its task, which reads a block from front to back, and the entry's place in the row. A game without entries has one
+row without `rom`. Of a file that uses both words for a game, those called "game" come first.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ENTRY = "path string, game string, description string, parent_name string, is_bios boolean, is_device boolean, is_mechanical boolean, rom string, size long, crc32 string, md5 string, sha1 string, status string, merge_tag string, is_disk boolean"
+ENTRY = "path string, game string, description string, parent_name string, is_bios boolean, is_device boolean, is_mechanical boolean, rom string, size long, crc32 string, md5 string, sha1 string, status string, merge_tag string, is_disk boolean, ordinal struct<block:bigint,row:bigint,part:int>"
 HEADER = "path string, name string, description string, version string, author string, homepage string, error string"
 _FIELDS = [part.split(" ")[0] for part in ENTRY.split(", ")]
 
@@ -63,18 +67,19 @@ def _status(status: Column) -> Column:
 def xml_entries(spark: SparkSession, paths: list[str]) -> DataFrame:
     games = None
     for tag in ("game", "machine"):
-        part = _xml(spark, paths, tag, _GAME).select(F.col("_metadata.file_path").alias("path"), "*")
+        block = F.col("_metadata.file_block_start") + (0 if tag == "game" else 1 << 62)
+        part = _xml(spark, paths, tag, _GAME).select(F.col("_metadata.file_path").alias("path"), block.alias("block"), F.monotonically_increasing_id().alias("row"), "*")
         games = part if games is None else games.unionByName(part)
     tagged = lambda c, disk: F.transform(F.coalesce(c, F.array().cast(_ROM)), lambda r: F.struct(r.alias("r"), F.lit(disk).alias("is_disk")))
-    each = games.where("_name is not null").withColumn("e", F.explode(F.concat(tagged(F.col("rom"), False), tagged(F.col("disk"), True))))
+    each = games.where("_name is not null").select("*", F.posexplode_outer(F.filter(F.concat(tagged(F.col("rom"), False), tagged(F.col("disk"), True)), lambda e: e["r"]["_name"].isNotNull())).alias("part", "e"))
     yes = lambda c: F.coalesce(F.col(c) == "yes", F.lit(False))
     disk, rom = F.col("e.is_disk"), F.col("e.r")
-    return each.where("e.r._name is not null").select(
+    return each.select(
         "path", F.col("_name").alias("game"), F.trim("description").alias("description"), F.col("_cloneof").alias("parent_name"),
         yes("_isbios").alias("is_bios"), yes("_isdevice").alias("is_device"), yes("_ismechanical").alias("is_mechanical"),
-        rom["_name"].alias("rom"), F.when(disk, F.lit(0).cast("long")).otherwise(F.coalesce(F.try_to_number(rom["_size"], F.lit("999999999999999999")).cast("long"), F.lit(0).cast("long"))).alias("size"),
+        rom["_name"].alias("rom"), F.when(disk, F.lit(0).cast("long")).when(rom["_name"].isNotNull(), F.coalesce(F.try_to_number(rom["_size"], F.lit("999999999999999999")).cast("long"), F.lit(0).cast("long"))).alias("size"),
         F.when(~disk, F.upper(rom["_crc"])).alias("crc32"), F.upper(rom["_md5"]).alias("md5"), F.upper(rom["_sha1"]).alias("sha1"),
-        _status(rom["_status"]).alias("status"), rom["_merge"].alias("merge_tag"), disk.alias("is_disk"),
+        F.when(rom["_name"].isNotNull(), _status(rom["_status"])).alias("status"), rom["_merge"].alias("merge_tag"), disk.alias("is_disk"), F.struct("block", "row", F.coalesce("part", F.lit(0)).alias("part")).alias("ordinal"),
     )
 
 
@@ -130,17 +135,18 @@ def _upper(text: str | None) -> str | None:
 
 
 def block_rows(path: str, text: str) -> Iterator[tuple]:
-    for key, pairs in blocks(text):
+    for nth, (key, pairs) in enumerate(blocks(text)):
         game = _values(pairs)
         if key not in ("game", "machine", "resource") or not game.get("name"):
             continue
-        for inner, rom in ((k, _values(v)) for k, v in pairs if isinstance(v, list)):
-            if inner != "rom" or not rom.get("name"):
-                continue
+        head = (path, game["name"], game.get("description"), game.get("cloneof"), False, False, False)
+        roms = [rom for inner, rom in ((k, _values(v)) for k, v in pairs if isinstance(v, list)) if inner == "rom" and rom.get("name")]
+        if not roms:
+            yield (*head, None, None, None, None, None, None, None, None, (0, nth, 0))
+        for part, rom in enumerate(roms):
             status = (rom.get("status") or rom.get("flags") or "").lower()
             hashes = (_upper(rom.get("crc") or rom.get("crc32")), _upper(rom.get("md5")), _upper(rom.get("sha1")))
-            yield (path, game["name"], game.get("description"), game.get("cloneof"), False, False, False, rom["name"], _count(rom.get("size")), *hashes,
-                   status if status in ("nodump", "baddump") else "good", rom.get("merge"), False)
+            yield (*head, rom["name"], _count(rom.get("size")), *hashes, status if status in ("nodump", "baddump") else "good", rom.get("merge"), False, (0, nth, part))
 
 
 def block_header(path: str, text: str) -> tuple:
@@ -194,44 +200,31 @@ def headers(spark: SparkSession, folder: str) -> DataFrame:
 
 # --- a table dump: INSERT statements of one table ------------------------------------------------------------------
 
-_TUPLE = re.compile(r"\((?:[^'()]|'(?:[^'\\]|\\.|'')*')*\)", re.S)
-_GAP = re.compile(r"[\s,]*")
-_CELL = re.compile(r"\s*(?:'((?:[^'\\]|\\.|'')*)'|([^,]*?))\s*(?:,|$)", re.S)
-
-
-def _cells(row: str) -> list[str]:
-    inner, cells, at = row[1:-1], [], 0
-    while at < len(inner):
-        m = _CELL.match(inner, at)
-        quoted, bare = m.groups()
-        cells.append(bare if quoted is None else re.sub(r"\\(.)|''", lambda x: x[1] or "'", quoted, flags=re.S))
-        at = m.end()
-    return cells
-
+# Quoted strings with doubled or escaped quotes in them; runs are possessive, so a long string takes few steps.
+_QUOTED = r"'(?:[^'\\]++|\\.|'')*+'"
+_TUPLE = rf"(?s)\((?:[^'()]++|{_QUOTED})*+\)"
+_CELL = rf"(?s)(?:^|,)\s*+(?:{_QUOTED}|[^,']*+)"
 
-def _dump_rows(table: str):
-    insert = re.compile(rf"INSERT\s+INTO\s+`{re.escape(table)}`[^;]*?VALUES", re.I)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for path, text in zip(frame["path"], frame["text"]):
-                rows = []
-                for m in insert.finditer(text):
-                    at = m.end()
-                    while t := _TUPLE.match(text, _GAP.match(text, at).end()):
-                        rows.append((path, _cells(t[0])))
-                        at = t.end()
-                yield pd.DataFrame(rows, columns=["path", "cells"])
+def dump_entries(spark: SparkSession, path: str, table: str = "downloads", statement_ends: str = ";\n") -> DataFrame:
+    """Entries of a dump's rows with an MD5 in their seventh cell; the fourth names the file, the sixth its size.
 
-    return run
+    Dumps write line ends within strings as escapes, so the statements are lines that end otherwise.
+    """
+    lines = spark.read.text(path, lineSep=statement_ends)
+    lines = lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), "value")
+    rows = F.regexp_extract("value", rf"(?is)INSERT\s+INTO\s+`{re.escape(table)}`.*?VALUES(.*)$", 1)
+    tuples = lines.select("path", "block", "row", F.posexplode(F.regexp_extract_all(rows, F.lit(_TUPLE), F.lit(0))).alias("part", "t"))
+    raw = F.regexp_extract_all(F.expr("substring(t, 2, length(t) - 2)"), F.lit(_CELL), F.lit(0))
 
+    def cell(c: Column) -> Column:
+        bare = F.regexp_replace(c, "^,?\\s*", "")
+        inner = F.regexp_replace(F.regexp_replace(bare, "(?s)^'(.*)'$", "$1"), "(?s)\\\\(.)|'(')", "$1$2")
+        return F.when(F.startswith(bare, F.lit("'")), inner).otherwise(F.trim(bare))
 
-def dump_entries(spark: SparkSession, path: str, table: str = "downloads") -> DataFrame:
-    """Entries of a dump's rows with an MD5 in their seventh cell; the fourth names the file, the sixth its size."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
-    cells = files.mapInPandas(_dump_rows(table), "path string, cells array<string>").where("size(cells) > 6")
+    cells = tuples.withColumn("cells", F.transform(raw, cell)).where("size(cells) > 6")
     at = lambda i: F.get("cells", F.lit(i))
     link = F.ltrim(at(3), F.lit("/"))
     good = cells.where(at(6).rlike("^[0-9A-Fa-f]{32}$") & (F.element_at(F.split(at(3), "/"), -1) != ""))
     size = F.when(at(5).rlike("^[0-9]{1,18}$"), at(5).cast("long")).otherwise(F.lit(0).cast("long"))
-    return good.select("path", link.alias("game"), F.element_at(F.split(at(3), "/"), -1).alias("rom"), size.alias("size"), F.upper(at(6)).alias("md5"))
+    return good.select("path", link.alias("game"), F.element_at(F.split(at(3), "/"), -1).alias("rom"), size.alias("size"), F.upper(at(6)).alias("md5"), F.struct("block", "row", "part").alias("ordinal"))

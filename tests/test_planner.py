@@ -93,14 +93,17 @@ def test_import_adds_versions_and_entries_once(spark):
     versions = frame([("c", "v1", True, 3)], "coll string, version string, is_active boolean, imported_seq long")
     games = frame([("c", "v1", "g", None, False, False, False)], "coll string, version string, game string, parent_name string, is_bios boolean, is_device boolean, is_mechanical boolean")
     roms = frame([("c", "v1", "g", "r", 1, "a", None, None, "good", None, False)], "coll string, version string, game string, rom string, size long, sha1 string, md5 string, crc32 string, status string, merge_tag string, is_disk boolean")
-    entry = lambda path, game, rom: (path, game, None, None, False, False, False, rom, 1, None, None, "s", "good", None, False)
-    entries = frame([entry("1.dat", "g", "r"), entry("1.dat", "g", "r"), entry("1.dat", "g", "q"), entry("2.dat", "n", "r"), entry("3.dat", "no", "no")], "path string, game string, description string, parent_name string, is_bios boolean, is_device boolean, is_mechanical boolean, rom string, size long, crc32 string, md5 string, sha1 string, status string, merge_tag string, is_disk boolean")
+    entry = lambda at, path, game, rom, parent=None, sha1="s": (path, game, f"told at {at}", parent, False, False, False, rom, 1, None, None, sha1, "good", None, False, (0, at, 0))
+    listed = [entry(3, "1.dat", "g", "r", "par1"), entry(5, "1.dat", "g", "r", "a parent", "other"), entry(9, "1.dat", "g", "q", "par3"), entry(1, "2.dat", "n", "r"), entry(0, "2.dat", "alone", None), entry(1, "3.dat", "no", "no")]
+    entries = frame(listed[::-1], "path string, game string, description string, parent_name string, is_bios boolean, is_device boolean, is_mechanical boolean, rom string, size long, crc32 string, md5 string, sha1 string, status string, merge_tag string, is_disk boolean, ordinal struct<block:bigint,row:bigint,part:int>")
     judged = imports.judge(heads, collections, versions, "20260101")
     assert {r.path: r.state for r in judged.collect()} == {"1.dat": "added", "2.dat": "added", "3.dat": "skipped", "4.dat": "failed", "5.dat": "skipped"}
     c, v, g, r = imports.apply(judged, collections, versions, games, roms, entries)
     assert {tuple(x) for x in c.collect()} == {("c", "Old", "Old"), ("New", "New", "Folder")}
     assert {tuple(x)[:3] for x in v.collect()} == {("c", "v1", False), ("c", "v2", True), ("New", "20260101", True)}
-    assert sorted((x.coll, x.version, x.game) for x in g.collect()) == [("New", "20260101", "n"), ("c", "v1", "g"), ("c", "v2", "g")]
+    assert sorted((x.coll, x.version, x.game) for x in g.collect()) == [("New", "20260101", "alone"), ("New", "20260101", "n"), ("c", "v1", "g"), ("c", "v2", "g")]
+    assert [(x.description, x.parent_name) for x in g.collect() if x.version == "v2"] == [("told at 3", "par1")]
+    assert {(x.rom, x.sha1) for x in r.collect() if x.version == "v2"} == {("r", "s"), ("q", "s")}
     assert sorted((x.version, x.rom) for x in r.collect()) == [("20260101", "r"), ("v1", "r"), ("v2", "q"), ("v2", "r")]
     upgrade = imports.judge(heads, collections, versions, "20260101", upgrade=True)
     assert {r.path: r.error for r in upgrade.collect()} == {"1.dat": None, "2.dat": "no such collection", "3.dat": None, "4.dat": "broken", "5.dat": "no such collection"}

@@ -10,6 +10,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
+from holdfast.operators import imports
 from holdfast.sources import files, manifests
 
 XML = """<?xml version="1.0"?>
@@ -54,10 +55,51 @@ def test_headers_and_faults(spark, folder):
     assert got["broken.dat"].error == "a block does not end"
 
 
+TWICE = {
+    "x.xml": """<datafile><header><name>X</name></header><game name="G"><description>first</description><rom name="a.bin" sha1="z1"/></game><game name="none"><description>alone</description></game>
+<game name="G" cloneof="P"><description>a second</description><rom name="b.bin" sha1="y"/><rom name="a.bin" sha1="a2"/><rom name="b.bin" sha1="b2"/></game></datafile>""",
+    "y.dat": """clrmamepro ( name Y )
+game ( name G description first rom ( name a.bin sha1 z1 ) ) game ( name none description alone )
+game ( name G cloneof P description "a second" rom ( name b.bin sha1 y ) rom ( name a.bin sha1 a2 ) rom ( name b.bin sha1 b2 ) )""",
+}
+
+
+def test_listings_again_keep_the_first_by_position(spark, tmp_path):
+    for name, text in TWICE.items():
+        (tmp_path / name).write_text(text)
+    frame = spark.createDataFrame
+    heads = manifests.headers(spark, str(tmp_path)).withColumn("under", F.lit(None).cast("string"))
+    collections, versions = frame([], "coll string, name string, node_path string"), frame([], "coll string, version string, is_active boolean, imported_seq long")
+    games = frame([], "coll string, version string, game string, parent_name string, is_bios boolean, is_device boolean, is_mechanical boolean")
+    roms = frame([], "coll string, version string, game string, rom string, size long, sha1 string, md5 string, crc32 string, status string, merge_tag string, is_disk boolean")
+    judged = imports.judge(heads, collections, versions, "1")
+    _, _, g, r = imports.apply(judged, collections, versions, games, roms, manifests.entries(spark, str(tmp_path)))
+    for coll in ("X", "Y"):
+        assert {(x.game, x.description, x.parent_name) for x in g.collect() if x.coll == coll} == {("G", "first", None), ("none", "alone", None)}
+        assert {(x.game, x.rom, x.sha1) for x in r.collect() if x.coll == coll} == {("G", "a.bin", "Z1"), ("G", "b.bin", "Y")}
+
+
+def test_position_holds_in_large_files(spark, tmp_path):
+    for n in range(3):
+        each = "".join(f'<game name="G{i % 50}"><description>told {i}</description><rom name="r.bin" size="{i}"/></game>\n' for i in range(n, 5_000))
+        (tmp_path / f"big{n}.xml").write_text(f"<datafile><header><name>B</name></header>{each}</datafile>")
+    first = manifests.entries(spark, str(tmp_path)).groupBy("path", "game").agg(F.min_by("size", "ordinal").alias("size"))
+    assert {(r.path[-5], r.game, r.size) for r in first.collect()} == {(str(n), f"G{i % 50}", i) for n in range(3) for i in range(n, n + 50)}
+
+
+def test_dump_of_many_statements(spark, tmp_path):
+    md5 = "0123456789abcdef0123456789abcdef"
+    text = "".join(f"INSERT INTO `downloads` (`a`, `b`) VALUES {','.join(f'({i},NULL,3,{chr(39)}/d/f{i}-{j}.zip{chr(39)}, 4 ,{j},{chr(39)}{md5}{chr(39)})' for j in range(20))};\n" for i in range(300))
+    (tmp_path / "d.sql").write_text("-- (a note)\nCREATE TABLE `downloads` (x int);\n" + text + f"INSERT INTO `downloads` VALUES (1,2,3,'{'s' * 100_000}x',4,,'{md5}');\n")
+    got = manifests.dump_entries(spark, str(tmp_path / "d.sql")).orderBy("ordinal").collect()
+    assert len(got) == 6001 and [r.rom for r in got[:21]] == [f"f0-{j}.zip" for j in range(20)] + ["f1-0.zip"] and got[5].size == 5
+    assert len(got[-1].rom) == 100_001 and got[-1].size == 0
+
+
 def test_dump(spark, tmp_path):
     md5 = "0123456789abcdef0123456789abcdef"
     (tmp_path / "d.sql").write_text(f"INSERT INTO `other` VALUES (1,2);\nINSERT INTO `downloads` VALUES (1,2,3,'/pub/it''s (a),b.zip',4,77,'{md5}'),\n(1,2,3,'/x/',4,5,'{md5}'),(1,2,3,'/y/z',4,NULL,'none'),\n(1,2,3,'q\\'r',4,NULL,'{md5}',8);\n")
-    got = {tuple(r)[1:] for r in manifests.dump_entries(spark, str(tmp_path / "d.sql")).collect()}
+    got = {tuple(r)[1:-1] for r in manifests.dump_entries(spark, str(tmp_path / "d.sql")).collect()}
     assert got == {("pub/it's (a),b.zip", "it's (a),b.zip", 77, md5.upper()), ("q'r", "q'r", 0, md5.upper())}
 
 
