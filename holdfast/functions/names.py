@@ -42,13 +42,16 @@ def _groups(name: Column, opens: str, closes: str) -> Column:
     return F.aggregate(pieces, start, step)["out"]
 
 
+def _map(pairs) -> Column:
+    return F.create_map(*[F.lit(x) for kv in pairs for x in kv])
+
+
 def _known(part: Column) -> Column:
-    return F.filter(_strings(REGIONS), lambda r: F.lower(r) == F.lower(part))
+    return F.array_compact(F.array(F.try_element_at(_map((r.lower(), r) for r in REGIONS), F.lower(part))))
 
 
 def _country(part: Column) -> Column:
-    codes = F.create_map(*[F.lit(x) for kv in COUNTRY.items() for x in kv])
-    return F.array_compact(F.array(F.when(part.rlike("^[A-Z]{2}$"), F.try_element_at(codes, part))))
+    return F.array_compact(F.array(F.try_element_at(_map(COUNTRY.items()), part)))
 
 
 def _each(parts: Column, to_regions) -> Column:
@@ -95,9 +98,9 @@ def with_parsed_name(df: DataFrame, name: str) -> DataFrame:
     return df.withColumns({"is_original": ~F.arrays_overlap("flags", _strings(CHANGED)), "primary_region": F.get("regions", F.lit(0))}).drop("_p", "_b")
 
 
-def region_score(regions: Column, priority=REGIONS) -> Column:
+def region_score(regions: Column, priority: Column | tuple[str, ...] = REGIONS) -> Column:
     """The least place in the priority that a region has, from 0; null if none has one."""
-    order = _strings([p.lower() for p in priority])
+    order = F.transform(priority, F.lower) if isinstance(priority, Column) else _strings([p.lower() for p in priority])
     return F.array_min(F.transform(regions, lambda r: F.nullif(F.array_position(order, F.lower(r)), F.lit(0).cast("long")))) - 1
 
 
@@ -110,3 +113,32 @@ def prefer(df: DataFrame, by: list[str], name: str, priority=REGIONS, exclude_pr
     parsed = with_parsed_name(df, name).where(~bad).withColumn("_score", region_score(F.col("regions"), priority))
     first = F.row_number().over(Window.partitionBy(*by, "title").orderBy(*order))
     return parsed.withColumn("_nth", first).where("_nth = 1").drop("_nth", "_score")
+
+
+def preferred_games(games: DataFrame, preferences: DataFrame) -> DataFrame:
+    """coll, title, game: of each title of a collection the variant that its preferences choose; none if they exclude all.
+
+    games: coll, game, is_parent. A parent wins if the collection prefers it, then a verified dump if it prefers those, then
+    the best region, then one without a revision, then the first by name. Only collections that want one variant are here.
+    """
+    one = preferences.where("one_g_one_r").drop("name")
+    parsed = with_parsed_name(games.select("coll", "game", "is_parent").distinct(), "game").join(one, "coll")
+    bad = (F.col("exclude_modified") & ~F.col("is_original")) | (F.col("exclude_bad_dumps") & F.col("bad_dump")) | (F.col("exclude_prereleases") & F.col("is_prerelease"))
+    score = F.coalesce(region_score(F.col("regions"), F.col("region_priority")), F.lit(1 << 30))
+    order = F.struct(~(F.col("prefer_parent") & F.col("is_parent")), ~(F.col("prefer_verified") & F.col("verified")), score, F.col("revision").isNotNull(), "game")
+    return parsed.where(~bad).groupBy("coll", "title").agg(F.min_by("game", order).alias("game"))
+
+
+def one_per_title(rows: DataFrame, preferences: DataFrame, mode: str = "game") -> DataFrame:
+    """rows (coll, game, is_parent and more) with, of collections that want one variant of a title, only its rows.
+
+    mode "game" keeps all rows of the chosen variant, "row" only its first, by all its columns in their order.
+    """
+    if mode not in ("game", "row"):
+        raise ValueError(f"a mode is game or row, not {mode}")
+    chosen = preferred_games(rows, preferences)
+    free = rows.join(preferences.where("one_g_one_r").select("coll"), "coll", "left_anti")
+    kept = rows.join(chosen.select("coll", "game"), ["coll", "game"], "left_semi")
+    if mode == "row":
+        kept = kept.groupBy("coll", "game").agg(F.min(F.struct(*rows.columns)).alias("r")).select("r.*")
+    return free.unionByName(kept)

@@ -65,9 +65,7 @@ def capped_holders(matched: DataFrame, locations: DataFrame, sources: DataFrame,
     Places are ranked and cut before they meet the entries, so no content grows to more than entries times cap rows.
     """
     places = locations.join(matched.select("sha1").distinct(), "sha1", "left_semi").dropDuplicates(["sha1", "source", "path", "archive_path"])
-    order = Window.partitionBy("sha1").orderBy("source", "path", F.asc_nulls_first("archive_path"))
-    first = places.withColumn("_nth", F.row_number().over(order)).where(F.col("_nth") <= cap).drop("_nth")
-    return holders(matched, first, sources)
+    return holders(matched, _first_places(places, cap), sources)
 
 
 def expansion(matched: DataFrame, locations: DataFrame, cap: int | None = None) -> DataFrame:
@@ -123,13 +121,31 @@ def reclaimable_loose(locations: DataFrame, files: DataFrame, sources: DataFrame
     return own.join(held_elsewhere(locations), "sha1", "left_semi").join(files.select("sha1", "size"), "sha1").select("source", "path", "sha1", "size")
 
 
-def reclaimable_containers(locations: DataFrame, files: DataFrame) -> DataFrame:
-    """Archives all of whose entries another source holds too, with their bytes."""
-    entries = locations.where("archive_path is not null").join(files.select("sha1", "size"), "sha1")
+def reclaimable_containers(locations: DataFrame, files: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """Archives all of whose entries another source holds too, with their bytes; of consumed sources only, if sources are given."""
+    inside = locations.where("archive_path is not null")
+    if sources is not None:
+        inside = inside.join(sources.where("disposition = 'consume'").select("source"), "source", "left_semi")
+    entries = inside.join(files.select("sha1", "size"), "sha1")
     marked = entries.join(held_elsewhere(locations).withColumn("_else", F.lit(1)), "sha1", "left")
     return marked.groupBy("source", "path").agg(F.sum("size").alias("bytes"), F.count("*").alias("entries"), F.min(F.coalesce("_else", F.lit(0))).alias("ok")).where("ok = 1").drop("ok")
 
 
+def reclaim(locations: DataFrame, files: DataFrame, sources: DataFrame, selector: Column | None = None) -> DataFrame:
+    """What can go because another source holds it: source, path, kind (loose, container), bytes; of consumed sources, and those that the selector takes."""
+    own = sources if selector is None else sources.where(selector)
+    loose = reclaimable_loose(locations, files, own).select("source", "path", F.lit("loose").alias("kind"), F.col("size").alias("bytes"))
+    return loose.unionByName(reclaimable_containers(locations, files, own).select("source", "path", F.lit("container").alias("kind"), "bytes"))
+
+
+def _first_places(places: DataFrame, cap: int) -> DataFrame:
+    """The first cap places of each content by source, path and entry. Each salt of a content keeps its own first ones before they meet."""
+    order = ["source", "path", F.asc_nulls_first("archive_path")]
+    salted = places.withColumn("_salt", F.pmod(F.xxhash64("source", "path", "archive_path"), F.lit(64)))
+    some = salted.withColumn("_nth", F.row_number().over(Window.partitionBy("sha1", "_salt").orderBy(*order))).where(F.col("_nth") <= cap)
+    return some.withColumn("_nth", F.row_number().over(Window.partitionBy("sha1").orderBy(*order))).where(F.col("_nth") <= cap).drop("_nth", "_salt")
+
+
 def survivors(locations: DataFrame, sources: DataFrame) -> DataFrame:
     """For each place: whether each of its contents is held at another place that may count: its own source, or a consumed one's any."""
     at = locations.join(sources.select("source", "disposition"), "source")

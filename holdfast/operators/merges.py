@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,4 +68,4 @@ def upsert_config(config: DataFrame, pattern: str, **changes: str | None) -> Dat
 
 def selected(rows: DataFrame, selector: str, number: str = "id", path: str = "path") -> Column:
     """A selector that is a number names an id, any other a part of the path."""
-    return F.col(number) == int(selector) if selector.lstrip("+-").isdigit() else F.contains(F.col(path), F.lit(selector))
+    return F.col(number) == int(selector) if re.fullmatch(r"[+-]?[0-9]+", selector) else F.contains(F.col(path), F.lit(selector))

@@ -820,3 +820,69 @@ def w2_imported_games(r):
 @query("select coll, version, game, rom, size, sha1 from c_roms union all select coll, version, game, rom, arg_min(size, doc_id), arg_min(sha1, doc_id) from add group by 1,2,3,4", "c_roms", "c_collections", "c_versions", more=f"{JUDGED},\n{LISTED}, {ADDED}")
 def w1_imported_entries(r):
     return _imported(r)[3].select("coll", "version", "game", "rom", "size", "sha1")
+
+
+PREFERRED = """par as (select coll, game, bool_or(parent_name is null) as is_parent from c_games where version='v2' group by 1,2),
+named1 as (select *, trim(split_part(game,'(',1)) as title, case when game like '%(USA)%' then 2 when game like '%(Europe)%' then 3 else 4 end as usual, case when game like '%(Japan)%' then 1 when game like '%(Europe)%' then 2 else 99 end as own from par),
+chosen as (select coll, title, game from named1 where coll='de' or coll='en' and game not like '%[b]%' qualify row_number() over (partition by coll, title order by not is_parent, case when coll='de' then own else usual end, game like '%(Rev %', game)=1)"""
+
+
+def _preferences(r):
+    return settings.preferences(r.collections, r.extra)
+
+
+def _variants(r):
+    return active(r.games).groupBy("coll", "game").agg(F.max(F.col("parent_name").isNull()).alias("is_parent"))
+
+
+@query("select * from chosen", "c_games", more=PREFERRED)
+def p11_preferred_games(r):
+    """Each collection's own regions and exclusions, parents first."""
+    return names.preferred_games(_variants(r), _preferences(r))
+
+
+@query("select m.coll, m.game, m.rom, m.sha1 from c_match m where m.coll not in ('de','en') or (m.coll, m.game) in (select (coll, game) from chosen)", "c_match", "c_games", more=PREFERRED.replace("version='v2'", "version='v2' and (coll, game) in (select (coll, game) from c_match)"))
+def p12_one_variant_matched(r):
+    """The matched entries of one variant of a title, where a collection asks for that."""
+    rows = r.match.select("coll", "game", "rom", "sha1").join(_variants(r), ["coll", "game"])
+    return names.one_per_title(rows, _preferences(r)).drop("is_parent")
+
+
+@query("""select coll, name, coalesce(coll in ('de','en'),false) as one_g_one_r, case when coll='de' then 'Japan,Europe' else 'World,USA,Europe,Japan,Australia,Canada,UK,France,Germany,Spain,Italy,Netherlands,Sweden,Brazil,Korea,China,Taiwan,Hong Kong,Russia,Asia,Scandinavia' end as regions, coll<>'de' as exclude_bad_dumps, false as exclude_prereleases from c_collections""", "c_collections")
+def p13_preferences(r):
+    return _preferences(r).select("coll", "name", "one_g_one_r", F.array_join("region_priority", ",").alias("regions"), "exclude_bad_dumps", "exclude_prereleases")
+
+
+CHANGES = """chg as (select upper(lang)||' - Documents' as path_pattern, case doc_id%6 when 0 then 'regions' when 1 then '1g1r' when 2 then 'exclude_prereleases' when 3 then 'output_format' when 4 then 'merge_mode' else 'colour' end as key,
+  case doc_id%6 when 0 then case when doc_id%4=0 then source||', x,,' else ' , ' end when 1 then case when doc_id%4=1 then 'ON' else 'maybe' end when 2 then 'disable' when 3 then case when doc_id%4=1 then '7Z' else 'rar' end else 'split' end as value, doc_id from documents),
+ok as (select * from chg where key='regions' and value<>' , ' or key='1g1r' and value='ON' or key='output_format' and value='7Z' or key='merge_mode'),
+last as (select path_pattern, arg_max(value, doc_id) filter (key='regions') as regions, max(value) filter (key='1g1r') as one, max(value) filter (key='output_format') as form, max(value) filter (key='merge_mode') as mode from ok group by 1)"""
+
+
+def _changes(r):
+    """Many changes of settings, most of one collection each, some of them wrong."""
+    key = F.element_at(F.array(*[F.lit(k) for k in ("regions", "1g1r", "exclude_prereleases", "output_format", "merge_mode", "colour")]), (F.col("doc_id") % 6 + 1).cast("int"))
+    rest = F.col("doc_id") % 4
+    values = [F.when(rest == 0, F.concat("source", F.lit(", x,,"))).otherwise(" , "), F.when(rest == 1, "ON").otherwise("maybe"), F.lit("disable"), F.when(rest == 1, "7Z").otherwise("rar"), F.lit("split"), F.lit("split")]
+    return r.documents.select(F.concat(F.upper("lang"), F.lit(" - Documents")).alias("path_pattern"), key.alias("key"), F.element_at(F.array(*values), (F.col("doc_id") % 6 + 1).cast("int")).alias("value"), "doc_id")
+
+
+@query("""select coalesce(e.path_pattern, l.path_pattern) as path_pattern, coalesce(form, output_format) as output_format, coalesce(mode, merge_mode) as merge_mode,
+  case when regions is not null then split_part(regions,',',1)||'|x' when e.path_pattern='DE - Documents' then 'Japan|Europe' when one is not null then '' end as regions, case when one is not null or e.path_pattern in ('DE - Documents','EN - Documents') then true when regions is not null then false end as one_g_one_r
+  from c_extra e full join last l on l.path_pattern=e.path_pattern""", "c_extra", more=CHANGES)
+def w14_changed_settings(r):
+    """Settings after all good changes, in the order of documents; JSON is read, merged and written."""
+    found = F.from_json("config_json", settings.EXTRA)
+    made = settings.changed(r.extra, _changes(r), "doc_id")
+    return made.select("path_pattern", "output_format", "merge_mode", F.array_join(found["region_priority"], "|").alias("regions"), found["one_g_one_r"].alias("one_g_one_r"))
+
+
+@query("select key, count(*) as n, count(*) filter ((path_pattern, key, value, doc_id) not in (select (path_pattern, key, value, doc_id) from ok)) as refused from chg group by 1", "c_collections", more=CHANGES)
+def w14_refused_settings(r):
+    return settings.judged(_changes(r)).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count("error").alias("refused"))
+
+
+@query("""select l.source, l.path, 'loose' as kind, f.size as bytes from c_locations l join c_sources s on s.source=l.source and s.disposition='consume' join c_files f on f.sha1=l.sha1 where l.archive_path is null and l.sha1 in (select sha1 from twice)
+  union all select l.source, l.path, 'container', cast(sum(f.size) as bigint) from c_locations l join c_sources s on s.source=l.source and s.disposition='consume' join c_files f on f.sha1=l.sha1 where l.archive_path is not null group by 1,2 having bool_and(l.sha1 in (select sha1 from twice))""", "c_locations", "c_sources", "c_files", more=ELSEWHERE)
+def l12_reclaim(r):
+    return matching.reclaim(r.locations, r.files, r.sources)

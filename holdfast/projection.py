@@ -42,6 +42,8 @@ BODIES = {
     "c_config": """select name as path_pattern, case when coll in ('de','fr') then concat('/dest/',coll,'/') end as dest_path,
       case coll when 'en' then 'ZIP' when 'es' then 'loose' when 'fr' then 'bogus' end as output_format, case coll when 'de' then 'split' end as merge_mode from c_collections
       union all select 'SETB', cast(null as varchar(40)), '7z', 'Merged' union all select 'SETA', '/never', 'torrentzip', 'non-merged'""",
+    "c_extra": """select path_pattern, dest_path, output_format, merge_mode, case path_pattern when 'DE - Documents' then '{"one_g_one_r":true,"region_priority":["Japan","Europe"],"exclude_bad_dumps":false}'
+      when 'EN - Documents' then '{"one_g_one_r":true}' when 'ES - Documents' then 'no json' end as config_json from c_config""",
     "c_match": """with vr as (select coll, game, rom, sha1, crc32, size, is_disk from c_roms where version='v2' and status<>'nodump')
       select vr.coll, vr.game, vr.rom, vr.is_disk, f.sha1, f.size from vr join c_files f on f.sha1=vr.sha1 where vr.sha1 is not null
       union select vr.coll, vr.game, vr.rom, vr.is_disk, f.sha1, f.size from vr join c_files f on f.sha1_no_header=vr.sha1 where vr.sha1 is not null
@@ -96,8 +98,8 @@ class Relations:
             if full in TABLES:
                 self._made[full] = self.spark.read.parquet(f"{self.sf_dir}/{full}.parquet")
             else:
-                body = BODIES[full]
-                used = _uses(body)
+                body = BODIES[full].replace("{", "{{").replace("}", "}}")
+                used = _uses(BODIES[full])
                 for n in used:
                     body = re.sub(rf"(?<![.\w]){n}\b(?!\.)", "{" + n + "}", body)
                 made = self.spark.sql(body, **{n: getattr(self, n.removeprefix("c_")) for n in used})
