@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..snapshots import snapshot
+
 
 def keep_first(rows: DataFrame, key: list[str], order: list) -> DataFrame:
     """The first row of each key, in the given total order."""
@@ -33,6 +35,41 @@ def upsert_locations(old: DataFrame, new: DataFrame, seq: str) -> DataFrame:
     return both.groupBy("source", "path", "archive_path").agg(F.max_by(F.struct(*values), "_at").alias("v")).select("source", "path", "archive_path", "v.*")
 
 
+BUCKET = "bucket"
+
+
+def stored(df: DataFrame, path: str, key: list[str], buckets: int = 256) -> None:
+    """Writes df as a folder of `buckets` parts by the hash of its key, which `upsert_stored` changes in part."""
+    _write_buckets(_in_bucket(df, key, buckets), path, "overwrite")
+
+
+def _in_bucket(df: DataFrame, key: list[str], buckets: int) -> DataFrame:
+    return df.withColumn(BUCKET, F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int"))
+
+
+def _write_buckets(df: DataFrame, path: str, mode: str) -> None:
+    df.repartition(BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic" if mode == "parts" else "static").partitionBy(BUCKET).parquet(path)
+
+
+def upsert_stored(spark: SparkSession, path: str, new: DataFrame, key: list[str], merge, buckets: int = 256) -> int:
+    """Merges new rows into a stored relation, reading and writing only the parts that they fall in; how many these are.
+
+    merge(old, new) is one of the upserts here. The merged parts are written beside the relation first, so a job that fails
+    leaves it whole. At most `buckets` numbers come to the driver.
+    """
+    incoming = snapshot(_in_bucket(new, key, buckets))
+    touched = [r[BUCKET] for r in incoming.select(BUCKET).distinct().collect()]
+    if not touched:
+        return 0
+    old = spark.read.parquet(path).where(F.col(BUCKET).isin(touched)).drop(BUCKET)
+    _write_buckets(_in_bucket(snapshot(merge(old, incoming.drop(BUCKET))), key, buckets), path, "parts")
+    return len(touched)
+
+
+def read_stored(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop(BUCKET)
+
+
 def relocate(locations: DataFrame, moves: DataFrame) -> DataFrame:
     """moves: source, path, to_source, to_path."""
     met = locations.join(moves, ["source", "path"], "left")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -77,7 +79,7 @@ def doctor(collections: DataFrame, versions: DataFrame, games: DataFrame, roms:
     by = ["coll", "version"]
     active = versions.groupBy("coll").agg(F.count_if("is_active").alias("n"))
     checks = {
-        "no_active_version": collections.join(active.where("n > 0"), "coll", "left_anti"),
+        "no_active_version": active.where("n = 0"),
         "several_active_versions": active.where("n > 1"),
         "games_without_version": orphans(games, versions),
         "roms_without_game": roms.join(games.select(*by, "game"), [*by, "game"], "left_anti"),
@@ -90,3 +92,56 @@ def doctor(collections: DataFrame, versions: DataFrame, games: DataFrame, roms:
         one = rows.agg(F.count("*").alias("faults")).select(F.lit(name).alias("check"), "faults")
         out = one if out is None else out.union(one)
     return out
+
+
+class Repaired(NamedTuple):
+    collections: DataFrame
+    versions: DataFrame
+    games: DataFrame
+    roms: DataFrame
+    fixes: DataFrame
+
+
+def repair(collections: DataFrame, versions: DataFrame, games: DataFrame, roms: DataFrame, placed: DataFrame) -> Repaired:
+    """The relations without the faults that can be mended, and how many rows each fix changed (fix, n).
+
+    Of a collection's versions, none of them active, the newest becomes so. Games without a version go, then entries without
+    a game. Collections that share a destination (placed: coll, name, root, disk_only, dest_path) and have none of their own
+    are nested below their own names, unless they are so already; those with their own are left to whoever set it.
+    """
+    newest = versions.groupBy("coll").agg(F.count_if("is_active").alias("n"), F.max_by("version", "imported_seq").alias("newest")).where("n = 0").select("coll", "newest")
+    active = versions.join(newest, "coll", "left").withColumn("is_active", F.col("is_active") | F.coalesce(F.col("version") == F.col("newest"), F.lit(False))).drop("newest")
+    by = ["coll", "version"]
+    kept = games.join(versions.select(*by).distinct(), by, "left_semi")
+    owned = roms.join(kept.select(*by, "game").distinct(), [*by, "game"], "left_semi")
+    crowded = placed.where("root is not null").groupBy("root", "disk_only").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    moved = placed.where("dest_path is null").join(crowded, ["root", "disk_only"], "left_semi").select("coll", F.lit(True).alias("moved")).distinct()
+    nested = F.concat_ws("/", "node_path", "name")
+    fits = F.coalesce("moved", F.lit(False)) & (F.element_at(F.split("node_path", "/"), -1) != F.col("name"))
+    spread = collections.join(moved, "coll", "left").withColumn("node_path", F.when(fits, nested).otherwise(F.col("node_path"))).drop("moved")
+    gone = lambda before, after, key: before.join(after.select(*key).distinct(), key, "left_anti")
+    changed = {
+        "activated": newest, "games removed": gone(games, kept, [*by, "game"]), "entries removed": gone(roms, owned, [*by, "game"]),
+        "nested": collections.select("coll", "node_path").subtract(spread.select("coll", "node_path")),
+    }
+    fixes = None
+    for name, rows in changed.items():
+        one = rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("fix"), "n")
+        fixes = one if fixes is None else fixes.union(one)
+    return Repaired(spread, active, kept, owned, fixes)
+
+
+def write_lines(lines: DataFrame, path: str, order: list, text: str = "line") -> None:
+    """A text report, a line for each row in order: files of the folder in the order of their names, each in order itself."""
+    lines.orderBy(*order).select(F.col(text).alias("value")).write.text(path)
+
+
+def unknown_lines(unknown: DataFrame, sources: DataFrame) -> DataFrame:
+    """The full path of each unknown file, to be written in order of these."""
+    at = unknown.join(sources.select("source", scalars.no_slash(F.col("path")).alias("root")), "source")
+    return at.select(F.concat_ws("/", "root", "path").alias("line"))
+
+
+def skipped_lines(states: DataFrame, state: str) -> DataFrame:
+    """The names of collections that a plan left out for a reason."""
+    return states.where(F.col("state") == state).select(F.col("name").alias("line"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import names, scalars
 from ..operators import completeness, imports, matching, merges, planner, plans, reports, settings, torrents, versions
 from ..projection import Relations, ctes
-from ..snapshots import shared_folder
+from ..snapshots import numbered, shared_folder
 from ..sources import files, trees
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -886,3 +886,83 @@ def w14_refused_settings(r):
   union all select l.source, l.path, 'container', cast(sum(f.size) as bigint) from c_locations l join c_sources s on s.source=l.source and s.disposition='consume' join c_files f on f.sha1=l.sha1 where l.archive_path is not null group by 1,2 having bool_and(l.sha1 in (select sha1 from twice))""", "c_locations", "c_sources", "c_files", more=ELSEWHERE)
 def l12_reclaim(r):
     return matching.reclaim(r.locations, r.files, r.sources)
+
+
+STAT0 = _stats_sql("non-merged")
+
+
+@query("""select node, count(*) as leaves, count(*) filter (coll<>'es') as active_leaves, count(*) filter (coll<>'es') as resolved, cast(coalesce(sum(total_games),0) as bigint) as games, cast(coalesce(sum(have_roms),0) as bigint) as have, cast(coalesce(sum(total_roms-have_roms),0) as bigint) as missing,
+  cast(coalesce(sum(to_write),0) as bigint) as to_write, cast(coalesce(sum(bytes),0) as bigint) as bytes, case when count(*) filter (coll<>'es')>0 then case when sum(total_roms)>0 then sum(have_roms)*100.0/sum(total_roms) else 0.0 end end as percent
+  from (select c.coll, c.node_path, s.total_games, s.have_roms, s.total_roms, q.to_write, q.bytes, unnest([split_part(c.node_path,'/',1), c.node_path]) as node from c_collections c left join (select * from stat where coll<>'es') s on s.coll=c.coll left join (select coll, size as to_write, size*10 as bytes from (select coll, count(*) as size from c_games group by 1)) q on q.coll=c.coll and c.coll<>'fr') group by 1""", *_USED, **_STATUS)
+def a9_library_tree(r):
+    """One collection has no active version, and another no pending work."""
+    has = r.collections.withColumn("has_active", F.col("coll") != "es")
+    work = r.games.groupBy("coll").agg(F.count(F.lit(1)).alias("to_write")).join(r.collections.select("coll", "name"), "coll").where("coll <> 'fr'")
+    return completeness.library_tree(has, _status(r).where("coll <> 'es'"), work.select("name", "to_write", (F.col("to_write") * 10).alias("bytes")))
+
+
+def _damaged(r):
+    """No active version of one collection, one version gone, and entries of missing games."""
+    lost = r.versions.where("not (coll='fr' and version='v1')").withColumn("is_active", F.col("is_active") & (F.col("coll") != "de"))
+    kinds = settings.disk_only(active(r.versions), r.roms).select("coll", "disk_only")
+    placed = r.collections.join(kinds, "coll").withColumns({"root": F.concat(F.lit("/dest/"), scalars.top_segment(F.col("node_path"))), "dest_path": F.when(F.col("coll") == "en", F.lit("/dest/SETA"))})
+    return lost, r.games.where("not is_bios"), placed
+
+
+def _repaired(r):
+    lost, games, placed = _damaged(r)
+    return reports.repair(r.collections, lost, games, r.roms, placed)
+
+
+DAMAGED = """lostv as (select coll, version, is_active and coll<>'de' as is_active, imported_seq from c_versions where not (coll='fr' and version='v1')), fewg as (select * from c_games where not is_bios),
+keptg as (select * from fewg where (coll, version) in (select (coll, version) from lostv)), keptr as (select * from c_roms where (coll, version, game) in (select (coll, version, game) from keptg))"""
+_ALL = ("c_collections", "c_versions", "c_games", "c_roms")
+
+
+@query("select coll, version, is_active or (coll='de' and version='v2') as is_active from lostv", *_ALL, more=DAMAGED)
+def l15_repaired_versions(r):
+    return _repaired(r).versions.select("coll", "version", "is_active")
+
+
+@query("select coll, version, game, rom from keptr", *_ALL, more=DAMAGED)
+def l15_repaired_entries(r):
+    return _repaired(r).roms.select("coll", "version", "game", "rom")
+
+
+@query("select coll, name, case when coll='en' then node_path else node_path||'/'||name end as node_path from c_collections", *_ALL)
+def l15_nested_collections(r):
+    return _repaired(r).collections.select("coll", "name", "node_path")
+
+
+@query("""select 'activated' as fix, 1 as n union all select 'games removed', (select count(*) from fewg)-(select count(*) from keptg) union all select 'entries removed', (select count(*) from c_roms)-(select count(*) from keptr) union all select 'nested', (select count(*)-1 from c_collections)""", *_ALL, more=DAMAGED)
+def l15_fixes(r):
+    return _repaired(r).fixes
+
+
+@query("""select 'no_active_version' as "check", 1 as faults union all select 'several_active_versions', 0 union all select 'games_without_version', (select count(*) from fewg)-(select count(*) from keptg)
+  union all select 'roms_without_game', (select count(*) from c_roms where (coll, version, game) not in (select (coll, version, game) from fewg)) union all select 'places_without_content', (select count(*) from c_locations where sha1 not in (select sha1 from c_files where size>=500))
+  union all select 'places_without_source', (select count(*) from c_locations where source='src3') union all select 'shared_destinations', 0""", *_ALL, "c_files", "c_locations", more=DAMAGED)
+def l15_checks(r):
+    lost, games, _ = _damaged(r)
+    return reports.doctor(r.collections, lost, games, r.roms, r.files.where("size >= 500"), r.locations, r.sources.where("source <> 'src3'"))
+
+
+@query("""select sha1, any_value(b.payload) as sha1_no_header, any_value(f.md5) as md5, any_value(coalesce(b.crc,f.crc32)) as crc32, any_value(f.size) as size from c_files f
+  left join (select upper(sha1(text)) as sha1, max(upper(sha1(substr(text,17)))) as payload, max(substr(upper(md5(text)),9,8)) as crc from documents where doc_id % 50 = 0 group by 1) b using (sha1) group by 1""", "c_files")
+def w3_stored_files(r):
+    """The contents are stored, and a second scan of some changes only the parts that they fall in."""
+    path = f"{shared_folder(r.spark)}/files-{uuid.uuid4().hex}"
+    merges.stored(r.files.withColumn("sha1_no_header", F.lit(None).cast("string")), path, ["sha1"])
+    again = r.documents.where("doc_id % 50 = 0").selectExpr("upper(sha1(text)) as sha1", "upper(sha1(substr(text,17))) as sha1_no_header", "cast(null as string) as md5", "substr(upper(md5(text)),9,8) as crc32", "0L as size", "1L as seq")
+    again = again.join(r.files.select("sha1"), "sha1", "left_semi")
+    merges.upsert_stored(r.spark, path, again, ["sha1"], lambda old, new: merges.upsert_files(old, new, "seq"))
+    return merges.read_stored(r.spark, path).select("sha1", "sha1_no_header", "md5", "crc32", "size")
+
+
+@query("""select line, row_number() over (order by line) - 1 as place from (select s.path||'/'||u.path as line from unk u join c_sources s on s.source=u.source)""", "c_roms", "c_files", "c_locations", "c_sources", more=UNMATCHED)
+def w17_unknown_report(r):
+    """The report of unknown files is written and read again, a line for each file in order."""
+    path = f"{shared_folder(r.spark)}/unknown-{uuid.uuid4().hex}"
+    reports.write_lines(reports.unknown_lines(matching.unknown_files(r.locations, r.files, active(r.roms)), r.sources), path, ["line"])
+    back = r.spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("nth"))
+    return numbered(back, ["file", "block", "nth"], "place").select("line", "place")

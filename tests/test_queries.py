@@ -85,7 +85,7 @@ def test_doctor_counts_faults(spark):
     frame = lambda rows, schema: spark.createDataFrame(rows, schema)
     got = reports.doctor(
         frame([("c", "n", "p"), ("d", "m", "p")], "coll string, name string, node_path string"),
-        frame([("c", "v1", True), ("c", "v2", True)], "coll string, version string, is_active boolean"),
+        frame([("c", "v1", True), ("c", "v2", True), ("d", "v1", False)], "coll string, version string, is_active boolean"),
         frame([("c", "v1", "g"), ("x", "v1", "g")], "coll string, version string, game string"),
         frame([("c", "v1", "none", "r")], "coll string, version string, game string, rom string"),
         frame([("s1",)], "sha1 string"),
