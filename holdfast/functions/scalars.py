@@ -74,6 +74,13 @@ def merge_mode(explicit: Column, default: str) -> Column:
     return F.when(low.isin("non-merged", "merged", "split"), low).otherwise(F.lit(default))
 
 
+def asked_mode(given: Column, default: str = "non-merged") -> Column:
+    """A mode that someone asks for: it may be written without the hyphen; null is the default, and any other word fails the job."""
+    low = F.lower(given)
+    known = F.when(low.isNull(), default).when(low == "nonmerged", "non-merged").when(low.isin("non-merged", "merged", "split"), low)
+    return F.coalesce(known, F.raise_error(F.concat(F.lit("a mode is non-merged, merged or split, not "), given)).cast("string"))
+
+
 def archive_extension(fmt: Column) -> Column:
     return F.when(fmt == "7z", F.lit("7z")).otherwise(F.lit("zip"))
 

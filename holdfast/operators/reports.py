@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars
+from ..snapshots import numbered
 
 
 def files_per_source(sources: DataFrame, locations: DataFrame) -> DataFrame:
@@ -39,6 +40,37 @@ def export(roms: DataFrame, locations: DataFrame, sources: DataFrame) -> DataFra
     return roms.select("coll", "game", "rom", "size", "sha1").join(first, "sha1", "left").withColumn("have", F.col("held_at").isNotNull())
 
 
+def exported(rows: DataFrame, only: str | None = None) -> DataFrame:
+    """All rows of an export, or only those that are there (have) or not (missing)."""
+    if only not in (None, "have", "missing"):
+        raise ValueError(f"an export is of all, have or missing, not {only}")
+    return rows if only is None else rows.where(F.col("have") == (only == "have"))
+
+
+def export_kind(kind: str | None, path: str) -> str:
+    """The kind that is asked for, else that of the file's name, else txt."""
+    asked = kind or path.rpartition(".")[2].lower() if kind or "." in path else "txt"
+    return asked if kind or asked in ("csv", "json") else "txt"
+
+
+#: What each listing is ordered by.
+LISTINGS = {
+    "collections": ["name"], "sources": ["path"], "config": ["path_pattern"], "games": ["game"], "roms": ["rom"], "entries": ["game", "rom"],
+    "versions": ["-imported_seq"], "quarantine": ["-quarantined_seq"],
+}
+
+
+def listing(rows: DataFrame, kind: str, within: list[str] = (), ties: list[str] = ()) -> DataFrame:
+    """rows with their place in a listing (from 0, over all rows): by `within` first, then as the kind is ordered, then by `ties`."""
+    order = [F.desc(c[1:]) if c.startswith("-") else F.asc(c) for c in LISTINGS[kind]]
+    return numbered(rows, [*within, *order, *ties], "place")
+
+
+def head(rows: DataFrame, order: list, n: int = 20) -> tuple[DataFrame, int]:
+    """The first n rows, as a display shows them, and how many more there are."""
+    return rows.orderBy(*order).limit(n), max(0, rows.count() - n)
+
+
 def write_export(rows: DataFrame, path: str, kind: str) -> None:
     """Export as csv, json or txt files."""
     if kind == "csv":

@@ -40,6 +40,35 @@ def after_removal(versions: DataFrame, coll: str) -> DataFrame:
     return left.withColumn("is_active", F.when(F.col("coll") == coll, newest).otherwise(F.col("is_active")))
 
 
+def removed(collections: DataFrame, versions: DataFrame, what: str, all_versions: bool = False) -> tuple[DataFrame, DataFrame]:
+    """collections and versions without `what`: a collection's active version by its name, a version as Name:version, or all versions.
+
+    A collection without versions goes too. Where the active version went, the newest of the rest becomes active.
+    """
+    name, _, version = what.partition(":")
+    own = versions.join(collections.select("coll", "name"), "coll", "left")
+    here = F.coalesce(F.col("name") == name, F.lit(False))
+    gone = here if all_versions else here & (F.col("version") == version) if version else here & F.col("is_active")
+    left = own.where(~gone)
+    per = left.where(here).groupBy("coll").agg(F.max_by("version", "imported_seq").alias("newest"), F.max("is_active").alias("any"))
+    met = left.join(per, "coll", "left").withColumn("is_active", F.when(F.col("any"), F.col("is_active")).otherwise(F.coalesce(F.col("version") == F.col("newest"), F.col("is_active"))))
+    rest = met.select(*versions.columns)
+    emptied = versions.select("coll").distinct().join(rest.select("coll"), "coll", "left_anti")
+    return collections.join(emptied, "coll", "left_anti"), rest
+
+
+def newest(versions: DataFrame) -> DataFrame:
+    """The version of each collection that was imported last."""
+    return versions.groupBy("coll").agg(F.max_by("version", "imported_seq").alias("version"))
+
+
+def required(roms: DataFrame, games: DataFrame, versions: DataFrame, collections: DataFrame) -> DataFrame:
+    """Every entry with its game, version and library path; entries without one of these are left out."""
+    by = ["coll", "version"]
+    chain = roms.join(games.select(*by, "game", "parent_name", "is_bios", "is_device", "is_mechanical"), [*by, "game"]).join(versions.select(*by, "is_active"), by)
+    return chain.join(collections.select("coll", "name", "node_path"), "coll")
+
+
 def rename(collections: DataFrame, old: str, new: str) -> DataFrame:
     """A path that equals the name follows it."""
     here = F.col("name") == old

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names, scalars
-from ..operators import completeness, imports, matching, merges, planner, plans, reports, settings, torrents, versions
+from ..operators import archives, completeness, imports, matching, merges, planner, plans, reports, settings, torrents, versions
 from ..projection import Relations, ctes
 from ..snapshots import numbered, shared_folder
 from ..sources import files, trees
@@ -966,3 +966,99 @@ def w17_unknown_report(r):
     reports.write_lines(reports.unknown_lines(matching.unknown_files(r.locations, r.files, active(r.roms)), r.sources), path, ["line"])
     back = r.spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("nth"))
     return numbered(back, ["file", "block", "nth"], "place").select("line", "place")
+
+
+@query("select concat('packed/',source,'.zip') as path, concat('e',doc_id,'.bin') as archive_path, strlen(text) as size, upper(sha1(text)) as sha1, true as stamped from documents")
+def w19_packed_archives(r):
+    """Texts lie as files, repacks gather those of a source into an archive, and the archives are read again."""
+    root = f"{shared_folder(r.spark)}/packed-{uuid.uuid4().hex}"
+    loose = r.documents.select("source", "doc_id", F.concat(F.lit("d/"), "doc_id").alias("path"), F.col("text").cast("binary").alias("content"))
+    trees.write_files(loose, root)
+    ids = r.documents.select("source").distinct().select("source", F.xxhash64("source").alias("op_id"))
+    ops = ids.select("op_id", F.lit("repack").alias("kind"), F.concat(F.lit("packed/"), "source", F.lit(".zip")).alias("dest"), F.lit("torrentzip").alias("format"), F.lit(0).cast("long").alias("size"))
+    parts = loose.join(ids, "source").select("op_id", "path", F.lit(None).cast("string").alias("archive_path"), F.upper(F.sha1("content")).alias("sha1"), F.concat(F.lit("e"), "doc_id", F.lit(".bin")).alias("entry_name"))
+    archives.build(ops, parts, root)
+    listing = trees.listed(r.spark, root, "packed")
+    stamps = trees.stamped(listing, trees.zip_directory(listing, root))
+    return archives.entry_hashes(listing, root).select("path", "archive_path", "size", "sha1").join(stamps, "path")
+
+
+@query("""select r.coll, r.game, r.rom, r.sha1 from c_roms r where r.version='v2' and (r.sha1 is null or r.sha1 not in (select sha1 from c_locations))""", "c_roms", "c_locations")
+def f14_missing_export(r):
+    return reports.exported(reports.export(active(r.roms), r.locations, r.sources), "missing").select("coll", "game", "rom", "sha1")
+
+
+@query("""select 'collections' as listing, name as item, row_number() over (order by name)-1 as place from c_collections union all select 'sources', path, row_number() over (order by path)-1 from c_sources
+  union all select 'config', path_pattern, row_number() over (order by path_pattern)-1 from c_config union all select 'versions', coll||version, row_number() over (order by coll, imported_seq desc)-1 from c_versions
+  union all select 'games', game, row_number() over (order by coll, version, game)-1 from c_games union all select 'entries', game||rom, row_number() over (order by coll, version, game, rom)-1 from c_roms
+  union all select 'quarantine', quarantine_path, row_number() over (order by size desc, quarantine_path)-1 from c_quarantine""", "c_collections", "c_sources", "c_config", "c_versions", "c_games", "c_roms", "c_quarantine")
+def f16_listings(r):
+    """Sizes stand for the times at which files were put away."""
+    own = ["coll", "version"]
+    put = r.quarantine.withColumn("quarantined_seq", F.col("size"))
+    listings = {
+        "collections": (reports.listing(r.collections, "collections"), "name"), "sources": (reports.listing(r.sources, "sources"), "path"), "config": (reports.listing(r.config, "config"), "path_pattern"),
+        "versions": (reports.listing(r.versions, "versions", ["coll"]), F.concat("coll", "version")), "games": (reports.listing(r.games, "games", own), "game"),
+        "entries": (reports.listing(r.roms, "entries", own), F.concat("game", "rom")), "quarantine": (reports.listing(put, "quarantine", ties=["quarantine_path"]), "quarantine_path"),
+    }
+    out = None
+    for kind, (rows, item) in listings.items():
+        one = rows.select(F.lit(kind).alias("listing"), (F.col(item) if isinstance(item, str) else item).alias("item"), "place")
+        out = one if out is None else out.union(one)
+    return out
+
+
+@query("select r.coll, r.version, r.game, r.rom, g.parent_name, v.is_active, c.node_path from c_roms r join c_games g using (coll, version, game) join c_versions v using (coll, version) join c_collections c using (coll)", "c_roms", "c_games", "c_versions", "c_collections")
+def j1_entries_in_place(r):
+    return versions.required(r.roms, r.games, r.versions, r.collections).select("coll", "version", "game", "rom", "parent_name", "is_active", "node_path")
+
+
+@query("select coll, arg_max(version, imported_seq) as version from c_versions group by 1", "c_versions")
+def n5_newest_versions(r):
+    return versions.newest(r.versions)
+
+
+@query("select coll, name, node_path from c_collections where coll<>'fr'", "c_collections")
+def w10_removed_collection(r):
+    """All versions of a collection go, and it with them."""
+    return versions.removed(r.collections, r.versions, "FR - Documents", all_versions=True)[0]
+
+
+@query("select coll, version, is_active from c_versions where not (coll='de' and version='v1')", "c_versions")
+def w10_removed_version(r):
+    return versions.removed(r.collections, r.versions, "DE - Documents:v1")[1].select("coll", "version", "is_active")
+
+
+#: Endings of names and what they say: regions, languages, revision, unfinished, verified, bad, flags, original.
+ENDINGS = [
+    (" (USA, Europe)", "USA,Europe", "", None, False, False, False, "", True), (" (JP-US) (Rev 2)", "Japan,USA", "", "Rev 2", False, False, False, "", True), (" (world) (Beta)", "World", "", None, True, False, False, "", True),
+    (" (DE) (De) [!]", "Germany", "De", None, False, True, False, "", True), (" (USA) (En) (v1.1) [b]", "USA", "En", "v1.1", False, False, True, "b", True), (" [cr Them][h]", "", "", None, False, False, False, "cr,h", False),
+    (" (Prototype) [a]", "", "", None, True, False, False, "a", True), (" (Nowhere (USA) here)", "", "", None, False, False, False, "", True), (" (Virgin) (UK)", "UK", "", "Virgin", False, False, False, "", True),
+    ("", "", "", None, False, False, False, "", True), (" (Korea, Nowhere) [b bad]", "Korea", "", None, False, False, True, "b", True), (" (demo) [t] [f1]", "", "", None, True, False, False, "t", False),
+]
+_QUOTED = ", ".join("(" + ", ".join([str(i)] + ["null" if v is None else str(v).lower() if isinstance(v, bool) else f"'{v}'" for v in row]) + ")" for i, row in enumerate(ENDINGS))
+
+
+@query(f"""select doc_id, 'Title '||doc_id as title, regions, languages, revision, is_prerelease, verified, bad_dump, flags, is_original from documents join (values {_QUOTED}) t(k, ending, regions, languages, revision, is_prerelease, verified, bad_dump, flags, is_original) on k=doc_id%{len(ENDINGS)}""")
+def p2_name_parts(r):
+    """Names of many shapes: nested brackets, lists, codes, languages, revisions and flags."""
+    ending = F.element_at(F.array(*[F.lit(e[0]) for e in ENDINGS]), (F.col("doc_id") % len(ENDINGS) + 1).cast("int"))
+    parsed = names.with_parsed_name(r.documents.select("doc_id", F.concat(F.lit("Title "), "doc_id", ending).alias("name")), "name")
+    joined = {c: F.array_join(c, ",").alias(c) for c in ("regions", "languages", "flags")}
+    return parsed.select("doc_id", "title", *(joined.get(c, F.col(c)) for c in ("regions", "languages", "revision", "is_prerelease", "verified", "bad_dump", "flags", "is_original")))
+
+
+@query("""select doc_id, case when doc_id%3=0 then '/Volumes/'||source else '/' end as volume, upper(hex(text[1:4])) as first_bytes, repeat('#',doc_id%21)||repeat('-',20-doc_id%21) as bar, case when length(source||lang)>5 then '...'||right(source||lang,2) else source||lang end as short from documents""")
+def c8_small_expressions(r):
+    path = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("/Volumes/"), "source", F.lit("/x/y"))).otherwise(F.concat(F.lit("/home/"), "source"))
+    both = F.concat("source", "lang")
+    return r.documents.select("doc_id", planner.volume(path).alias("volume"), F.hex(F.encode(F.substring("text", 1, 4), "UTF-8")).alias("first_bytes"), scalars.bar(F.col("doc_id") % 21, F.lit(20)).alias("bar"), scalars.shortened(both, 5).alias("short"))
+
+
+@query("select dir from prd where not exists (select 1 from prf where starts_with(prf.path, prd.dir||'/'))", "c_locations",
+  more="prf as (select source||'/'||path as path from c_locations where archive_path is null and source not in ('src2','src4')), prd as (select distinct unnest([source, source||'/'||split_part(path,'/',1)]) as dir from c_locations)")
+def f18_prunable_folders(r):
+    """Folders that hold nothing once some sources are empty and archives are gone."""
+    at = F.concat_ws("/", "source", "path")
+    dirs = r.locations.select(F.explode(F.array(F.col("source"), F.concat_ws("/", "source", F.split_part("path", F.lit("/"), F.lit(1))))).alias("dir")).distinct()
+    return reports.prunable_dirs(r.locations.where("archive_path is null and source not in ('src2', 'src4')").select(at.alias("path")), dirs)

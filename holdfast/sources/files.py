@@ -1,24 +1,14 @@
-"""Files on disk: hashes of whole contents and of contents without a known header, archive entries, disk images.
+"""Contents in columns: hashes with and without a known header, disk images, and what to scan again.
 
-Spark's file source leaves out files of no bytes, so `read` takes a list of their names from whoever lists the folder.
-A content goes through Spark's binary reader whole, up to its limit of 2 GB a file.
+Files of any size, those of no bytes included, are listed and read in blocks by `trees`; `read` gives small ones whole, up
+to the limit of 2 GB of Spark's binary reader, which leaves out those of no bytes: `empty` names them.
 """
 
 from __future__ import annotations
 
-import hashlib
-import io
-import zipfile
-import zlib
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-HASHED = "path string, archive_path string, size long, sha1 string, md5 string, crc32 string, error string"
-_FIELDS = [part.split(" ")[0] for part in HASHED.split(", ")]
-
 
 def _starts(content: Column, at: int, magic: bytes) -> Column:
     return F.substr(content, F.lit(at + 1), F.lit(len(magic))) == F.lit(magic)
@@ -62,34 +52,6 @@ def archive_kind(path: Column) -> Column:
     return F.nullif(F.lower(F.regexp_extract(path, "\\.(?i:(zip|7z))$", 1)), F.lit(""))
 
 
-def _entry_hashes(path: str, content: bytes) -> Iterator[tuple]:
-    try:
-        with zipfile.ZipFile(io.BytesIO(content)) as archive:
-            for info in archive.infolist():
-                if info.is_dir():
-                    continue
-                sha1, md5, crc, size = hashlib.sha1(), hashlib.md5(), 0, 0
-                with archive.open(info) as entry:
-                    while block := entry.read(1 << 20):
-                        sha1.update(block)
-                        md5.update(block)
-                        crc, size = zlib.crc32(block, crc), size + len(block)
-                yield path, info.filename, size, sha1.hexdigest().upper(), md5.hexdigest().upper(), f"{crc:08X}", None
-    except (zipfile.BadZipFile, zlib.error, NotImplementedError, RuntimeError, EOFError) as e:
-        yield path, None, None, None, None, None, str(e)
-
-
-def _entries(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        for path, content in zip(frame["path"], frame["content"]):
-            yield pd.DataFrame(list(_entry_hashes(path, content)), columns=_FIELDS)
-
-
-def zip_entries(files: DataFrame) -> DataFrame:
-    """A row for each file in each zip archive; one row with an error for an archive that cannot be read."""
-    return files.where(archive_kind(F.col("path")) == "zip").select("path", "content").mapInPandas(_entries, HASHED)
-
-
 def disk_image_sha1(content: Column) -> Column:
     """The SHA-1 that a disk image (version 5) states in its first 124 bytes; null if it is not one."""
     # Magic, version and place of the hash.

@@ -19,13 +19,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ENTRY = "path string, game string, description string, parent_name string, is_bios boolean, is_device boolean, is_mechanical boolean, rom string, size long, crc32 string, md5 string, sha1 string, status string, merge_tag string, is_disk boolean, ordinal struct<block:bigint,row:bigint,part:int>"
-HEADER = "path string, name string, description string, version string, author string, homepage string, error string"
+ENTRY = "path string, game string, description string, parent_name string, is_bios boolean, is_device boolean, is_mechanical boolean, rom string, size long, crc32 string, md5 string, sha1 string, status string, merge_tag string, is_disk boolean, ordinal struct<block:bigint,row:bigint,part:int>, rom_of string"
+HEADER = "path string, name string, description string, version string, author string, homepage string, category string, error string"
 _FIELDS = [part.split(" ")[0] for part in ENTRY.split(", ")]
 
 _ROM = "array<struct<_name string, _size string, _crc string, _md5 string, _sha1 string, _status string, _merge string>>"
-_GAME = f"_name string, _cloneof string, _isbios string, _isdevice string, _ismechanical string, description string, rom {_ROM}, disk {_ROM}"
-_HEAD = "name string, description string, version string, author string, homepage string, url string"
+_GAME = f"_name string, _cloneof string, _romof string, _isbios string, _isdevice string, _ismechanical string, description string, rom {_ROM}, disk {_ROM}"
+_HEAD = "name string, description string, version string, author string, homepage string, url string, category string"
 
 
 def discover(spark: SparkSession, folder: str) -> DataFrame:
@@ -79,14 +79,14 @@ def xml_entries(spark: SparkSession, paths: list[str]) -> DataFrame:
         yes("_isbios").alias("is_bios"), yes("_isdevice").alias("is_device"), yes("_ismechanical").alias("is_mechanical"),
         rom["_name"].alias("rom"), F.when(disk, F.lit(0).cast("long")).when(rom["_name"].isNotNull(), F.coalesce(F.try_to_number(rom["_size"], F.lit("999999999999999999")).cast("long"), F.lit(0).cast("long"))).alias("size"),
         F.when(~disk, F.upper(rom["_crc"])).alias("crc32"), F.upper(rom["_md5"]).alias("md5"), F.upper(rom["_sha1"]).alias("sha1"),
-        F.when(rom["_name"].isNotNull(), _status(rom["_status"])).alias("status"), rom["_merge"].alias("merge_tag"), disk.alias("is_disk"), F.struct("block", "row", F.coalesce("part", F.lit(0)).alias("part")).alias("ordinal"),
+        F.when(rom["_name"].isNotNull(), _status(rom["_status"])).alias("status"), rom["_merge"].alias("merge_tag"), disk.alias("is_disk"), F.struct("block", "row", F.coalesce("part", F.lit(0)).alias("part")).alias("ordinal"), F.col("_romof").alias("rom_of"),
     )
 
 
 def xml_headers(spark: SparkSession, paths: list[str]) -> DataFrame:
     head = _xml(spark, paths, "header", _HEAD).select(F.col("_metadata.file_path").alias("path"), "*")
     text = lambda c: F.nullif(F.trim(c), F.lit("")).alias(c)
-    return head.select("path", text("name"), text("description"), text("version"), text("author"), F.coalesce(text("homepage"), text("url")).alias("homepage"), F.lit(None).cast("string").alias("error"))
+    return head.select("path", text("name"), text("description"), text("version"), text("author"), F.coalesce(text("homepage"), text("url")).alias("homepage"), text("category"), F.lit(None).cast("string").alias("error"))
 
 
 # --- the text format: nested blocks of keys and values -------------------------------------------------------------
@@ -142,20 +142,20 @@ def block_rows(path: str, text: str) -> Iterator[tuple]:
         head = (path, game["name"], game.get("description"), game.get("cloneof"), False, False, False)
         roms = [rom for inner, rom in ((k, _values(v)) for k, v in pairs if isinstance(v, list)) if inner == "rom" and rom.get("name")]
         if not roms:
-            yield (*head, None, None, None, None, None, None, None, None, (0, nth, 0))
+            yield (*head, None, None, None, None, None, None, None, None, (0, nth, 0), game.get("romof"))
         for part, rom in enumerate(roms):
             status = (rom.get("status") or rom.get("flags") or "").lower()
             hashes = (_upper(rom.get("crc") or rom.get("crc32")), _upper(rom.get("md5")), _upper(rom.get("sha1")))
-            yield (*head, rom["name"], _count(rom.get("size")), *hashes, status if status in ("nodump", "baddump") else "good", rom.get("merge"), False, (0, nth, part))
+            yield (*head, rom["name"], _count(rom.get("size")), *hashes, status if status in ("nodump", "baddump") else "good", rom.get("merge"), False, (0, nth, part), game.get("romof"))
 
 
 def block_header(path: str, text: str) -> tuple:
     try:
         found = [_values(pairs) for key, pairs in blocks(text) if key in ("clrmamepro", "header")]
     except ValueError as e:
-        return (path, None, None, None, None, None, str(e))
+        return (path, None, None, None, None, None, None, str(e))
     head = found[0] if found else {}
-    return (path, head.get("name"), head.get("description"), head.get("version"), head.get("author"), head.get("homepage") or head.get("url"), None if found else "no header")
+    return (path, head.get("name"), head.get("description"), head.get("version"), head.get("author"), head.get("homepage") or head.get("url"), head.get("category"), None if found else "no header")
 
 
 def _block_entries(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -193,7 +193,7 @@ def headers(spark: SparkSession, folder: str) -> DataFrame:
     rows = found.where("kind = 'block'").select("path", "text").mapInPandas(_block_headers, HEADER)
     if not paths:
         return rows
-    known = xml_headers(spark, paths).groupBy("path").agg(*[F.first(c).alias(c) for c in ("name", "description", "version", "author", "homepage", "error")])
+    known = xml_headers(spark, paths).groupBy("path").agg(*[F.first(c).alias(c) for c in ("name", "description", "version", "author", "homepage", "category", "error")])
     met = found.where("kind = 'xml'").select("path").join(known, "path", "left")
     return rows.unionByName(met.withColumn("error", F.when(F.col("name").isNull(), "no header")))
 

@@ -181,6 +181,25 @@ class _Seekable:
             raise OSError(str(e)) from e
 
 
+def _heads(root: str, length: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                try:
+                    with open_file(root, path) as source:
+                        row = {"path": path, "head": source.read(length)}
+                except FAULTS as e:
+                    row = {"path": path, "error": str(e)}
+                yield pa.RecordBatch.from_pylist([row], _schema("path string, head binary, error string"))
+
+    return run
+
+
+def heads(listing: DataFrame, root: str, length: int = 124) -> DataFrame:
+    """The first bytes of each file, without reading on: what tells a disk image and its hash."""
+    return listing.select("path").repartition(4 * listing.sparkSession.sparkContext.defaultParallelism).mapInArrow(_heads(root, length), "path string, head binary, error string")
+
+
 ENTRY = "path string, entry string, size long, compressed long, crc32 string, modified string, error string"
 
 

@@ -10,14 +10,14 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from holdfast.operators import imports
-from holdfast.sources import files, manifests
+from holdfast.operators import archives, imports
+from holdfast.sources import files, manifests, trees
 
 XML = """<?xml version="1.0"?>
 <!DOCTYPE datafile SYSTEM "x.dtd">
-<datafile><header><name>Sys &amp; Co</name><description> D </description><version>20231215</version><author>No-Intro</author></header>
+<datafile><header><name>Sys &amp; Co</name><description> D </description><version>20231215</version><author>No-Intro</author><category> Games </category></header>
 <game name="A" isbios="yes"><description>Game A</description><rom name="a.bin" size="16" crc="deadbeef" md5="aa" sha1="bb" status="nodump"/><disk name="d" sha1="cc"/></game>
-<machine name="B" cloneof="A"><description>B</description><rom name="b.bin" size="many" merge="a.bin"></rom><device_ref name="z"/></machine>
+<machine name="B" cloneof="A" romof="base"><description>B</description><rom name="b.bin" size="many" merge="a.bin"></rom><device_ref name="z"/></machine>
 </datafile>"""
 BLOCK = """clrmamepro ( name "Old ( Set )" version 7 url here )
 # a note ( not a block
@@ -42,6 +42,7 @@ def test_entries_of_both_formats(spark, folder):
     a, d, b, g = got["A", "a.bin"], got["A", "d"], got["B", "b.bin"], got['G "1"', "g.bin"]
     assert (a.size, a.crc32, a.md5, a.sha1, a.status, a.is_bios, a.is_disk) == (16, "DEADBEEF", "AA", "BB", "nodump", True, False)
     assert (d.size, d.sha1, d.crc32, d.is_disk) == (0, "CC", None, True)
+    assert (b.rom_of, a.rom_of) == ("base", None)
     assert (b.size, b.parent_name, b.merge_tag, b.status) == (0, "A", "a.bin", "good")
     assert (g.size, g.crc32, g.status) == (4, "0A0B0C0D", "baddump")
 
@@ -51,6 +52,7 @@ def test_headers_and_faults(spark, folder):
     rows = found.withColumns({"under": manifests.hierarchy(F.col("path"), str(folder)), "kind": manifests.source_type(F.col("name"), F.col("author"), F.col("homepage"))}).collect()
     got = {r.path.rsplit("/", 1)[1]: r for r in rows}
     assert (got["one.xml"].name, got["one.xml"].description, got["one.xml"].version, got["one.xml"].under, got["one.xml"].kind) == ("Sys & Co", "D", "20231215", None, "nointro")
+    assert (got["one.xml"].category, got["two.DAT"].category) == ("Games", None)
     assert (got["two.DAT"].name, got["two.DAT"].homepage, got["two.DAT"].under, got["two.DAT"].kind) == ("Old ( Set )", "here", "sub", "custom")
     assert got["broken.dat"].error == "a block does not end"
 
@@ -121,7 +123,8 @@ def test_hashes_headers_and_archives(spark, tmp_path):
         assert (got[name].sha1, got[name].crc32) == (sha(head + body), f"{zlib.crc32(head + body):08X}")
         assert got[name].sha1_no_header == (sha(body) if skip else None)
     assert (got["none"].size, got["none"].sha1, got["none"].md5, got["none"].crc32) == (0, "DA39A3EE5E6B4B0D3255BFEF95601890AFD80709", "D41D8CD98F00B204E9800998ECF8427E", "00000000")
-    entries = {r.path.rsplit("/", 1)[1]: r for r in files.zip_entries(read).collect()}
+    listing = trees.listed(spark, str(tmp_path)).where(files.archive_kind(F.col("path")) == "zip")
+    entries = {r.path: r for r in archives.entry_hashes(listing, str(tmp_path)).collect()}
     assert (entries["p.ZIP"].archive_path, entries["p.ZIP"].size, entries["p.ZIP"].sha1) == ("in/e.bin", 512, sha(body))
     assert entries["bad.zip"].sha1 is None and entries["bad.zip"].error
 
