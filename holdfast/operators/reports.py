@@ -66,6 +66,18 @@ def listing(rows: DataFrame, kind: str, within: list[str] = (), ties: list[str]
     return numbered(rows, [*within, *order, *ties], "place")
 
 
+#: What single rows of each relation are asked for by.
+LOOKUPS = {
+    "collections": ["name"], "versions": ["coll", "version"], "games": ["coll", "version", "game"], "roms": ["sha1"], "files": ["sha1"], "sources": ["path"],
+    "quarantine": ["sha1"], "config": ["path_pattern"],
+}
+
+
+def lookup(rows: DataFrame, kind: str, wanted: DataFrame) -> DataFrame:
+    """The rows whose key is among the wanted ones (columns of LOOKUPS), however many these are; a null key finds nothing."""
+    return rows.join(wanted.select(*LOOKUPS[kind]).distinct(), LOOKUPS[kind], "left_semi")
+
+
 def head(rows: DataFrame, order: list, n: int = 20) -> tuple[DataFrame, int]:
     """The first n rows, as a display shows them, and how many more there are."""
     return rows.orderBy(*order).limit(n), max(0, rows.count() - n)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tomllib
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +47,24 @@ def collisions(placed: DataFrame) -> DataFrame:
     return groups.where("n > 1")
 
 
+class Defaults(NamedTuple):
+    """What holds for collections without settings of their own."""
+
+    default_dest_path: str | None = None
+    default_output_format: str = "torrentzip"
+    default_merge_mode: str = "non-merged"
+    data_dir: str | None = None
+
+
+def defaults(text: str) -> Defaults:
+    """Defaults as a TOML text states them; other keys are left alone, a format or mode that is not known is an error."""
+    found = {k: v for k, v in tomllib.loads(text).items() if k in Defaults._fields}
+    made = Defaults(**found)
+    if made.default_output_format not in FORMATS or made.default_merge_mode not in MODES:
+        raise ValueError(f"no such format or mode: {made.default_output_format}, {made.default_merge_mode}")
+    return made
+
+
 def extra(config_json: Column) -> Column:
     """The further settings that a JSON text states; the defaults for those it does not, or where it is no JSON."""
     found = F.from_json(config_json, EXTRA)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import names, scalars
 from ..operators import archives, completeness, imports, matching, merges, planner, plans, reports, settings, torrents, versions
 from ..projection import Relations, ctes
-from ..snapshots import numbered, shared_folder
+from ..snapshots import numbered, shared_folder, snapshot
 from ..sources import files, trees
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -384,10 +384,13 @@ def _shared_at(r):
 
 
 def _planned(r):
-    rows = _rows(r)
-    files_ops, dests = planner.plan_files(rows, LIBRARY)
-    built = planner.games(rows, _shared_at(r))
-    return files_ops, dests, built, files_ops.unionByName(planner.plan_archives(rows, built, _shared_at(r), LIBRARY))
+    """Once for a query, with what is planned for each game written, as several steps read it."""
+    if "planned" not in r._made:
+        rows = snapshot(_rows(r))
+        files_ops, dests = planner.plan_files(rows, LIBRARY)
+        built = snapshot(planner.games(rows, _shared_at(r)))
+        r._made["planned"] = files_ops, dests, built, files_ops.unionByName(planner.plan_archives(rows, built, _shared_at(r), LIBRARY))
+    return r._made["planned"]
 
 
 def _plan_rows(r):
@@ -463,9 +466,11 @@ def a12_operations_by_kind(r):
     return planner.tally(_planned(r)[3])
 
 
-@query("""select '/' as volume, cast(sum(size) as bigint) as bytes, cast(trunc(cast(sum(size) as double)*1.1) as bigint) as with_margin from ops where kind in ('copy','repack') having sum(size)>0""", *PLAN, more=ALL_OPS)
+@query("""select volume, cast(sum(size) as bigint) as bytes, cast(trunc(cast(sum(size) as double)*1.1) as bigint) as with_margin from (select *, case when coll in ('de','es') then '/Volumes/'||coll else '/' end as volume from ops) where kind in ('copy','repack') or (kind in ('move','relocate') and volume<>'/') group by 1 having sum(size)>0""", *PLAN, more=ALL_OPS)
 def a22_space_needed(r):
-    return planner.space_needed(_planned(r)[3])
+    """Two collections go to volumes of their own, so that their moves need space too."""
+    at = F.when(F.col("coll").isin("de", "es"), F.concat(F.lit("/Volumes/"), "coll", "dest")).otherwise(F.col("dest"))
+    return planner.space_needed(_planned(r)[3].withColumn("dest", at))
 
 
 @query("select row_number() over (order by coll, dest, source, kind, archive_path)-1 as op_id, coll, kind, source, dest from ops", *PLAN, more=ALL_OPS)
@@ -674,9 +679,9 @@ def a24_titles(r):
     return planner.titles(titled).select("coll", "title", "n", F.array_join("names", "|").alias("names"))
 
 
-@query("select sha256(from_hex('0100000000000000')||from_hex(lpad(to_hex((select count(*) from c_locations) % 256),2,'0'))||from_hex(lpad(to_hex((select count(*) from c_locations) // 256),2,'0'))||from_hex('000000000000')||encode((select max(source) from c_locations))||encode((select string_agg(path_pattern||coalesce(dest_path,''),'' order by path_pattern) from c_config))) as state_hash", "c_locations", "c_config")
+@query("select sha256(from_hex((select string_agg(lpad(to_hex(n),2,'0')||'00000000000000', '' order by n) from (select row_number() over (order by name) as n from c_collections)))||from_hex(lpad(to_hex((select count(*) from c_locations) % 256),2,'0'))||from_hex(lpad(to_hex((select count(*) from c_locations) // 256),2,'0'))||from_hex('000000000000')||encode((select max(source) from c_locations))||encode((select string_agg(path_pattern||coalesce(dest_path,''),'' order by path_pattern) from c_config))) as state_hash", "c_locations", "c_config", "c_collections")
 def c9_state_hash(r):
-    ids = r.spark.createDataFrame([(1,)], "id long")
+    ids = numbered(r.collections, [F.desc("name")], "n").select((F.lit(1) + F.col("n")).alias("id"))
     return planner.state_hash(ids, r.locations, r.config, "source")
 
 
@@ -1062,3 +1067,20 @@ def f18_prunable_folders(r):
     at = F.concat_ws("/", "source", "path")
     dirs = r.locations.select(F.explode(F.array(F.col("source"), F.concat_ws("/", "source", F.split_part("path", F.lit("/"), F.lit(1))))).alias("dir")).distinct()
     return reports.prunable_dirs(r.locations.where("archive_path is null and source not in ('src2', 'src4')").select(at.alias("path")), dirs)
+
+
+@query("""select 'files' as kind, sha1 as item from c_files where sha1 in (select upper(sha1(text)) from documents where doc_id%3=0) union all select 'roms', coll||version||rom from c_roms where sha1 in (select upper(sha1(text)) from documents where doc_id%3=0)
+  union all select 'games', coll||version||game from c_games where version='v2' and game like 'Title 1%' union all select 'collections', coll from c_collections where name='DE - Documents' union all select 'sources', source from c_sources where path='/stage/src2'""", "c_files", "c_roms", "c_games", "c_collections", "c_sources")
+def f15_lookups(r):
+    """Single rows by their keys, for as many keys as are asked for."""
+    hashes = r.documents.where("doc_id % 3 = 0").select(F.upper(F.sha1("text")).alias("sha1"))
+    one = lambda column, value: r.spark.createDataFrame([(value,), ("none",)], f"{column} string")
+    wanted = {
+        "files": (r.files, hashes, F.col("sha1")), "roms": (r.roms, hashes, F.concat("coll", "version", "rom")), "collections": (r.collections, one("name", "DE - Documents"), F.col("coll")),
+        "games": (r.games, active(r.games).where("game like 'Title 1%'"), F.concat("coll", "version", "game")), "sources": (r.sources, one("path", "/stage/src2"), F.col("source")),
+    }
+    out = None
+    for kind, (rows, keys, item) in wanted.items():
+        found = reports.lookup(rows, kind, keys).select(F.lit(kind).alias("kind"), item.alias("item"))
+        out = found if out is None else out.union(found)
+    return out

@@ -71,3 +71,10 @@ def test_selectors(spark):
     rows = spark.createDataFrame([(5, "/a+-5"), (6, "/b5")], "id long, path string")
     pick = lambda s: {r.id for r in rows.where(merges.selected(rows, s)).collect()}
     assert (pick("5"), pick("+6"), pick("-5"), pick("+-5"), pick("b")) == ({5}, {6}, set(), {5}, {6})
+
+
+def test_defaults_of_a_file():
+    assert settings.defaults('default_dest_path = "/lib"\ndefault_merge_mode = "split"\nother = 1') == settings.Defaults("/lib", "torrentzip", "split")
+    assert settings.defaults("") == settings.Defaults()
+    with pytest.raises(ValueError, match="no such format"):
+        settings.defaults('default_output_format = "rar"')
