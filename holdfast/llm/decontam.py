@@ -7,7 +7,8 @@ documents' windows only those whose kept hash is shared are written out and join
 true hits and extends them to all words of the shared passage. An item shorter than a window is one window, and stands for
 itself by the hash of all its words. All sizes of windows are looked up in one pass over the documents.
 
-Work and rows are in proportion to words and hits, however often they repeat in document and item. A document's words are
+Work and rows are in proportion to words and hits, however often they repeat in document and item: each window goes out with
+its place, once. A document's words are
 never shuffled where items are few: then one row for each document is. Item hashes and windows are broadcast only while
 they are small (`BROADCAST_BYTES`, checked); beyond, documents are cut to the hashes they share by a shuffled semi-join, and
 the words of those that share any are joined back once. A hash or window that very many documents share makes a skewed
@@ -75,44 +76,33 @@ def _item_windows(items: DataFrame, sizes: list[int]) -> DataFrame:
 KEY = ["doc_id", "text_hash", "n_words"]
 
 
-def _values(sizes: list[int]) -> Column:
-    """The distinct (size, value) of a document's windows."""
-
-    def of(s: int) -> Column:
-        return F.transform(F.array_distinct(f"h{s}"), lambda v: F.struct(F.lit(s).alias("size"), v.alias("value")))
-
-    return F.concat(*map(of, sizes))
-
-
 def _places(sizes: list[int]) -> Column:
-    """Where the windows of the row's size and value are."""
+    """The (size, value, at) of each window of a document."""
 
     def of(s: int) -> Column:
-        return F.filter(F.sequence(F.lit(0), F.size(f"h{s}") - 1), lambda i: F.get(f"h{s}", i) == F.col("value"))
+        return F.transform(f"h{s}", lambda v, i: F.struct(F.lit(s).alias("size"), v.alias("value"), i.alias("at")))
 
-    return F.coalesce(*[F.when(F.col("size") == s, of(s)) for s in sizes])
+    return F.concat(*map(of, sizes))
 
 
 def _hits(docs: DataFrame, windows: DataFrame, sizes: list[int], few: bool) -> DataFrame:
     """KEY, at, size and item_ids of each window of the documents that an item has, and a row for each document with marks 1."""
     values = windows.select("size", "value").distinct()
     made = _with_hashes(docs, sizes)
-    hashes = [f"h{s}" for s in sizes]
     # outer, here and below: an inner explode has the optimizer test its array in a filter, where it is made anew for each of its elements
     if few:
-        none = F.array(F.struct(F.lit(None).cast("int").alias("size"), F.lit(None).cast("bigint").alias("value")))
-        each = made.select(*KEY, "words", *hashes, F.posexplode_outer(F.concat(none, _values(sizes))).alias("nth", "v"))
-        each = each.select(*KEY, "words", *hashes, (F.col("nth") == 0).cast("int").alias("marks"), "v.size", "v.value")
+        none = F.array(F.struct(F.lit(None).cast("int").alias("size"), F.lit(None).cast("bigint").alias("value"), F.lit(None).cast("int").alias("at")))
+        each = made.select(*KEY, "words", F.posexplode_outer(F.concat(none, _places(sizes))).alias("nth", "v"))
+        each = each.select(*KEY, "words", (F.col("nth") == 0).cast("int").alias("marks"), "v.size", "v.value", "v.at")
         met = each.join(F.broadcast(values.withColumn("shared", F.lit(True))), ["size", "value"], "left").where("shared or marks = 1")
     else:
-        each = made.select(*KEY, F.explode_outer(_values(sizes)).alias("v")).select(*KEY, "v.*")
-        shared = each.join(values, ["size", "value"], "left_semi").groupBy(*KEY).agg(F.collect_set(F.struct("size", "value")).alias("shared"))
+        each = made.select(*KEY, F.explode_outer(_places(sizes)).alias("v")).select(*KEY, "v.*")
+        shared = each.join(values, ["size", "value"], "left_semi").groupBy(*KEY).agg(F.collect_set(F.struct("size", "value", "at")).alias("shared"))
         same = [F.col(f"m.{c}").eqNullSafe(F.col(f"s.{c}")) for c in KEY]
-        both = made.alias("m").join(shared.alias("s"), same[0] & same[1] & same[2])
-        met = both.select(*[F.col(f"m.{c}").alias(c) for c in [*KEY, "words", *hashes]], F.explode("s.shared").alias("v"))
-        met = met.select(*KEY, "words", *hashes, F.lit(0).alias("marks"), "v.size", "v.value")
-    at = met.select(*KEY, "words", "marks", "size", "value", F.explode_outer(_places(sizes)).alias("at"))
-    at = at.select(*KEY, "marks", "size", "value", "at", F.when(F.col("at").isNotNull(), _window(F.col("at"), F.col("size"))).alias("window"))
+        both = docs.alias("m").join(shared.alias("s"), same[0] & same[1] & same[2])
+        met = both.select(*[F.col(f"m.{c}").alias(c) for c in [*KEY, "words"]], F.explode("s.shared").alias("v"))
+        met = met.select(*KEY, "words", F.lit(0).alias("marks"), "v.size", "v.value", "v.at")
+    at = met.select(*KEY, "marks", "size", "value", "at", F.when(F.col("at").isNotNull(), _window(F.col("at"), F.col("size"))).alias("window"))
     if few:
         return at.join(F.broadcast(windows), ["size", "value", "window"], "left").where("item_ids is not null or marks = 1")
     found = at.join(windows, ["size", "value", "window"])

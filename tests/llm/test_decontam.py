@@ -75,3 +75,12 @@ def test_repetition_costs_no_more_than_its_length(spark, table):
     got = {r.doc_id: (r.n_hit, r["items"], [tuple(x) for x in r.runs]) for r in decontam.contamination(docs, benchmark).collect()}
     assert got == {1: (30_000, ["a"], [(0, 30_000)]), 2: (0, [], []), 3: (30_000, ["b"], [(0, 30_000)])}
     assert time.monotonic() - begun < 60
+
+
+@pytest.mark.parametrize("broadcast", [64 << 20, 0])
+def test_a_long_text_full_of_hits_takes_time_in_proportion(spark, table, monkeypatch, broadcast):
+    monkeypatch.setattr(decontam, "BROADCAST_BYTES", broadcast)
+    text = " ".join(f"w{i}x" for i in range(60_000))
+    begun = time.monotonic()
+    got = decontam.contamination(table([(1, text), (2, "w1x w2x")]), spark.createDataFrame([("a", text)], "item_id string, text string")).collect()
+    assert {r.doc_id: (r.n_hit, len(r.runs)) for r in got} == {1: (60_000, 1), 2: (0, 0)} and time.monotonic() - begun < 60
