@@ -84,6 +84,26 @@ def test_random_strings_of_any_alphabet_are_found(spark, table):
     assert not [w for w in words if w.isalpha()]
 
 
+#: What code, paths and addresses hold, and no word of it in the training list's order.
+ORDINARY = """getUserAccountSettingsFromDatabase HttpURLConnectionFactoryBean MAX_RETRY_COUNT_PER_HOST Donaudampfschifffahrtsgesellschaft /usr/local/lib/python3/site-packages org/articles/2020/some-long-slug-here
+AAAAAAAAAAAAAAAAAAAAAAAA 123e4567-e89b-12d3-a456-426614174000 calculateShippingCostForOrder XMLHttpRequestEventTarget DEFAULT_SOCKET_TIMEOUT_MS Rechtsschutzversicherungsgesellschaft /home/alice/projects/website/static/images
+internationalization kubernetes-cluster-autoscaler AbstractSingletonProxyFactoryBean wp-content/uploads/2019/04/header-background anticonstitutionnellement electroencefalografista test_should_raise_when_invalid_input
+onBackPressedDispatcher NSWindowCollectionBehaviorFullScreen CMAKE_RUNTIME_OUTPUT_DIRECTORY GL_COMPRESSED_TEXTURE_FORMATS com/google/common/collect/ImmutableList blog/why-we-moved-from-monolith-to-microservices
+bootstrap-datepicker-standalone LD_LIBRARY_PATH_BACKUP parseJsonIntoDictionary spark_sql_shuffle_partitions Krankenversicherungskarte desarrolladores-independientes ------------------------ responsabilidades
+Wissenschaftlerinnen content-security-policy-report-only /etc/systemd/system/multi-user getElementsByClassName addEventListenerOptions SQLAlchemyUserDatastore nightly-regression-dashboard FOREIGN_KEY_CONSTRAINT_VIOLATION
+moveCursorToEndOfLine unsubscribeFromNewsletter /var/spool/cron/crontabs ThreadSafeLazyInitializer fotovoltaikanlagenbetreiber travel/europe/2018/hidden-beaches-of-portugal hyperparameter_optimization""".split()
+
+
+def test_precision_on_ordinary_identifiers(spark):
+    """Identifiers, constants, paths, slugs, compounds and UUIDs beside as many random strings: few of the first, nearly all of the second."""
+    ratio = secrets.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    draw = random.Random(21)
+    taken = [w for w in ORDINARY if any(k == 3 for _, k, _ in secrets.spans(f"the {w} is", ratio))]
+    keys = ["".join(draw.choices(secrets.ALPHABETS[i % 3 + 1], k=draw.randint(16, 40))) for i in range(len(ORDINARY))]
+    found = [k for k in keys if secrets.spans(f"the {k} is", ratio) == [(4, 3, 4 + len(k))]]
+    assert len(found) >= 0.97 * len(keys) and len(taken) <= 0.05 * len(ORDINARY), taken
+
+
 def test_many_spans_in_one_text():
     draw, begun = random.Random(5), time.monotonic()
     text = " ".join(f"token = {''.join(draw.choices('abcdef0123456789', k=40))}" for _ in range(16_000))
