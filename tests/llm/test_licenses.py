@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import math
 import random
+import textwrap
 
 import numpy as np
 
@@ -65,3 +66,48 @@ def test_cosines_against_dense_vectors():
 
 def test_empty_table(spark):
     assert licenses.licenses(spark.createDataFrame([], "doc_id long, path string, text string")).collect() == []
+
+
+CODE = "\n".join(f"int function_{i}(char *value) {{ return value[{i}] + counter; }}" for i in range(60))
+OWNER = ("Copyright (c) 2015, Someone\nAll rights reserved.\n\n", "Copyright 1999-2021 The Authors of Something\n\n", "")
+
+
+def _labelled():
+    """Texts of known licences, wrapped, behind comment signs and in files of their own; words are lost in some."""
+    draw = random.Random(8)
+    of = licenses.TEMPLATES
+    texts = {n: of[n][0] for n in ("BSD-2-Clause", "BSD-3-Clause", "MIT", "Zlib")} | {n: of[n][1] for n in ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "ISC")} | {"Apache-2.0": licenses._APACHE, "MPL-2.0": of["MPL-2.0"][1], "EPL-2.0": of["EPL-2.0"][1]}
+    for name, text in texts.items():
+        for i in range(12):
+            words = [w for w in text.split() if i % 3 or draw.random() > 0.03]
+            body = OWNER[i % 3] + "\n".join(textwrap.wrap(" ".join(words), draw.randint(60, 90)))
+            if i % 2:
+                yield name, body, draw.choice(["LICENSE", "COPYING.txt", "license.md"])
+            else:
+                sign = draw.choice(["# ", " * ", "// ", "-- "])
+                yield name, "\n".join((sign + line).rstrip() for line in body.split("\n")) + "\n" + CODE, "src.c"
+
+
+def test_labelled_licences_and_nothing_else():
+    found = [(want, licenses.own_license(text, name)[0]) for want, text, name in _labelled()]
+    assert sum(a == b for a, b in found) >= 0.9 * len(found)
+    assert {(a, b) for a, b in found if b not in (a, None)} == set()
+
+
+def test_versions_and_clauses_are_told_apart():
+    grant = "either version {} of the License, or (at your option) any later version."
+    of = licenses._grant
+    assert licenses.own_license("# " + of("program", "General Public License", "2").replace("; either", ";\n# either"), "x.py")[0] == "GPL-2.0" and grant.format(2) in of("program", "General Public License", "2")
+    two, three = licenses.TEMPLATES["BSD-2-Clause"][0], licenses.TEMPLATES["BSD-3-Clause"][0]
+    for text, name in ((two, "BSD-2-Clause"), (three, "BSD-3-Clause")):
+        assert licenses.own_license("\n\n".join(text.replace(". 2", ".\n\n2").replace(". 3", ".\n\n3").split("\n\n")), "LICENSE")[0] == name
+    for version in ("2.1", "3"):
+        title = f"GNU LESSER GENERAL PUBLIC LICENSE\n       Version {version}, {'February 1999' if version == '2.1' else '29 June 2007'}\n\n" + "other words of a preamble\n\n" * 30
+        assert licenses.own_license(title, "COPYING")[0] == f"LGPL-{version if version == '2.1' else '3.0'}"
+
+
+def test_odd_rows(spark):
+    long = "plain words of nothing at all " * 40_000 + "\nSPDX-License-Identifier: MIT\n" + "more " * 40_000
+    rows = [(1, None, None), (2, None, "Released under the MIT License."), (3, "a/LICENSE", ""), (4, "a/x", long), (4, "a/x", long), (5, "", "© nobody"), (6, "///", "x")]
+    got = licenses.licenses(spark.createDataFrame(rows, "doc_id int, path string, text string")).collect()
+    assert sorted((r.doc_id, r.own, r.license) for r in got) == [(1, None, None), (2, "MIT", "MIT"), (3, None, None), (4, "MIT", "MIT"), (4, "MIT", "MIT"), (5, None, None), (6, None, None)]
