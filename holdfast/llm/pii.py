@@ -4,8 +4,11 @@ Candidates are the spans of four fixed patterns (`email`, `ip`, `card`, `phone`;
 kind, failing matches dropped without a retry), which always stay, and six looser ones: `local`, a phone number without a
 country code; `number`, a run of 12 to 19 digits that fails the card check; `iban`, an account number; `national`, a
 personal number of the United States or Spain; `address`, a street with a house number in one of four languages; and
-`name`, two or three capitalised words side by side. Each candidate gets the vote (no, yes, none) of a shape rule, a
-gazetteer and the words before it. Only counts of vote patterns leave a task: their number is
+`name`, two or three capitalised words side by side, without a title or verb before them. Each candidate gets the vote (no,
+yes, none) of a shape rule, a gazetteer and the words around it. Of a name, the shape rule is one of letter case: words that
+the same text writes in lower case are no names, and capitals within a sentence speak for one; a given name that the
+gazetteer lacks is no vote. Names are rare among capitalised words, so where two labelers say yes and none says no, that is
+an anchor: taken for one in the estimation and in the end; without an anchor only a known given name is judged. Only counts of vote patterns leave a task: their number is
 bounded by labelers and kinds, whatever the input. From them the driver estimates how reliable each labeler is
 (a two-class model, by expectation-maximisation), and fits a logistic classifier of kind, votes and form to the
 posteriors. A looser candidate that the classifier accepts, and that no pattern span overlaps, becomes a span.
@@ -70,6 +73,11 @@ GIVEN_NAMES = frozenset(
 )
 IBAN_LENGTHS = {"AT": 20, "BE": 16, "CH": 21, "CZ": 24, "DE": 22, "DK": 18, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "GR": 27, "HU": 28, "IE": 22, "IT": 27, "LU": 20, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "SE": 24}
 NATIONAL_LETTERS = "TRWAGMYFPDXBNJZSQVHLCKE"
+#: Words of speech that follow a name.
+AFTER = frozenset("said says wrote writes told asked replied answered sagte schreibt schrieb fragte antwortete dit écrit demande répond dijo escribe escribió preguntó respondió".split())
+#: Titles and verbs with a capital, at the start of a sentence, are no part of the name after them.
+BEFORE = frozenset(FOR["name"]) | frozenset("please contact ask tell thank thanks from by with and the see meet".split())
+LOWER = re.compile(r"(?<![^\W_])[a-zäöüßàâçéèêëîïôûùáíóúñ]{2,}(?![^\W_])")
 AGAINST = ("version", "isbn", "issn", "invoice", "order", "serial", "sku", "rfc", "section")
 CONTEXT, SHARED = 32, 0.3
 
@@ -91,6 +99,15 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", max(at + 1, last))
 
 
+def _names(text: str) -> Iterator[tuple[int, int, int]]:
+    for m in NAME.finditer(text):
+        words, start = m[0].split(" "), m.start()
+        while words and words[0].lower() in BEFORE:
+            start += len(words.pop(0)) + 1
+        if len(words) > 1:
+            yield start, 9, m.end()
+
+
 def candidates(text: str) -> list[tuple[int, int, int]]:
     """(start, kind number, end) of all candidates, in order; those of the patterns, then the looser ones that overlap none."""
     found = [(a, 0, b) for a, b in _emails(text)] if "@" in text else []
@@ -106,7 +123,7 @@ def candidates(text: str) -> list[tuple[int, int, int]]:
             found += [(m.start(), 3, m.end()) for m in PHONE.finditer(text) if 9 <= sum(map(len, DIGITS.findall(m[0]))) <= 15]
         for kind, of in ((4, LOCAL), (6, IBAN), (7, NATIONAL), (8, ADDRESS)):
             loose += [(m.start(), kind, m.end()) for m in of.finditer(text)]
-    loose += [(m.start(), 9, m.end()) for m in NAME.finditer(text)]
+    loose += _names(text)
     found.sort()
     more, at, reach = [], 0, 0
     for span in sorted(loose):
@@ -136,11 +153,16 @@ def _shape(kind: int, s: str, digits: str) -> int:
         return int(NATIONAL_LETTERS[int(digits) % 23] == s[-1] if s[-1].isalpha() else digits[:3] not in ("000", "666") and digits[0] != "9" and digits[3:5] != "00" and digits[5:] != "0000")
     if kind == 8:
         return int(digits[0] != "0")
-    if kind == 9:  # any pair of capitalised words is well formed, so that is no evidence
-        return 2 if all(2 <= len(w) <= 15 for w in s.split(" ")) else 0
     return int(len(set(digits)) > 2)
 
 
+def _case(words: list[str], before: str, lower: frozenset[str]) -> int:
+    """Of a name: no if the text has one of its words in lower case, yes for capitals within a sentence."""
+    if any(w.lower() in lower or not 2 <= len(w) <= 15 for w in words):
+        return 0
+    return 1 if re.search(r"[\w,;)]\x20$", before) else 2
+
+
 def _gazetteer(kind: int, s: str, digits: str, after: str) -> int:
     """Whether lists know a part of the span: endings of domains, calling codes, countries, given names; a postcode after a street."""
     if kind == 0:
@@ -157,21 +179,32 @@ def _gazetteer(kind: int, s: str, digits: str, after: str) -> int:
         return 2 if s[-1].isalpha() else int(digits[:3] < "773")
     if kind == 8:
         return 1 if POSTCODE.match(after) else 2
-    return int(s.split(" ")[0] in GIVEN_NAMES) if kind == 9 else int(digits[0] in "23456789")
+    if kind == 9:
+        return 1 if s.split(" ")[0] in GIVEN_NAMES else 2
+    return int(digits[0] in "23456789")
 
 
-def _context(kind: int, before: str) -> int:
+def _context(kind: int, before: str, after: str) -> int:
     words = re.findall(r"[\w-]+", before.lower())
+    if kind == 9 and (m := re.match(r",?\x20(\w+)", after)) and m[1] in AFTER:
+        return 1
     return 1 if any(w in FOR[KINDS[kind]] for w in words) else 0 if any(w in AGAINST for w in words) else 2
 
 
-def pattern(text: str, span: tuple[int, int, int]) -> int:
+def lower_words(text: str, found: list[tuple[int, int, int]]) -> frozenset[str]:
+    """The words that a text has in lower case; only asked for where it has candidates for names."""
+    return frozenset(LOWER.findall(text)) if any(s[1] == 9 for s in found) else frozenset()
+
+
+def pattern(text: str, span: tuple[int, int, int], lower: frozenset[str] = frozenset()) -> int:
     """A candidate's kind, three votes (0 no, 1 yes, 2 none) and form, as one number."""
     start, kind, end = span
     s = text[start:end]
     digits = "".join(DIGITS.findall(s))
     apart = not (start and text[start - 1].isalnum()) and not (end < len(text) and text[end].isalnum())
-    votes = _shape(kind, s, digits), _gazetteer(kind, s, digits, text[end : end + CONTEXT]), _context(kind, text[max(0, start - CONTEXT) : start])
+    before, after = text[max(0, start - CONTEXT) : start], text[end : end + CONTEXT]
+    shape = _case(s.split(" "), before, lower) if kind == 9 else _shape(kind, s, digits)
+    votes = shape, _gazetteer(kind, s, digits, after), _context(kind, before, after)
     code = kind
     for v in votes:
         code = code * 3 + v
@@ -194,7 +227,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for text in batch.column(0).to_pylist():
             if text:
-                total.update(pattern(text, s) for s in candidates(text))
+                found = candidates(text)
+                lower = lower_words(text, found)
+                total.update(pattern(text, s, lower) for s in found)
     yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(list(total.values()), pa.int64())], ["pattern", "n"])
 
 
@@ -207,6 +242,7 @@ def posteriors(counts: np.ndarray, rounds: int = 50) -> np.ndarray:
     kind, votes, _ = _unpacked()
     of_kind = kind[:, None] == np.arange(len(KINDS))
     p = 1 / (1 + np.exp(2.0 * ((votes == 0).sum(1) - (votes == 1).sum(1))))
+    sure = anchors()
     for _ in range(rounds):
         like = []
         for weight in (counts * (1 - p), counts * p):
@@ -217,10 +253,16 @@ def posteriors(counts: np.ndarray, rounds: int = 50) -> np.ndarray:
                 own = own + (SHARED * (counts @ of_kind) + 10)[:, None] * share / share.sum()
                 log = log + np.pad(np.log(own / own.sum(1, keepdims=True)), ((0, 0), (0, 1)))[kind, votes[:, labeler]]
             like.append(log)
-        p = 1 / (1 + np.exp(np.clip(like[0] - like[1], -50, 50)))
+        p = np.where(sure, 1.0, 1 / (1 + np.exp(np.clip(like[0] - like[1], -50, 50))))
     return p
 
 
+def anchors() -> np.ndarray:
+    """Patterns of names on which two labelers agree and none disagrees."""
+    kind, votes, _ = _unpacked()
+    return (kind == 9) & ((votes == 1).sum(1) >= 2) & ((votes == 0).sum(1) == 0)
+
+
 def classifier(counts: np.ndarray, rounds: int = 400) -> np.ndarray:
     """The final classifier's P(personal data) of every pattern: logistic regression on kind, votes, both together and form, fitted to the posteriors."""
     kind, votes, form = _unpacked()
@@ -233,7 +275,8 @@ def classifier(counts: np.ndarray, rounds: int = 400) -> np.ndarray:
         p = 1 / (1 + np.exp(-(x @ w)))
         bend = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(len(w))
         w -= 0.5 * np.linalg.solve(bend, x.T @ (weight * (p - target)) + 1e-3 * w)
-    return 1 / (1 + np.exp(-(x @ w)))
+    found = 1 / (1 + np.exp(-(x @ w)))
+    return np.where(anchors(), 1.0, np.where((kind == 9) & (votes[:, 1] != 1), 0.0, found))
 
 
 def train(rows: DataFrame) -> np.ndarray:
@@ -244,7 +287,9 @@ def train(rows: DataFrame) -> np.ndarray:
 
 
 def spans(text: str, accept: np.ndarray) -> list[tuple[int, int, int]]:
-    return [s for s in candidates(text) if s[1] < len(BASE) or accept[pattern(text, s)]]
+    found = candidates(text)
+    lower = lower_words(text, found)
+    return [s for s in found if s[1] < len(BASE) or accept[pattern(text, s, lower)]]
 
 
 def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

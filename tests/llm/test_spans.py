@@ -158,6 +158,34 @@ def test_added_kinds_are_found_in_test_documents(spark, table):
     assert len(extra) <= 0.005 * len(rows)
 
 
+def test_names_that_no_list_holds(spark, table):
+    """Recall of planted names whose parts are in no list here, with and without words around them, where most capital pairs are no names; few others."""
+    draw, rows, want = random.Random(16), [], {}
+    given = "Ingrid Halvor Torsten Yusuf Oksana Bogdan Priya Kenji Zainab Mireille Saoirse Anselm Ludmila Tadeusz Wanjiru".split()
+    last = "Halvorsen Okafor Nakamura Petrov Kowalczyk Lindqvist Achterberg Oyelaran Brzezinski Delacroix".split()
+    ways = ["and please contact {} about it", "Dear {}, thanks", "it was then that {} said so", "we met Dr {} there", "the letter is signed {} below", "Frau {} wohnt dort", "so {} wrote back", "llamó la señora {} ayer"]
+    assert not set(given) & pii.GIVEN_NAMES
+    for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").collect():
+        text = r.text
+        if r.doc_id % 8 == 0:
+            name = f"{draw.choice(given)} {draw.choice(last)}"
+            before = text + "\n" + ways[r.doc_id // 8 % len(ways)].partition("{}")[0]
+            text += "\n" + ways[r.doc_id // 8 % len(ways)].format(name)
+            want[r.doc_id] = (len(before), 9, len(before) + len(name))
+        rows.append((r.doc_id, text + ("\nThe Old Mill And The Green Hill. New Orders And Big Plans. Red House" if r.doc_id % 3 == 0 else "")))
+    got = {d: next(iter(s)) for d, s in by_id(pii.find(table(rows)), pii.KINDS).items()}
+    assert sum(w in got[d] for d, w in want.items()) >= 0.9 * len(want)
+    assert sum(any(s[1] == 9 and s != want.get(d) for s in found) for d, found in got.items()) <= 0.01 * len(rows)
+
+
+def test_names_end_where_titles_do():
+    text = "Dear Maria Lopez, ask Mr John Miller. Please contact Anna Weber"
+    assert [text[a:b] for a, k, b in pii.candidates(text) if k == 9] == ["Maria Lopez", "John Miller", "Anna Weber"]
+    accept = pii.classifier(np.zeros(pii.PATTERNS)) > 0.5
+    assert [text[a:b] for a, _, b in pii.spans(text, accept)] == ["Maria Lopez", "John Miller", "Anna Weber"]
+    assert pii.spans("so maria and lopez met, then Maria Lopez went", pii.anchors()) == []
+
+
 def test_shapes_of_added_kinds():
     ok, bad = "DE89370400440532013000", "DE88370400440532013000"
     assert [pii._shape(6, s, "") for s in (ok, bad, "DE89 3704 0044 0532 0130 00")] == [1, 0, 1]
