@@ -12,7 +12,7 @@ from ..functions import names, scalars
 from ..operators import archives, completeness, imports, matching, merges, planner, plans, reports, settings, torrents, versions
 from ..projection import Relations, ctes
 from ..snapshots import numbered, shared_folder, snapshot
-from ..sources import files, trees
+from ..sources import files, manifests, trees
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -1084,3 +1084,53 @@ def f15_lookups(r):
         found = reports.lookup(rows, kind, keys).select(F.lit(kind).alias("kind"), item.alias("item"))
         out = found if out is None else out.union(found)
     return out
+
+
+def _manifests(r):
+    """The texts' hashes as manifests of up to 300 documents, in XML or nested blocks, below a new folder."""
+    root = f"{shared_folder(r.spark)}/manifests-{uuid.uuid4().hex}"
+    docs = r.documents.select("source", "doc_id", F.floor(F.col("doc_id") / 300).alias("part"), F.sha1("text").alias("sha1"), F.md5("text").alias("md5"), F.octet_length("text").alias("n"))
+    xml = F.format_string(
+        '<%s name="G &amp; %d"%s isbios="%s"><description> Doc %d </description><rom name="r.bin" size="%d" sha1="%s" md5="%s" status="%s"/>%s</%s>\n',
+        F.when(F.col("doc_id") % 2 == 0, "game").otherwise("machine"), "doc_id", F.when(F.col("doc_id") % 5 == 0, ' cloneof="P"').otherwise(""), F.when(F.col("doc_id") % 7 == 0, "yes").otherwise("no"), "doc_id", "n", "sha1", "md5",
+        F.when(F.col("doc_id") % 3 == 0, "NoDump").otherwise("verified"), F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit('<disk name="d" sha1="'), "sha1", F.lit('"/>'))).otherwise(""), F.when(F.col("doc_id") % 2 == 0, "game").otherwise("machine"),
+    )
+    block = F.format_string(
+        'game ( name "G & %d" %s description "Doc %d" rom ( name r.bin size %d sha1 %s md5 %s flags %s ) )\n',
+        "doc_id", F.when(F.col("doc_id") % 5 == 0, "cloneof P").otherwise("; no parent\n"), "doc_id", "n", "sha1", "md5", F.when(F.col("doc_id") % 3 == 0, "nodump").otherwise("good"),
+    )
+    is_xml = F.substring("source", -1, 1).isin("0", "2", "4", "6", "8")
+    each = docs.groupBy("source", "part").agg(F.array_join(F.array_sort(F.collect_list(F.when(is_xml, xml).otherwise(block))), "").alias("games"))
+    head = F.format_string('<?xml version="1.0"?>\n<datafile><header><name>%s - %d</name><version>v%d</version><author>No-Intro</author><url> http://x </url></header>\n', "source", "part", "part")
+    told = F.format_string('clrmamepro (\n name "%s - %d" version v%d author me homepage here )\n', "source", "part", "part")
+    text = F.when(is_xml, F.concat(head, "games", F.lit("</datafile>"))).otherwise(F.concat(told, "games"))
+    name = F.concat_ws("/", "source", F.concat("part", F.when(is_xml, ".xml").otherwise(".dat")))
+    trees.write_files(each.select(name.alias("path"), text.cast("binary").alias("content")), root)
+    return root
+
+
+MANIFEST = "m as (select *, right(source,1) in ('0','2','4','6','8') as is_xml, cast(doc_id//300 as bigint) as part from documents)"
+
+
+@query(f"""with {MANIFEST} select 'G & '||doc_id as game, 'Doc '||doc_id as description, case when doc_id%5=0 then 'P' end as parent_name, is_xml and doc_id%7=0 as is_bios, 'r.bin' as rom, strlen(text) as size, upper(sha1(text)) as sha1, upper(md5(text)) as md5, case when doc_id%3=0 then 'nodump' else 'good' end as status, false as is_disk from m
+  union all select 'G & '||doc_id, 'Doc '||doc_id, case when doc_id%5=0 then 'P' end, doc_id%7=0, 'd', 0, upper(sha1(text)), null, 'good', true from m where is_xml and doc_id%4=0""")
+def s2_manifest_entries(r):
+    """Manifests in both formats are written and read: games and machines, entries and disks, comments and escapes."""
+    found = manifests.entries(r.spark, _manifests(r))
+    return found.select("game", "description", "parent_name", "is_bios", "rom", "size", "sha1", "md5", "status", "is_disk")
+
+
+@query(f"""with {MANIFEST} select distinct source||' - '||part as name, 'v'||part as version, case when is_xml then 'No-Intro' else 'me' end as author, case when is_xml then 'http://x' else 'here' end as homepage, case when is_xml then 'nointro' else 'custom' end as kind, cast(null as varchar) as error from m""")
+def s3_manifest_headers(r):
+    found = manifests.headers(r.spark, _manifests(r))
+    return found.select("name", "version", "author", "homepage", manifests.source_type(F.col("name"), F.col("author"), F.col("homepage"), F.col("category")).alias("kind"), "error")
+
+
+@query("""select concat('d/f',doc_id,'.zip') as game, concat('f',doc_id,'.zip') as rom, strlen(text) as size, upper(md5(text)) as md5 from documents where doc_id%3<>0""")
+def s13_dump_entries(r):
+    """A table dump of a row for each text is written by all tasks and read by its statements."""
+    path = f"{shared_folder(r.spark)}/dump-{uuid.uuid4().hex}"
+    row = F.format_string("(%d,NULL,'it''s; (a) \\' quote','/d/f%d.zip', 4 ,%d,'%s')", "doc_id", "doc_id", F.octet_length("text"), F.when(F.col("doc_id") % 3 != 0, F.md5("text")).otherwise("none"))
+    rows = r.documents.groupBy("source", F.floor(F.col("doc_id") / 300).alias("part")).agg(F.array_join(F.collect_list(row), ",\n").alias("rows"))
+    rows.select(F.concat(F.lit("INSERT INTO `downloads` (`id`, `link`) VALUES "), "rows", F.lit(";")).alias("value")).write.text(path)
+    return manifests.dump_entries(r.spark, path).select("game", "rom", "size", "md5")

@@ -28,9 +28,13 @@ _GAME = f"_name string, _cloneof string, _romof string, _isbios string, _isdevic
 _HEAD = "name string, description string, version string, author string, homepage string, url string, category string"
 
 
+#: Names of manifests, as a pattern of the file sources.
+NAMES = "*.{[dD][aA][tT],[xX][mM][lL]}"
+
+
 def discover(spark: SparkSession, folder: str) -> DataFrame:
     """path, text and kind (xml, block) of every manifest under folder."""
-    files = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.{[dD][aA][tT],[xX][mM][lL]}")
+    files = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter=NAMES)
     return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"), kind(F.col("value")).alias("kind"))
 
 
@@ -54,9 +58,10 @@ def source_type(name: Column, author: Column, homepage: Column, category: Column
     return F.coalesce(*named, F.lit("custom"))
 
 
-def _xml(spark: SparkSession, paths: list[str], tag: str, schema: str) -> DataFrame:
+def _xml(spark: SparkSession, folder: str, tag: str, schema: str) -> DataFrame:
+    """The elements of a name in all manifests under folder; those of another format have none."""
     reader = spark.read.format("xml").schema(schema).option("rowTag", tag).option("ignoreSurroundingSpaces", False)
-    return reader.load(",".join(paths)) if len(paths) == 1 else reader.load(paths)
+    return reader.option("recursiveFileLookup", True).option("pathGlobFilter", NAMES).load(folder)
 
 
 def _status(status: Column) -> Column:
@@ -64,11 +69,11 @@ def _status(status: Column) -> Column:
     return F.when(low.isin("nodump", "baddump"), low).otherwise("good")
 
 
-def xml_entries(spark: SparkSession, paths: list[str]) -> DataFrame:
+def xml_entries(spark: SparkSession, folder: str) -> DataFrame:
     games = None
     for tag in ("game", "machine"):
         block = F.col("_metadata.file_block_start") + (0 if tag == "game" else 1 << 62)
-        part = _xml(spark, paths, tag, _GAME).select(F.col("_metadata.file_path").alias("path"), block.alias("block"), F.monotonically_increasing_id().alias("row"), "*")
+        part = _xml(spark, folder, tag, _GAME).select(F.col("_metadata.file_path").alias("path"), block.alias("block"), F.monotonically_increasing_id().alias("row"), "*")
         games = part if games is None else games.unionByName(part)
     tagged = lambda c, disk: F.transform(F.coalesce(c, F.array().cast(_ROM)), lambda r: F.struct(r.alias("r"), F.lit(disk).alias("is_disk")))
     each = games.where("_name is not null").select("*", F.posexplode_outer(F.filter(F.concat(tagged(F.col("rom"), False), tagged(F.col("disk"), True)), lambda e: e["r"]["_name"].isNotNull())).alias("part", "e"))
@@ -83,8 +88,8 @@ def xml_entries(spark: SparkSession, paths: list[str]) -> DataFrame:
     )
 
 
-def xml_headers(spark: SparkSession, paths: list[str]) -> DataFrame:
-    head = _xml(spark, paths, "header", _HEAD).select(F.col("_metadata.file_path").alias("path"), "*")
+def xml_headers(spark: SparkSession, folder: str) -> DataFrame:
+    head = _xml(spark, folder, "header", _HEAD).select(F.col("_metadata.file_path").alias("path"), "*")
     text = lambda c: F.nullif(F.trim(c), F.lit("")).alias(c)
     return head.select("path", text("name"), text("description"), text("version"), text("author"), F.coalesce(text("homepage"), text("url")).alias("homepage"), text("category"), F.lit(None).cast("string").alias("error"))
 
@@ -173,27 +178,18 @@ def _block_headers(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([block_header(*row) for row in zip(frame["path"], frame["text"])], columns=[f.split(" ")[0] for f in HEADER.split(", ")])
 
 
-def _paths(found: DataFrame) -> list[str]:
-    """Paths of XML manifests: a list of files, as any reader is given one."""
-    return [r.path for r in found.where("kind = 'xml'").select("path").collect()]
-
-
 def entries(spark: SparkSession, folder: str) -> DataFrame:
     """A row for each required entry of all manifests under folder."""
     found = discover(spark, folder)
-    paths = _paths(found)
     rows = found.where("kind = 'block'").select("path", "text").mapInPandas(_block_entries, ENTRY)
-    return rows.unionByName(xml_entries(spark, paths)) if paths else rows
+    return rows.unionByName(xml_entries(spark, folder).join(found.where("kind = 'xml'").select("path"), "path", "left_semi"))
 
 
 def headers(spark: SparkSession, folder: str) -> DataFrame:
     """A row for each manifest under folder; error says why one could not be read."""
     found = discover(spark, folder)
-    paths = _paths(found)
     rows = found.where("kind = 'block'").select("path", "text").mapInPandas(_block_headers, HEADER)
-    if not paths:
-        return rows
-    known = xml_headers(spark, paths).groupBy("path").agg(*[F.first(c).alias(c) for c in ("name", "description", "version", "author", "homepage", "category", "error")])
+    known = xml_headers(spark, folder).groupBy("path").agg(*[F.first(c).alias(c) for c in ("name", "description", "version", "author", "homepage", "category", "error")])
     met = found.where("kind = 'xml'").select("path").join(known, "path", "left")
     return rows.unionByName(met.withColumn("error", F.when(F.col("name").isNull(), "no header")))
 
