@@ -76,27 +76,32 @@ def _item_windows(items: DataFrame, sizes: list[int]) -> DataFrame:
 KEY = ["doc_id", "text_hash", "n_words"]
 
 
-def _places(sizes: list[int]) -> Column:
-    """The (size, value, at) of each window of a document."""
-
-    def of(s: int) -> Column:
-        return F.transform(f"h{s}", lambda v, i: F.struct(F.lit(s).alias("size"), v.alias("value"), i.alias("at")))
-
-    return F.concat(*map(of, sizes))
+def _exploded(made: DataFrame, sizes: list[int], *more: str) -> DataFrame:
+    """KEY, more, nth, size, value and at of each window of the documents, and before these a row for each document, nth 0.
+
+    The hashes of all sizes go out as one array of numbers, and their sizes and places follow from the position in it.
+    """
+    none = F.array(F.lit(None).cast("bigint"))
+    counted = made.select(*KEY, *more, *[F.size(f"h{s}").alias(f"n{s}") for s in sizes], F.concat(none, *[f"h{s}" for s in sizes]).alias("all"))
+    # outer: an inner explode has the optimizer test its array in a filter, where it is made anew for each of its elements
+    each = counted.select(*KEY, *more, *[f"n{s}" for s in sizes], F.posexplode_outer("all").alias("nth", "value"))
+    start, size, at = F.lit(1), F.lit(None).cast("int"), F.lit(None).cast("int")
+    for s in sizes:
+        here = F.col("nth") >= start
+        size, at = F.when(here, s).otherwise(size), F.when(here, F.col("nth") - start).otherwise(at)
+        start = start + F.col(f"n{s}")
+    return each.select(*KEY, *more, "nth", size.alias("size"), "value", at.alias("at"))
 
 
 def _hits(docs: DataFrame, windows: DataFrame, sizes: list[int], few: bool) -> DataFrame:
     """KEY, at, size and item_ids of each window of the documents that an item has, and a row for each document with marks 1."""
     values = windows.select("size", "value").distinct()
     made = _with_hashes(docs, sizes)
-    # outer, here and below: an inner explode has the optimizer test its array in a filter, where it is made anew for each of its elements
     if few:
-        none = F.array(F.struct(F.lit(None).cast("int").alias("size"), F.lit(None).cast("bigint").alias("value"), F.lit(None).cast("int").alias("at")))
-        each = made.select(*KEY, "words", F.posexplode_outer(F.concat(none, _places(sizes))).alias("nth", "v"))
-        each = each.select(*KEY, "words", (F.col("nth") == 0).cast("int").alias("marks"), "v.size", "v.value", "v.at")
+        each = _exploded(made, sizes, "words").withColumn("marks", (F.col("nth") == 0).cast("int")).drop("nth")
         met = each.join(F.broadcast(values.withColumn("shared", F.lit(True))), ["size", "value"], "left").where("shared or marks = 1")
     else:
-        each = made.select(*KEY, F.explode_outer(_places(sizes)).alias("v")).select(*KEY, "v.*")
+        each = _exploded(made, sizes).where("nth > 0").drop("nth")
         shared = each.join(values, ["size", "value"], "left_semi").groupBy(*KEY).agg(F.collect_set(F.struct("size", "value", "at")).alias("shared"))
         same = [F.col(f"m.{c}").eqNullSafe(F.col(f"s.{c}")) for c in KEY]
         both = docs.alias("m").join(shared.alias("s"), same[0] & same[1] & same[2])
