@@ -114,5 +114,5 @@ def le_bytes(n: Column) -> Column:
 def piece_size(total: Column) -> Column:
     """The power of two nearest above a 1500th of the total, from 16 KiB to 16 MiB."""
     less = F.greatest(F.floor(total / 1500), F.lit(1)).cast("long") - 1
-    power = F.call_function("shiftleft", F.lit(1).cast("long"), F.length(F.bin(less)))  # as many bits as the number before it has
-    return F.least(F.greatest(power, F.lit(1 << 14)), F.lit(1 << 24)).cast("long")
+    above = F.call_function("shiftleft", F.lit(1).cast("long"), F.length(F.bin(less)))  # a bit more than the number before has
+    return F.least(F.greatest(above, F.lit(1 << 14)), F.lit(1 << 24)).cast("long")

@@ -236,7 +236,7 @@ def stamped(archives: DataFrame, directory: DataFrame) -> DataFrame:
     return archives.select("path").join(per, "path", "left").select("path", F.when(F.col("bad"), None).otherwise(F.coalesce("all", F.lit(True))).alias("stamped"))
 
 
-def _segments(root: str, ddl: str):
+def _segments(root: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
@@ -264,7 +264,7 @@ def hash_segments(rows: DataFrame, root: str) -> DataFrame:
     """rows with the SHA-1 of their `segments` (path, offset, length), read one after the other, in place of these; error if one fails."""
     kept = [f for f in rows.schema.fields if f.name != "segments"]
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", sha1 string, error string"
-    return rows.mapInArrow(_segments(root, ddl), ddl)
+    return rows.mapInArrow(_segments(root), ddl)
 
 
 WRITTEN = "path string, size long"
