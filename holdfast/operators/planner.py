@@ -1,9 +1,10 @@
 """The operation planner: what to copy, move, pack, relocate and delete so that the library is as its manifests want it.
 
-All collections are planned together, each step as one relation. Input is `held`: a row for each entry and place that
-holds its content (coll, game, rom, is_disk, sha1, size, root, disposition, path, archive_path), and `goals`: a row for
-each collection to plan (coll, name, node_path, dest_root, format). Groups are aggregated before they meet their rows
-again, so a content with very many places is never gathered in one task.
+All collections are planned together, each step as one relation. Input is `held`: entries and the places that hold their
+contents, and `goals`: a row for each collection to plan (coll, name, node_path, dest_root, format). Entries and places stay
+apart: a content that n entries ask for and that lies in n places has n * n pairs. Steps use what is known of a content's
+places from aggregates, the places at one path, or, where every place gets an operation, those of contents that are not
+shared between games.
 
 Operations have coll, kind (copy, move, repack, relocate, delete, drain), source, archive_path, dest, size and reason. Of
 several places that would do, the least by (root, path, entry) is taken, so a plan depends on no order of rows.
@@ -11,6 +12,8 @@ several places that would do, the least by (root, path, entry) is taken, so a pl
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +23,8 @@ from .matching import GUARD, PER_CONTENT, SAFE_ROWS
 
 OPERATION = ["coll", "kind", "source", "archive_path", "dest", "size", "reason"]
 GAME = ["coll", "game"]
+ENTRY = ["coll", "game", "rom", "is_disk", "sha1", "size"]
+PLACE = ["root", "disposition", "path", "archive_path"]
 
 
 def may_leave(disposition: Column, root: Column, dest: Column) -> Column:
@@ -47,11 +52,37 @@ def volume(path: Column) -> Column:
     return F.when(name != "", F.concat(F.lit("/Volumes/"), name)).otherwise(F.lit("/"))
 
 
-def wanted(held: DataFrame, goals: DataFrame, shared: DataFrame) -> DataFrame:
-    """held with the collection's dest_root and format, `at` (the place's path) and whether its content is shared between games."""
-    met = held.join(goals.select("coll", scalars.no_slash(F.col("dest_root")).alias("dest_root"), "format"), "coll")
+class Held(NamedTuple):
+    """entries: coll, game, rom, is_disk, sha1, size, of. places: of, root, disposition, path, archive_path. An entry is held at every place of the same `of`."""
+
+    entries: DataFrame
+    places: DataFrame
+
+
+def held_at(entries: DataFrame, places: DataFrame) -> Held:
+    """Entries and places, each given once, that meet by sha1."""
+    of = F.col("sha1").alias("of")
+    return Held(entries.select(*ENTRY, of), places.select(of, *PLACE))
+
+
+def wanted(held: Held | DataFrame, goals: DataFrame, shared: DataFrame) -> Held:
+    """Of entries that are held, those of collections to plan, with dest_root, format and whether the content is shared between games; places with `at`, their path.
+
+    Pairs of entry and place in one relation are taken apart.
+    """
+    entries, places = held_at(held.select(*ENTRY).distinct(), held.select("sha1", *PLACE).distinct()) if isinstance(held, DataFrame) else held
+    met = entries.join(goals.select("coll", scalars.no_slash(F.col("dest_root")).alias("dest_root"), "format"), "coll")
+    met = met.join(places.select("of"), "of", "left_semi")
     met = met.join(shared.select("sha1").distinct().withColumn("is_shared", F.lit(True)), "sha1", "left")
-    return met.withColumns({"is_shared": F.coalesce("is_shared", F.lit(False)), "at": F.concat_ws("/", "root", "path")})
+    return Held(met.withColumn("is_shared", F.coalesce("is_shared", F.lit(False))), places.withColumn("at", F.concat_ws("/", "root", "path")))
+
+
+def shared_containers(held: Held) -> DataFrame:
+    """at: the archives whose entries serve more than one game. A content's first and last game stand for all of its games."""
+    game = F.struct(*GAME)
+    per = held.entries.groupBy("of").agg(F.min(game).alias("first"), F.max(game).alias("last"))
+    inside = held.places.where("archive_path is not null").select("of", F.concat_ws("/", "root", "path").alias("at")).join(per, "of")
+    return inside.groupBy("at").agg(F.min("first").alias("first"), F.max("last").alias("last")).where("first <> last").select("at")
 
 
 def entries_per_game(rows: DataFrame) -> DataFrame:
@@ -59,67 +90,87 @@ def entries_per_game(rows: DataFrame) -> DataFrame:
     return rows.groupBy(*GAME).agg(F.count_distinct("rom").alias("entries"))
 
 
-def with_dest(rows: DataFrame) -> DataFrame:
+def with_dest(entries: DataFrame) -> DataFrame:
     """Loose entries and disks with the path each belongs at; a disk lies in its game's folder whatever the format."""
-    loose = rows.where("not is_disk and format = 'loose'")
+    loose = entries.where("not is_disk and format = 'loose'")
     flat = loose.join(entries_per_game(loose), GAME)
     flat = flat.withColumn("dest", scalars.dest_path(F.col("dest_root"), F.col("game"), F.col("rom"), F.col("entries") > 1)).drop("entries")
-    disks = rows.where("is_disk").withColumn("dest", F.concat(F.concat_ws("/", "dest_root", "game", "rom"), F.lit(".chd")))
+    disks = entries.where("is_disk").withColumn("dest", F.concat(F.concat_ws("/", "dest_root", "game", "rom"), F.lit(".chd")))
     return flat.unionByName(disks)
 
 
+def packed(entries: DataFrame) -> DataFrame:
+    """Entries that belong in archives."""
+    return entries.where("not is_disk and format <> 'loose'")
+
+
+def _inside() -> Column:
+    return F.coalesce("archive_path", F.lit("")).alias("entry")
+
+
 def _place_order() -> Column:
-    return F.struct("game", "rom", "root", "path", F.coalesce("archive_path", F.lit("")).alias("entry"), "sha1")
+    return F.struct("game", "rom", "root", "path", _inside(), "sha1")
 
 
-def _kept(each: DataFrame) -> DataFrame:
-    """For each destination the place to keep: one that is there already, else the first; and whether a content is shared."""
-    here = F.col("archive_path").isNull() & (F.col("at") == F.col("dest"))
-    first = F.struct((~here).alias("away"), _place_order().alias("by"), "at", "archive_path", "root", "disposition", "size")
-    return each.groupBy("coll", "dest").agg(F.min(first).alias("keep"), F.max("is_shared").alias("shared"))
+def _kept(each: DataFrame, places: DataFrame) -> DataFrame:
+    """For each destination the place to keep: one that is there already, else the first; and whether a content is shared.
+
+    A content's first place is the first for each of its entries, so no other one meets them.
+    """
+    least = F.struct("root", "path", _inside(), "archive_path", "disposition", "at")
+    first = each.join(places.groupBy("of").agg(F.min(least).alias("p")), "of").select(*each.columns, "p.*", F.lit(True).alias("away"))
+    here = each.join(places.where("archive_path is null").withColumn("dest", F.col("at")), ["of", "dest"])
+    both = first.drop("entry").unionByName(here.withColumn("away", F.lit(False)))
+    keep = F.struct("away", _place_order().alias("by"), "at", "archive_path", "root", "disposition", "size")
+    return both.groupBy("coll", "dest").agg(F.min(keep).alias("keep"), F.max("is_shared").alias("shared"))
 
 
-def file_sources(rows: DataFrame) -> DataFrame:
+def file_sources(rows: Held) -> DataFrame:
     """coll, dest, path, archive_path and sha1 of what is placed at each destination of a loose entry or disk."""
-    return _kept(with_dest(rows)).where("keep.away").select("coll", "dest", F.col("keep.at").alias("path"), "keep.archive_path", "keep.by.sha1")
+    return _kept(with_dest(rows.entries), rows.places).where("keep.away").select("coll", "dest", F.col("keep.at").alias("path"), "keep.archive_path", "keep.by.sha1")
 
 
-def repack_sources(rows: DataFrame, planned: DataFrame) -> DataFrame:
+def repack_sources(rows: Held, planned: DataFrame) -> DataFrame:
     """coll, dest, path, archive_path, sha1 and entry_name of every place that an archive is built from.
 
     Those of one complete file if there is one, else all places of the game; the entry is named as its manifest wants it.
     """
-    packed = rows.where("not is_disk and format <> 'loose'").select(*GAME, "at", "archive_path", "sha1", "rom")
-    built = planned.where("action = 'repack'").select(*GAME, "dest", "build_from")
-    met = packed.join(built, GAME).where("build_from is null or at = build_from")
+    built = packed(rows.entries).join(planned.where("action = 'repack'").select(*GAME, "dest", F.col("build_from").alias("at")), GAME)
+    met = built.where("at is null").drop("at").join(rows.places, "of").unionByName(_at_one(built, rows.places))
     return met.select("coll", "dest", F.col("at").alias("path"), "archive_path", "sha1", F.col("rom").alias("entry_name")).distinct()
 
 
-def plan_files(rows: DataFrame, library: str | None = None) -> tuple[DataFrame, DataFrame]:
+def _at_one(entries: DataFrame, places: DataFrame) -> DataFrame:
+    """Entries with their places at the one path `at` that each names."""
+    return entries.where("at is not null").join(places, ["of", "at"])
+
+
+def plan_files(rows: Held, library: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Operations on loose entries and disks, and a row for each destination: coll, dest, correct, shared.
 
     A loose copy at the destination is right. Else the first copy is placed, by a move if its source allows that and its
     content is not shared. Other loose copies go, unless shared, if their source allows it and they are no placement.
     """
-    each = with_dest(rows)
-    per = _kept(each)
+    each = with_dest(rows.entries)
+    per = _kept(each, rows.places)
     place = per.where("keep.away")
     move = may_leave(F.col("keep.disposition"), F.col("keep.root"), F.col("dest")) & ~F.col("shared")
     put = place.select("coll", F.when(move, "move").otherwise("copy").alias("kind"), F.col("keep.at").alias("source"), "keep.archive_path", "dest", "keep.size", F.lit(None).cast("string").alias("reason"))
-    others = each.where("archive_path is null").join(per.where("not shared").select("coll", "dest", "keep"), ["coll", "dest"]).where(_place_order() != F.col("keep.by"))
+    alone = each.where("not is_shared").join(per.where("not shared").select("coll", "dest", "keep"), ["coll", "dest"])
+    others = alone.join(rows.places.where("archive_path is null"), "of").where(_place_order() != F.col("keep.by"))
     others = others.where(may_leave(F.col("disposition"), F.col("root"), F.col("dest")) & (F.col("at") != F.col("dest")) & ~in_library(F.col("at"), F.col("dest_root"), library))
     gone = others.select("coll", F.lit("delete").alias("kind"), F.col("at").alias("source"), F.lit(None).cast("string").alias("archive_path"), "dest", F.lit(0).cast("long").alias("size"), kept_reason(F.col("dest")).alias("reason"))
     return put.select(*OPERATION).unionByName(gone), per.select("coll", "dest", (~F.col("keep.away")).alias("correct"), "shared")
 
 
 def containers(rows: DataFrame) -> DataFrame:
-    """For each game and file that holds some of its entries: how many, whether all are archived, their bytes, and the first one."""
+    """Of pairs of entry and place, for each game and file that holds some of its entries: how many, whether all are archived, their bytes, and the first one."""
     key = F.struct("rom", F.lower("sha1"))
     return rows.groupBy(*GAME, "at").agg(
         F.count_distinct(key).alias("holds"),
         F.every(F.col("archive_path").isNotNull()).alias("archived"),
         F.sum("size").alias("bytes"),
-        F.min(F.struct("rom", F.coalesce("archive_path", F.lit("")).alias("entry"), "root", "disposition", "archive_path")).alias("first"),
+        F.min(F.struct("rom", _inside(), "root", "disposition", "archive_path")).alias("first"),
     )
 
 
@@ -128,26 +179,50 @@ def relocatable(archived: Column, path: Column, extension: Column) -> Column:
     return archived & (F.lower(F.element_at(F.split(path, "\\."), -1)) == extension)
 
 
-def games(rows: DataFrame, shared_containers: DataFrame) -> DataFrame:
+def complete_files(entries: DataFrame, places: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Which files hold all entries of a game that are held at all: coll, game and `asks`; and asks and at.
+
+    Games that ask for the same contents have the same complete files, so one game answers for all of them. Only files that
+    hold the rarest of its entries are looked at.
+    """
+    keys = entries.groupBy(*GAME, "rom", F.lower("sha1").alias("low")).agg(F.array_sort(F.collect_set("of")).alias("any"))
+    asking = keys.groupBy(*GAME).agg(F.sha2(F.to_json(F.array_sort(F.collect_set("any"))), 256).alias("asks"))
+    one = asking.groupBy("asks").agg(F.min(F.struct(*GAME)).alias("g")).select("asks", "g.*")
+    own = entries.join(one, GAME).select("asks", "rom", F.lower("sha1").alias("low"), "of").distinct()
+    counted = own.join(places.groupBy("of").agg(F.count(F.lit(1)).alias("n")), "of").groupBy("asks", "rom", "low").agg(F.sum("n").alias("n"))
+    rarest = counted.groupBy("asks").agg(F.min(F.struct("n", "rom", "low")).alias("k"), F.count(F.lit(1)).alias("expected"))
+    spots = places.select("of", "at").distinct()
+    some = own.join(rarest.select("asks", "k.rom", "k.low", "expected"), ["asks", "rom", "low"]).join(spots, "of").select("asks", "at", "expected").distinct()
+    holds = some.join(own, "asks").join(spots, ["of", "at"]).groupBy("asks", "at", "expected").agg(F.count_distinct("rom", "low").alias("holds"))
+    return asking, holds.where("holds = expected").select("asks", "at")
+
+
+def games(rows: Held, shared_containers: DataFrame) -> DataFrame:
     """A row for each game that belongs in an archive: what is planned for it.
 
     A file is complete if it holds all entries of the game that are held at all. The canonical one is that at `dest`, else
     the first complete one by path: `build_from`, null if no file is complete. action is correct, relocate or repack.
     """
-    packed = rows.where("not is_disk and format <> 'loose'")
+    each, places = packed(rows.entries), rows.places
     ext = F.when(F.col("format") == "7z", "7z").otherwise("zip")
-    key = F.struct("rom", F.lower("sha1"))
-    sizes = packed.groupBy(*GAME, "rom").agg(F.min_by("size", F.struct("at", "rom", "sha1", F.coalesce("archive_path", F.lit("")).alias("entry"))).alias("size"), F.count_distinct("sha1").alias("contents"))
+    sizes = each.join(places.groupBy("of").agg(F.min("at").alias("first_at")), "of").groupBy(*GAME, "rom").agg(F.min_by("size", F.struct("first_at", "rom", "sha1")).alias("size"), F.count_distinct("sha1").alias("contents"))
     sizes = sizes.groupBy(*GAME).agg(F.sum(F.col("size") * F.col("contents")).alias("bytes"), F.sum("contents").cast("long").alias("entries"))
-    per = packed.groupBy(*GAME, "dest_root", "format").agg(F.count_distinct(key).alias("expected"), F.max("is_shared").alias("shared"))
+    per = each.groupBy(*GAME, "dest_root", "format").agg(F.max("is_shared").alias("shared"))
     per = per.withColumn("dest", F.concat(F.concat_ws("/", "dest_root", "game"), F.lit("."), ext)).join(sizes, GAME)
-    complete = containers(packed).join(per.select(*GAME, "expected", "dest"), GAME).where("holds = expected")
-    best = complete.groupBy(*GAME).agg(F.min(F.struct((F.col("at") != F.col("dest")).alias("away"), "at", "archived", F.col("bytes").alias("own_bytes"), "first")).alias("c"))
-    met = per.join(best, GAME, "left").select(*per.columns, F.col("c.at").alias("build_from"), F.coalesce(F.col("c.away"), F.lit(True)).alias("away"), "c.archived", "c.own_bytes", "c.first")
+    asking, complete = complete_files(each, places)
+    complete = snapshots.snapshot(complete)
+    met = per.join(asking, GAME).join(complete.groupBy("asks").agg(F.min("at").alias("first_at")), "asks", "left")
+    met = met.join(complete.select("asks", F.col("at").alias("dest"), F.lit(True).alias("right")), ["asks", "dest"], "left")
+    met = snapshots.snapshot(met.withColumn("build_from", F.when(F.col("right"), F.col("dest")).otherwise(F.col("first_at"))).drop("asks", "first_at", "right"))
+    meant = each.join(met.select(*GAME, "dest", F.col("build_from").alias("at")), GAME)
+    leaves = F.every(may_leave(F.col("disposition"), F.col("root"), F.col("dest"))).alias("all_leave")
+    one = _at_one(meant, places)
+    fed = one.groupBy(*GAME).agg(leaves, F.count(F.lit(1)).alias("n_sources"))
+    roots = places.groupBy("of", "root", "disposition").agg(F.count(F.lit(1)).alias("n"))
+    spread = meant.where("at is null").join(roots, "of").groupBy(*GAME).agg(leaves, F.sum("n").alias("n_sources"))
+    best = containers(one).select(*GAME, "archived", F.col("bytes").alias("own_bytes"), "first")
+    met = met.join(best, GAME, "left").join(fed.unionByName(spread), GAME).withColumn("away", F.coalesce(F.col("build_from") != F.col("dest"), F.lit(True)))
     met = met.join(shared_containers.select(F.col("at").alias("build_from"), F.lit(True).alias("serves_others")).distinct(), "build_from", "left")
-    feeders = packed.join(met.select(*GAME, "dest", "build_from"), GAME).where("build_from is null or at = build_from")
-    feeders = feeders.groupBy(*GAME).agg(F.every(may_leave(F.col("disposition"), F.col("root"), F.col("dest"))).alias("all_leave"), F.count(F.lit(1)).alias("n_sources"))
-    met = met.join(feeders, GAME)
     free = F.col("build_from").isNotNull() & F.col("away") & may_leave(F.col("first.disposition"), F.col("first.root"), F.col("dest"))
     whole = free & ~F.col("shared") & F.col("serves_others").isNull() & (F.col("format") != "torrentzip") & relocatable(F.col("archived"), F.col("build_from"), ext)
     action = F.when(~F.col("away") & (F.col("format") != "torrentzip"), "correct").when(whole, "relocate").otherwise("repack")
@@ -157,27 +232,29 @@ def games(rows: DataFrame, shared_containers: DataFrame) -> DataFrame:
     return met.select(*GAME, "dest_root", "format", "dest", "build_from", "shared", "action", "entries", size.alias("size"), moves.alias("move_sources"), "drains", "n_sources")
 
 
-def plan_archives(rows: DataFrame, planned: DataFrame, shared_containers: DataFrame, library: str | None = None) -> DataFrame:
+def plan_archives(rows: Held, planned: DataFrame, shared_containers: DataFrame, library: str | None = None) -> DataFrame:
     """Operations on archives: relocations, repacks and the deletion of files whose content stays at the destination.
 
     A repack has no source of its own where it is built from several files.
     """
     none = F.lit(None).cast("string")
     build = planned.where("action <> 'correct'").select("coll", F.col("action").alias("kind"), F.col("build_from").alias("source"), none.alias("archive_path"), "dest", "size", F.when(F.col("move_sources"), "sources go").alias("reason"))
-    held = containers(rows.where("not is_disk and format <> 'loose'")).select(*GAME, "at", "first")
-    extra = held.join(planned.where("not shared").select(*GAME, "dest_root", "dest", "build_from"), GAME).where("at <> dest and not at <=> build_from")
+    alone = packed(rows.entries).where("not is_shared").drop("dest_root").join(planned.where("not shared").select(*GAME, "dest_root", "dest", "build_from"), GAME)
+    extra = alone.join(rows.places, "of").where("at <> dest and not at <=> build_from")
+    extra = extra.groupBy(*GAME, "at", "dest_root", "dest").agg(F.min(F.struct("rom", _inside(), "root", "disposition")).alias("first"))
     extra = extra.join(shared_containers.select("at").distinct(), "at", "left_anti")
     extra = extra.where(may_leave(F.col("first.disposition"), F.col("first.root"), F.col("dest")) & ~in_library(F.col("at"), F.col("dest_root"), library))
     gone = extra.select("coll", F.lit("delete").alias("kind"), F.col("at").alias("source"), none.alias("archive_path"), "dest", F.lit(0).cast("long").alias("size"), kept_reason(F.col("dest")).alias("reason"))
     return build.unionByName(gone)
 
 
-def drains(rows: DataFrame, planned: DataFrame, goals: DataFrame) -> DataFrame:
+def drains(rows: Held, planned: DataFrame, goals: DataFrame) -> DataFrame:
     """Files that repacks were built from and that may go after all of them: container, format, reason, and where each entry went.
 
     Of an entry that several games took, the first by collection name, game and entry counts. Entries are arrays of one file.
     """
-    fed = rows.where("archive_path is not null and not is_disk").join(planned.where("drains").select(*GAME, "dest", F.col("build_from").alias("at")), [*GAME, "at"]).join(goals.select("coll", "name"), "coll")
+    meant = packed(rows.entries).join(planned.where("drains").select(*GAME, "dest", F.col("build_from").alias("at")), GAME)
+    fed = _at_one(meant, rows.places.where("archive_path is not null")).join(goals.select("coll", "name"), "coll")
     order = F.struct("name", "game", "rom", "sha1", "dest")
     entry = fed.groupBy("at", "archive_path").agg(F.min(order).alias("o"))
     spec = F.struct(F.col("archive_path").alias("container_entry"), F.col("o.rom").alias("dest_entry"), F.col("o.dest").alias("dest"), F.col("o.sha1").alias("sha1"))
@@ -239,10 +316,10 @@ def sizes_of_matches(matched: DataFrame, locations: DataFrame, cap: int | None =
     return per.groupBy("coll").agg(F.sum(F.col("entries") * n).cast("long").alias("n_rows"))
 
 
-def gate(goals: DataFrame, active: DataFrame, roms: DataFrame, matched: DataFrame, locations: DataFrame, names: str | None = None, sets: list[str] | None = None, guard: int = GUARD, most: int = SAFE_ROWS, cap: int = PER_CONTENT) -> DataFrame:
+def gate(goals: DataFrame, active: DataFrame, roms: DataFrame, matched: DataFrame, locations: DataFrame, names: str | None = None, sets: list[str] | None = None, guard: int | None = GUARD, most: int = SAFE_ROWS, cap: int = PER_CONTENT) -> DataFrame:
     """Why each collection is planned or not: coll, name, state.
 
-    A collection of fewer than `guard` entries is never too large; a larger one is, if its match grows to over `most` rows
+    A collection of fewer than `guard` entries is never too large, nor any without a guard; a larger one is, if its match grows to over `most` rows
     although `cap` places of a content are asked for at most.
     """
     entries = roms.groupBy("coll").agg(F.count(F.lit(1)).alias("entries"))
@@ -250,27 +327,26 @@ def gate(goals: DataFrame, active: DataFrame, roms: DataFrame, matched: DataFram
     chosen = F.lit(True) if names is None else scalars.matches_glob(F.col("name"), names)
     chosen = chosen if sets is None else chosen & scalars.top_segment(F.col("node_path")).isin(sets)
     state = F.when(F.col("has_version").isNull(), "no active version").when(~chosen, "filtered").when(F.col("dest_root").isNull(), "no destination")
-    state = state.when((F.col("entries") >= guard) & (F.col("n_rows") > most), "oversized").otherwise("planned")
-    return met.select("coll", "name", state.alias("state"))
+    state = state if guard is None else state.when((F.col("entries") >= guard) & (F.col("n_rows") > most), "oversized")
+    return met.select("coll", "name", state.otherwise("planned").alias("state"))
 
 
-def desired_paths(rows: DataFrame) -> DataFrame:
+def desired_paths(rows: Held) -> DataFrame:
     """Every path that a planned collection wants to exist."""
-    packed = rows.where("not is_disk and format <> 'loose'")
-    return with_dest(rows).select("dest").union(_archive_dest(packed).select("dest")).distinct()
+    return with_dest(rows.entries).select("dest").union(archive_dest(packed(rows.entries)).select("dest")).distinct()
 
 
-def _archive_dest(packed: DataFrame) -> DataFrame:
+def archive_dest(entries: DataFrame) -> DataFrame:
     ext = F.when(F.col("format") == "7z", "7z").otherwise("zip")
-    return packed.withColumn("dest", F.concat(F.concat_ws("/", "dest_root", "game"), F.lit("."), ext))
+    return entries.withColumn("dest", F.concat(F.concat_ws("/", "dest_root", "game"), F.lit("."), ext))
 
 
-def archive_homes(rows: DataFrame) -> DataFrame:
+def archive_homes(rows: Held) -> DataFrame:
     """sha1 and dest: the archives that each content belongs in."""
-    return _archive_dest(rows.where("not is_disk and format <> 'loose'")).select("sha1", "dest").distinct()
+    return archive_dest(packed(rows.entries)).select("sha1", "dest").distinct()
 
 
-def superseded(rows: DataFrame, locations: DataFrame, sources: DataFrame, files: DataFrame, library: str, sets: list[str] | None = None) -> DataFrame:
+def superseded(rows: Held, locations: DataFrame, sources: DataFrame, files: DataFrame, library: str, sets: list[str] | None = None) -> DataFrame:
     """Loose files below the library: path, sha1, size, and whether each can go (`removable`).
 
     One can if its content lies in the very archive, below the library, that a collection wants it in, and no collection

@@ -374,25 +374,37 @@ PLAN = ("c_held", "c_goals")
 LIBRARY = "/lib/ROMs"
 
 
+def _held(r):
+    return planner.held_at(r.asked, r.homes)
+
+
 def _rows(r):
-    return planner.wanted(r.held, r.goals, matching.shared_content(r.held))
+    """Once for a query, with the entries written, as several steps read them."""
+    if "rows" not in r._made:
+        met = planner.wanted(_held(r), r.goals, matching.shared_content(r.asked, r.homes))
+        r._made["rows"] = met._replace(entries=snapshot(met.entries))
+    return r._made["rows"]
 
 
 def _shared_at(r):
-    own = r.held.where("archive_path is not null").groupBy(F.concat_ws("/", "root", "path").alias("at"))
-    return own.agg(F.count_distinct("coll", "game").alias("n")).where("n > 1").select("at")
+    return planner.shared_containers(_held(r))
 
 
 def _planned(r):
     """Once for a query, with what is planned for each game written, as several steps read it."""
     if "planned" not in r._made:
-        rows = snapshot(_rows(r))
+        rows = _rows(r)
         files_ops, dests = planner.plan_files(rows, LIBRARY)
         built = snapshot(planner.games(rows, _shared_at(r)))
         r._made["planned"] = files_ops, dests, built, files_ops.unionByName(planner.plan_archives(rows, built, _shared_at(r), LIBRARY))
     return r._made["planned"]
 
 
+def _only(r, which: str):
+    rows = _rows(r)
+    return rows._replace(entries=rows.entries.where(which))
+
+
 def _plan_rows(r):
     files_ops, dests, built, _ = _planned(r)
     return planner.per_collection(r.goals, dests, files_ops, built)
@@ -400,12 +412,12 @@ def _plan_rows(r):
 
 @query("select coll, kind, source, archive_path, dest, size, reason from fops where not is_disk", *PLAN, more=FILE_OPS)
 def l4_plan_loose(r):
-    return planner.plan_files(_rows(r).where("not is_disk"), LIBRARY)[0]
+    return planner.plan_files(_only(r, "not is_disk"), LIBRARY)[0]
 
 
 @query("select coll, kind, source, archive_path, dest, size, reason from fops where is_disk", *PLAN, more=FILE_OPS)
 def l9_plan_disks(r):
-    return planner.plan_files(_rows(r).where("is_disk"), LIBRARY)[0]
+    return planner.plan_files(_only(r, "is_disk"), LIBRARY)[0]
 
 
 @query("select coll, game, dest, build_from, action, size, entries from gp", *PLAN, more=GAMES)
@@ -481,7 +493,7 @@ def l14_operation_ids(r):
 
 @query("select coll, game, count(distinct rom) as entries from c_held where not is_disk group by 1,2", "c_held")
 def a23_entries_per_game(r):
-    return planner.entries_per_game(r.held.where("not is_disk"))
+    return planner.entries_per_game(r.asked.where("not is_disk").join(r.homes.select("sha1"), "sha1", "left_semi"))
 
 
 DESIRED = GAMES + ",\nwish as (select dest from dd union select dest from pk), homes as (select distinct sha1, dest from pk)"
@@ -517,9 +529,9 @@ def a20_superseded_totals(r):
 
 @query("select distinct dest, cast(null as varchar) as archive_path, d.sha1 from fops join (select distinct dest, sha1 from dd) d using (dest) where kind<>'delete' union select g.dest, p.rom, p.sha1 from gp g join pk p on p.coll=g.coll and p.game=g.game where action='repack'", *PLAN, more=ALL_OPS)
 def w18_placements(r):
-    rows, ops = _rows(r), _planned(r)[3]
-    packed = planner._archive_dest(rows.where("not is_disk and format <> 'loose'"))
-    return planner.placements(ops, planner.with_dest(rows).select("dest", "rom", "sha1").unionByName(packed.select("dest", "rom", "sha1")))
+    entries, ops = _rows(r).entries, _planned(r)[3]
+    packed = planner.archive_dest(planner.packed(entries))
+    return planner.placements(ops, planner.with_dest(entries).select("dest", "rom", "sha1").unionByName(packed.select("dest", "rom", "sha1")))
 
 
 @query("""select o.coll, o.name, case when v.coll is null then 'no active version' when o.coll in ('de','fr') then 'filtered' when e.n>=120 and m.n>200 then 'oversized' else 'planned' end as state from c_goals o
