@@ -34,7 +34,7 @@ def placed(files: DataFrame, piece: int | None = None) -> DataFrame:
     own = files.withColumn("length", F.col("length").cast("long"))
     rows = running_total(own, ["torrent", "path"], "length", "start")
     per = rows.groupBy("torrent").agg(F.min("start").alias("first"), F.sum("length").alias("total"))
-    met = rows.join(per.withColumn("piece_length", piece_length(piece, F.col("total"))), "torrent")
+    met = rows.join(F.broadcast(per.withColumn("piece_length", piece_length(piece, F.col("total")))), "torrent")  # a row for each torrent; files stay where they are
     return met.withColumn("start", F.col("start") - F.col("first")).drop("first")
 
 
