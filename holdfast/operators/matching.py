@@ -13,6 +13,11 @@ from pyspark.sql import functions as F
 SAFE_ROWS, GUARD, PER_CONTENT = 20_000_000, 50_000, 64
 
 
+def large(df: DataFrame) -> DataFrame:
+    """To be joined by sorting: it grows with the catalogue, and Spark takes a compressed file for a small table to send through the driver."""
+    return df.hint("merge")
+
+
 def required_key(sha1: str = "sha1", md5: str = "md5", crc32: str = "crc32", size: str = "size") -> Column:
     """The strongest identity of an entry as a tagged string; null if it has none."""
     return (
@@ -38,7 +43,7 @@ def present(roms: DataFrame, files: DataFrame) -> DataFrame:
 def matches(roms: DataFrame, files: DataFrame, keep: list[str]) -> DataFrame:
     """Distinct rows of `keep`, sha1 (the file's) and size (the file's) for each file that satisfies an entry."""
     want = roms.where("status <> 'nodump'").select(*keep, F.col("sha1").alias("want"), F.col("crc32").alias("crc"), F.col("size").alias("bytes"))
-    have = files.select(F.col("sha1"), "sha1_no_header", "crc32", "size")
+    have = large(files.select(F.col("sha1"), "sha1_no_header", "crc32", "size"))
     hashed = want.where("want is not null")
     plain = hashed.join(have, F.col("want") == F.col("sha1"))
     bare = hashed.join(have, F.col("want") == F.col("sha1_no_header"))
@@ -55,8 +60,8 @@ def split_only(roms: DataFrame, games: DataFrame) -> DataFrame:
 
 def holders(matched: DataFrame, locations: DataFrame, sources: DataFrame) -> DataFrame:
     """Every place that holds a matched content, with the source's root and disposition."""
-    at = locations.join(sources.select("source", F.col("path").alias("root"), "disposition"), "source")
-    return matched.join(at.select("sha1", "source", "root", "disposition", "path", "archive_path"), "sha1")
+    at = locations.join(F.broadcast(sources.select("source", F.col("path").alias("root"), "disposition")), "source")
+    return matched.join(large(at.select("sha1", "source", "root", "disposition", "path", "archive_path")), "sha1")
 
 
 def capped_holders(matched: DataFrame, locations: DataFrame, sources: DataFrame, cap: int = PER_CONTENT) -> DataFrame:
@@ -64,7 +69,7 @@ def capped_holders(matched: DataFrame, locations: DataFrame, sources: DataFrame,
 
     Places are ranked and cut before they meet the entries, so no content grows to more than entries times cap rows.
     """
-    places = locations.join(matched.select("sha1").distinct(), "sha1", "left_semi").dropDuplicates(["sha1", "source", "path", "archive_path"])
+    places = locations.join(large(matched.select("sha1").distinct()), "sha1", "left_semi").dropDuplicates(["sha1", "source", "path", "archive_path"])
     return holders(matched, _first_places(places, cap), sources)
 
 
@@ -101,7 +106,7 @@ def missing_entries(roms: DataFrame, files: DataFrame) -> DataFrame:
 
 def shared_content(matched: DataFrame, locations: DataFrame | None = None) -> DataFrame:
     """Contents that entries of more than one game ask for; of those that lie anywhere, if locations are given."""
-    matched = matched if locations is None else matched.join(locations.select("sha1"), "sha1", "left_semi")
+    matched = matched if locations is None else matched.join(large(locations.select("sha1")), "sha1", "left_semi")
     return matched.groupBy("sha1").agg(F.count_distinct("coll", "game").alias("games")).where("games > 1").select("sha1")
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .. import snapshots
 from ..functions import scalars
-from .matching import GUARD, PER_CONTENT, SAFE_ROWS
+from .matching import GUARD, PER_CONTENT, SAFE_ROWS, large
 
 OPERATION = ["coll", "kind", "source", "archive_path", "dest", "size", "reason"]
 GAME = ["coll", "game"]
@@ -65,11 +65,6 @@ def held_at(entries: DataFrame, places: DataFrame) -> Held:
     return Held(entries.select(*ENTRY, of), places.select(of, *PLACE))
 
 
-def _large(df: DataFrame) -> DataFrame:
-    """To be joined by sorting: it grows with the catalogue, and Spark takes a compressed file for a small table to send through the driver."""
-    return df.hint("merge")
-
-
 def wanted(held: Held | DataFrame, goals: DataFrame, shared: DataFrame) -> Held:
     """Of entries that are held, those of collections to plan, with dest_root, format and whether the content is shared between games; places with `at`, their path.
 
@@ -77,7 +72,7 @@ def wanted(held: Held | DataFrame, goals: DataFrame, shared: DataFrame) -> Held:
     """
     entries, places = held_at(held.select(*ENTRY).distinct(), held.select("sha1", *PLACE).distinct()) if isinstance(held, DataFrame) else held
     met = entries.join(F.broadcast(goals.select("coll", scalars.no_slash(F.col("dest_root")).alias("dest_root"), "format")), "coll")  # a row for each collection
-    met = met.join(_large(places.select("of")), "of", "left_semi")
+    met = met.join(large(places.select("of")), "of", "left_semi")
     met = met.join(shared.select("sha1").distinct().withColumn("is_shared", F.lit(True)).hint("merge"), "sha1", "left")
     return Held(met.withColumn("is_shared", F.coalesce("is_shared", F.lit(False))), places.withColumn("at", F.concat_ws("/", "root", "path")))
 
@@ -86,7 +81,7 @@ def shared_containers(held: Held) -> DataFrame:
     """at: the archives whose entries serve more than one game. A content's first and last game stand for all of its games."""
     game = F.struct(*GAME)
     per = held.entries.groupBy("of").agg(F.min(game).alias("first"), F.max(game).alias("last"))
-    inside = held.places.where("archive_path is not null").select("of", F.concat_ws("/", "root", "path").alias("at")).join(_large(per), "of")
+    inside = held.places.where("archive_path is not null").select("of", F.concat_ws("/", "root", "path").alias("at")).join(large(per), "of")
     return inside.groupBy("at").agg(F.min("first").alias("first"), F.max("last").alias("last")).where("first <> last").select("at")
 
 
@@ -98,7 +93,7 @@ def entries_per_game(rows: DataFrame) -> DataFrame:
 def with_dest(entries: DataFrame) -> DataFrame:
     """Loose entries and disks with the path each belongs at; a disk lies in its game's folder whatever the format."""
     loose = entries.where("not is_disk and format = 'loose'")
-    flat = loose.join(_large(entries_per_game(loose)), GAME)
+    flat = loose.join(large(entries_per_game(loose)), GAME)
     flat = flat.withColumn("dest", scalars.dest_path(F.col("dest_root"), F.col("game"), F.col("rom"), F.col("entries") > 1)).drop("entries")
     disks = entries.where("is_disk").withColumn("dest", F.concat(F.concat_ws("/", "dest_root", "game", "rom"), F.lit(".chd")))
     return flat.unionByName(disks)
@@ -123,8 +118,8 @@ def _kept(each: DataFrame, places: DataFrame) -> DataFrame:
     A content's first place is the first for each of its entries, so no other one meets them.
     """
     least = F.struct("root", "path", _inside(), "archive_path", "disposition", "at")
-    first = each.join(_large(places.groupBy("of").agg(F.min(least).alias("p"))), "of").select(*each.columns, "p.*", F.lit(True).alias("away"))
-    here = each.join(_large(places.where("archive_path is null").withColumn("dest", F.col("at"))), ["of", "dest"])
+    first = each.join(large(places.groupBy("of").agg(F.min(least).alias("p"))), "of").select(*each.columns, "p.*", F.lit(True).alias("away"))
+    here = each.join(large(places.where("archive_path is null").withColumn("dest", F.col("at"))), ["of", "dest"])
     both = first.drop("entry").unionByName(here.withColumn("away", F.lit(False)))
     keep = F.struct("away", _place_order().alias("by"), "at", "archive_path", "root", "disposition", "size")
     return both.groupBy("coll", "dest").agg(F.min(keep).alias("keep"), F.max("is_shared").alias("shared"))
@@ -140,14 +135,14 @@ def repack_sources(rows: Held, planned: DataFrame) -> DataFrame:
 
     Those of one complete file if there is one, else all places of the game; the entry is named as its manifest wants it.
     """
-    built = packed(rows.entries).join(_large(planned.where("action = 'repack'").select(*GAME, "dest", F.col("build_from").alias("at"))), GAME)
-    met = built.where("at is null").drop("at").join(_large(rows.places), "of").unionByName(_at_one(built, rows.places))
+    built = packed(rows.entries).join(large(planned.where("action = 'repack'").select(*GAME, "dest", F.col("build_from").alias("at"))), GAME)
+    met = built.where("at is null").drop("at").join(large(rows.places), "of").unionByName(_at_one(built, rows.places))
     return met.select("coll", "dest", F.col("at").alias("path"), "archive_path", "sha1", F.col("rom").alias("entry_name")).distinct()
 
 
 def _at_one(entries: DataFrame, places: DataFrame) -> DataFrame:
     """Entries with their places at the one path `at` that each names."""
-    return entries.where("at is not null").join(_large(places), ["of", "at"])
+    return entries.where("at is not null").join(large(places), ["of", "at"])
 
 
 def plan_files(rows: Held, library: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -161,8 +156,8 @@ def plan_files(rows: Held, library: str | None = None) -> tuple[DataFrame, DataF
     place = per.where("keep.away")
     move = may_leave(F.col("keep.disposition"), F.col("keep.root"), F.col("dest")) & ~F.col("shared")
     put = place.select("coll", F.when(move, "move").otherwise("copy").alias("kind"), F.col("keep.at").alias("source"), "keep.archive_path", "dest", "keep.size", F.lit(None).cast("string").alias("reason"))
-    alone = each.where("not is_shared").join(_large(per.where("not shared").select("coll", "dest", "keep")), ["coll", "dest"])
-    others = alone.join(_large(rows.places.where("archive_path is null")), "of").where(_place_order() != F.col("keep.by"))
+    alone = each.where("not is_shared").join(large(per.where("not shared").select("coll", "dest", "keep")), ["coll", "dest"])
+    others = alone.join(large(rows.places.where("archive_path is null")), "of").where(_place_order() != F.col("keep.by"))
     others = others.where(may_leave(F.col("disposition"), F.col("root"), F.col("dest")) & (F.col("at") != F.col("dest")) & ~in_library(F.col("at"), F.col("dest_root"), library))
     gone = others.select("coll", F.lit("delete").alias("kind"), F.col("at").alias("source"), F.lit(None).cast("string").alias("archive_path"), "dest", F.lit(0).cast("long").alias("size"), kept_reason(F.col("dest")).alias("reason"))
     return put.select(*OPERATION).unionByName(gone), per.select("coll", "dest", (~F.col("keep.away")).alias("correct"), "shared")
@@ -193,12 +188,12 @@ def complete_files(entries: DataFrame, places: DataFrame) -> tuple[DataFrame, Da
     keys = entries.groupBy(*GAME, "rom", F.lower("sha1").alias("low")).agg(F.array_sort(F.collect_set("of")).alias("any"))
     asking = keys.groupBy(*GAME).agg(F.sha2(F.to_json(F.array_sort(F.collect_set("any"))), 256).alias("asks"))
     one = asking.groupBy("asks").agg(F.min(F.struct(*GAME)).alias("g")).select("asks", "g.*")
-    own = entries.join(_large(one), GAME).select("asks", "rom", F.lower("sha1").alias("low"), "of").distinct()
-    counted = own.join(_large(places.groupBy("of").agg(F.count(F.lit(1)).alias("n"))), "of").groupBy("asks", "rom", "low").agg(F.sum("n").alias("n"))
+    own = entries.join(large(one), GAME).select("asks", "rom", F.lower("sha1").alias("low"), "of").distinct()
+    counted = own.join(large(places.groupBy("of").agg(F.count(F.lit(1)).alias("n"))), "of").groupBy("asks", "rom", "low").agg(F.sum("n").alias("n"))
     rarest = counted.groupBy("asks").agg(F.min(F.struct("n", "rom", "low")).alias("k"), F.count(F.lit(1)).alias("expected"))
     spots = places.select("of", "at").distinct()
-    some = own.join(_large(rarest.select("asks", "k.rom", "k.low", "expected")), ["asks", "rom", "low"]).join(_large(spots), "of").select("asks", "at", "expected").distinct()
-    holds = some.join(_large(own), "asks").join(_large(spots), ["of", "at"]).groupBy("asks", "at", "expected").agg(F.count_distinct("rom", "low").alias("holds"))
+    some = own.join(large(rarest.select("asks", "k.rom", "k.low", "expected")), ["asks", "rom", "low"]).join(large(spots), "of").select("asks", "at", "expected").distinct()
+    holds = some.join(large(own), "asks").join(large(spots), ["of", "at"]).groupBy("asks", "at", "expected").agg(F.count_distinct("rom", "low").alias("holds"))
     return asking, holds.where("holds = expected").select("asks", "at")
 
 
@@ -210,23 +205,23 @@ def games(rows: Held, shared_containers: DataFrame) -> DataFrame:
     """
     each, places = packed(rows.entries), rows.places
     ext = F.when(F.col("format") == "7z", "7z").otherwise("zip")
-    sizes = each.join(_large(places.groupBy("of").agg(F.min("at").alias("first_at"))), "of").groupBy(*GAME, "rom").agg(F.min_by("size", F.struct("first_at", "rom", "sha1")).alias("size"), F.count_distinct("sha1").alias("contents"))
+    sizes = each.join(large(places.groupBy("of").agg(F.min("at").alias("first_at"))), "of").groupBy(*GAME, "rom").agg(F.min_by("size", F.struct("first_at", "rom", "sha1")).alias("size"), F.count_distinct("sha1").alias("contents"))
     sizes = sizes.groupBy(*GAME).agg(F.sum(F.col("size") * F.col("contents")).alias("bytes"), F.sum("contents").cast("long").alias("entries"))
     per = each.groupBy(*GAME, "dest_root", "format").agg(F.max("is_shared").alias("shared"))
-    per = per.withColumn("dest", F.concat(F.concat_ws("/", "dest_root", "game"), F.lit("."), ext)).join(_large(sizes), GAME)
+    per = per.withColumn("dest", F.concat(F.concat_ws("/", "dest_root", "game"), F.lit("."), ext)).join(large(sizes), GAME)
     asking, complete = complete_files(each, places)
     complete = snapshots.snapshot(complete)
-    met = per.join(_large(asking), GAME).join(_large(complete.groupBy("asks").agg(F.min("at").alias("first_at"))), "asks", "left")
-    met = met.join(_large(complete.select("asks", F.col("at").alias("dest"), F.lit(True).alias("right"))), ["asks", "dest"], "left")
+    met = per.join(large(asking), GAME).join(large(complete.groupBy("asks").agg(F.min("at").alias("first_at"))), "asks", "left")
+    met = met.join(large(complete.select("asks", F.col("at").alias("dest"), F.lit(True).alias("right"))), ["asks", "dest"], "left")
     met = snapshots.snapshot(met.withColumn("build_from", F.when(F.col("right"), F.col("dest")).otherwise(F.col("first_at"))).drop("asks", "first_at", "right"))
-    meant = each.join(_large(met.select(*GAME, "dest", F.col("build_from").alias("at"))), GAME)
+    meant = each.join(large(met.select(*GAME, "dest", F.col("build_from").alias("at"))), GAME)
     leaves = F.every(may_leave(F.col("disposition"), F.col("root"), F.col("dest"))).alias("all_leave")
     one = _at_one(meant, places)
     fed = one.groupBy(*GAME).agg(leaves, F.count(F.lit(1)).alias("n_sources"))
     roots = places.groupBy("of", "root", "disposition").agg(F.count(F.lit(1)).alias("n"))
-    spread = meant.where("at is null").join(_large(roots), "of").groupBy(*GAME).agg(leaves, F.sum("n").alias("n_sources"))
+    spread = meant.where("at is null").join(large(roots), "of").groupBy(*GAME).agg(leaves, F.sum("n").alias("n_sources"))
     best = containers(one).select(*GAME, "archived", F.col("bytes").alias("own_bytes"), "first")
-    met = met.join(_large(best), GAME, "left").join(_large(fed.unionByName(spread)), GAME).withColumn("away", F.coalesce(F.col("build_from") != F.col("dest"), F.lit(True)))
+    met = met.join(large(best), GAME, "left").join(large(fed.unionByName(spread)), GAME).withColumn("away", F.coalesce(F.col("build_from") != F.col("dest"), F.lit(True)))
     met = met.join(shared_containers.select(F.col("at").alias("build_from"), F.lit(True).alias("serves_others")).distinct().hint("merge"), "build_from", "left")
     free = F.col("build_from").isNotNull() & F.col("away") & may_leave(F.col("first.disposition"), F.col("first.root"), F.col("dest"))
     whole = free & ~F.col("shared") & F.col("serves_others").isNull() & (F.col("format") != "torrentzip") & relocatable(F.col("archived"), F.col("build_from"), ext)
@@ -244,10 +239,10 @@ def plan_archives(rows: Held, planned: DataFrame, shared_containers: DataFrame,
     """
     none = F.lit(None).cast("string")
     build = planned.where("action <> 'correct'").select("coll", F.col("action").alias("kind"), F.col("build_from").alias("source"), none.alias("archive_path"), "dest", "size", F.when(F.col("move_sources"), "sources go").alias("reason"))
-    alone = packed(rows.entries).where("not is_shared").drop("dest_root").join(_large(planned.where("not shared").select(*GAME, "dest_root", "dest", "build_from")), GAME)
-    extra = alone.join(_large(rows.places), "of").where("at <> dest and not at <=> build_from")
+    alone = packed(rows.entries).where("not is_shared").drop("dest_root").join(large(planned.where("not shared").select(*GAME, "dest_root", "dest", "build_from")), GAME)
+    extra = alone.join(large(rows.places), "of").where("at <> dest and not at <=> build_from")
     extra = extra.groupBy(*GAME, "at", "dest_root", "dest").agg(F.min(F.struct("rom", _inside(), "root", "disposition")).alias("first"))
-    extra = extra.join(_large(shared_containers.select("at").distinct()), "at", "left_anti")
+    extra = extra.join(large(shared_containers.select("at").distinct()), "at", "left_anti")
     extra = extra.where(may_leave(F.col("first.disposition"), F.col("first.root"), F.col("dest")) & ~in_library(F.col("at"), F.col("dest_root"), library))
     gone = extra.select("coll", F.lit("delete").alias("kind"), F.col("at").alias("source"), none.alias("archive_path"), "dest", F.lit(0).cast("long").alias("size"), kept_reason(F.col("dest")).alias("reason"))
     return build.unionByName(gone)
@@ -258,7 +253,7 @@ def drains(rows: Held, planned: DataFrame, goals: DataFrame) -> DataFrame:
 
     Of an entry that several games took, the first by collection name, game and entry counts. Entries are arrays of one file.
     """
-    meant = packed(rows.entries).join(_large(planned.where("drains").select(*GAME, "dest", F.col("build_from").alias("at"))), GAME)
+    meant = packed(rows.entries).join(large(planned.where("drains").select(*GAME, "dest", F.col("build_from").alias("at"))), GAME)
     fed = _at_one(meant, rows.places.where("archive_path is not null")).join(F.broadcast(goals.select("coll", "name")), "coll")
     order = F.struct("name", "game", "rom", "sha1", "dest")
     entry = fed.groupBy("at", "archive_path").agg(F.min(order).alias("o"))
@@ -317,7 +312,7 @@ def sizes_of_matches(matched: DataFrame, locations: DataFrame, cap: int | None =
     """How many rows each collection's match grows to, from counts alone; with cap, that many places of a content count at most."""
     places = locations.groupBy("sha1").agg(F.count(F.lit(1)).alias("places"))
     n = F.col("places") if cap is None else F.least("places", F.lit(cap))
-    per = matched.groupBy("coll", "sha1").agg(F.count(F.lit(1)).alias("entries")).join(places, "sha1")
+    per = matched.groupBy("coll", "sha1").agg(F.count(F.lit(1)).alias("entries")).join(large(places), "sha1")
     return per.groupBy("coll").agg(F.sum(F.col("entries") * n).cast("long").alias("n_rows"))
 
 
@@ -357,13 +352,13 @@ def superseded(rows: Held, locations: DataFrame, sources: DataFrame, files: Data
     One can if its content lies in the very archive, below the library, that a collection wants it in, and no collection
     wants the loose path. Sets are first segments below the library.
     """
-    at = locations.join(sources.select("source", scalars.no_slash(F.col("path")).alias("root")), "source").withColumn("at", F.concat_ws("/", "root", "path"))
-    loose = at.where(F.col("archive_path").isNull() & scalars.under(F.col("root"), F.lit(library))).select("at", "sha1").join(_large(files.select("sha1", "size")), "sha1")
+    at = locations.join(F.broadcast(sources.select("source", scalars.no_slash(F.col("path")).alias("root"))), "source").withColumn("at", F.concat_ws("/", "root", "path"))
+    loose = at.where(F.col("archive_path").isNull() & scalars.under(F.col("root"), F.lit(library))).select("at", "sha1").join(large(files.select("sha1", "size")), "sha1")
     if sets is not None:
         loose = loose.where(scalars.top_segment(F.substring(F.col("at"), F.lit(len(library.rstrip("/")) + 2), F.length("at"))).isin(sets))
     canonical = at.where(F.col("archive_path").isNotNull() & scalars.under(F.col("at"), F.lit(library)))
-    safe = canonical.join(_large(archive_homes(rows).withColumnRenamed("dest", "at")), ["sha1", "at"], "left_semi").select("sha1").distinct()
-    met = loose.join(_large(safe.withColumn("safe", F.lit(True))), "sha1", "left").join(_large(desired_paths(rows).select(F.col("dest").alias("at"), F.lit(True).alias("wanted"))), "at", "left")
+    safe = canonical.join(large(archive_homes(rows).withColumnRenamed("dest", "at")), ["sha1", "at"], "left_semi").select("sha1").distinct()
+    met = loose.join(large(safe.withColumn("safe", F.lit(True))), "sha1", "left").join(large(desired_paths(rows).select(F.col("dest").alias("at"), F.lit(True).alias("wanted"))), "at", "left")
     return met.select(F.col("at").alias("path"), "sha1", "size", (F.col("safe").isNotNull() & F.col("wanted").isNull()).alias("removable"))
 
 

@@ -63,6 +63,8 @@ BODIES = {
 #: Relations that one query uses in several places: each query computes and writes them once, and no other one reads them.
 STORED = ("c_asked", "c_homes", "c_held")
 TABLES = ("documents", "labels")
+#: A row for each collection, setting or source. All other relations grow with the documents.
+FEW = ("c_collections", "c_versions", "c_sources", "c_goals", "c_config", "c_extra")
 
 
 def _uses(body: str) -> list[str]:
@@ -102,6 +104,9 @@ class Relations:
                 used = _uses(BODIES[full])
                 for n in used:
                     body = re.sub(rf"(?<![.\w]){n}\b(?!\.)", "{" + n + "}", body)
-                made = self.spark.sql(body, **{n: getattr(self, n.removeprefix("c_")) for n in used})
+                given = {n: getattr(self, n.removeprefix("c_")) for n in used}
+                if " join " in body:  # large ones by sorting: Spark takes a compressed file for a small table to send through the driver
+                    given = {n: df.hint("broadcast" if n in FEW else "merge") for n, df in given.items()}
+                made = self.spark.sql(body, **given)
                 self._made[full] = snapshot(made) if full in STORED else made
         return self._made[full]
