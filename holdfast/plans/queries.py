@@ -282,8 +282,9 @@ def n7_one_per_title(r):
 
 @query("select l_orderkey, l_suppkey, l_linenumber, l_quantity from lineitem qualify row_number() over (partition by l_orderkey, l_suppkey order by l_linenumber)=1")
 def w1_keep_first(r):
-    rows = r.spark.read.parquet(f"{r.sf_dir}/lineitem.parquet").select("l_orderkey", "l_suppkey", "l_linenumber", "l_quantity")
-    return merges.keep_first(rows, ["l_orderkey", "l_suppkey"], ["l_linenumber"])
+    at = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")]  # of rows with one line number, the first listed stays
+    rows = r.spark.read.parquet(f"{r.sf_dir}/lineitem.parquet").select("l_orderkey", "l_suppkey", "l_linenumber", "l_quantity", *at)
+    return merges.keep_first(rows, ["l_orderkey", "l_suppkey"], [F.asc_nulls_last("l_linenumber"), "file", "at"]).drop("file", "at")
 
 
 @query("select source, path, sha1, archive_path from c_locations where source<>'src1'", "c_locations")
